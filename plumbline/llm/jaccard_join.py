@@ -1,10 +1,11 @@
 """Operator 4: n-gram Jaccard join with filters under several global token orders.
 
-Two sets with Jaccard similarity of at least t share a token among their first n - ceil(t n) + 1 tokens under
+Two sets with Jaccard similarity of at least t share l tokens among their first n - ceil(t n) + l tokens under
 any fixed order of all tokens. The join uses two orders and takes only pairs that pass both:
 
 * order A: rising approximate frequency (a counting sketch of fixed size over all documents), then hash;
-* order B: rising exact frequency among the sets that passed order A, then hash.
+  a set stays only if so many of its prefix tokens as a link needs (l: a tenth) stand in other sets' prefixes;
+* order B: rising exact frequency among the sets that passed order A, then hash (l: one).
 
 Documents with equal sets are one node. Within the list of a B token every node is verified against a hub
 first. Links found join nodes into components; only pairs of the same list that are still in different
@@ -101,9 +102,19 @@ def _lot(raw: list[bytes], k: int) -> list[np.ndarray]:
     return sets
 
 
-def prefix_length(n, percent: int = PERCENT):
-    """Tokens of which a partner must share one: n - ceil(n percent / 100) + 1."""
-    return n - -(-n * percent // 100) + 1
+def needed(n: int) -> int:
+    """Shared tokens that order A asks of a set's prefix: a tenth of the set."""
+    return -(-n // 10)
+
+
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    """Tokens of a prefix in which a partner's first needed(n) common tokens stand: n - ceil(n percent / 100) + needed(n)."""
+    return min(n, n - -(-n * percent // 100) + needed(n))
+
+
+def least_shared(n: int, percent: int = PERCENT) -> int:
+    """Common tokens that stand in both prefixes for any partner: its size is ceil(n percent / 100) at least."""
+    return needed(-(-n * percent // 100))
 
 
 def set_key(tokens: np.ndarray) -> int:
@@ -122,24 +133,24 @@ def prefix_a(tokens: np.ndarray, levels: np.ndarray, percent: int = PERCENT) ->
 
 def _sets_and_counts(docs: DataFrame, k: int) -> DataFrame:
     """One pass over all texts: a row for each document (kind 0) and each task's part of the sketch (kind 1)."""
-    fields = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("task", pa.int32()), ("counts", pa.binary())])
+    fields = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("h", pa.int64()), ("u", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("task", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
         counts = None
         for b in batches:
-            sets = shingle_sets(b.column(2).to_pylist(), k)
+            sets = shingle_sets(b.column(3).to_pylist(), k)
             if counts is None:
                 counts = np.zeros(SLOTS, np.uint32)
             if any(len(s) for s in sets):
                 counts += np.bincount((np.concatenate(sets) & _U(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
             m = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=fields)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), b.column(0), b.column(1), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=fields)
         if counts is not None:
             part, task = np.minimum(counts, 65535).astype("<u2").reshape(_CHUNKS, -1), TaskContext.get().partitionId()
             for i in range(_CHUNKS):
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([1, None, None, i, None, task, zlib.compress(part[i].tobytes(), 1)], fields)], schema=fields)
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([1, None, None, None, i, None, task, zlib.compress(part[i].tobytes(), 1)], fields)], schema=fields)
 
-    return map_arrow(docs, run, "kind int, doc_id long, h long, n long, key long, task int, counts binary")
+    return map_arrow(docs, run, "kind int, doc_id long, h long, u long, n long, key long, task int, counts binary")
 
 
 def _levels(counted: DataFrame) -> np.ndarray:
@@ -158,6 +169,47 @@ def _levels(counted: DataFrame) -> np.ndarray:
     return np.frexp(total.astype(np.float64))[1].astype(np.uint8).ravel()
 
 
+#: Bits of the filter that spares the texts of other documents a second look. Its size does not depend on the
+#: data; where it fills up, more texts are looked at and the result stays the same.
+BITS = 1 << 26
+
+
+def _places(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = _mix(u.astype(np.int64).view(np.uint64))
+    return (x & _U(BITS - 1)).astype(np.int64), (x >> _U(32) & _U(BITS - 1)).astype(np.int64)
+
+
+def _has(bits: np.ndarray, u: np.ndarray) -> np.ndarray:
+    a, b = _places(u)
+    return (bits[a >> 3] >> (a & 7) & bits[b >> 3] >> (b & 7) & 1).astype(bool)
+
+
+def _bits(ids: DataFrame) -> np.ndarray:
+    """A bit filter of one long column: set by each task, joined chunk by chunk; BITS / 8 bytes reach the driver."""
+    step = BITS // 8 // _CHUNKS
+
+    def run(batches):
+        held = np.zeros(BITS // 8, np.uint8)
+        for b in batches:
+            for at in _places(b.column(0).to_numpy()):
+                np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        for i in range(_CHUNKS):
+            if held[i * step : (i + 1) * step].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([zlib.compress(held[i * step : (i + 1) * step].tobytes(), 1)], pa.binary())], names=["n", "g", "bits"])
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(step, np.uint8)
+        for x in pdf["bits"]:
+            total |= np.frombuffer(zlib.decompress(x), np.uint8)
+        return pd.DataFrame({"n": [pdf["n"].iloc[0]], "bits": [zlib.compress(total.tobytes(), 1)]})
+
+    first = map_arrow(ids, run, "n int, g int, bits binary").groupBy("n", "g").applyInPandas(join, "n int, bits binary")
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in first.groupBy("n").applyInPandas(join, "n int, bits binary").collect():
+        out[r["n"] * step : (r["n"] + 1) * step] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return out
+
+
 def similarity_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, h (hash of the text), n_shingles, component_id, group_key for every row of doc_id, text.
 
@@ -166,37 +218,38 @@ def similarity_components(docs: DataFrame, k: int = WORDS, percent: int = PERCEN
     component has no other; repeated rows are kept. An empty table gives an empty one; other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
-    base = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    base = docs.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64("doc_id", "text").alias("u"), "text")
     passed = stored(_sets_and_counts(base, k), "jaccard-base")
-    rows = passed.filter("kind = 0").select("doc_id", "h", "n", "key")
+    rows = passed.filter("kind = 0").select("doc_id", "h", "u", "n", "key")
     levels = spark.sparkContext.broadcast(_levels(passed.filter("kind = 1")))
-    firsts = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("doc_id", "h"), F.struct("doc_id", "h")).alias("rep"))
+    firsts = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("u").alias("rep"))
 
     def tokens_a(batches):
         for b in batches:
-            out_t, out_k = [], []
-            for s in shingle_sets(b.column(0).to_pylist(), k):
-                if len(s):
-                    p = prefix_a(s, levels.value, percent)
-                    out_t.append(p)
-                    out_k.append(np.full(len(p), set_key(s), np.int64))
-            if out_t:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_t).view(np.int64)), pa.array(np.concatenate(out_k))], names=["token", "key"])
-
-    # order A: which sets share a prefix token with another set
-    prefixes = map_arrow(base.select("text"), tokens_a, "token long, key long").distinct()
-    survivors = prefixes.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("m > 1").select("key").distinct()
-    chosen = firsts.join(survivors, "key", "left_semi").select("key", F.col("rep.doc_id").alias("rd"), F.col("rep.h").alias("rh"))
+            out = [(prefix_a(s, levels.value, percent), set_key(s), least_shared(len(s), percent)) for s in shingle_sets(b.column(0).to_pylist(), k) if len(s)]
+            if out:
+                size = [len(p) for p, _, _ in out]
+                cols = [np.concatenate([p for p, _, _ in out]).view(np.int64), np.repeat(np.array([x for _, x, _ in out]), size), np.repeat(np.array([m for _, _, m in out], np.int32), size)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "key", "least"])
+
+    # order A: which sets share enough prefix tokens with other sets
+    prefixes = map_arrow(base.select("text"), tokens_a, "token long, key long, least int").distinct()
+    met = prefixes.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("m > 1")
+    survivors = met.groupBy("key", "least").agg(F.count(F.lit(1)).alias("c")).filter("c >= least").select("key")
+    chosen = spark.sparkContext.broadcast(_bits(firsts.join(survivors, "key").select("rep")))
 
     def tokens_all(batches):
         for b in batches:
-            sets = shingle_sets(b.column(1).to_pylist(), k)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "tokens"])
-
-    texts = base.join(chosen, F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("h") == F.col("rh"))).select("key", "text")
-    sets = stored(map_arrow(texts, tokens_all, "key long, tokens array<long>").dropDuplicates(["key"]), "jaccard-sets")
+            u = b.column(0).to_numpy()
+            at = np.flatnonzero(_has(chosen.value, u))
+            text = b.column(1).take(pa.array(at)).to_pylist()
+            sets = {set_key(s): s.view(np.int64) for s in shingle_sets(text, k) if len(s)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.list_(pa.int64()))], names=["key", "tokens"])
+
+    # a few sets beyond those chosen may pass the bits, or pass twice; both do no harm below
+    sets = stored(map_arrow(base.select("u", "text"), tokens_all, "key long, tokens array<long>"), "jaccard-sets")
     links = _links(sets, levels, percent)
-    comp = components(sets.select(F.col("key").alias("node")), links)
+    comp = components(sets.select(F.col("key").alias("node")).distinct(), links)
     least = comp.join(firsts.select(F.col("key").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("cid"))
     named = comp.join(least, "component").select(F.col("node").alias("key"), "cid", "component")
     ids = stored(firsts.select("key", "least").join(named, "key", "left").select("key", F.coalesce("cid", "least").alias("cid"), F.coalesce("component", "key").alias("group_key")), "jaccard-ids")
@@ -207,10 +260,10 @@ def similarity_components(docs: DataFrame, k: int = WORDS, percent: int = PERCEN
 def _links(sets: DataFrame, levels, percent: int) -> DataFrame:
     """Enough verified links (a, b) between sets that their components are those of all links."""
     long = sets.select("key", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    often = long.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    often = long.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1")
     # order B: a set's prefix is its first p tokens by (df, hash); unique ones need no list, only their number
-    common = long.join(often, "token").select("key", "n", F.struct("df", F.xxhash64("token").alias("o"), "token").alias("t"))
-    nodes = common.groupBy("key", "n").agg(F.sort_array(F.collect_list("t")).alias("ts")).withColumn("r", F.size("ts"))
+    common = often.select("key", "n", F.struct("df", F.xxhash64("token").alias("o"), "token").alias("t"))
+    nodes = common.groupBy("key", "n").agg(F.sort_array(F.collect_set("t")).alias("ts")).withColumn("r", F.size("ts"))
     p = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     lists = nodes.filter(F.col("r") * 100 >= F.col("n") * percent).select("key", "n", "r", F.explode(F.slice("ts", 1, F.greatest(p - (F.col("n") - F.col("r")), F.lit(0)).cast("int"))).alias("t")).select("key", "n", "r", "t.token")
     lists = stored(lists, "jaccard-lists")
@@ -243,7 +296,7 @@ def _links(sets: DataFrame, levels, percent: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, levels, percent: int) -> DataFrame:
-    """Adds linked and distance. A pair that shares no A-prefix token cannot link; its distance is unknown (null)."""
+    """Adds linked and distance. A pair that shares too few A-prefix tokens cannot link; its distance is unknown (null)."""
     left = sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb"))
 
@@ -253,7 +306,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, levels, percent: int) -> DataFram
             ta, tb = batch.column(2), batch.column(3)
             for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 x, y = _set(ta, i, a, held), _set(tb, i, b, held)
-                if not len(np.intersect1d(_first(x, a, held, levels, percent), _first(y, b, held, levels, percent), assume_unique=True)):
+                fewest = min(least_shared(len(x), percent), least_shared(len(y), percent))
+                if len(np.intersect1d(_first(x, a, held, levels, percent), _first(y, b, held, levels, percent), assume_unique=True)) < fewest:
                     linked.append(False)
                     distance.append(None)
                     continue
