@@ -1,4 +1,14 @@
 """Named queries over the parquet tables, and the SQL each is held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import attendance_queries, geometry_queries, matching_queries, schedule_queries, stream_queries, text_queries
+
+_MODULES = (schedule_queries, text_queries, geometry_queries, matching_queries, attendance_queries, stream_queries)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
