@@ -8,9 +8,10 @@ any fixed order of all tokens. The join uses two orders and takes only pairs tha
 * order B: rising exact frequency among the sets that passed order A, then hash (l: one).
 
 Documents with equal sets are one node. Within the list of a B token every node is verified against a hub
-first. Links found join nodes into components; only pairs of the same list that are still in different
-components, and that lengths, unique tokens and the triangle inequality of Jaccard distance leave possible,
-are verified afterwards. So no link between components is lost and no list is expanded into all its pairs.
+first. Links found join nodes into components; only sets of the same list that are still in different
+components are compared afterwards: in short lists the pairs that lengths, unique tokens and the triangle
+inequality of Jaccard distance leave possible, in long ones blocks of sets against blocks. So no link between
+components is lost and no long list is expanded into its pairs.
 
 Shingles and sets are compared by 64-bit hashes. All sizes of intersections are exact on these.
 """
@@ -225,16 +226,20 @@ def similarity_components(docs: DataFrame, k: int = WORDS, percent: int = PERCEN
     firsts = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("u").alias("rep"))
 
     def tokens_a(batches):
+        seen = set()  # a task gives each set once
         for b in batches:
-            out = [(prefix_a(s, levels.value, percent), set_key(s), least_shared(len(s), percent)) for s in shingle_sets(b.column(0).to_pylist(), k) if len(s)]
+            sets = {set_key(s): s for s in shingle_sets(b.column(0).to_pylist(), k) if len(s)}
+            out = [(prefix_a(s, levels.value, percent), key, least_shared(len(s), percent)) for key, s in sets.items() if key not in seen]
+            seen.update(sets)
             if out:
                 size = [len(p) for p, _, _ in out]
                 cols = [np.concatenate([p for p, _, _ in out]).view(np.int64), np.repeat(np.array([x for _, x, _ in out]), size), np.repeat(np.array([m for _, _, m in out], np.int32), size)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "key", "least"])
 
     # order A: which sets share enough prefix tokens with other sets
-    prefixes = map_arrow(base.select("text"), tokens_a, "token long, key long, least int").distinct()
-    met = prefixes.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("m > 1")
+    prefixes = map_arrow(base.select("text"), tokens_a, "token long, key long, least int")
+    by_token = Window.partitionBy("token")
+    met = prefixes.withColumn("lo", F.min("key").over(by_token)).withColumn("hi", F.max("key").over(by_token)).filter("lo <> hi").select("token", "key", "least").distinct()
     survivors = met.groupBy("key", "least").agg(F.count(F.lit(1)).alias("c")).filter("c >= least").select("key")
     chosen = spark.sparkContext.broadcast(_bits(firsts.join(survivors, "key").select("rep")))
 
@@ -271,7 +276,7 @@ def _links(sets: DataFrame, levels, percent: int) -> DataFrame:
     # (a list of one node has no pair)
     hubs = lists.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct((F.col("r") / F.col("n")).alias("q"), "key", "n")).alias("hub"), F.min("n").alias("least")).filter("m > 1")
     best = F.col("r") / (F.col("n") + F.greatest("least", "r") - F.col("r"))
-    listed = stored(lists.join(hubs, "token").filter(best * 100 >= percent - 1e-6).select("token", "key", "n", "r", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n")), "jaccard-listed")
+    listed = stored(lists.join(hubs, "token").filter(best * 100 >= percent - 1e-6).select("token", "key", "n", "r", "m", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n")), "jaccard-listed")
     near = (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent) & (F.col("key") != F.col("hub"))
     spokes = listed.filter(near).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
     first = stored(_verify(spokes, sets, levels, percent), "jaccard-spokes")
@@ -282,9 +287,9 @@ def _links(sets: DataFrame, levels, percent: int) -> DataFrame:
     tagged = tagged.join(dist, ["hub", "key"], "left").withColumn("distance", F.when(F.col("hub") == F.col("key"), 0.0).otherwise(F.col("distance")))
     per = tagged.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
     main = per.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "component")).alias("main")).filter("parts > 1").select("token", F.col("main.component").alias("main"))
-    open_ = stored(tagged.join(main, "token"), "jaccard-open")
-    rest = open_.filter("component <> main")
-    x, y = rest.alias("x"), open_.alias("y")
+    every = stored(tagged.join(main, "token"), "jaccard-open")
+    open_ = every.filter(F.col("m") <= PAIRED)
+    x, y = open_.filter("component <> main").alias("x"), open_.alias("y")
     ordered = (F.col("y.component") == F.col("y.main")) | (F.col("x.key") < F.col("y.key"))
     overlap = F.least("x.r", "y.r") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
     sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
@@ -292,7 +297,68 @@ def _links(sets: DataFrame, levels, percent: int) -> DataFrame:
     new = (F.col("x.key") != F.col("x.hub")) & (F.col("y.key") != F.col("y.hub"))
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & ordered & sizes & overlap & triangle & new).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
     second = _verify(pairs, sets, levels, percent).filter("linked").select("a", "b")
-    return stored(found.unionByName(second), "jaccard-links")
+    long_lists = every.filter(F.col("m") > PAIRED).select("hub", "key", "component", "n").distinct()
+    return stored(found.unionByName(second).unionByName(_block_links(long_lists, sets, percent)), "jaccard-links")
+
+
+#: Lists of up to so many sets are compared pair by pair; longer ones in blocks of about so many tokens.
+PAIRED, BLOCK_TOKENS = 48, 60_000
+
+
+def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components within the lists of a hub: (hub, key, component, n), blocks of sets against blocks.
+
+    Overlaps of two blocks are one product of incidence matrices. For each set and each other component
+    one link is enough. Sets of the list's largest component are only compared with the others.
+    """
+    size = members.groupBy("hub").agg(F.sum("n").alias("total"))
+    per = members.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("cn"))
+    main = per.groupBy("hub").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "component", "cn")).alias("main")).filter("parts > 1").select("hub", F.col("main.component").alias("main"), F.col("main.cn").alias("main_n"))
+    spread = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
+    held = members.join(size, "hub").join(main, "hub").join(sets.select("key", "tokens"), "key")
+    held = held.withColumn("block", (spread % F.ceil(F.col("total") / BLOCK_TOKENS)).cast("int")).withColumn("part", (spread % F.greatest(F.ceil((F.col("total") - F.col("main_n")) / BLOCK_TOKENS), F.lit(1))).cast("int"))
+    packed = F.collect_list(F.struct("key", "component", "tokens"))
+    left = held.filter("component <> main").groupBy("hub", "part").agg(packed.alias("l")).select("hub", "l")
+    right = held.groupBy("hub", "block").agg(packed.alias("r")).select("hub", "r")
+
+    def run(batches):
+        for b in batches:
+            a_out, b_out = [], []
+            for i in range(b.num_rows):
+                x, y = _unpack(b.column(0)[i].values), _unpack(b.column(1)[i].values)
+                both = _overlaps(x[2], x[3], y[2], y[3])
+                linked = (100 * both >= percent * (x[3][:, None] + y[3][None] - both)) & (x[1][:, None] != y[1][None])
+                at = np.argwhere(linked)
+                if len(at):
+                    _, first = np.unique(np.stack([at[:, 0], y[1][at[:, 1]]]), axis=1, return_index=True)
+                    a_out.append(x[0][at[first, 0]])
+                    b_out.append(y[0][at[first, 1]])
+            if a_out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], names=["a", "b"])
+
+    return map_arrow(left.join(right, "hub").select("l", "r"), run, "a long, b long")
+
+
+def _unpack(v) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, components, all tokens and sizes of a packed block."""
+    tokens = v.field("tokens")
+    return v.field("key").to_numpy(), v.field("component").to_numpy(), tokens.flatten().to_numpy(), np.asarray(tokens.value_lengths()).astype(np.int64)
+
+
+def _overlaps(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of two blocks."""
+    common = np.intersect1d(x, y)
+    out = np.zeros((len(nx), len(ny)), np.int64)
+    ox, oy = np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)
+    for at in range(0, len(common), width):
+        part = common[at : at + width]
+        one, two = np.zeros((len(nx), len(part)), np.float32), np.zeros((len(ny), len(part)), np.float32)
+        for m, tokens, owner in ((one, x, ox), (two, y, oy)):
+            i = np.searchsorted(part, tokens).clip(max=len(part) - 1)
+            hit = part[i] == tokens
+            m[owner[hit], i[hit]] = 1
+        out += (one @ two.T).astype(np.int64)
+    return out
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, levels, percent: int) -> DataFrame:
