@@ -47,11 +47,14 @@ def encode(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> Frame:
     n = len(ids)
     if n == 0:
         return Frame(0, b"", b"", b"", b"", b"", b"")
-    symbols, dense = np.unique(ids, return_inverse=True)
-    freq = frequencies(np.bincount(dense))
+    counts = np.bincount(ids)  # vocabularies are small
+    symbols = np.flatnonzero(counts)
+    place = np.zeros(len(counts), np.int32)
+    place[symbols] = np.arange(len(symbols))
+    dense, freq = place[ids], frequencies(counts[symbols])
     cum = np.concatenate([[0], np.cumsum(freq)[:-1]])
     blocks, steps = -(-n // block), block // lanes
-    padded = np.zeros(blocks * block, np.int64)
+    padded = np.zeros(blocks * block, np.int32)
     padded[:n] = dense
     rows = np.ascontiguousarray(padded.reshape(blocks, steps, lanes).transpose(1, 0, 2).reshape(steps, -1))
     f_of, c_of = freq.astype(np.uint64), cum.astype(np.uint64)

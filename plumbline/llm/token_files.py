@@ -15,7 +15,7 @@ from .common import map_arrow, prepare, shared_path, texts_of
 from .tokens import default_path, encoder
 
 #: Ids after which a frame is closed; a frame holds whole documents, so only a longer document exceeds it.
-FRAME_IDS = 1 << 20
+FRAME_IDS = 1 << 21
 
 FRAME_SCHEMA = "part int, frame int, base long, n long, doc_ids array<long>, lengths array<long>, freq_table binary, states binary, starts binary, words binary, word_crcs binary, id_crcs binary"
 _FIELDS = pa.schema([("part", pa.int32()), ("frame", pa.int32()), ("base", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), *[(k, pa.binary()) for k in ("freq_table", "states", "starts", "words", "word_crcs", "id_crcs")]])

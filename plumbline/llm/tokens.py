@@ -6,7 +6,6 @@ import os
 import re
 from array import array
 
-import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces held by a worker; the cache starts afresh beyond that, so memory stays bounded.
@@ -27,7 +26,7 @@ _MARKS = ".,;:!?|()*#%&+-"
 _PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINT)}
 
-_HELD: dict[tuple[str, str], ChunkEncoder] = {}
+_HELD: dict = {}
 
 
 def default_path(name: str) -> str:
@@ -37,6 +36,17 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Cache(dict):
+    """Chunk to ids; a missing chunk is encoded when it is asked for."""
+
+    def __init__(self, owner: ChunkEncoder):
+        self.owner = owner
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.owner.chunk(chunk)
+        return ids
+
+
 class ChunkEncoder:
     """Encodes whole texts exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
@@ -51,7 +61,7 @@ class ChunkEncoder:
         self.lib.encode_special_tokens = True
         self.model, self.kind = self.lib.model, kind
         self.cut = str.split if kind == "word" else _CHUNK.findall
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Cache(self)
         self.pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -59,32 +69,29 @@ class ChunkEncoder:
         out = []
         for text in texts:
             if any(c in text for c in _ODD):
-                out.append(np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                out.append(self._whole(text))
                 continue
-            chunks, cache = self.cut(text), self.cache
-            try:
-                out.append(b"".join([cache[c] for c in chunks]))
-            except KeyError:
-                self._learn({c for c in chunks if c not in cache}, chunks)
-                out.append(b"".join([self.cache[c] for c in chunks]))
+            if len(self.cache) > CACHE_PIECES:
+                self.cache.clear()
+                self.pieces.clear()
+            cache = self.cache
+            out.append(b"".join([cache[c] for c in self.cut(text)]))
         return out
 
-    def _learn(self, missing: set[str], chunks: list[str]) -> None:
-        if len(self.cache) + len(missing) > CACHE_PIECES:
-            self.cache, self.pieces = {}, {}
-            missing = set(chunks)
-        cache, pieces, word = self.cache, self.pieces, self.kind == "word"
-        for c in missing:
-            core = c.rstrip(_MARKS)
-            if (core.isalpha() or core[1:].isalpha() and core[0] == " ") and (core.isascii() or max(core) < "\u0250"):
-                head = core.lower() if word else core
-                ids = pieces.get(head) or self._piece(head)
-                if len(core) < len(c):
-                    tail = c[len(core):]
-                    ids += pieces.get(tail) or self._piece(tail)
-                cache[c] = ids
-            else:
-                cache[c] = array("I", self.lib.encode(c, add_special_tokens=False).ids).tobytes()
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def chunk(self, c: str) -> bytes:
+        """The ids of a chunk that the cache doesn't hold."""
+        core = c.rstrip(_MARKS)
+        if not ((core.isalpha() or core[1:].isalpha() and core[0] == " ") and (core.isascii() or max(core) < "\u0250")):
+            return self._whole(c)
+        pieces, head = self.pieces, core.lower() if self.kind == "word" else core
+        ids = pieces.get(head) or self._piece(head)
+        if len(core) < len(c):
+            tail = c[len(core):]
+            ids += pieces.get(tail) or self._piece(tail)
+        return ids
 
     def _piece(self, piece: str) -> bytes:
         """A letter run or a punctuation run: the pre-tokenizer would leave it whole."""
