@@ -40,3 +40,48 @@ def qualifiers(text: Column) -> Column:
 def pad_row(row: Column, width: int) -> Column:
     """A ragged row cut or filled with empty strings to ``width`` cells."""
     return F.slice(F.concat(row, F.array_repeat(F.lit(""), width)), 1, width)
+
+
+#: Tags of older sheets, count callouts, diameters, rows of a printed tally.
+TAG_NOTE = r"^-\((\d+)\)\s*-?\(?\s*T(\d+)(.*?)\)?$"
+COUNT_ANYWHERE = r"\(?(\d+)\)?\s*-\s*\(?T(\d+)\)?\b"
+ANY_DIA = r"\bT(\d+)\b"
+TALLY_LINE = r"^T(\d+)\s+([\d.]+)k\s+([\d.]+)k\s+([+\-][\d.]+)k\s+(\d+%|extra|-)\s*$"
+
+
+def tag_kind(text: Column) -> Column:
+    """note, mark, spacing or none."""
+    t = squeeze(text)
+    return F.when(t.rlike(TAG_NOTE), "note").when(t.rlike("^[A-Z][0-9]?$"), "mark").when(t.rlike(r"^T\d+"), "spacing").otherwise("none")
+
+
+def tag_quantity(text: Column) -> Column:
+    """The quantity of a note; null for other tags."""
+    return F.regexp_extract(squeeze(text), TAG_NOTE, 1).try_cast("long")
+
+
+def count_callout(text: Column) -> Column:
+    """n and dia of the first count callout anywhere in a text; nulls without one."""
+    return F.struct(*[F.regexp_extract(text, COUNT_ANYWHERE, i).try_cast("int").alias(k) for i, k in ((1, "n"), (2, "dia"))])
+
+
+def diameters(text: Column) -> Column:
+    """Sorted distinct diameters named in a text."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(ANY_DIA), F.lit(1)), lambda x: x.try_cast("int"))))
+
+
+def tally_line(line: Column) -> Column:
+    """dia, recon, official, pct of a tally's row; null dia for other lines."""
+    kinds = {1: ("dia", "int"), 2: ("recon", "double"), 3: ("official", "double"), 5: ("pct", "string")}
+    return F.struct(*[F.regexp_extract(line, TALLY_LINE, i).try_cast(kind).alias(k) for i, (k, kind) in kinds.items()])
+
+
+def column_head(text: Column) -> Column:
+    """The canonical name of a table's column header; an unknown one stays as it is in lower case."""
+    t = F.lower(squeeze(text))
+    return (
+        F.when(t.isin("schedule mark", "mark"), "Schedule Mark").when(t.contains("diameter"), "Bar Diameter").when(t == "shape", "Shape")
+        .when(t.contains("total") | (t == "length"), "Total Bar Length").when(t.contains("bar length"), "Bar Length")
+        .when(t.contains("quantity") | (t == "no."), "Quantity").when(t.contains("weight"), "Weight")
+        .when(t.rlike("^[a-h]$"), F.upper(t)).otherwise(t)
+    )

@@ -4,8 +4,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import geometry, text, tolerance
-from plumbline.operators import attendance, clustering, joins, matching
+from plumbline.functions import geometry, placement, text, tolerance
+from plumbline.operators import attendance, clustering, evidence, joins, matching
 from plumbline.plans import attendance_queries, stream_queries
 
 
@@ -116,3 +116,47 @@ def test_entry_works_without_the_corpus_operators(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_claims_leave_gaps(spark):
+    base = spark.createDataFrame([("a", 1, 0.0, 10.0), ("a", 2, 4.0, 5.0), ("b", 3, 0.0, 4.0), ("b", 4, 3.0, 3.0)], "k string, id int, lo double, hi double")
+    claims = spark.createDataFrame([("a", 3.0, 5.0), ("a", 4.0, 6.0), ("a", 9.0, 20.0), ("c", 0.0, 9.0), ("b", None, 2.0)], "k string, c_lo double, c_hi double")
+    got = sorted(tuple(r) for r in evidence.subtract_claims(base, claims, ["k"], 2.0).collect())
+    assert got == [("a", 1, 0.0, 3.0), ("a", 1, 6.0, 9.0), ("b", 3, 0.0, 4.0)]
+
+
+def test_nearest_segment_meets_brute_force(spark):
+    import math
+    import random
+
+    rng = random.Random(7)
+    seg = [("k", i, *[rng.uniform(0, 500) for _ in range(4)]) for i in range(40)] + [("k", 40, 10.0, 10.0, 10.0, 10.0), ("k", 41, 0.0, 0.0, 5000.0, 3000.0)]
+    pts = [("k", i, rng.uniform(-50, 550), rng.uniform(-50, 550)) for i in range(80)]
+
+    def dist(px, py, x0, y0, x1, y1):
+        n = (x1 - x0) ** 2 + (y1 - y0) ** 2
+        t = 0.0 if n < 1e-9 else max(0.0, min(1.0, ((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / n))
+        return math.dist((px, py), (x0 + t * (x1 - x0), y0 + t * (y1 - y0)))
+
+    want = {}
+    for _, pid, px, py in pts:
+        d, sid = min((dist(px, py, *s[2:]), s[1]) for s in seg)
+        if d < 30:
+            want[pid] = sid
+    p = spark.createDataFrame(pts, "k string, pid int, px double, py double")
+    s = spark.createDataFrame(seg, "k string, sid int, x0 double, y0 double, x1 double, y1 double")
+    assert {r["pid"]: r["sid"] for r in evidence.nearest_segment(p, s, ["k"], 30.0).collect()} == want
+
+
+def test_depth_zones_end_at_steps_and_gaps(spark):
+    bins = [("e", b, 0.0, 100.0) for b in range(5)] + [("e", b, 0.0, 200.0) for b in range(5, 9)] + [("e", b, 0.0, 200.0) for b in range(12, 15)] + [("e", 20, 0.0, 50.0)]
+    got = evidence.depth_zones(spark.createDataFrame(bins, "v string, bin int, lo double, hi double"), "v", 25.0).collect()
+    assert sorted((r["x0"], r["x1"], r["depth"]) for r in got) == [(0.0, 125.0, 100.0), (125.0, 225.0, 200.0), (300.0, 375.0, 200.0)]
+
+
+def test_bent_shapes(spark):
+    row = spark.createDataFrame([(0.3, None, 0.2, 0.0, 0.1)], "a double, b double, c double, f double, g double")
+    s = placement.nonzero_segments({"G": F.col("g"), "A": F.col("a"), "B": F.col("b"), "C": F.col("c"), "F": F.col("f")})
+    got = row.select(s.alias("s")).select("s", placement.bent_length(F.col("s"), F.lit(10), F.lit(False)).alias("n"), placement.zigzag(F.col("s")).alias("z"), placement.zigzag(F.slice("s", 1, 0)).alias("none")).first()
+    assert got["s"] == [0.3, 0.2, 0.1] and abs(got["n"] - 0.56) < 1e-9
+    assert [(round(p.x, 6), round(p.y, 6)) for p in got["z"]] == [(0.0, 0.0), (0.3, 0.0), (0.3, 0.2), (0.2, 0.2)] and len(got["none"]) == 1
