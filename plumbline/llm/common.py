@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -67,7 +68,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow whose function gets and gives whole record batches; an empty batch is passed on as it is."""
     prepare(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+_MODEL: dict = {}
+
+
+def worker_model(key, make):
+    """The model a worker keeps between tasks: the last one only, so that those of successive stages don't add up."""
+    if key not in _MODEL:
+        _MODEL.clear()
+        _MODEL[key] = make()
+    return _MODEL[key]
+
+
+def give_back() -> None:
+    """Return what a finished task freed to the system: idle workers stay alive beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:

@@ -28,26 +28,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, map_arrow, prepare, stored
+from .common import components, map_arrow, prepare, stored, worker_model
 
 WORDS, PERCENT = 5, 80
 #: Counters of the sketch: a power of two. Its size does not depend on the data.
 SLOTS = 1 << 22
 _CHUNKS = 32
 #: Bytes of text hashed at a time; a longer text makes a longer lot.
-LOT = 4_000_000
+LOT = 1_000_000
 _U = np.uint64
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _P, _Q = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    held = _POWERS.get(base)
+    powers = worker_model("powers", dict)
+    held = powers.get(base)
     if held is None or len(held) < n:
         x = np.full(max(n, LOT + 100_000), base, np.uint64)
         x[0] = 1
-        held = _POWERS[base] = np.cumprod(x)
+        held = powers[base] = np.cumprod(x)
     return held[:n]
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import extended, learn_rows, map_arrow, prepare, texts_of
+from .common import extended, learn_rows, map_arrow, prepare, texts_of, worker_model
 
 BLOCK = 1024
 #: Training bounds: documents for each language, characters of each of them, characters for each language and
@@ -54,7 +54,7 @@ class Parser:
         for lang in self.langs:
             seq = self.normal(model.texts[lang])
             moves = automaton(seq.tolist())
-            dense = np.full((len(moves), self.width), -1, np.int64)
+            dense = np.full((len(moves), self.width), -1, np.int32)
             for s, m in enumerate(moves):
                 dense[s, list(m.keys())] = list(m.values())
             # no transition: the phrase ends (odd entry) and the character begins the next one
@@ -63,7 +63,7 @@ class Parser:
             self.roots.append(base)
             self.bits.append(np.log2(max(len(seq), 2)))
             base += len(moves)
-        self.table = np.concatenate(tables).astype(np.int32).ravel()
+        self.table = np.concatenate(tables).ravel()
         self.roots, self.bits = np.array(self.roots, np.int32), np.array(self.bits)
 
     def normal(self, text: str) -> np.ndarray:
@@ -153,14 +153,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_chars: int = DOC_
     return Model({k: t for k, t in texts.items() if any(c.isalpha() for c in t)})
 
 
-_HELD: dict[str, Parser] = {}
-
-
 def parser(model: Model) -> Parser:
-    if model.digest not in _HELD:
-        _HELD.clear()
-        _HELD[model.digest] = Parser(model)
-    return _HELD[model.digest]
+    return worker_model(model.digest, lambda: Parser(model))
 
 
 def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:

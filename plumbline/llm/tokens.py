@@ -8,6 +8,8 @@ from array import array
 
 from tokenizers import Tokenizer
 
+from .common import worker_model
+
 #: Pieces held by a worker; the cache starts afresh beyond that, so memory stays bounded.
 CACHE_PIECES = 400_000
 
@@ -26,9 +28,6 @@ _MARKS = ".,;:!?|()*#%&+-"
 _PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINT)}
 
-_HELD: dict = {}
-
-
 def default_path(name: str) -> str:
     """The place of a public vocabulary file; operators take any other path as a parameter."""
     import public_tokenizers
@@ -101,6 +100,4 @@ class ChunkEncoder:
 
 
 def encoder(path: str, kind: str) -> ChunkEncoder:
-    if (path, kind) not in _HELD:
-        _HELD[path, kind] = ChunkEncoder(path, kind)
-    return _HELD[path, kind]
+    return worker_model((path, kind), lambda: ChunkEncoder(path, kind))
