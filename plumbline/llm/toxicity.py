@@ -9,7 +9,6 @@ documents, so each round takes every document's highest-scoring window and learn
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -133,12 +132,18 @@ def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int = 7
     """Train on labelled texts. With one class only, the model scores 0."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.float32)
-    split = [words_of(t) for t in texts]
-    toxic, seen = Counter(), Counter()
-    for ws, label in zip(split, labels):
-        seen.update(set(ws))
-        if label:
-            toxic.update(set(ws))
+    # words as row numbers from the start: the sample's words as strings would take ten times its bytes
+    first_seen: dict[str, int] = {"": 0}
+    docs = [np.array([first_seen.setdefault(w, len(first_seen)) for w in words_of(t)], np.int32) for t in texts]
+    distinct = sorted(first_seen)
+    rank = np.zeros(len(distinct), np.int32)
+    rank[[first_seen[w] for w in distinct]] = np.arange(len(distinct))
+    docs = [rank[d] for d in docs]
+    counts = np.zeros((2, len(distinct)), np.int64)
+    for d, label in zip(docs, labels):
+        counts[int(label == 1), np.unique(d)] += 1
+    toxic = dict(zip(distinct, counts[1].tolist()))
+    seen = dict(zip(distinct, counts.sum(axis=0).tolist()))
     vocabulary = {w: i + 1 for i, (w, c) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]) if c >= 3}
     nt, nc = float(y.sum()), float(len(y) - y.sum())
     word = rng.normal(0, 0.1, (len(vocabulary) + 1, WORD_DIM)).astype(np.float32)
@@ -151,9 +156,6 @@ def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int = 7
     if not nt or not nc:
         m.prior = True
         return m
-    distinct = sorted({w for ws in split for w in ws} | {""})
-    row = {w: i for i, w in enumerate(distinct)}
-    docs = [np.array([row[w] for w in ws], np.int32) for ws in split]
     ids, mask, owner = lay_out(docs)
     grams, starts = trigrams(distinct)
     gram_n = np.diff(np.append(starts, len(grams)))
@@ -270,7 +272,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clea
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    pick = known.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.when(F.col("toxic") == 1, toxic_docs).otherwise(clean_docs)).select("doc_id", "toxic")
+    pick = known.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= max(toxic_docs, clean_docs)).filter(F.col("r") <= F.when(F.col("toxic") == 1, toxic_docs).otherwise(clean_docs)).select("doc_id", "toxic")
     label = {r["doc_id"]: r["toxic"] for r in pick.collect()}
     if not label:
         return fit([], [])
