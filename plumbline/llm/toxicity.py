@@ -270,9 +270,14 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clea
 
     ``docs``: doc_id, text; ``labels``: doc_id, toxic (null: no label; repeated ids: toxic if any row is).
     """
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    pick = known.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= max(toxic_docs, clean_docs)).filter(F.col("r") <= F.when(F.col("toxic") == 1, toxic_docs).otherwise(clean_docs)).select("doc_id", "toxic")
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    sizes = known.agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("all")).first()
+    toxic = sizes["toxic"] or 0
+    # the smallest hashes lie below a bound that twice as many rows as wanted stay under: only these are ranked
+    share = F.when(F.col("toxic") == 1, 2 * toxic_docs / max(toxic, 1)).otherwise(2 * clean_docs / max(sizes["all"] - toxic, 1))
+    low = known.withColumn("h", F.xxhash64("doc_id")).filter(F.col("h") / float(1 << 64) + 0.5 <= share)
+    order = Window.partitionBy("toxic").orderBy("h", "doc_id")
+    pick = low.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.when(F.col("toxic") == 1, toxic_docs).otherwise(clean_docs)).select("doc_id", "toxic")
     label = {r["doc_id"]: r["toxic"] for r in pick.collect()}
     if not label:
         return fit([], [])
