@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry, placement, text, tolerance
-from plumbline.operators import attendance, clustering, evidence, joins, matching
+from plumbline.operators import attendance, clustering, evidence, joins, matching, pieces
 from plumbline.plans import attendance_queries, stream_queries
 
 
@@ -160,3 +160,46 @@ def test_bent_shapes(spark):
     got = row.select(s.alias("s")).select("s", placement.bent_length(F.col("s"), F.lit(10), F.lit(False)).alias("n"), placement.zigzag(F.col("s")).alias("z"), placement.zigzag(F.slice("s", 1, 0)).alias("none")).first()
     assert got["s"] == [0.3, 0.2, 0.1] and abs(got["n"] - 0.56) < 1e-9
     assert [(round(p.x, 6), round(p.y, 6)) for p in got["z"]] == [(0.0, 0.0), (0.3, 0.0), (0.3, 0.2), (0.2, 0.2)] and len(got["none"]) == 1
+
+
+def test_seed_clusters_equal_brute_force(spark):
+    pts = [(1, i, float(i * 37 % 200), float(i * 53 % 170)) for i in range(60)]
+    seed = {}
+    for _, i, x, y in pts:
+        for _, j, u, v in pts if i not in seed else []:
+            if j >= i and j not in seed and abs(u - x) <= 40 and abs(v - y) <= 40:
+                seed[j] = i
+    got = pieces.seed_clusters(spark.createDataFrame(pts, "k int, id int, x double, y double"), ["k"], 40.0)
+    assert {r.id: r.seed for r in got.collect()} == seed
+
+
+def test_chains_join_at_either_end_and_keep_to_the_seeds_diameter(spark):
+    rows = [(1, 1, 0.0, 0.0, 100.0, 0.0, 8.0), (1, 2, 100.0, 103.0, 101.0, 1.0, 8.5), (1, 3, 0.0, 2.0, 0.0, 50.0, 12.0), (1, 4, -50.0, 0.0, -1.0, 0.0, 9.0), (1, 5, 100.0, 104.0, 180.0, 104.0, 10.0)]
+    got = pieces.chain_pieces(spark.createDataFrame(rows, "k int, id int, x0 double, y0 double, x1 double, y1 double, dia double"), ["k"]).collect()
+    assert sorted((r.seed, r.ids) for r in got) == [(1, [1, 2, 4]), (3, [3]), (5, [5])]
+
+
+def test_twins_either_way_round(spark):
+    rows = [(1, 1, 0.0, 0.0, 0.0, 500.0, 0.0, 0.0, 500.0), (1, 2, 502.0, 1.0, 0.0, 3.0, 0.0, 0.0, 499.0), (1, 3, 0.0, 0.0, 9.6, 500.0, 0.0, 9.6, 500.0), (1, 4, 0.0, 0.0, 0.0, 500.0, 0.0, 0.0, 900.0)]
+    got = pieces.near_twins(spark.createDataFrame(rows, "k int, id int, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, length double"), ["k"])
+    assert {r.id: r.kept for r in got.collect()} == {1: True, 2: False, 3: True, 4: True}
+
+
+def test_runs_bridge_whole_pitches(spark):
+    rows = [(1, 1, 0.0, 400.0, 1000.0, 200.0, [0.0, 200.0, 400.0]), (1, 2, 1000.0, 1000.0, 1010.0, None, [1000.0]), (1, 3, 1290.0, 1490.0, 1000.0, 200.0, [1290.0, 1490.0]), (1, 4, 1200.0, 1200.0, 2000.0, None, [1200.0])]
+    got = pieces.bridge_runs(spark.createDataFrame(rows, "k int, id int, lo double, hi double, length double, pitch double, places array<double>"), ["k"])
+    assert sorted((r.seed, r.n, r.lo, r.hi) for r in got.collect()) == [(1, 4, 0.0, 1000.0), (3, 2, 1290.0, 1490.0), (4, 1, 1200.0, 1200.0)]
+
+
+def test_elevation_match_uses_a_run_once(spark):
+    m = spark.createDataFrame([(8, "a", 2, 1000.0, [400.0]), (8, "b", 1, 900.0, None)], "dia int, mark string, qty long, length double, legs array<double>")
+    r = spark.createDataFrame([(8, 1, "h", 1010.0, 2.0, 0.0), (8, 2, "h", 410.0, 1.0, 0.0), (8, 3, "h", 1000.0, 3.0, 0.0), (8, 4, "v", 905.0, 0.0, 0.0)], "dia int, id int, family string, length double, z double, x double")
+    assert sorted((x.mark, x.family, x.taken) for x in pieces.elevation_match(m, r, ["dia"]).collect()) == [("a", "h", [2, 1]), ("b", "v", [4])]
+
+
+def test_concentric_arcs_and_cells(spark):
+    arcs = spark.createDataFrame([(1, 1, 0.0, 0.0, 40.0, 359.0), (1, 2, 1.0, 0.0, 50.0, 2.0), (1, 3, 0.0, 0.0, 48.0, 40.0), (1, 4, 0.0, 0.0, 1.0, 0.0)], "k int, id int, cx double, cy double, r double, a0 double")
+    assert [(r.id_a, r.id_b, r.dia) for r in pieces.concentric_pairs(arcs, ["k"]).collect()] == [(1, 2, 10.0)]
+    words = spark.createDataFrame([(1, 1, 0.0, 10.0, 5.0, "Bar"), (1, 2, 14.0, 20.0, 7.0, "mark"), (1, 3, 30.0, 40.0, 6.0, "8"), (1, 4, 0.0, 4.0, 20.0, "B1")], "k int, id int, x0 double, x1 double, y double, t string")
+    got = pieces.word_cells(words, ["k"]).orderBy("line_no", "cell_no").collect()
+    assert [(r.t, r.x, r.end) for r in got] == [("Bar mark", 11.0, 20.0), ("8", 35.0, 40.0), ("B1", 2.0, 4.0)]
