@@ -50,14 +50,15 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], lo: str, hi
 
 def edge_votes(edges: DataFrame, low: float = 5.0, high: float = 34.0) -> DataFrame:
     """Parallel edges (grp, edge, off, lo, hi) paired by a vote: each pair votes its overlap for its offset gap, rounded
-    to whole units, on both edges; an edge keeps its heaviest; pairs stay where both edges agree."""
+    to whole units, on both edges; an edge keeps its heaviest (weights to 6 places, so that the order of summing breaks
+    no tie; ties to the smaller gap); pairs stay where both edges agree."""
     a = edges.select("grp", F.col("edge").alias("e1"), F.col("off").alias("o1"), F.col("lo").alias("l1"), F.col("hi").alias("h1"))
     b = edges.select("grp", F.col("edge").alias("e2"), F.col("off").alias("o2"), F.col("lo").alias("l2"), F.col("hi").alias("h2"))
     pairs = band_join(a, b, ["grp"], "o1", "o2", low, high).withColumn("ov", F.least("h1", "h2") - F.greatest("l1", "l2")).filter("ov > 0.2")
     pairs = pairs.withColumn("dia", F.floor(F.col("o2") - F.col("o1") + 0.5).cast("long"))
     votes = pairs.select("grp", F.col("e1").alias("edge"), "dia", "ov").unionByName(pairs.select("grp", F.col("e2").alias("edge"), "dia", "ov"))
     total = votes.groupBy("grp", "edge", "dia").agg(F.sum("ov").alias("w"))
-    won = total.withColumn("r", F.row_number().over(Window.partitionBy("grp", "edge").orderBy(F.desc("w"), "dia"))).filter("r = 1").select("grp", "edge", "dia")
+    won = total.withColumn("r", F.row_number().over(Window.partitionBy("grp", "edge").orderBy(F.round("w", 6).desc(), "dia"))).filter("r = 1").select("grp", "edge", "dia")
     one = won.select("grp", F.col("edge").alias("e1"), "dia")
     two = won.select("grp", F.col("edge").alias("e2"), "dia")
     return pairs.join(one, ["grp", "e1", "dia"]).join(two, ["grp", "e2", "dia"]).select("grp", "e1", "e2", "dia", "ov")

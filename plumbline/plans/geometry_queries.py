@@ -165,8 +165,8 @@ v as (select grp, edge, dia, sum(ov) w from (select grp, e1 edge, dia, ov from p
 b as (select grp, edge, dia from (select *, row_number() over (partition by grp, edge order by round(w, 6) desc, dia) r from v) y where r = 1)
 select p.grp, dia_, count(*) pairs from (select p.grp, p.dia dia_ from p join b b1 on p.grp = b1.grp and p.e1 = b1.edge and p.dia = b1.dia join b b2 on p.grp = b2.grp and p.e2 = b2.edge and p.dia = b2.dia) p group by 1, 2""")
 def edge_vote_pairing(spark, sf_dir):
-    """Parallel edges paired by a vote for the gap."""
-    l = table(spark, sf_dir, "lineitem").filter("l_suppkey % 20 = 0")
+    """Parallel edges of every supplier paired by a vote for the gap."""
+    l = table(spark, sf_dir, "lineitem")
     n = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice"))
     e = l.select(F.col("l_suppkey").alias("grp"), n.alias("edge"), (F.col("l_quantity") * 3.0).alias("off"), (F.col("l_partkey") % 50).cast("double").alias("lo"), (F.col("l_partkey") % 50 + F.col("l_tax") * 100).alias("hi"))
     return joins.edge_votes(e).groupBy("grp", F.col("dia").alias("dia_")).agg(F.count(F.lit(1)).alias("pairs"))

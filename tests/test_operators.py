@@ -203,3 +203,46 @@ def test_concentric_arcs_and_cells(spark):
     words = spark.createDataFrame([(1, 1, 0.0, 10.0, 5.0, "Bar"), (1, 2, 14.0, 20.0, 7.0, "mark"), (1, 3, 30.0, 40.0, 6.0, "8"), (1, 4, 0.0, 4.0, 20.0, "B1")], "k int, id int, x0 double, x1 double, y double, t string")
     got = pieces.word_cells(words, ["k"]).orderBy("line_no", "cell_no").collect()
     assert [(r.t, r.x, r.end) for r in got] == [("Bar mark", 11.0, 20.0), ("8", 35.0, 40.0), ("B1", 2.0, 4.0)]
+
+
+def test_edge_votes_meet_brute_force(spark):
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(11)
+    edges = [(g, i, rng.randrange(1, 40) * 3.0, float(lo := rng.randrange(20)), lo + rng.randrange(9) * 0.01 * 100) for g in range(4) for i in range(50)]
+    pairs, votes = [], defaultdict(float)
+    for g, e, o, lo, hi in edges:
+        for g2, e2, o2, lo2, hi2 in edges:
+            ov = min(hi, hi2) - max(lo, lo2)
+            if g == g2 and 5 <= o2 - o <= 34 and ov > 0.2:
+                pairs.append((g, e, e2, int(o2 - o + 0.5)))
+                votes[g, e, pairs[-1][3]] += ov
+                votes[g, e2, pairs[-1][3]] += ov
+    won = {}
+    for (g, e, dia), w in votes.items():
+        won[g, e] = min(won.get((g, e), (0, 0)), (-round(w, 6), dia))
+    want = sorted(p for p in pairs if won[p[0], p[1]][1] == p[3] == won[p[0], p[2]][1])
+    got = joins.edge_votes(spark.createDataFrame(edges, "grp int, edge int, off double, lo double, hi double")).collect()
+    assert sorted((r.grp, r.e1, r.e2, r.dia) for r in got) == want and want
+
+
+def test_edge_votes_tie_whatever_the_order_of_summing(spark):
+    # edge 1 overlaps by 0.4 + 0.8 (1.2000000000000002) at gap 9 and by 1.2 at gap 6: one weight
+    edges = [(1, 1, 0.0, 0.0, 2.0), (1, 2, 6.0, 0.0, 1.2), (1, 3, 9.0, 0.0, 0.4), (1, 4, 9.0, 0.0, 0.8)]
+    got = joins.edge_votes(spark.createDataFrame(edges, "grp int, edge int, off double, lo double, hi double")).collect()
+    assert sorted((r.e1, r.e2, r.dia) for r in got) == [(1, 2, 6)]
+
+
+def test_edge_vote_pairing_takes_every_supplier(spark):
+    import duckdb
+
+    from plumbline.plans import catalog
+
+    con = duckdb.connect()
+    con.execute("create view lineitem as select * from '/root/testdata/sf0.001/lineitem.parquet'")
+    sql, part = catalog.ORACLE_SQL["edge_vote_pairing"], " where l_suppkey % 20 = 0"
+    got = sorted(tuple(r) for r in catalog.QUERIES["edge_vote_pairing"](spark, "/root/testdata/sf0.001").select("grp", "dia_", "pairs").collect())
+    assert got == sorted(con.execute(sql.replace(part, "")).fetchall())
+    assert {r[0] for r in got} == {r[0] for r in con.execute("select distinct l_suppkey from lineitem").fetchall()}
+    assert [r for r in got if r[0] % 20 == 0] == sorted(con.execute(sql).fetchall())
