@@ -70,21 +70,33 @@ def pitch_runs(df: DataFrame, keys: list[str], value: str, floor: float = 8.0, r
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): least node reachable. Least labels spread along links and jump to their label's label; each round is checkpointed."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    label = nodes.select("node", F.col("node").alias("component"))
+    """(node, component): least node reachable. Links with an end that is no node don't count.
+
+    Alternating large-star and small-star steps: the number of rounds grows with the logarithm of a component's
+    diameter. Each round is checkpointed; links that still change after ``rounds`` raise.
+    """
     context = nodes.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
         context.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
-    both, label = both.checkpoint(), label.checkpoint()
+    known = nodes.select("node").distinct()
+    whole = edges.select("a", "b").join(known.withColumnRenamed("node", "a"), "a", "left_semi").join(known.withColumnRenamed("node", "b"), "b", "left_semi")
+    links = whole.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).filter("lo <> hi").distinct().checkpoint()
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")).alias("h")]
+    before = links.agg(*sums).first()
     for _ in range(rounds):
-        near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("least"))
-        step = label.join(near, F.col("node") == F.col("a"), "left").select("node", "component", F.least("component", F.coalesce("least", "component")).alias("l"))
-        jump = step.join(step.select(F.col("node").alias("m"), F.col("l").alias("ll")), F.col("l") == F.col("m")).select("node", F.col("component").alias("old"), F.least("l", "ll").alias("component")).checkpoint()
-        changed = not jump.filter("old <> component").isEmpty()
-        label = jump.select("node", "component")
-        if not changed:
+        both = links.select(F.col("hi").alias("n"), F.col("lo").alias("m")).unionByName(links.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
+        least = both.groupBy("n").agg(F.least(F.min("m"), F.first("n")).alias("r"))
+        large = both.filter("m > n").join(least, "n").select(F.col("r").alias("lo"), F.col("m").alias("hi")).distinct()
+        down = large.groupBy("hi").agg(F.min("lo").alias("r"))
+        small = large.join(down, "hi").select(F.col("r").alias("lo"), F.col("lo").alias("hi")).filter("lo <> hi").unionByName(down.select(F.col("r").alias("lo"), "hi"))
+        links = small.distinct().checkpoint()
+        after = links.agg(*sums).first()
+        if after == before:  # a star forest repeats itself
             break
-    return label
+        before = after
+    else:
+        raise RuntimeError(f"components: links still change after {rounds} rounds")
+    roots = links.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
+    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))

@@ -246,3 +246,18 @@ def test_edge_vote_pairing_takes_every_supplier(spark):
     assert got == sorted(con.execute(sql.replace(part, "")).fetchall())
     assert {r[0] for r in got} == {r[0] for r in con.execute("select distinct l_suppkey from lineitem").fetchall()}
     assert [r for r in got if r[0] % 20 == 0] == sorted(con.execute(sql).fetchall())
+
+
+def test_components_of_long_unsorted_paths(spark):
+    import random
+
+    ids = list(range(3000))
+    random.Random(5).shuffle(ids)
+    down = [5000, *range(5199, 5000, -1)]  # 5000-5199-5198-...-5001
+    paths = [ids[:1800], ids[1800:2999], ids[2999:], down]
+    nodes = spark.createDataFrame([(i,) for p in paths for i in p], "node long")
+    edges = spark.createDataFrame([(a, b) for p in paths for a, b in zip(p, p[1:])] + [(7, 7), (ids[0], 9999), (9999, ids[2999])], "a long, b long")
+    got = {r.node: r.component for r in clustering.components(nodes, edges).collect()}
+    assert got == {i: min(p) for p in paths for i in p}
+    with pytest.raises(RuntimeError):
+        clustering.components(nodes, edges, rounds=2)
