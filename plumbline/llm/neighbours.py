@@ -3,7 +3,8 @@
 On a bounded sample the neighbour graph is built and cut into balanced parts by recursive spectral bisection;
 a small network learns which part a vector belongs to. Every row is indexed in its most probable part; a
 query visits its most probable parts and all their rows are scored exactly. The number of parts visited is
-the least that finds RECALL of the sample's true neighbours.
+the least that finds RECALL of the true neighbours of sample rows that were held out of the fit; a query whose
+parts hold too few candidates visits further ones.
 
 A part is searched in blocks of bounded size against blocks of queries, so a part of any size is no group
 in one task.
@@ -23,6 +24,8 @@ from .common import extended, map_arrow, prepare, stored
 
 #: Fitting bounds: rows of the sample, neighbours in its graph. Rows that a part should hold; parts at most.
 SAMPLE, NEAR, PART_ROWS, PARTS = 4_000, 10, 1_500, 64
+#: One sample row in so many is held out of the fit and asks for the number of visits.
+HELD = 10
 RECALL = 0.97
 BLOCK, QUERY_BLOCK = 4_000, 1_000
 HIDDEN = 64
@@ -74,8 +77,10 @@ def bisect(near: np.ndarray, parts: int, seed: int = 3) -> np.ndarray:
 
 
 def fit(x: np.ndarray, parts: int, near: int = NEAR, recall: float = RECALL, epochs: int = 40, seed: int = 5) -> Router:
-    """Learn parts and router from the sample's vectors."""
+    """Learn parts and router from the sample's vectors but every HELD-th, on which the visits are chosen."""
     rng = np.random.default_rng(seed)
+    whole, ask = x, np.arange(HELD - 1, len(x), HELD)
+    x = np.delete(whole, ask, axis=0)
     n, d = x.shape
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     if parts < 2 or n < 4 * parts:
@@ -105,12 +110,11 @@ def fit(x: np.ndarray, parts: int, near: int = NEAR, recall: float = RECALL, epo
                 m[0] += 0.1 * (g - m[0])
                 m[1] += 0.001 * (g * g - m[1])
                 w -= 0.01 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step) * m[0] / (np.sqrt(m[1]) + 1e-8)
-    # visits: true neighbours by inner product among the sample
-    ask = np.arange(0, n, max(1, n // 400))
-    score = x[ask] @ x.T
+    # visits: true neighbours of the held-out rows, by inner product among the whole sample
+    score = whole[ask] @ whole.T
     score[np.arange(len(ask)), ask] = -np.inf
-    true = np.argpartition(-score, min(20, n - 1) - 1, axis=1)[:, : min(20, n - 1)]
-    home, order = r.order(x)[:, 0], r.order(x[ask])
+    true = np.argpartition(-score, min(20, len(whole) - 1) - 1, axis=1)[:, : min(20, len(whole) - 1)]
+    home, order = r.order(whole)[:, 0], r.order(whole[ask])
     place = np.argsort(order, axis=1)
     at = np.take_along_axis(place, home[true], axis=1)
     found = np.array([(at < v).mean() for v in range(1, parts + 1)])
@@ -155,15 +159,22 @@ def search(rows: DataFrame, query: pd.Series | object, k: int = 20, sample: int
             part = router.value.order(matrix(b.column(1)))[:, 0] if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part.astype(np.int32), pa.int32())], names=[*b.schema.names, "part"])
 
+    indexed = stored(map_arrow(base, index, extended(base, "part int")), "vector-index")
+    counts = {r["part"]: r["n"] for r in indexed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # so many rows hold k candidates, whatever rows are the query's own
+    enough = k + (base.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 0)
+
     def route(batches):
+        size = np.array([counts.get(p, 0) for p in range(router.value.parts)]) if counts else None
         for b in batches:
             if b.num_rows:
-                to = router.value.order(matrix(b.column(1)))[:, : router.value.visits].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(to) + 1) * to.shape[1], pa.int32()), pa.array(to.ravel(), pa.int32()))
+                to = router.value.order(matrix(b.column(1))).astype(np.int32)
+                visits = np.maximum(router.value.visits, (np.cumsum(size[to], axis=1) < enough).sum(axis=1) + 1)
+                visited = np.arange(to.shape[1])[None] < visits[:, None]
+                ends = np.concatenate([[0], visited.sum(axis=1).cumsum()])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(to[visited], pa.int32()))
                 yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "parts"])
 
-    indexed = stored(map_arrow(base, index, extended(base, "part int")), "vector-index")
-    counts = {r["part"]: r["n"] for r in indexed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     routed = map_arrow(base.filter(query), route, extended(base, "parts array<int>")).select(F.explode("parts").alias("part"), "vec_id", "embedding")
     blocks = F.element_at(F.create_map(*[F.lit(v) for p, c in counts.items() for v in (p, max(1, -(-c // BLOCK)))]), F.col("part")) if counts else F.lit(1)
     spread = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))

@@ -229,6 +229,37 @@ def test_neighbours(spark):
     assert hits / (ids % 20 == 0).sum() >= 0.9
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_neighbours_where_parts_are_skipped(spark, monkeypatch, seed):
+    rng = np.random.default_rng(seed)
+    v = (rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 0.7).astype("f4")
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    fitted, fit = [], neighbours.fit
+    monkeypatch.setattr(neighbours, "fit", lambda *a, **b: fitted.append(fit(*a, **b)) or fitted[-1])
+    found = neighbours.search(rows, F.col("vec_id") % 20 == 0, sample=400, part_rows=250).groupBy("query_id").agg(F.collect_list("vec_id").alias("ids")).collect()
+    s = v[::20].astype(float) @ v.T.astype(float)
+    s[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    recall = np.mean([len(set(r.ids) & set(best[r.query_id // 20])) / 20 for r in found])
+    assert len(found) == 200 and fitted[0].visits < fitted[0].parts and recall >= neighbours.RECALL
+
+
+def test_held_out_vectors_teach_nothing():
+    x = np.random.default_rng(3).normal(size=(400, 8))
+    other = x.copy()
+    other[neighbours.HELD - 1 :: neighbours.HELD] *= -1
+    a, b = neighbours.fit(x, 4, epochs=2), neighbours.fit(other, 4, epochs=2)
+    assert all((p == q).all() for p, q in ((a.w1, b.w1), (a.b1, b.b1), (a.w2, b.w2), (a.b2, b.b2)))
+
+
+def test_neighbours_of_a_small_part(spark, monkeypatch):
+    router = neighbours.Router(np.array([[1.0], [0.0]]), np.zeros(1), np.array([[1.0, -1.0]]), np.zeros(2), 1)
+    monkeypatch.setattr(neighbours, "fit", lambda *a, **b: router)
+    rows = spark.createDataFrame([(i, [1.0 if i < 3 else -1.0, float(i)]) for i in range(40)] + [(0, [2.0, 0.5])], "vec_id long, embedding array<float>")
+    got = neighbours.search(rows, F.col("vec_id").isin(1, 10)).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == {1: 20, 10: 20}
+
+
 def test_bisection_is_balanced():
     rng = np.random.default_rng(0)
     near = rng.integers(0, 333, (333, 5))
