@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from .common import extended, learn_rows, map_arrow, prepare, texts_of, worker_model
 
 BLOCK = 1024
-#: Training bounds: documents for each language, characters of each of them, characters for each language and
-#: for all together, languages (the most frequent ones).
-SAMPLE_DOCS, DOC_CHARS, LANG_CHARS, ALL_CHARS, LANGUAGES = 120, 2_000, 32_000, 400_000, 100
+#: Training bounds: documents for each language, characters of each of them, characters for each language.
+SAMPLE_DOCS, DOC_CHARS, LANG_CHARS = 120, 2_000, 32_000
+#: Characters of the languages whose tables a worker holds at once; further languages are parsed in turn.
+GROUP_CHARS = 400_000
 #: Blocks parsed side by side.
 LANES = 4096
 UNKNOWN = "und"
@@ -137,19 +138,20 @@ def automaton(seq: list[int]) -> list[dict[int, int]]:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_chars: int = DOC_CHARS, lang_chars: int = LANG_CHARS) -> Model:
     """Learn from doc_id, text, lang rows; rows with a null lang or text teach nothing.
 
-    A bounded sample: for each of the LANGUAGES most frequent languages the ``sample_docs`` rows of smallest
-    hash, ``doc_chars`` characters of each. No labelled row gives a model that answers ``und``.
+    A bounded sample: for each language the ``sample_docs`` rows of smallest hash, ``doc_chars`` characters of
+    each, ``lang_chars`` in all. No labelled row gives a model that answers ``und``.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = [r["lang"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
     key = F.xxhash64("doc_id", F.length("text"))
-    pick = known.filter(F.col("lang").isin(langs) & F.col("text").rlike(r"\p{L}")).select("lang", key.alias("k")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("k"))).filter(F.col("r") <= sample_docs).select("k")
-    keys = [r["k"] for r in pick.collect()]
-    rows = known.filter(key.isin(keys)).select("lang", key.alias("k"), F.substring("text", 1, doc_chars).alias("t")).collect() if keys else []
-    chars, texts = min(lang_chars, ALL_CHARS // max(1, len(langs))), {}
+    order = Window.partitionBy("lang").orderBy("k")
+    before = F.coalesce(F.sum(F.least("size", F.lit(doc_chars)) + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sized = known.filter(F.col("text").rlike(r"\p{L}")).select("lang", key.alias("k"), F.length("text").alias("size"))
+    pick = sized.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample_docs).withColumn("before", before).filter(F.col("before") < lang_chars).select("k").distinct()
+    rows = known.select("lang", key.alias("k"), F.substring("text", 1, doc_chars).alias("t")).join(F.broadcast(pick), "k", "left_semi").collect()
+    texts: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["k"], r["t"])):
-        if len(texts.get(r["lang"], "")) < chars:
-            texts[r["lang"]] = (texts.get(r["lang"], "") + " " + r["t"])[:chars]
+        if len(texts.get(r["lang"], "")) < lang_chars:
+            texts[r["lang"]] = (texts.get(r["lang"], "") + " " + r["t"])[:lang_chars]
     return Model({k: t for k, t in texts.items() if any(c.isalpha() for c in t)})
 
 
@@ -157,18 +159,37 @@ def parser(model: Model) -> Parser:
     return worker_model(model.digest, lambda: Parser(model))
 
 
-def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
+def grouped(model: Model, chars: int | None = None) -> list[Model]:
+    """The model dealt into ones of at most ``chars`` characters (one language at least), in the order of tags."""
+    groups, size = [], 0
+    for lang in sorted(model.texts):
+        if not groups or size + len(model.texts[lang]) > (chars or GROUP_CHARS):
+            groups.append({})
+            size = 0
+        groups[-1][lang] = model.texts[lang]
+        size += len(model.texts[lang])
+    return [Model(g) for g in groups]
+
+
+def predict(model: Model, texts: list[str], groups: list[Model] | None = None) -> tuple[list[str], np.ndarray]:
     """Language and score of each text. Score: how far the winner's cost is below the second's, 0 to 1; ties go to the smaller tag."""
     if not model.texts or not texts:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
-    p = parser(model)
-    total, length, letters = p.phrases(texts)
-    cost = total * p.bits[None] / np.maximum(length, 1)[:, None]
-    best = cost.argmin(axis=1)
-    low = cost[np.arange(len(cost)), best]
-    other = np.partition(cost, 1, axis=1)[:, 1] if len(p.langs) > 1 else np.full(len(cost), np.inf)
+    # least and second least cost so far: a group's tables at a time
+    low, other = np.full(len(texts), np.inf), np.full(len(texts), np.inf)
+    tags = np.full(len(texts), UNKNOWN, object)
+    for group in groups or grouped(model):
+        p = parser(group)
+        total, length, letters = p.phrases(texts)
+        cost = total * p.bits[None] / np.maximum(length, 1)[:, None]
+        best = cost.argmin(axis=1)
+        least = cost[np.arange(len(cost)), best]
+        second = np.partition(cost, 1, axis=1)[:, 1] if len(p.langs) > 1 else np.full(len(cost), np.inf)
+        other = np.minimum(np.maximum(low, least), np.minimum(other, second))
+        tags = np.where(least < low, np.array(p.langs, object)[best], tags)
+        low = np.minimum(low, least)
     score = np.where(letters, np.clip(1 - low / other, 0, 1), 0.0)
-    return [p.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters)], score
+    return [t if ok else UNKNOWN for t, ok in zip(tags, letters)], score
 
 
 def identify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:
@@ -177,8 +198,9 @@ def identify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str
     schema = extended(docs, f"{lang} string, {score} double")
 
     def run(batches):
+        groups = grouped(model)
         for b in batches:
-            tags, scores = predict(model, texts_of(b.column(at)))
+            tags, scores = predict(model, texts_of(b.column(at)), groups)
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(tags, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, lang, score])
 
     return map_arrow(docs, run, schema)

@@ -169,6 +169,26 @@ def test_language_held_out(spark):
     assert np.mean([r.lang_pred == r.lang for r in out]) > 0.97
 
 
+def test_every_labelled_language_is_known(spark):
+    rng = np.random.default_rng(2)
+    words = {f"l{i:03}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for i in range(130)}
+    rows = [(n, " ".join(rng.choice(w, 40)), lang) for n, (lang, w) in enumerate((x for x in words.items() for _ in range(2)))]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.texts) == set(words)
+    asked = [" ".join(w[::-1]) for w in words.values()] + ["", "12"]
+    tags, scores = langid.predict(model, asked)
+    assert tags == [*words, langid.UNKNOWN, langid.UNKNOWN]
+    dealt = langid.grouped(model, 2_000)
+    tags_, scores_ = langid.predict(model, asked, dealt)
+    assert len(dealt) > 5 and tags_ == tags and np.allclose(scores_, scores)
+
+
+def test_a_languages_text_does_not_shrink_with_their_number(spark):
+    rows = [(i * 30 + j, f"{chr(97 + i)}bc " * 500, f"l{i:02}") for i in range(20) for j in range(20)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {len(t) for t in model.texts.values()} == {langid.LANG_CHARS}
+
+
 def test_cross_parsing_equals_brute_force():
     model = langid.Model({"a": "abracadabra abra", "b": "banana bandana"})
     p = langid.parser(model)
