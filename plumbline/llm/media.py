@@ -37,7 +37,19 @@ _SPACE = re.compile(r"\s+")
 class _Sequence(HTMLParser):
     def __init__(self, scheme: str):
         super().__init__(convert_charrefs=True)
-        self.scheme, self.items, self.held, self.caption, self.silent, self.since = scheme, [], [], None, 0, 0
+        self.scheme, self.items, self.held, self.caption, self.silent, self.since, self.inner = scheme, [], [], None, 0, 0, 0
+
+    def close_caption(self) -> None:
+        """End an open caption: it belongs to every medium of its figure so far; without one it stays as text."""
+        if self.caption is None:
+            return
+        text = _SPACE.sub(" ", "".join(self.caption)).strip() or None
+        media = [item for item in self.items[self.since :] if item[0] == "media"]
+        self.caption = None
+        for item in media:
+            item[3] = text
+        if text and not media:
+            self.items.append(["text", text, None, None])
 
     def _flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.held)).strip()
@@ -49,8 +61,9 @@ class _Sequence(HTMLParser):
         if tag in _SILENT:
             self.silent += 1
         elif tag == "figcaption":
+            self.close_caption()
             self._flush()
-            self.caption = []
+            self.caption, self.inner = [], 0
         elif tag in _MEDIA:
             given = dict(attrs)
             src = given.get("src") or ""
@@ -58,6 +71,11 @@ class _Sequence(HTMLParser):
                 self._flush()
                 self.items.append(["media", None, src.removeprefix(self.scheme), given.get("alt") or None])
         elif tag in _BLOCK:
+            if tag == "figure":
+                self.close_caption()
+            elif self.caption is not None:  # blocks may stand inside a caption
+                self.caption.append(" ")
+                self.inner += tag not in ("br", "hr")
             self._flush()
             if tag == "figure":
                 self.since = len(self.items)
@@ -65,13 +83,15 @@ class _Sequence(HTMLParser):
     def handle_endtag(self, tag):
         if tag in _SILENT:
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = _SPACE.sub(" ", "".join(self.caption)).strip() or None
-            self.caption = None
-            for item in self.items[self.since :]:  # a caption belongs to every medium of its figure
-                if item[0] == "media":
-                    item[3] = text
+        elif tag == "figcaption":
+            self.close_caption()
         elif tag in _BLOCK:
+            if self.caption is not None:
+                if tag == "figure" or not self.inner:  # an end of a block that began outside
+                    self.close_caption()
+                else:
+                    self.caption.append(" ")
+                    self.inner -= 1
             self._flush()
             if tag == "figure":
                 self.since = len(self.items)
@@ -90,6 +110,7 @@ def sequence(html: str | None, scheme: str = "sha256:") -> list[dict]:
     p = _Sequence(scheme)
     p.feed(html)
     p.close()
+    p.close_caption()
     p._flush()
     return [{"position": i, "kind": k, "text": t, "digest": d, "caption": c} for i, (k, t, d, c) in enumerate(p.items)]
 

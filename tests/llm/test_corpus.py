@@ -81,6 +81,20 @@ def test_sequences_keep_order_and_captions():
     assert media.sequence(None) == [] and [i["position"] for i in media.sequence(html)] == list(range(5))
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<figure><img src="u"><figcaption>cap</figure><p>after</p>', [("media", None, "cap"), ("text", "after", None)]),
+        ('<div><img src="u"><figcaption>cap</div>after', [("media", None, "cap"), ("text", "after", None)]),
+        ('<figure><img src="u"><figcaption><p>one</p><p>two</p> three</figcaption></figure>d', [("media", None, "one two three"), ("text", "d", None)]),
+        ('<figure><img src="u"><figcaption>cap<figure><img src="v"></figure>', [("media", None, "cap"), ("media", None, None)]),
+        ('a<figcaption>rest <p>of the page', [("text", "a", None), ("text", "rest of the page", None)]),
+    ],
+)
+def test_captions_without_an_end(html, want):
+    assert [(i["kind"], i["text"], i["caption"]) for i in media.sequence(html)] == want
+
+
 def test_shards_are_even_and_groups_whole(spark):
     out = sharding.op2_label_propagation(spark, SF)
     per = out.groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.countDistinct("slot").alias("d")).collect()
