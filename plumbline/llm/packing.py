@@ -234,8 +234,8 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, kind: str = "word", e
         enc = encoder(vocabulary, kind)
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
-                raw = enc.encode([text])[0] + end
+            for doc, raw in zip(b.column(0).to_pylist(), enc.stream(texts_of(b.column(1)))):
+                raw += end
                 for k, at in enumerate(range(0, len(raw), capacity * 4)):
                     part = raw[at : at + capacity * 4]
                     rows.append((doc, k, at // 4, len(part) // 4, crc32(part)))

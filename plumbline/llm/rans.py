@@ -14,6 +14,7 @@ import numpy as np
 
 BLOCK = 16_384
 LANES = 16
+#: Frequencies add up to 2 ** BITS at least; a frame with more symbols takes as many bits as they need.
 BITS = 18
 LOW = np.uint64(1 << 31)
 _U = np.uint64
@@ -33,10 +34,9 @@ class Frame:
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
-    """Counts (all positive) scaled to sum 2**BITS with none below 1."""
-    total, n = 1 << BITS, len(counts)
-    if n > total // 2:
-        raise ValueError(f"{n} symbols are too many for {BITS} bits")
+    """Counts (all positive) scaled to a sum of 2**bits with none below 1; bits grow with the number of symbols."""
+    n = len(counts)
+    total = 1 << max(BITS, n.bit_length() + 1)
     freq = 1 + np.floor(counts * ((total - n) / counts.sum())).astype(np.int64)
     freq[int(np.argmax(freq))] += total - int(freq.sum())
     return freq
@@ -47,12 +47,16 @@ def encode(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> Frame:
     n = len(ids)
     if n == 0:
         return Frame(0, b"", b"", b"", b"", b"", b"")
-    counts = np.bincount(ids)  # vocabularies are small
-    symbols = np.flatnonzero(counts)
-    place = np.zeros(len(counts), np.int32)
-    place[symbols] = np.arange(len(symbols))
-    dense, freq = place[ids], frequencies(counts[symbols])
-    cum = np.concatenate([[0], np.cumsum(freq)[:-1]])
+    if int(ids.max()) < 1 << 24:  # a vocabulary's ids: counted without sorting
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        place = np.zeros(len(counts), np.int32)
+        place[symbols] = np.arange(len(symbols))
+        dense, freq = place[ids], frequencies(counts[symbols])
+    else:
+        symbols, dense, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        freq = frequencies(counts)
+    cum, bits = np.concatenate([[0], np.cumsum(freq)[:-1]]), int(freq.sum()).bit_length() - 1
     blocks, steps = -(-n // block), block // lanes
     padded = np.zeros(blocks * block, np.int32)
     padded[:n] = dense
@@ -62,12 +66,12 @@ def encode(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> Frame:
     given, words = np.zeros(rows.shape, bool), np.zeros(rows.shape, np.uint32)
     for s in range(steps - 1, -1, -1):
         f, c = f_of[rows[s]], c_of[rows[s]]
-        over = x >= f << _U(31 - BITS + 32)
+        over = x >= f << _U(63 - bits)
         given[s] = over
         words[s] = x.astype(np.uint32)
         x = np.where(over, x >> _U(32), x)
         q = x // f
-        x = (q << _U(BITS)) + (x - q * f) + c
+        x = (q << _U(bits)) + (x - q * f) + c
     per = given.reshape(steps, blocks, lanes).transpose(1, 0, 2)
     stream = words.reshape(steps, blocks, lanes).transpose(1, 0, 2)[per].astype("<u4")
     starts = np.concatenate([[0], np.cumsum(per.sum(axis=(1, 2)))]).astype("<u8")
@@ -88,6 +92,7 @@ def decode(frame: Frame, only: list[int] | None = None, block: int = BLOCK, lane
     table = np.frombuffer(frame.table, "<u4")
     symbols, freq = table[: len(table) // 2], table[len(table) // 2 :].astype(np.uint64)
     cum = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
+    bits = int(freq.sum()).bit_length() - 1
     slots = np.repeat(np.arange(len(symbols), dtype=np.int32), freq.astype(np.int64))
     starts = np.frombuffer(frame.starts, "<u8").astype(np.int64)
     for b, crc in zip(chosen, np.frombuffer(frame.word_crcs, "<u4")[chosen]):
@@ -97,12 +102,12 @@ def decode(frame: Frame, only: list[int] | None = None, block: int = BLOCK, lane
     x = np.frombuffer(frame.states, "<u8").reshape(blocks, lanes)[chosen].astype(np.uint64)
     at = starts[chosen]
     out = np.empty((steps, len(chosen), lanes), np.int32)
-    mask = _U((1 << BITS) - 1)
+    mask = _U((1 << bits) - 1)
     for s in range(steps):
         low = x & mask
         sym = slots[low.astype(np.int64)]
         out[s] = sym
-        x = freq[sym] * (x >> _U(BITS)) + low - cum[sym]
+        x = freq[sym] * (x >> _U(bits)) + low - cum[sym]
         need = x < LOW
         took = np.cumsum(need, axis=1)
         pos = np.minimum(at[:, None] + took - 1, len(stream) - 1)

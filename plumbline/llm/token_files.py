@@ -25,7 +25,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     """Encode doc_id, text and write frames under ``path`` in ascending doc_id order (null first).
 
     Null text is the empty text (just the end id). Repeated doc_ids are kept, ordered by their text's hash;
-    equal rows are interchangeable. An empty table writes no frame. Other columns are ignored.
+    equal rows are interchangeable. An empty table writes no frame. Very long texts are encoded whole and make a
+    frame of their own length. Other columns, whatever their names, are ignored.
     """
     vocabulary = vocabulary or default_path("byte_bpe_50k.json")
     end = np.array([end_id], "<u4").tobytes()
@@ -39,8 +40,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
             return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip([part, frame, base, coded.n, held, [len(x) // 4 for x in ids], coded.table, coded.states, coded.starts, coded.words, coded.word_crcs, coded.id_crcs], _FIELDS)], schema=_FIELDS)
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
-                coded = enc.encode([text])[0] + end
+            for doc, coded in zip(b.column(0).to_pylist(), enc.stream(texts_of(b.column(1)))):
+                coded += end
                 held.append(doc)
                 ids.append(coded)
                 size += len(coded) // 4
@@ -82,7 +83,11 @@ def token_index(spark, path: str) -> DataFrame:
 
 
 def op10_token_files(spark, sf_dir: str) -> DataFrame:
-    """All documents through the byte-level vocabulary, written in ascending doc_id order and read back."""
+    """All documents through the byte-level vocabulary, written in ascending doc_id order and read back.
+
+    A null doc_id comes first; null and empty texts are the end id alone; rows with the same doc_id follow their
+    texts' hash; an empty table gives no row.
+    """
     prepare(spark)
     path = shared_path(spark, "token-files")
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)

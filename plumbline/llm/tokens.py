@@ -5,17 +5,23 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from .common import worker_model
 
-#: Pieces held by a worker; the cache starts afresh beyond that, so memory stays bounded.
-CACHE_PIECES = 400_000
+#: Chunks, and letter runs inside them, that a generation of a worker's cache holds. Beyond that the generation
+#: before is dropped, so memory stays bounded and what recurs stays known.
+CACHE_CHUNKS, CACHE_PIECES = 500_000, 400_000
 
-#: The byte-level pattern joins at most one space to the run of non-space characters after it, so these
-#: chunks can be encoded one by one. White space of its own stays a chunk.
-_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Bytes of text whose chunks are found at a time; a longer text makes a longer lot.
+LOT = 4_000_000
+
+#: White space beyond ASCII.
+_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 #: Python takes these for white space, the tokenizers' patterns don't.
 _ODD = "\x1c\x1d\x1e\x1f"
@@ -36,64 +42,121 @@ def default_path(name: str) -> str:
 
 
 class _Cache(dict):
-    """Chunk to ids; a missing chunk is encoded when it is asked for."""
+    """Chunk, as UTF-8, to ids; a missing chunk is encoded when it is asked for."""
 
     def __init__(self, owner: ChunkEncoder):
-        self.owner = owner
+        self.owner, self.before = owner, {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self.owner.chunk(chunk)
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.before.get(chunk)
+        ids = self[chunk] = self.owner.chunk(chunk.decode()) if ids is None else ids
         return ids
 
+    def age(self) -> None:
+        self.before = dict(self)
+        self.clear()
+
 
 class ChunkEncoder:
     """Encodes whole texts exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
     kind "word": white space separates pieces and is dropped; kind "byte": byte-level pieces with their
-    leading space. Texts with characters on which the white space rules differ go to the library as a whole.
-    Strings of special tokens in a text are ordinary text.
+    leading space. The chunks of many texts are found at once on their bytes, and only distinct ones are looked up.
+    Texts that hold the string of an added token, or white space on which the rules differ, go to the library as
+    a whole.
     """
 
     def __init__(self, path: str, kind: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
         self.model, self.kind = self.lib.model, kind
-        self.cut = str.split if kind == "word" else _CHUNK.findall
+        self.odd = [*_ODD, *(x.content for x in self.lib.get_added_tokens_decoder().values())]
         self.cache = _Cache(self)
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
+        return list(self.stream(texts))
+
+    def stream(self, texts: list[str]) -> Iterator[bytes]:
+        """The same one by one, in order, while few texts at a time are held as ids."""
+        held, size = [], 0
         for text in texts:
-            if any(c in text for c in _ODD):
-                out.append(self._whole(text))
-                continue
-            if len(self.cache) > CACHE_PIECES:
-                self.cache.clear()
-                self.pieces.clear()
-            cache = self.cache
-            out.append(b"".join([cache[c] for c in self.cut(text)]))
-        return out
+            odd = any(x in text for x in self.odd) or not text.isascii() and bool(_WIDE.search(text))
+            raw = text if odd else text.encode()
+            held.append((odd, raw))
+            size += len(raw)
+            if size >= LOT:
+                yield from self._lot(held)
+                held, size = [], 0
+        yield from self._lot(held)
+
+    def _lot(self, held: list[tuple[bool, str | bytes]]) -> Iterator[bytes]:
+        plain = [raw for odd, raw in held if not odd]
+        ids, ends = self._join(plain) if plain else (None, None)
+        at, n = 0, 0
+        for odd, raw in held:
+            if odd:
+                yield self._whole(raw)
+            else:
+                yield ids[at : ends[n]].tobytes()
+                at, n = ends[n], n + 1
+
+    def _join(self, plain: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """All ids of several texts, and where those of each end."""
+        raw = b"\xff".join(plain) + b"\xff"  # a byte that UTF-8 never holds
+        x = np.frombuffer(raw, np.uint8)
+        end, space = x == 0xFF, (x == 32) | ((x >= 9) & (x <= 13))
+        first = np.ones(len(x), bool)  # where a chunk begins
+        if self.kind == "byte":
+            # of white space before a word the last character stands alone, or leads the word if it is a space
+            first[1:] = end[1:] | end[:-1] | space[1:] & ~space[:-1] | ~space[1:] & space[:-1] & (x[:-1] != 32)
+            last = np.flatnonzero(space[:-1] & ~space[1:] & ~end[1:])
+            first[last] = True
+        else:
+            first[1:] = end[1:] | end[:-1] | (space[1:] != space[:-1])
+        starts = np.flatnonzero(first)
+        offsets = np.append(starts, len(x)).astype(np.int32)
+        chunks = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+        if len(self.cache) > CACHE_CHUNKS:
+            self.cache.age()
+        if len(self.pieces) > CACHE_PIECES:
+            self.older, self.pieces = self.pieces, {}
+        known = [b"" if c == b"\xff" else self.cache[c] for c in chunks.dictionary.to_pylist()]
+        flat = np.frombuffer(b"".join(known), "<u4")
+        sizes = np.array([len(k) // 4 for k in known], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        which = chunks.indices.to_numpy()
+        n = sizes[which]
+        upto = np.cumsum(n)
+        ids = flat[np.repeat(begins[which] - upto + n, n) + np.arange(upto[-1])]
+        return ids, upto[end[starts]].tolist()
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
 
     def chunk(self, c: str) -> bytes:
         """The ids of a chunk that the cache doesn't hold."""
+        if self.kind == "word" and c.isspace():
+            return b""
         core = c.rstrip(_MARKS)
-        if not ((core.isalpha() or core[1:].isalpha() and core[0] == " ") and (core.isascii() or max(core) < "\u0250")):
-            return self._whole(c)
-        pieces, head = self.pieces, core.lower() if self.kind == "word" else core
-        ids = pieces.get(head) or self._piece(head)
+        head = core.lower() if self.kind == "word" else core
+        ids = self.pieces.get(head)
+        if ids is None or self.kind == "word":
+            if not ((core.isalpha() or core[1:].isalpha() and core[0] == " ") and (core.isascii() or max(core) < "\u0250")):
+                return self._whole(c)
+            ids = ids or self._piece(head)
         if len(core) < len(c):
             tail = c[len(core):]
-            ids += pieces.get(tail) or self._piece(tail)
+            ids += self.pieces.get(tail) or self._piece(tail)
         return ids
 
     def _piece(self, piece: str) -> bytes:
         """A letter run or a punctuation run: the pre-tokenizer would leave it whole."""
+        if piece in self.older:
+            held = self.pieces[piece] = self.older[piece]
+            return held
         shown = piece.replace(" ", "\u0120") if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOWN)
         held = self.pieces[piece] = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
         return held
