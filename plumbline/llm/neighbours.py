@@ -6,8 +6,9 @@ query visits its most probable parts and all their rows are scored exactly. The
 the least that finds RECALL of the true neighbours of sample rows that were held out of the fit; a query whose
 parts hold too few candidates visits further ones.
 
-A part is searched in blocks of bounded size against blocks of queries, so a part of any size is no group
-in one task.
+Visits are made in steps, the most probable part first and FACTOR times as many in each step: the worst of the
+k nearest found so far bars all rows below it, so a step adds about FACTOR times k rows a query at most on average,
+however many parts it visits. A part is searched in blocks of bounded size against blocks of queries.
 """
 
 from __future__ import annotations
@@ -17,17 +18,23 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import extended, map_arrow, prepare, stored
 
-#: Fitting bounds: rows of the sample, neighbours in its graph. Rows that a part should hold; parts at most.
-SAMPLE, NEAR, PART_ROWS, PARTS = 4_000, 10, 1_500, 64
+#: Fitting bounds: rows of the sample (more, if parts need them: so many for each), neighbours in its graph.
+SAMPLE, SAMPLE_PER_PART, NEAR = 4_000, 40, 10
+#: Rows that a part should hold, and the fewest and most parts; beyond PARTS * PART_ROWS rows parts grow.
+PART_ROWS, FEWEST, PARTS = 1_500, 4, 256
 #: One sample row in so many is held out of the fit and asks for the number of visits.
 HELD = 10
-RECALL = 0.97
+RECALL = 0.93
+#: Parts visited by the steps together: 1, FACTOR, FACTOR ** 2 and so on.
+FACTOR = 4
 BLOCK, QUERY_BLOCK = 4_000, 1_000
+#: Queries scored at a time against a block; tasks at most among which the blocks of one part are dealt.
+LOT, SALTS = 64, 16
 HIDDEN = 64
 
 
@@ -83,7 +90,9 @@ def fit(x: np.ndarray, parts: int, near: int = NEAR, recall: float = RECALL, epo
     x = np.delete(whole, ask, axis=0)
     n, d = x.shape
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    if parts < 2 or n < 4 * parts:
+    while n < 4 * parts and parts > 1:
+        parts //= 2
+    if parts < 2:
         return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
     k = min(near, n - 1)
     graph = np.concatenate([np.argpartition(-_others(unit[i : i + 512] @ unit.T, i), k - 1, axis=1)[:, :k] for i in range(0, n, 512)])
@@ -110,6 +119,8 @@ def fit(x: np.ndarray, parts: int, near: int = NEAR, recall: float = RECALL, epo
                 m[0] += 0.1 * (g - m[0])
                 m[1] += 0.001 * (g * g - m[1])
                 w -= 0.01 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step) * m[0] / (np.sqrt(m[1]) + 1e-8)
+    if not len(ask):
+        return r
     # visits: true neighbours of the held-out rows, by inner product among the whole sample
     score = whole[ask] @ whole.T
     score[np.arange(len(ask)), ask] = -np.inf
@@ -140,18 +151,19 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def search(rows: DataFrame, query: pd.Series | object, k: int = 20, sample: int = SAMPLE, part_rows: int = PART_ROWS, parts: int = PARTS, recall: float = RECALL) -> DataFrame:
+def search(rows: DataFrame, query: Column, k: int = 20, sample: int = SAMPLE, part_rows: int = PART_ROWS, parts: int = PARTS, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest by inner product of each row of (vec_id, embedding) where ``query`` holds.
 
-    All rows but the query's own are candidates. Fully equal rows count once. Fewer candidates give fewer
-    rows; an empty table gives none. The router is fitted on ``sample`` rows of smallest hash.
+    All rows but the query's own are candidates, ties go to the smaller vec_id, other columns are ignored. Fully
+    equal rows count once; rows with a null vec_id, and vectors that valid_vectors leaves out, take no part. Fewer
+    candidates give fewer rows; an empty table gives none. The router is fitted on rows of smallest hash (SAMPLE).
     """
     spark = prepare(rows.sparkSession)
     base = stored(valid_vectors(rows.select("vec_id", "embedding")).filter("vec_id is not null").distinct(), "vectors")
     n = base.count()
-    pick = base.withColumn("h", F.xxhash64("vec_id", "embedding")).orderBy("h").limit(sample).select("embedding").collect()
-    x = np.array([r["embedding"] for r in pick], np.float64)
-    wanted = 1 << max(0, int(np.log2(max(1, min(parts, n / part_rows)))))
+    wanted = 1 << max(0, int(np.log2(min(parts, max(n / part_rows, FEWEST)))))
+    pick = base.withColumn("h", F.xxhash64("vec_id", "embedding")).orderBy("h").limit(max(sample, SAMPLE_PER_PART * wanted)).select("embedding").toArrow()
+    x = matrix(pick.column(0).combine_chunks()) if len(pick) else np.zeros((0, 0))
     router = spark.sparkContext.broadcast(fit(x, wanted, recall=recall) if len(x) else None)
 
     def index(batches):
@@ -175,43 +187,85 @@ def search(rows: DataFrame, query: pd.Series | object, k: int = 20, sample: int
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(to[visited], pa.int32()))
                 yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "parts"])
 
-    routed = map_arrow(base.filter(query), route, extended(base, "parts array<int>")).select(F.explode("parts").alias("part"), "vec_id", "embedding")
-    blocks = F.element_at(F.create_map(*[F.lit(v) for p, c in counts.items() for v in (p, max(1, -(-c // BLOCK)))]), F.col("part")) if counts else F.lit(1)
+    routed = stored(map_arrow(base.filter(query), route, extended(base, "parts array<int>")), "vector-queries")
+    most = routed.agg(F.max(F.size("parts"))).first()[0] or 0
+    wide = base.schema["embedding"].dataType.elementType.simpleString() == "double"
+    cut = {p: max(1, -(-c // BLOCK)) for p, c in counts.items()}
+    blocks = _of_part(cut)
+    salts = _of_part({p: min(c, SALTS) for p, c in cut.items()})
     spread = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
-    left = _blocks(indexed.withColumn("block", (spread % blocks).cast("int")), "part", "block", "c")
+    held = indexed.withColumn("block", (spread % blocks).cast("int")).withColumn("bound", F.lit(0.0))
+    left = stored(_blocks(held, "c", wide).withColumn("salt", F.col("block") % salts).drop("c_bounds", "block"), "vector-blocks")
     q_blocks = max(1, -(-n // (20 * QUERY_BLOCK)))
-    right = _blocks(routed.withColumn("block", (spread % q_blocks).cast("int")), "part", "block", "q")
-    pairs = left.join(right, "part")
-    fields = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    best = None
+    low, high = 0, 1
+    while low < most:
+        step = routed.select("vec_id", "embedding", F.explode(F.slice("parts", low + 1, high - low)).alias("part"))
+        if best is None:
+            step = step.withColumn("bound", F.lit(float("-inf")))
+        else:
+            bar = best.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bar"))
+            step = step.join(bar, "vec_id", "left").withColumn("bound", F.coalesce("bar", F.lit(float("-inf")))).drop("bar")
+        right = _blocks(step.withColumn("block", (spread % q_blocks).cast("int")), "q", wide).drop("block").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        hits = _score(left.join(right, ["part", "salt"]), k, wide)
+        if best is not None:
+            hits = hits.unionByName(best.drop("rank"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        best = stored(hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "vector-best")
+        low, high = high, high * FACTOR
+    if best is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return best.select("query_id", "rank", "vec_id", "score")
+
+
+def _of_part(numbers: dict[int, int]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(v) for p, c in numbers.items() for v in (p, c)]), F.col("part")) if numbers else F.lit(1)
+
+
+def _blocks(df: DataFrame, name: str, wide: bool) -> DataFrame:
+    """Rows of a (part, block) packed into one row of binary ids, vectors and bounds; blocks are of bounded size."""
+    kind = "<f8" if wide else "<f4"
 
-    def score(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                ci, qi = np.frombuffer(row["c_ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
-                cv = np.frombuffer(row["c_vecs"], "<f4").reshape(len(ci), -1).astype(np.float64)
-                qv = np.frombuffer(row["q_vecs"], "<f4").reshape(len(qi), -1).astype(np.float64)
-                s = qv @ cv.T
-                s[qi[:, None] == ci[None]] = -np.inf
-                top = min(k, len(ci))
-                edge = -np.partition(-s, top - 1, axis=1)[:, top - 1]
-                r, c = np.nonzero((s >= (edge - 1e-9 * (1 + np.abs(edge)))[:, None]) & (s > -np.inf))  # ties included
-                exact = np.concatenate([(qv[r[i : i + 65536]] * cv[c[i : i + 65536]]).sum(axis=1) for i in range(0, len(r), 65536)]) if len(r) else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[r]), pa.array(ci[c]), pa.array(exact)], schema=fields)
+    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vec_id", kind="stable")
+        return pd.DataFrame({"part": [key[0]], "block": [key[1]], "ids": [pdf["vec_id"].to_numpy().astype("<i8").tobytes()], "vecs": [np.stack(pdf["embedding"].to_numpy()).astype(kind).tobytes()], "bounds": [pdf["bound"].to_numpy().astype("<f8").tobytes()]})
 
-    hits = map_arrow(pairs, score, "query_id long, vec_id long, score double").filter("query_id is not null")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    packed = df.groupBy("part", "block").applyInPandas(pack, "part int, block int, ids binary, vecs binary, bounds binary")
+    return packed.select("part", "block", *[F.col(c).alias(f"{name}_{c}") for c in ("ids", "vecs", "bounds")])
 
 
-def _blocks(df: DataFrame, part: str, block: str, name: str) -> DataFrame:
-    """Rows of a (part, block) packed into one row of binary ids and vectors; blocks are of bounded size."""
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id", kind="stable")
-        return pd.DataFrame({"part": [key[0]], "ids": [pdf["vec_id"].to_numpy().astype("<i8").tobytes()], "vecs": [np.stack(pdf["embedding"].to_numpy()).astype("<f4").tobytes()]})
+def _score(pairs: DataFrame, k: int, wide: bool) -> DataFrame:
+    """query_id, vec_id, score: of each block the k nearest of each query that its bound doesn't bar."""
+    kind, fields = "<f8" if wide else "<f4", pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-    return df.groupBy(part, block).applyInPandas(pack, "part int, ids binary, vecs binary").select("part", F.col("ids").alias(f"{name}_ids"), F.col("vecs").alias(f"{name}_vecs"))
+    def run(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                ci, qi = np.frombuffer(row["c_ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
+                cv = np.frombuffer(row["c_vecs"], kind).reshape(len(ci), -1).astype(np.float64)
+                qv = np.frombuffer(row["q_vecs"], kind).reshape(len(qi), -1).astype(np.float64)
+                bound = np.frombuffer(row["q_bounds"], "<f8")
+                top = min(k, len(ci))
+                for at in range(0, len(qi), LOT):
+                    ids, bar = qi[at : at + LOT], bound[at : at + LOT]
+                    s = qv[at : at + LOT] @ cv.T
+                    s[ids[:, None] == ci[None]] = -np.inf
+                    edge = np.maximum(-np.partition(-s, top - 1, axis=1)[:, top - 1], bar)
+                    r, c = np.nonzero((s >= (edge - 1e-9 * (1 + np.abs(edge)))[:, None]) & (s > -np.inf))
+                    exact = (qv[at + r] * cv[c]).sum(axis=1)
+                    order = np.lexsort((ci[c], -exact, r))  # ties to smaller ids
+                    r, c, exact = r[order], c[order], exact[order]
+                    keep = (np.arange(len(r)) - np.searchsorted(r, r) < k) & (exact >= bar[r])
+                    if keep.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[r[keep]]), pa.array(ci[c[keep]]), pa.array(exact[keep])], schema=fields)
+
+    return map_arrow(pairs.select("c_ids", "c_vecs", "q_ids", "q_vecs", "q_bounds"), run, "query_id long, vec_id long, score double")
 
 
 def op8_learned_partitions(spark, sf_dir: str) -> DataFrame:
-    """The 20 nearest rows of every row whose vec_id is divisible by 20."""
+    """The 20 nearest rows of every row whose vec_id is divisible by 20.
+
+    Null vec_ids and vectors that are null, zero, hold null or non-finite components, or differ from the most
+    frequent dimension take no part; ties go to the smaller vec_id; an empty table gives no row.
+    """
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
