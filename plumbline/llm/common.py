@@ -164,6 +164,12 @@ def uint32(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, dtype="<u4")
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df less the columns of these names (in any case), which an operator is about to add."""
+    taken = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]) if taken & {c.lower() for c in df.columns} else df
+
+
 def extended(df: DataFrame, ddl: str) -> StructType:
     """The schema of df with further columns behind its own."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

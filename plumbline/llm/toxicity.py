@@ -1,14 +1,17 @@
 """Operator 5: toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 Each word enters as a word vector (known words only; its first component starts as the word's class
-log-odds) joined with the mean vector of its hashed character trigrams. All overlapping windows of
-WINDOW words are scored, STRIDE words apart; a document's score is its largest window's. Training labels whole
-documents, so each round takes every document's highest-scoring window and learns on that.
+log-odds) joined with the mean vector of its hashed character trigrams. Overlapping windows of WINDOW words,
+STRIDE words apart, cover the whole text; a document's score is its largest window's. Training labels whole
+documents, so each round takes every document's highest-scoring window and learns on that. The fit runs in one
+task on the bounded sample, so that its memory and time are no driver's.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import extended, learn_rows, map_arrow, prepare, texts_of
+from .common import extended, learn_rows, map_arrow, prepare, stored, texts_of, without
 
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, BUCKETS = 32, 16, 8, 4, 4, 2048
-#: Training bounds: labelled documents of each class, characters of each, known words.
-TOXIC_DOCS, CLEAN_DOCS, DOC_CHARS, VOCABULARY = 1_500, 4_000, 8_000, 12_000
-ROUNDS = 8
+#: Training bounds: labelled documents of each class (whole texts), known words.
+TOXIC_DOCS, CLEAN_DOCS, VOCABULARY = 1_500, 4_000, 12_000
+#: Rounds, and the least number of passes and of steps (of BATCH windows) in a round; chosen on learning rows alone.
+ROUNDS, PASSES, STEPS, BATCH = 8, 2, 20, 100
 THRESHOLD = 0.7
 #: Words held by a worker with their input projections, and windows that run side by side.
 CACHE_WORDS, LANES = 150_000, 4096
@@ -128,13 +132,16 @@ def window_logits(m: Weights, proj: np.ndarray, ids: np.ndarray, mask: np.ndarra
     return np.concatenate([forward(m, proj, ids[i : i + LANES], mask[i : i + LANES]) for i in range(0, len(ids), LANES)])
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int = 7) -> Weights:
-    """Train on labelled texts. With one class only, the model scores 0."""
+def fit(texts: Iterable[str], labels: Iterable[int], rounds: int = ROUNDS, seed: int = 7) -> Weights:
+    """Train on labelled texts, taken one by one. With one class only, the model scores 0."""
     rng = np.random.default_rng(seed)
-    y = np.array(labels, np.float32)
     # words as row numbers from the start: the sample's words as strings would take ten times its bytes
     first_seen: dict[str, int] = {"": 0}
-    docs = [np.array([first_seen.setdefault(w, len(first_seen)) for w in words_of(t)], np.int32) for t in texts]
+    docs, given = [], []
+    for text, label in zip(texts, labels):
+        docs.append(np.array([first_seen.setdefault(w, len(first_seen)) for w in words_of(text)], np.int32))
+        given.append(label)
+    labels, y = given, np.array(given, np.float32)
     distinct = sorted(first_seen)
     rank = np.zeros(len(distinct), np.int32)
     rank[[first_seen[w] for w in distinct]] = np.arange(len(distinct))
@@ -169,10 +176,10 @@ def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int = 7
             value = window_logits(m, projections(m, inputs(m, distinct)), ids, mask)
         order = np.lexsort((-value, owner))
         best = order[np.unique(owner[order], return_index=True)[1]]
-        for _ in range(2):
+        for _ in range(max(PASSES, -(-STEPS // -(-len(best) // BATCH)))):
             deal = rng.permutation(len(best))
-            for at in range(0, len(deal), 100):
-                pick = deal[at : at + 100]
+            for at in range(0, len(deal), BATCH):
+                pick = deal[at : at + BATCH]
                 step += 1
                 _learn(m, moments, step, distinct, ids[best[pick]], mask[best[pick]], y[pick], (grams, starts, gram_n))
     return m
@@ -265,11 +272,14 @@ class Scorer:
         return _sigmoid(best)
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS, doc_chars: int = DOC_CHARS) -> Weights:
-    """Fit on a bounded sample: of each class the labelled doc_ids of smallest hash, ``doc_chars`` characters of each.
+def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS) -> Weights:
+    """Fit on a bounded sample: of each class the labelled doc_ids of smallest hash, whole texts, in one task.
 
-    ``docs``: doc_id, text; ``labels``: doc_id, toxic (null: no label; repeated ids: toxic if any row is).
+    ``docs``: doc_id, text (null: empty); ``labels``: doc_id, toxic (null: no label; repeated ids: toxic if any row
+    is). Null doc_ids teach nothing; equal rows teach once, and of an id's differing texts no more than the class's
+    bound are taken. Without labels, or with one class only, every score is 0.
     """
+    spark = prepare(docs.sparkSession)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     sizes = known.agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("all")).first()
     toxic = sizes["toxic"] or 0
@@ -277,17 +287,43 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clea
     share = F.when(F.col("toxic") == 1, 2 * toxic_docs / max(toxic, 1)).otherwise(2 * clean_docs / max(sizes["all"] - toxic, 1))
     low = known.withColumn("h", F.xxhash64("doc_id")).filter(F.col("h") / float(1 << 64) + 0.5 <= share)
     order = Window.partitionBy("toxic").orderBy("h", "doc_id")
-    pick = low.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.when(F.col("toxic") == 1, toxic_docs).otherwise(clean_docs)).select("doc_id", "toxic")
-    label = {r["doc_id"]: r["toxic"] for r in pick.collect()}
-    if not label:
-        return fit([], [])
-    rows = docs.filter(F.col("doc_id").isin(list(label))).select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, doc_chars).alias("t")).collect()
-    rows = sorted({(r["doc_id"], r["t"]) for r in rows})
-    return fit([t for _, t in rows], [int(label[i] == 1) for i, _ in rows])
+    pick = low.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.when(F.col("toxic") == 1, toxic_docs).otherwise(clean_docs)).select(F.col("doc_id").alias("k"), "toxic")
+    # at most toxic_docs + clean_docs ids: small enough to be sent to every task
+    met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).join(F.broadcast(pick), F.col("doc_id") == F.col("k")).select("doc_id", "t", "toxic").distinct()
+    rows = [met.filter(F.col("toxic") == c).withColumn("h", F.xxhash64("doc_id", "t")).orderBy("h", "doc_id").limit(n) for c, n in ((1, toxic_docs), (0, clean_docs))]
+    sample = stored(rows[0].unionByName(rows[1]), "toxicity-sample").repartition(1).sortWithinPartitions("doc_id", "h").select("t", "toxic")
+
+    def learn(batches):
+        given = ((t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        texts, classes = _unzipped(given)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, classes))], pa.binary())], names=["weights"])
+
+    made = map_arrow(sample, learn, "weights binary").collect()
+    return pickle.loads(made[0]["weights"]) if made else fit([], [])
+
+
+def _unzipped(pairs):
+    """Two iterators over pairs that are read in step, so that a text is let go before the next comes."""
+    last = []
+
+    def first():
+        for a, b in pairs:
+            last.append(b)
+            yield a
+
+    def second():
+        while True:
+            yield last.pop()
+
+    return first(), second()
 
 
 def score_documents(docs: DataFrame, m: Weights, score: str = "score") -> DataFrame:
-    """Add the score, 0 to 1, of every whole text (null: empty). Other columns stay."""
+    """Add the score, 0 to 1, of every whole text (null: empty). Other columns stay; one named as the score is replaced.
+
+    Empty texts have the score of a blank window; repeated rows are scored alike; an empty table stays empty.
+    """
+    docs = without(docs, score)
     at = docs.columns.index("text")
 
     def run(batches):
@@ -299,7 +335,11 @@ def score_documents(docs: DataFrame, m: Weights, score: str = "score") -> DataFr
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
-    """Score all documents; learn from labels outside the held-out third."""
+    """Score all documents; learn from labels outside the held-out third.
+
+    Null and empty texts are scored as blank; a null doc_id hashes as the empty text; repeated rows stay; an empty
+    table gives no row.
+    """
     prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(learn_rows(F.col("doc_id"), 3) != 1)
