@@ -1,11 +1,15 @@
 """Operator 4: n-gram Jaccard join with filters under several global token orders.
 
 Two sets with Jaccard similarity of at least t share l tokens among their first n - ceil(t n) + l tokens under
-any fixed order of all tokens. The join uses two orders and takes only pairs that pass both:
+any fixed order of all tokens. The join uses three orders and takes only pairs that pass all:
 
 * order A: rising approximate frequency (a counting sketch of fixed size over all documents), then hash;
   a set stays only if so many of its prefix tokens as a link needs (l: a tenth) stand in other sets' prefixes;
-* order B: rising exact frequency among the sets that passed order A, then hash (l: one).
+* order B: rising exact frequency among the sets that passed order A, then hash (l: one); its lists give pairs;
+* order C: a hash of the token (l: one).
+
+A pair from B's lists is looked at whole only if its two prefixes under A and under C share enough tokens, which is
+told from the prefixes alone, before the sets meet.
 
 Documents with equal sets are one node. Within the list of a B token every node is verified against a hub
 first. Links found join nodes into components; only sets of the same list that are still in different
@@ -34,6 +38,8 @@ WORDS, PERCENT = 5, 80
 #: Counters of the sketch: a power of two. Its size does not depend on the data.
 SLOTS = 1 << 22
 _CHUNKS = 32
+#: Parts of a sketch or bit filter that one task joins.
+FAN = 16
 #: Bytes of text hashed at a time; a longer text makes a longer lot.
 LOT = 1_000_000
 _U = np.uint64
@@ -118,6 +124,12 @@ def least_shared(n: int, percent: int = PERCENT) -> int:
     return needed(-(-n * percent // 100))
 
 
+def prefix_c(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The first n - ceil(n percent / 100) + 1 tokens by a hash: one of them at least is in any partner's."""
+    p = min(len(tokens), len(tokens) - -(-len(tokens) * percent // 100) + 1)
+    return tokens[np.argpartition(_mix(tokens ^ _U(_P)), p - 1)[:p]] if p < len(tokens) else tokens
+
+
 def set_key(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
@@ -155,19 +167,27 @@ def _sets_and_counts(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _levels(counted: DataFrame) -> np.ndarray:
-    """The sketch's counters as levels (log2), summed over tasks in two steps; SLOTS bytes reach the driver."""
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(SLOTS // _CHUNKS, np.int64)
+    """The sketch's counters as levels (log2), summed by a tree of FAN parts a step; SLOTS bytes reach the driver."""
+    def total(pdf: pd.DataFrame) -> np.ndarray:
+        out = np.zeros(SLOTS // _CHUNKS, np.int64)
         for c in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(c), "<u4" if pdf["wide"].iloc[0] else "<u2")
-        return pd.DataFrame({"n": [pdf["n"].iloc[0]], "wide": [True], "counts": [zlib.compress(np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes(), 1)]})
+            out += np.frombuffer(zlib.decompress(c), "<u4" if pdf["wide"].iloc[0] else "<u2")
+        return np.minimum(out, (1 << 32) - 1)
 
-    parts = counted.select("n", F.lit(False).alias("wide"), "counts", F.pmod("task", F.lit(16)).alias("g"))
-    first = parts.groupBy("n", "g").applyInPandas(add, "n long, wide boolean, counts binary")
-    total = np.zeros((_CHUNKS, SLOTS // _CHUNKS), np.uint32)
-    for r in first.groupBy("n").applyInPandas(add, "n long, wide boolean, counts binary").collect():
-        total[r["n"]] = np.frombuffer(zlib.decompress(r["counts"]), "<u4")
-    return np.frexp(total.astype(np.float64))[1].astype(np.uint8).ravel()
+    def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n": [key[0]], "task": [key[1]], "wide": [True], "counts": [zlib.compress(total(pdf).astype("<u4").tobytes(), 1)]})
+
+    def level(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n": [pdf["n"].iloc[0]], "levels": [np.frexp(total(pdf).astype(np.float64))[1].astype(np.uint8).tobytes()]})
+
+    parts = counted.select("n", "task", F.lit(False).alias("wide"), "counts")
+    width = (counted.agg(F.max("task")).first()[0] or 0) + 1
+    while width > FAN:
+        parts, width = parts.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("n", "task").applyInPandas(add, "n long, task int, wide boolean, counts binary"), -(-width // FAN)
+    out = np.zeros((_CHUNKS, SLOTS // _CHUNKS), np.uint8)
+    for r in parts.groupBy("n").applyInPandas(level, "n long, levels binary").collect():
+        out[r["n"]] = np.frombuffer(r["levels"], np.uint8)
+    return out.ravel()
 
 
 #: Bits of the filter that spares the texts of other documents a second look. Its size does not depend on the
@@ -186,7 +206,7 @@ def _has(bits: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 
 def _bits(ids: DataFrame) -> np.ndarray:
-    """A bit filter of one long column: set by each task, joined chunk by chunk; BITS / 8 bytes reach the driver."""
+    """A bit filter of one long column: set by each task, joined chunk by chunk in a tree; BITS / 8 bytes reach the driver."""
     step = BITS // 8 // _CHUNKS
 
     def run(batches):
@@ -196,17 +216,22 @@ def _bits(ids: DataFrame) -> np.ndarray:
                 np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
         for i in range(_CHUNKS):
             if held[i * step : (i + 1) * step].any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([zlib.compress(held[i * step : (i + 1) * step].tobytes(), 1)], pa.binary())], names=["n", "g", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([zlib.compress(held[i * step : (i + 1) * step].tobytes(), 1)], pa.binary())], names=["n", "task", "bits"])
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+    def join(key, pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(step, np.uint8)
         for x in pdf["bits"]:
             total |= np.frombuffer(zlib.decompress(x), np.uint8)
-        return pd.DataFrame({"n": [pdf["n"].iloc[0]], "bits": [zlib.compress(total.tobytes(), 1)]})
-
-    first = map_arrow(ids, run, "n int, g int, bits binary").groupBy("n", "g").applyInPandas(join, "n int, bits binary")
+        return pd.DataFrame({"n": [key[0]], "task": [key[1]], "bits": [zlib.compress(total.tobytes(), 1)]})
+
+    parts = stored(map_arrow(ids, run, "n int, task int, bits binary"), "jaccard-bits")
+    width = (parts.agg(F.max("task")).first()[0] or 0) + 1
+    while True:
+        parts, width = parts.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("n", "task").applyInPandas(join, "n int, task int, bits binary"), -(-width // FAN)
+        if width == 1:
+            break
     out = np.zeros(BITS // 8, np.uint8)
-    for r in first.groupBy("n").applyInPandas(join, "n int, bits binary").collect():
+    for r in parts.collect():
         out[r["n"] * step : (r["n"] + 1) * step] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return out
 
@@ -248,12 +273,15 @@ def similarity_components(docs: DataFrame, k: int = WORDS, percent: int = PERCEN
             u = b.column(0).to_numpy()
             at = np.flatnonzero(_has(chosen.value, u))
             text = b.column(1).take(pa.array(at)).to_pylist()
-            sets = {set_key(s): s.view(np.int64) for s in shingle_sets(text, k) if len(s)}
-            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.list_(pa.int64()))], names=["key", "tokens"])
+            sets = {set_key(s): s for s in shingle_sets(text, k) if len(s)}
+            forms = [list(sets.values()), [prefix_a(s, levels.value, percent) for s in sets.values()], [prefix_c(s, percent) for s in sets.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), *[pa.array([x.view(np.int64) for x in f], pa.list_(pa.int64())) for f in forms]], names=["key", "tokens", "a_first", "c_first"])
 
     # a few sets beyond those chosen may pass the bits, or pass twice; both do no harm below
-    sets = stored(map_arrow(base.select("u", "text"), tokens_all, "key long, tokens array<long>"), "jaccard-sets")
-    links = _links(sets, levels, percent)
+    sets = stored(map_arrow(base.select("u", "text"), tokens_all, "key long, tokens array<long>, a_first array<long>, c_first array<long>"), "jaccard-sets")
+    levels.unpersist()
+    chosen.unpersist()
+    links = _links(sets, percent)
     comp = components(sets.select(F.col("key").alias("node")).distinct(), links)
     least = comp.join(firsts.select(F.col("key").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("cid"))
     named = comp.join(least, "component").select(F.col("node").alias("key"), "cid", "component")
@@ -262,8 +290,11 @@ def similarity_components(docs: DataFrame, k: int = WORDS, percent: int = PERCEN
     return out.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("cid", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "group_key")
 
 
-def _links(sets: DataFrame, levels, percent: int) -> DataFrame:
-    """Enough verified links (a, b) between sets that their components are those of all links."""
+def _links(sets: DataFrame, percent: int) -> DataFrame:
+    """Enough verified links (a, b) between sets that their components are those of all links.
+
+    ``sets``: key, tokens and the prefixes a_first and c_first; repeated keys do no harm, an empty table has no link.
+    """
     long = sets.select("key", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     often = long.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1")
     # order B: a set's prefix is its first p tokens by (df, hash); unique ones need no list, only their number
@@ -279,7 +310,7 @@ def _links(sets: DataFrame, levels, percent: int) -> DataFrame:
     listed = stored(lists.join(hubs, "token").filter(best * 100 >= percent - 1e-6).select("token", "key", "n", "r", "m", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n")), "jaccard-listed")
     near = (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent) & (F.col("key") != F.col("hub"))
     spokes = listed.filter(near).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
-    first = stored(_verify(spokes, sets, levels, percent), "jaccard-spokes")
+    first = stored(_verify(spokes, sets, percent), "jaccard-spokes")
     found = first.filter("linked").select("a", "b")
     comp = stored(components(listed.select(F.col("key").alias("node")).distinct(), found), "jaccard-comp")
     tagged = listed.join(comp, F.col("key") == F.col("node")).drop("node")
@@ -296,7 +327,7 @@ def _links(sets: DataFrame, levels, percent: int) -> DataFrame:
     triangle = F.coalesce(F.abs(F.col("x.distance") - F.col("y.distance")) <= 1 - percent / 100 + 1e-9, F.lit(True))
     new = (F.col("x.key") != F.col("x.hub")) & (F.col("y.key") != F.col("y.hub"))
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & ordered & sizes & overlap & triangle & new).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    second = _verify(pairs, sets, levels, percent).filter("linked").select("a", "b")
+    second = _verify(pairs, sets, percent).filter("linked").select("a", "b")
     long_lists = every.filter(F.col("m") > PAIRED).select("hub", "key", "component", "n").distinct()
     return stored(found.unionByName(second).unionByName(_block_links(long_lists, sets, percent)), "jaccard-links")
 
@@ -315,9 +346,9 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     per = members.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("cn"))
     main = per.groupBy("hub").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "component", "cn")).alias("main")).filter("parts > 1").select("hub", F.col("main.component").alias("main"), F.col("main.cn").alias("main_n"))
     spread = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
-    held = members.join(size, "hub").join(main, "hub").join(sets.select("key", "tokens"), "key")
+    held = members.join(size, "hub").join(main, "hub").join(sets, "key")
     held = held.withColumn("block", (spread % F.ceil(F.col("total") / BLOCK_TOKENS)).cast("int")).withColumn("part", (spread % F.greatest(F.ceil((F.col("total") - F.col("main_n")) / BLOCK_TOKENS), F.lit(1))).cast("int"))
-    packed = F.collect_list(F.struct("key", "component", "tokens"))
+    packed = F.collect_list(F.struct("key", "component", "tokens", "a_first", "c_first"))
     left = held.filter("component <> main").groupBy("hub", "part").agg(packed.alias("l")).select("hub", "l")
     right = held.groupBy("hub", "block").agg(packed.alias("r")).select("hub", "r")
 
@@ -326,8 +357,12 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             a_out, b_out = [], []
             for i in range(b.num_rows):
                 x, y = _unpack(b.column(0)[i].values), _unpack(b.column(1)[i].values)
+                few = np.minimum(least_shared_of(x[3], percent)[:, None], least_shared_of(y[3], percent)[None])
+                maybe = (_overlaps(*x[4], *y[4]) >= few) & (_overlaps(*x[5], *y[5]) > 0)
+                if not maybe.any():
+                    continue
                 both = _overlaps(x[2], x[3], y[2], y[3])
-                linked = (100 * both >= percent * (x[3][:, None] + y[3][None] - both)) & (x[1][:, None] != y[1][None])
+                linked = maybe & (100 * both >= percent * (x[3][:, None] + y[3][None] - both)) & (x[1][:, None] != y[1][None])
                 at = np.argwhere(linked)
                 if len(at):
                     _, first = np.unique(np.stack([at[:, 0], y[1][at[:, 1]]]), axis=1, return_index=True)
@@ -339,10 +374,14 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return map_arrow(left.join(right, "hub").select("l", "r"), run, "a long, b long")
 
 
-def _unpack(v) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, components, all tokens and sizes of a packed block."""
-    tokens = v.field("tokens")
-    return v.field("key").to_numpy(), v.field("component").to_numpy(), tokens.flatten().to_numpy(), np.asarray(tokens.value_lengths()).astype(np.int64)
+def least_shared_of(n: np.ndarray, percent: int) -> np.ndarray:
+    return -(-(-(-n * percent // 100)) // 10)
+
+
+def _unpack(v) -> tuple:
+    """Keys, components, all tokens and sizes of a packed block, and (tokens, sizes) of the prefixes under A and C."""
+    lists = [(v.field(c).flatten().to_numpy(), np.asarray(v.field(c).value_lengths()).astype(np.int64)) for c in ("tokens", "a_first", "c_first")]
+    return v.field("key").to_numpy(), v.field("component").to_numpy(), *lists[0], lists[1], lists[2]
 
 
 def _overlaps(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, width: int = 4096) -> np.ndarray:
@@ -361,45 +400,24 @@ def _overlaps(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, widt
     return out
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, levels, percent: int) -> DataFrame:
-    """Adds linked and distance. A pair that shares too few A-prefix tokens cannot link; its distance is unknown (null)."""
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked, distance) of the pairs whose prefixes under orders A and C share what a link needs; others cannot link."""
+    heads = [sets.select(F.col("key").alias(c), F.col("a_first").alias(f"{c}_a"), F.col("c_first").alias(f"{c}_c"), F.size("tokens").alias(f"{c}_n")) for c in "ab"]
+    few = F.ceil(F.ceil(F.least("a_n", "b_n") * percent / 100) / 10)
+    met = pairs.join(heads[1], "b").join(heads[0], "a").filter((F.size(F.array_intersect("a_a", "b_a")) >= few) & F.arrays_overlap("a_c", "b_c")).select("a", "b")
     left = sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb"))
-
-    def run(batches):
-        for batch in batches:
-            linked, distance, held = [], [], {}
-            ta, tb = batch.column(2), batch.column(3)
-            for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                x, y = _set(ta, i, a, held), _set(tb, i, b, held)
-                fewest = min(least_shared(len(x), percent), least_shared(len(y), percent))
-                if len(np.intersect1d(_first(x, a, held, levels, percent), _first(y, b, held, levels, percent), assume_unique=True)) < fewest:
-                    linked.append(False)
-                    distance.append(None)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                union = len(x) + len(y) - both
-                linked.append(100 * both >= percent * union)
-                distance.append(1 - both / union)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(distance, pa.float64())], names=["a", "b", "linked", "distance"])
-
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    return map_arrow(joined, run, "a long, b long, linked boolean, distance double")
-
-
-def _set(column, i: int, key: int, held: dict) -> np.ndarray:
-    if key not in held:
-        held[key] = column[i].values.to_numpy().view(np.uint64)
-    return held[key]
-
-
-def _first(x: np.ndarray, key: int, held: dict, levels, percent: int) -> np.ndarray:
-    if ("a", key) not in held:
-        held["a", key] = prefix_a(x, levels.value, percent)
-    return held["a", key]
+    both = F.size(F.array_intersect("ta", "tb"))
+    union = F.size("ta") + F.size("tb") - F.col("both")
+    joined = met.join(right, "b").join(left, "a").withColumn("both", both)
+    return joined.select("a", "b", (F.col("both") * 100 >= union * percent).alias("linked"), (1 - F.col("both") / union).alias("distance"))
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    """Components of all documents under links of similarity 0.8 or more on five-word shingles."""
+    """Components of all documents under links of similarity 0.8 or more on five-word shingles.
+
+    Null, empty and wordless texts link with nothing; a null doc_id is no component's smallest; repeated rows stay;
+    an empty table gives no row.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return similarity_components(docs).select("doc_id", "n_shingles", "component_id")
