@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,52 +11,64 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from ..runtime import shared_folder, ship
 
-#: Buckets in which a rank is first counted, so that no window holds a whole hot key.
-RANK_BUCKETS = 512
+#: Buckets in which a rank is first counted, so that no window holds a whole hot key: so many at least, and as many
+#: as RANK_SHARE times the shuffle partitions, which a session sets by its data.
+RANK_BUCKETS, RANK_SHARE = 512, 2
 
+#: A key is hot if it holds more than one of HOT parts of all rows: there are fewer than HOT of them.
+HOT = 256
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and make sure a checkpoint folder is set.
 
-    The folder named by ``spark.checkpoint.dir`` is used where it is set; only without it (tests on
-    one machine) a temporary folder of our own is taken.
-    """
-    env = spark.sparkContext.environment
-    path = env.get("PYTHONPATH", "")
-    if _ROOT not in path.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, path) if x)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(_configured(spark) or tempfile.mkdtemp(prefix="plumbline-"))
+def prepare(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package, and make sure a checkpoint folder is set."""
+    shared_folder(ship(spark))
     return spark
 
 
-def _configured(spark: SparkSession) -> str | None:
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share."""
-    prepare(spark)
-    base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(ship(spark))}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not by else spark.read.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
 
+def forget(df: DataFrame | None) -> None:
+    """Delete a stored table that nothing reads any more; other frames are left alone."""
+    path = getattr(df, "stored_at", None) if df is not None else None
+    if isinstance(path, str):
+        jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a stored table by its path, on whatever file system holds it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+def hot_keys(df: DataFrame, key: str, n: int) -> DataFrame:
+    """Keys with more than n / HOT of df's n rows: fewer than HOT rows."""
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__c")).filter(F.col("__c") * HOT > n).select(key)
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "inner", also: Column | None = None, per_key: int = 1) -> DataFrame:
+    """Join on ``key`` (and ``also``) where some of left's keys are hot: their rows stay where they are and meet a broadcast.
+
+    ``hot``: fewer than HOT keys; right has at most ``per_key`` rows of each, so at most HOT * per_key rows are
+    broadcast. Other keys are joined as usual. ``right`` names its key ``__key``.
+    """
+    few = F.broadcast(hot.select(F.col(key).alias("__hot")))
+    on = F.col(key) == F.col("__key")
+    on = on if also is None else on & also
+    at_hand = right.join(few, F.col("__key") == F.col("__hot"), "left_semi")
+    one = left.join(few, F.col(key) == F.col("__hot"), "left_semi").join(F.broadcast(at_hand), on, how)
+    two = left.join(few, F.col(key) == F.col("__hot"), "left_anti").join(right, on, how)
+    return one.unionByName(two).drop("__key") if how != "left_semi" else one.unionByName(two)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,8 +119,10 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], out: str, bucket
 
     Rows are dealt into hash buckets of the order columns; bucket counts give each bucket's offset
     and a window ranks inside key and bucket only. The rank follows bucket first, then ``order``; it is
-    the same on each run. Equal rows are interchangeable.
+    the same on each run. Equal rows are interchangeable; an empty table stays empty; a column named ``out`` is replaced.
     """
+    df = without(df, out)
+    buckets = max(buckets, buckets * RANK_SHARE * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // RANK_BUCKETS)
     b, base = f"__{out}_bucket", f"__{out}_base"
     hashed = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     counts = hashed.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("__n"))
@@ -128,7 +140,8 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     """Smallest node reachable by links: (node, component). ``nodes``: node; ``edges``: a, b (any order).
 
     Alternating large-star and small-star steps (map-side aggregated minima, joins on node): the number of
-    rounds grows with the logarithm of a component's diameter. Each round is checkpointed.
+    rounds grows with the logarithm of a component's diameter. Each round is checkpointed; it is an error if
+    they don't settle. Links to nodes that are not listed join the others all the same.
     """
     prepare(nodes.sparkSession)
     links = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).filter("lo <> hi").distinct().checkpoint()
@@ -147,6 +160,8 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
         links = new
         if done:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = links.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 

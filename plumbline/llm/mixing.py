@@ -16,11 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, ranked, stored
+from .common import forget, prepare, ranked, stored, without
 
 LIMIT = 3
 WORD = r"[^\x20\x09-\x0D]+"
-STEPS = 24
+#: Newton or halving steps after which it is an error not to have ended.
+STEPS = 200
 
 
 def targets(sources: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -52,12 +53,13 @@ def rates(counts: DataFrame, wanted: DataFrame, limit: int = LIMIT, steps: int =
     """Multipliers by Newton steps: (source, source_size, target, mean, lam).
 
     ``counts``: source, size, n. A step that leaves the bracket known to hold the root is replaced by halving.
-    Sources at their limit, or without words, need no step.
+    Sources at their limit, or without words, need no step; a source ends when its target is met or its bracket
+    has closed.
     """
     sums = counts.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean")).select(F.col("source").alias("k"), "mean")
     dual = wanted.join(sums, F.col("source").eqNullSafe(F.col("k")), "left").drop("k")
     idle = (F.col("source_size") == 0) | (F.col("target") >= F.col("source_size") * float(limit) * (1 - 1e-12))
-    dual = stored(dual.select("source", "source_size", "target", "mean", F.lit(0.0).alias("lam"), F.lit(-1e4).alias("low"), F.lit(1e4).alias("high"), idle.alias("done")), "dual")
+    dual = stored(dual.select("source", "source_size", "target", "mean", F.lit(0.0).alias("lam"), F.lit(-1e8).alias("low"), F.lit(1e8).alias("high"), idle.alias("done")), "dual")
     for _ in range(steps):
         open_ = dual.filter("not done").select(F.col("source").alias("k"), "lam", "mean")
         u = F.col("size") / F.col("mean")
@@ -71,17 +73,19 @@ def rates(counts: DataFrame, wanted: DataFrame, limit: int = LIMIT, steps: int =
         step = F.col("lam") - miss / F.when(F.col("slope") > 1e-12, F.col("slope"))
         inside = (step > low) & (step < high)
         new = F.when(F.coalesce(inside, F.lit(False)), step).otherwise((low + high) / 2)
-        done = F.col("done") | (F.abs(miss) <= tolerance * F.col("target"))
-        dual = stored(joined.select("source", "source_size", "target", "mean", F.when(done, F.col("lam")).otherwise(new).alias("lam"), F.when(done, F.col("low")).otherwise(low).alias("low"), F.when(done, F.col("high")).otherwise(high).alias("high"), done.alias("done")), "dual")
+        done = F.col("done") | (F.abs(miss) <= tolerance * F.col("target")) | (high - low <= 1e-9 * F.greatest(F.lit(1.0), F.abs("lam")))
+        before, dual = dual, stored(joined.select("source", "source_size", "target", "mean", F.when(done, F.col("lam")).otherwise(new).alias("lam"), F.when(done, F.col("low")).otherwise(low).alias("low"), F.when(done, F.col("high")).otherwise(high).alias("high"), done.alias("done")), "dual")
+        forget(before)
         if dual.filter("not done").isEmpty():
-            break
-    return dual
+            return dual
+    raise RuntimeError(f"the dual did not settle in {steps} steps")
 
 
 def copies_of_sizes(counts: DataFrame, dual: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Whole copies for each (source, size): adds ``copies``, to be dealt among its n documents.
 
-    Grouped by source over counts, so a group has one row for each distinct size and not for each document.
+    Grouped by source over counts, so a group has one row for each distinct size and not for each document. A
+    null source is a group of its own; no rows give none.
     """
     saturated = (F.col("target") >= F.col("source_size") * float(limit) * (1 - 1e-12)) & (F.col("source_size") > 0)
     d = dual.select(F.col("source").alias("k"), "target", "mean", "lam", saturated.alias("full"))
@@ -105,8 +109,10 @@ def copies_of_sizes(counts: DataFrame, dual: DataFrame, limit: int = LIMIT) -> D
 def mix(docs: DataFrame, size: str, source: str, key: list[str], limit: int = LIMIT) -> DataFrame:
     """Add source_size, target and copies (0 to ``limit``) to every row; ``key`` orders rows of equal size.
 
-    Null sources are a source of their own, the last. Sizes of 0 keep one copy. An empty table stays empty.
+    Null sources are a source of their own, the last. Sizes of 0 keep one copy. An empty table stays empty. Equal
+    rows are interchangeable; columns of the added names are replaced.
     """
+    docs = without(docs, *({"source_size", "target", "copies"} - {size, source, *key}))
     rows = docs.withColumn("__size", F.col(size).cast("long")).withColumn("__source", F.col(source))
     counts = stored(rows.groupBy(F.col("__source").alias("source"), F.col("__size").alias("size")).agg(F.count(F.lit(1)).alias("n")), "size-counts")
     wanted = targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), limit)
@@ -124,7 +130,11 @@ def word_count(text):
 
 
 def op3_entropy_mixing(spark, sf_dir: str) -> DataFrame:
-    """Mix all documents: whole copies whose words come near each source's target."""
+    """Mix all documents: whole copies whose words come near each source's target.
+
+    Null texts have size 0 and a null source is a source of its own; equal rows are interchangeable; an empty table
+    gives no row.
+    """
     prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("h"))
     out = mix(stored(docs, "mix-docs"), "size", "source", ["doc_id", "h"])

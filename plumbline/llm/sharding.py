@@ -13,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_text, prepare, ranked, stored
+from .common import HOT, crc_text, forget, hot_join, prepare, ranked, stored
 
 SHARDS = 24
 ROUNDS = 4
+#: Buckets in which groups of like size wait for a shard's quota.
+TURNS = 64
 
 
 def capacities(n: Column, shards: int, shard: Column) -> Column:
@@ -28,15 +30,18 @@ def shard_by_propagation(nodes: DataFrame, shards: int = SHARDS, rounds: int = R
     """Place rows of (node, link) into shards: adds ``shard``. ``node`` orders rows, ``link`` names a row's group.
 
     Rows with equal non-null links are neighbours; a null link means none. Repeated nodes are rows of their own.
-    An empty table stays empty. Groups larger than a shard are spread over as few shards as hold them.
+    An empty table stays empty. Groups larger than a shard are spread over as few shards as hold them. Only node and
+    link are read; the result has these and shard.
     """
+    nodes = nodes.select("node", "link")
     spark = nodes.sparkSession
     base = stored(ranked(nodes, [], [F.col("node"), F.col("link")], "pos"), "shard-nodes")
     n = base.count()
     grid = spark.range(shards).select(F.col("id").cast("int").alias("s"), capacities(F.lit(n), shards, F.col("id")).alias("cap"))
     least = max(1, n // shards)
-    sizes = base.filter("link is not null").groupBy("link").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    linked = base.join(sizes, "link", "left_semi")
+    sizes = stored(base.filter("link is not null").groupBy("link").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "shard-sizes")
+    hot = sizes.filter(F.col("m") * HOT > n).select("link")
+    linked = hot_join(base, sizes.select(F.col("link").alias("__key")), "link", hot, "left_semi")
     # the start: rows as they come, dealt out in order of their rank
     state = stored(linked.select("pos", "link", (F.col("pos") % shards).cast("int").alias("shard")), "shard-state")
     for _ in range(rounds):
@@ -50,20 +55,37 @@ def shard_by_propagation(nodes: DataFrame, shards: int = SHARDS, rounds: int = R
         share = F.ceil(F.col("m") / F.least(F.col("k"), F.lit(shards)))
         lack = targets.withColumn("want", F.greatest(share - F.col("c"), F.lit(0)))
         # quotas: a shard grants what its capacity leaves beside the members that stay, smaller groups first
-        turn = Window.partitionBy("shard").orderBy("m", F.xxhash64("link")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        granted = lack.join(grid.join(room, "s", "left"), F.col("shard") == F.col("s")).withColumn("run", F.sum("want").over(turn))
+        granted = _running(lack).join(F.broadcast(grid.join(room, "s", "left")), F.col("shard") == F.col("s"))  # one row a shard
         granted = granted.withColumn("quota", F.greatest(F.col("cap") - F.coalesce("stay", F.lit(0)), F.lit(0)))
         granted = granted.withColumn("grant", F.greatest(F.least(F.col("want"), F.col("quota") - (F.col("run") - F.col("want"))), F.lit(0)).cast("long")).filter("grant > 0")
         upto = Window.partitionBy("link").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        offers = granted.withColumn("hi", F.sum("grant").over(upto)).select(F.col("link").alias("l"), F.col("shard").alias("to"), "hi", (F.col("hi") - F.col("grant")).alias("lo"))
-        marked = state.join(wish.select(F.col("link").alias("wl"), F.col("shard").alias("ws"), (F.col("t") >= F.col("k")).alias("out")), (F.col("link") == F.col("wl")) & (F.col("shard") == F.col("ws"))).drop("wl", "ws")
+        offers = granted.withColumn("hi", F.sum("grant").over(upto)).select(F.col("link").alias("__key"), F.col("shard").alias("to"), "hi", (F.col("hi") - F.col("grant")).alias("lo"))
+        told = wish.select(F.col("link").alias("__key"), F.col("shard").alias("ws"), (F.col("t") >= F.col("k")).alias("out"))
+        marked = stored(hot_join(state, told, "link", hot, also=F.col("shard") == F.col("ws"), per_key=shards).drop("ws"), "shard-marked")
         asking = ranked(marked.filter("out").drop("out"), ["link"], [F.col("pos")], "ask", 64)
-        moved = asking.join(offers, (F.col("link") == F.col("l")) & (F.col("ask") >= F.col("lo")) & (F.col("ask") < F.col("hi")), "left")
+        moved = hot_join(asking, offers, "link", hot, "left", (F.col("ask") >= F.col("lo")) & (F.col("ask") < F.col("hi")), shards)
         moved = moved.select("pos", "link", F.coalesce("to", "shard").alias("shard"))
-        state = stored(marked.filter("not out").select("pos", "link", "shard").unionByName(moved), "shard-state")
+        before, state = state, stored(marked.filter("not out").select("pos", "link", "shard").unionByName(moved), "shard-state")
+        forget(before)
+        forget(marked)
     return _settle(base, state, grid)
 
 
+def _running(lack: DataFrame) -> DataFrame:
+    """Add ``run``, the running sum of ``want`` in each shard, smaller groups first, without a window over a whole shard.
+
+    Groups of like size (powers of two) are dealt into TURNS buckets by a hash; buckets are summed first, so a window
+    holds one bucket of one shard. At most shards * 64 * TURNS sums are broadcast.
+    """
+    dealt = lack.withColumn("g", (F.floor(F.log2(F.col("m").cast("double"))) * TURNS + F.pmod(F.xxhash64("link"), F.lit(TURNS))).cast("int"))
+    sums = dealt.groupBy(F.col("shard").alias("gs"), F.col("g").alias("gg")).agg(F.sum("want").alias("w"))
+    before = Window.partitionBy("gs").orderBy("gg").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("gs", "gg", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("base"))
+    turn = Window.partitionBy("shard", "g").orderBy("m", F.xxhash64("link")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = dealt.withColumn("own", F.sum("want").over(turn))
+    return inner.join(F.broadcast(bases), (F.col("shard") == F.col("gs")) & (F.col("g") == F.col("gg"))).withColumn("run", F.col("own") + F.col("base")).drop("gs", "gg", "base", "own", "g")
+
+
 def _settle(base: DataFrame, state: DataFrame, grid: DataFrame) -> DataFrame:
     """Give every shard exactly its capacity: linked rows beyond it yield, unlinked rows take the room left."""
     over = ranked(state, ["shard"], [F.xxhash64("link"), F.col("pos")], "r")
@@ -78,7 +100,11 @@ def _settle(base: DataFrame, state: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def op2_label_propagation(spark, sf_dir: str) -> DataFrame:
-    """All documents in 24 shards of equal row counts; documents with equal texts are linked."""
+    """All documents in 24 shards of equal row counts; documents with equal texts are linked.
+
+    Null texts are linked with nothing, empty ones with each other; a null doc_id comes first; equal rows are
+    interchangeable; an empty table gives no row.
+    """
     prepare(spark)
     text = F.col("text")
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long")
