@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, map_arrow, prepare, shared_path
+from .common import extended, hot_join, hot_keys, map_arrow, prepare, shared_path, stored, without
 
 WIDTH = 192
 PAD = b" "
@@ -30,26 +30,19 @@ STORE_SCHEMA = "digest string, n_bytes long, media binary"
 
 _MEDIA = {"img", "audio", "video", "source", "embed"}
 _BLOCK = {"p", "div", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "table", "tr", "td", "th", "br", "hr", "figure", "blockquote", "pre", "nav", "footer", "header", "body", "title", "main", "aside"}
-_SILENT = {"script", "style", "template", "noscript"}
+#: What stands in these is not shown as text; without an end, a template hides nothing.
+_SILENT = {"script", "style", "template"}
 _SPACE = re.compile(r"\s+")
 
 
 class _Sequence(HTMLParser):
+    """Items in page order. ``figures`` holds, for each open figure, where its items begin and its captions so far."""
+
     def __init__(self, scheme: str):
         super().__init__(convert_charrefs=True)
-        self.scheme, self.items, self.held, self.caption, self.silent, self.since, self.inner = scheme, [], [], None, 0, 0, 0
-
-    def close_caption(self) -> None:
-        """End an open caption: it belongs to every medium of its figure so far; without one it stays as text."""
-        if self.caption is None:
-            return
-        text = _SPACE.sub(" ", "".join(self.caption)).strip() or None
-        media = [item for item in self.items[self.since :] if item[0] == "media"]
-        self.caption = None
-        for item in media:
-            item[3] = text
-        if text and not media:
-            self.items.append(["text", text, None, None])
+        self.scheme, self.items, self.held, self.caption, self.inner = scheme, [], [], None, 0
+        self.figures: list[tuple[int, list[str]]] = []
+        self.silent, self.hidden = [], []
 
     def _flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.held)).strip()
@@ -57,9 +50,36 @@ class _Sequence(HTMLParser):
         if text:
             self.items.append(["text", text, None, None])
 
+    def close_caption(self) -> None:
+        """End an open caption: it waits for its figure's end; outside a figure it belongs to the medium just before it, or is text."""
+        if self.caption is None:
+            return
+        text, self.caption = _SPACE.sub(" ", "".join(self.caption)).strip(), None
+        if not text:
+            return
+        if self.figures:
+            self.figures[-1][1].append(text)
+        elif self.items and self.items[-1][0] == "media":
+            self.items[-1][3] = text
+        else:
+            self.items.append(["text", text, None, None])
+
+    def close_figure(self) -> None:
+        """A figure's captions, in order, go to all its media, before or after them; without a medium they are text."""
+        self.close_caption()
+        self._flush()
+        if not self.figures:
+            return
+        since, captions = self.figures.pop()
+        media = [item for item in self.items[since:] if item[0] == "media"]
+        for item in media if captions else ():
+            item[3] = " ".join(captions)
+        if not media:
+            self.items += [["text", text, None, None] for text in captions]
+
     def handle_starttag(self, tag, attrs):
         if tag in _SILENT:
-            self.silent += 1
+            self.silent.append(tag)
         elif tag == "figcaption":
             self.close_caption()
             self._flush()
@@ -67,56 +87,80 @@ class _Sequence(HTMLParser):
         elif tag in _MEDIA:
             given = dict(attrs)
             src = given.get("src") or ""
-            if src:
+            if src and not self.silent:
                 self._flush()
                 self.items.append(["media", None, src.removeprefix(self.scheme), given.get("alt") or None])
+        elif tag == "figure":
+            self.close_figure()  # figures don't nest here: a new one ends the one before
+            self.figures.append((len(self.items), []))
         elif tag in _BLOCK:
-            if tag == "figure":
-                self.close_caption()
-            elif self.caption is not None:  # blocks may stand inside a caption
+            if self.caption is not None:  # blocks may stand inside a caption
                 self.caption.append(" ")
                 self.inner += tag not in ("br", "hr")
             self._flush()
-            if tag == "figure":
-                self.since = len(self.items)
 
     def handle_endtag(self, tag):
         if tag in _SILENT:
-            self.silent = max(0, self.silent - 1)
+            if tag in self.silent:
+                while self.silent.pop() != tag:
+                    pass
+                if not self.silent:
+                    self.hidden = []
         elif tag == "figcaption":
             self.close_caption()
+        elif tag == "figure":
+            self.close_figure()
+            self.inner = 0
         elif tag in _BLOCK:
             if self.caption is not None:
-                if tag == "figure" or not self.inner:  # an end of a block that began outside
+                if not self.inner:  # an end of a block that began outside
                     self.close_caption()
                 else:
                     self.caption.append(" ")
                     self.inner -= 1
             self._flush()
-            if tag == "figure":
-                self.since = len(self.items)
 
     def handle_data(self, data):
-        if self.caption is not None:
+        if self.silent:
+            if self.silent[-1] == "template":
+                self.hidden.append(data)
+        elif self.caption is not None:
             self.caption.append(data)
-        elif not self.silent:
+        else:
             self.held.append(data)
 
+    def finish(self) -> list:
+        self.close()
+        if self.silent:  # a template that never ended
+            self.silent, left = [], "".join(self.hidden)
+            self.handle_data(" " + left)
+        while self.figures:
+            self.close_figure()
+        self.close_caption()
+        self._flush()
+        return self.items
+
 
 def sequence(html: str | None, scheme: str = "sha256:") -> list[dict]:
-    """Ordered items of one HTML text; positions count from 0. Null or empty HTML has none."""
+    """Ordered items of one HTML text; positions count from 0. Null or empty HTML has none.
+
+    A caption stands with every medium of its figure, on whichever side; one outside a figure with the medium just
+    before it; else it is text. All shown text is kept, also where tags have no end.
+    """
     if not html:
         return []
     p = _Sequence(scheme)
     p.feed(html)
-    p.close()
-    p.close_caption()
-    p._flush()
-    return [{"position": i, "kind": k, "text": t, "digest": d, "caption": c} for i, (k, t, d, c) in enumerate(p.items)]
+    return [{"position": i, "kind": k, "text": t, "digest": d, "caption": c} for i, (k, t, d, c) in enumerate(p.finish())]
 
 
 def parse_html(df: DataFrame, html: str = "html", out: str = "items", scheme: str = "sha256:") -> DataFrame:
-    """Add ``out``, the ordered items of the HTML column. Other columns stay; null gives an empty array."""
+    """Add ``out``, the ordered items of the HTML column. Other columns stay, one of that name is replaced.
+
+    Null and empty HTML give an empty array; repeated rows stay; an empty table stays empty.
+    """
+    if out != html:
+        df = without(df, out)
     at = df.columns.index(html)
 
     def run(batches):
@@ -158,7 +202,10 @@ def features(payload: bytes) -> str:
 
 
 def write_store(docs: DataFrame, path: str, text: str = "text") -> None:
-    """Store every text's payload as a graymap keyed by the payload's digest; copies within a batch once."""
+    """Store every text's payload as a graymap keyed by the payload's digest; copies within a batch once.
+
+    Null is the empty text; a very long text is one graymap of many rows; an empty table writes no form.
+    """
     at = docs.columns.index(text)
     schema = pa.schema([("digest", pa.string()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
@@ -176,7 +223,10 @@ def write_store(docs: DataFrame, path: str, text: str = "text") -> None:
 
 
 def read_store(spark, path: str) -> DataFrame:
-    """What each stored form holds, computed from the bytes read back: one row for each digest."""
+    """What each stored form holds, computed from the bytes read back: one row for each digest; none from an empty store.
+
+    A stored form that is no graymap of 8 bits raises.
+    """
     names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
@@ -196,19 +246,25 @@ def read_store(spark, path: str) -> DataFrame:
 def resolve(sequences: DataFrame, store: DataFrame, keys: list[str], items: str = "items") -> DataFrame:
     """One row for each item, in order, with its medium's columns (null where none is found or it is text).
 
-    ``store`` has one row for each digest; only its small columns should be passed, not the payloads.
+    ``store`` has one row for each digest; only its small columns should be passed, not the payloads. Rows of
+    digests that very many items share stay where they are. A row without items keeps one row of nulls.
     """
-    flat = sequences.select(*keys, F.explode_outer(items).alias("__i")).select(*keys, "__i.*")
-    return flat.join(store, "digest", "left")
+    flat = stored(sequences.select(*keys, F.explode_outer(items).alias("__i")).select(*keys, "__i.*"), "media-items")
+    hot = hot_keys(flat, "digest", flat.count())
+    return hot_join(flat, store.withColumnRenamed("digest", "__key"), "digest", hot, "left")
 
 
 def document_html(text, key):
-    """A page that holds a document as its medium, with a caption that names it."""
-    return f'<article><figure><img src="sha256:{key}" alt=""><figcaption>{escape(text)}</figcaption></figure></article>'
+    """A page that names a document, shows it as its medium with a caption, and ends with its digest's head."""
+    return f'<article><p>{escape(text)}</p><figure><img src="sha256:{key}" alt=""><figcaption>{escape(text)}</figcaption></figure><p>{key[:8]}</p></article>'
 
 
 def op1_media_sequences(spark, sf_dir: str) -> DataFrame:
-    """Every document becomes a page that refers to its text as a medium; pages are parsed and references resolved."""
+    """Every document becomes a page that refers to its text as a medium between text blocks; pages are parsed and references resolved.
+
+    Null and empty texts have one row of spaces as payload; a null doc_id is named None; repeated rows stay; an empty
+    table gives no row.
+    """
     prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = shared_path(spark, "media")
