@@ -12,7 +12,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import extended, map_arrow, prepare, texts_of
+from .common import extended, map_arrow, prepare, texts_of, without
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _MARK = re.compile(r"<<(.*?)>>", re.S)
@@ -24,17 +24,54 @@ PHRASES = [
     ("general public license", "gpl"),
 ]
 
-#: License notices as templates. var: up to ``max`` words that match.
+#: License notices and texts as templates. var: up to ``max`` words that match. An "-opening" is a
+#: license's first sentence alone; the "-text" templates hold all mandatory wording of the license.
+_SUBJECT = '<<beginOptional>>this <<var;match="work|project|software|code|program";max=1>> is<<endOptional>> '
+_DISCLAIMED = """this software is provided <<var;match="by|the|copyright|holders|and|contributors|author|authors|regents";max=6>> as is and any express
+or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose
+are disclaimed in no event shall <<var;match=".+";max=8>> be liable for any direct indirect incidental special exemplary or consequential
+damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption
+however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising
+in any way out of the use of this software even if advised of the possibility of such damage"""
+_CONDITIONS = """redistribution and use in source and binary forms with or without modification are permitted provided that the following
+conditions are met <<beginOptional>>1<<endOptional>> redistributions of source code must retain the above copyright notice this list of conditions and the
+following disclaimer <<beginOptional>>2<<endOptional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the
+following disclaimer in the documentation and or other materials provided with the distribution"""
 TEMPLATES = [
-    ("mit-notice", '<<beginOptional>>this <<var;match="work|project|software|code|program";max=1>> is<<endOptional>> released under the mit license'),
+    ("mit-notice", _SUBJECT + "released under the mit license"),
     ("mit-notice", "licensed under the mit license"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<beginOptional>>the software<<endOptional>> to deal in the software without restriction"),
-    ("apache-notice", '<<beginOptional>>this <<var;match="work|project|software|code|program";max=1>> is<<endOptional>> licensed under the apache license version <<var;match="[0-9]+";max=3>>'),
-    ("gpl-notice", '<<beginOptional>>this <<var;match="work|project|software|code|program";max=1>> is<<endOptional>> licensed under the <<beginOptional>>gnu<<endOptional>> general public license <<beginOptional>>version <<var;match="v?[0-9]+";max=2>><<endOptional>>'),
-    ("gpl-text", "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("cc-by-nc-notice", '<<beginOptional>>this <<var;match="work|project|software|code|program";max=1>> is<<endOptional>> licensed under <<beginOptional>>a<<endOptional>> cc by nc <<beginOptional>><<var;match="[0-9]+";max=2>><<endOptional>>'),
-    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc-text", "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted"),
+    ("mit-opening", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<beginOptional>>the software<<endOptional>> to deal in the software without restriction"),
+    ("mit-text", """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+<<beginOptional>>the software<<endOptional>> to deal in the software without restriction including without limitation the rights to use copy modify merge
+publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the
+following conditions the above copyright notice and this permission notice <<beginOptional>>including the next paragraph<<endOptional>> shall be included in all
+copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not
+limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall
+<<var;match=".+";max=6>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising
+from out of or in connection with the software or the use or other dealings in the software"""),
+    ("apache-notice", _SUBJECT + 'licensed under the apache license version <<var;match="[0-9]+";max=3>>'),
+    ("apache-text", """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
+you may obtain a copy of the license at <<var;match=".+";max=8>> unless required by applicable law or agreed to in writing software distributed
+under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the
+specific language governing permissions and limitations under the license"""),
+    ("gpl-notice", _SUBJECT + 'licensed under the <<beginOptional>>gnu<<endOptional>> general public license <<beginOptional>>version <<var;match="v?[0-9]+";max=2>><<endOptional>>'),
+    ("gpl-opening", "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl-text", """is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software
+foundation either version <<var;match="[0-9]+";max=1>> of the license or at your option any later version
+<<var;match=".+";max=4>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or
+fitness for a particular purpose see the gnu general public license for more details"""),
+    ("cc-by-nc-notice", _SUBJECT + 'licensed under <<beginOptional>>a<<endOptional>> cc by nc <<beginOptional>><<var;match="[0-9]+";max=2>><<endOptional>>'),
+    ("bsd-opening", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-2-text", _CONDITIONS + " " + _DISCLAIMED),
+    ("bsd-3-text", _CONDITIONS + """ <<beginOptional>>3<<endOptional>> neither the name of <<var;match=".+";max=10>> may be used to endorse or promote products derived
+from this software without specific prior written permission """ + _DISCLAIMED),
+    ("isc-opening", "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc-text", """permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted
+provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and
+<<var;match=".+";max=4>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness
+in no event shall <<var;match=".+";max=4>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of
+use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of
+this software"""),
 ]
 
 
@@ -207,9 +244,12 @@ _KINDS = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struc
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
     """Add COLUMNS to rows with a text (null: empty). Score: 1 where a template is accepted, 0.5 for phrases alone, else 0.
 
-    No place found: 0 places, null first and last word, empty labels.
+    No place found: 0 places, null first and last word, empty labels. Other columns stay, ones of these names are
+    replaced; repeated rows stay; an empty table stays empty. Overlapping places all count.
     """
-    at, added = docs.columns.index("text"), [x.split()[0] for x in COLUMNS.split(", ")]
+    added = [f.name for f in extended(docs.select(), COLUMNS).fields]
+    docs = without(docs, *added)
+    at = docs.columns.index("text")
 
     def run(batches):
         scanner = Scanner(templates, phrases)
@@ -227,7 +267,11 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> Data
 
 
 def op9_license_templates(spark, sf_dir: str) -> DataFrame:
-    """Scan all documents for license phrases and templates."""
+    """Scan all documents for license phrases and templates.
+
+    Null and empty texts have no words and empty labels; a null doc_id and repeated rows stay; an empty table gives no
+    row.
+    """
     prepare(spark)
     out = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
