@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, map_arrow, prepare, stored, worker_model
+from .common import HOT, components, hot_join, map_arrow, prepare, stored, worker_model
 
 WORDS, PERCENT = 5, 80
 #: Counters of the sketch: a power of two. Its size does not depend on the data.
@@ -307,7 +307,8 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     # (a list of one node has no pair)
     hubs = lists.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct((F.col("r") / F.col("n")).alias("q"), "key", "n")).alias("hub"), F.min("n").alias("least")).filter("m > 1")
     best = F.col("r") / (F.col("n") + F.greatest("least", "r") - F.col("r"))
-    listed = stored(lists.join(hubs, "token").filter(best * 100 >= percent - 1e-6).select("token", "key", "n", "r", "m", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n")), "jaccard-listed")
+    hot = hubs.filter(F.col("m") * HOT > lists.count()).select("token")
+    listed = stored(hot_join(lists, hubs.withColumnRenamed("token", "__key"), "token", hot).filter(best * 100 >= percent - 1e-6).select("token", "key", "n", "r", "m", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n")), "jaccard-listed")
     near = (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent) & (F.col("key") != F.col("hub"))
     spokes = listed.filter(near).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
     first = stored(_verify(spokes, sets, percent), "jaccard-spokes")
