@@ -216,7 +216,7 @@ def predict(model: Model, texts: list[str], groups: list[Model] | None = None) -
         other = np.minimum(np.maximum(low, least), np.minimum(other, second))
         tags = np.where(least < low, np.array(p.langs, object)[best], tags)
         low = np.minimum(low, least)
-    score = np.where(letters, np.clip(1 - low / other, 0, 1), 0.0)
+    score = np.where(letters, np.clip(1 - low / np.where(letters, other, 1), 0, 1), 0.0)
     return [t if ok else UNKNOWN for t, ok in zip(tags, letters)], score
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import extended, map_arrow, prepare, ranked, stored, texts_of
+from .common import extended, map_arrow, prepare, ranked, stored, texts_of, without
 from .tokens import default_path, encoder
 
 CAPACITY = 4096
@@ -203,10 +203,12 @@ def place(p: Plan, length: np.ndarray, rank: np.ndarray) -> np.ndarray:
 def pack(items: DataFrame, ids: list[str], capacity: int = CAPACITY, groups: int = GROUPS, small: float = SMALL) -> DataFrame:
     """Add sequence_id and offset to rows with a ``length`` of 1 to capacity. ``ids`` name the rows' order.
 
-    An empty table gives an empty one. Equal lengths are interchangeable. Collected to the driver: one
-    count for each length, so at most ``capacity`` rows at any input size.
+    An empty table gives an empty one. Equal lengths are interchangeable, repeated rows are packed each. Columns
+    named sequence_id or offset are replaced. A length that is null or outside 1 to capacity raises. Collected to
+    the driver: one count for each length, so at most ``capacity`` rows at any input size.
     """
-    hist = {int(r["length"]): int(r["n"]) for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    items = without(items, "sequence_id", "offset")
+    hist = {int(r["length"] or 0): int(r["n"]) for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).orderBy("length").limit(capacity + 2).collect()}
     if any(not 1 <= n <= capacity for n in hist):
         raise ValueError("a length is outside 1 to capacity")
     made = items.sparkSession.sparkContext.broadcast(plan(hist, capacity, groups, small))
@@ -246,7 +248,11 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, kind: str = "word", e
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    """All documents, tokenized and packed into sequences of at most 4096 tokens."""
+    """All documents, tokenized and packed into sequences of at most 4096 tokens.
+
+    Null and empty texts are the end id alone; only longer documents are cut; repeated rows are packed each; an empty
+    table gives no row.
+    """
     prepare(spark)
     cut = stored(pieces(spark.read.parquet(f"{sf_dir}/documents.parquet")), "pieces")
     return pack(cut, ["doc_id", "piece", "ids_crc32"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
