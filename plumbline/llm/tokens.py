@@ -9,16 +9,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from .common import worker_model
 
-#: Chunks, and letter runs inside them, that a generation of a worker's cache holds. Beyond that the generation
-#: before is dropped, so memory stays bounded and what recurs stays known.
-CACHE_CHUNKS, CACHE_PIECES = 500_000, 400_000
+#: Chunks that a worker knows (beyond that only those of the last lot stay), and letter runs inside them, which are
+#: held apart (beyond that the generation before is dropped). So memory stays bounded and what recurs stays known.
+KNOWN_CHUNKS, CACHE_PIECES = 1_000_000, 300_000
 
 #: Bytes of text whose chunks are found at a time; a longer text makes a longer lot.
-LOT = 4_000_000
+LOT = 12_000_000
 
 #: White space beyond ASCII.
 _WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -41,27 +42,12 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Cache(dict):
-    """Chunk, as UTF-8, to ids; a missing chunk is encoded when it is asked for."""
-
-    def __init__(self, owner: ChunkEncoder):
-        self.owner, self.before = owner, {}
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.before.get(chunk)
-        ids = self[chunk] = self.owner.chunk(chunk.decode()) if ids is None else ids
-        return ids
-
-    def age(self) -> None:
-        self.before = dict(self)
-        self.clear()
-
-
 class ChunkEncoder:
     """Encodes whole texts exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
     kind "word": white space separates pieces and is dropped; kind "byte": byte-level pieces with their
-    leading space. The chunks of many texts are found at once on their bytes, and only distinct ones are looked up.
+    leading space. The chunks of many texts are found at once on their bytes, distinct ones are looked up together
+    in a sorted-out store of known chunks, and only new ones are encoded.
     Texts that hold the string of an added token, or white space on which the rules differ, go to the library as
     a whole.
     """
@@ -71,7 +57,8 @@ class ChunkEncoder:
         self.lib = Tokenizer.from_file(path)
         self.model, self.kind = self.lib.model, kind
         self.odd = [*_ODD, *(x.content for x in self.lib.get_added_tokens_decoder().values())]
-        self.cache = _Cache(self)
+        self.known = pa.array([b"\xff"], pa.binary())  # the end of a text, which has no ids
+        self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(1, np.int32)
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -119,31 +106,46 @@ class ChunkEncoder:
         starts = np.flatnonzero(first)
         offsets = np.append(starts, len(x)).astype(np.int32)
         chunks = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.age()
+        which = self._look_up(chunks.dictionary)[chunks.indices.to_numpy()]
+        begins = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        n = self.sizes[which]
+        upto = np.cumsum(n, dtype=np.int64)
+        ids = np.repeat(begins[which] - upto + n, n)
+        ids += np.arange(len(ids))
+        return self.flat[ids], upto[end[starts]].tolist()
+
+    def _look_up(self, distinct: pa.Array) -> np.ndarray:
+        """The place of each chunk among the known ones; new ones are encoded and become known."""
         if len(self.pieces) > CACHE_PIECES:
             self.older, self.pieces = self.pieces, {}
-        known = [b"" if c == b"\xff" else self.cache[c] for c in chunks.dictionary.to_pylist()]
-        flat = np.frombuffer(b"".join(known), "<u4")
-        sizes = np.array([len(k) // 4 for k in known], np.int64)
-        begins = np.cumsum(sizes) - sizes
-        which = chunks.indices.to_numpy()
-        n = sizes[which]
-        upto = np.cumsum(n)
-        ids = flat[np.repeat(begins[which] - upto + n, n) + np.arange(upto[-1])]
-        return ids, upto[end[starts]].tolist()
+        at = pc.index_in(distinct, value_set=self.known)
+        new = distinct.filter(pc.is_null(at))
+        made = [self.chunk(c.decode()) for c in new.to_pylist()]
+        at = pc.fill_null(at, -1).to_numpy()
+        place = np.where(at < 0, len(self.known) - 1 + np.cumsum(at < 0), at)
+        self.known = pa.concat_arrays([self.known, new])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(made), "<u4")])
+        self.sizes = np.concatenate([self.sizes, np.array([len(x) // 4 for x in made], np.int32)])
+        if len(self.known) > KNOWN_CHUNKS:
+            ends = np.cumsum(self.sizes, dtype=np.int64)
+            n = self.sizes[place]
+            upto = np.cumsum(n, dtype=np.int64)
+            self.flat = self.flat[np.repeat((ends - self.sizes)[place] - upto + n, n) + np.arange(n.sum())]
+            self.known, self.sizes, place = distinct, n, np.arange(len(distinct))
+        return place
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
 
     def chunk(self, c: str) -> bytes:
-        """The ids of a chunk that the cache doesn't hold."""
-        if self.kind == "word" and c.isspace():
-            return b""
+        """The ids of a chunk that is not known."""
         core = c.rstrip(_MARKS)
-        head = core.lower() if self.kind == "word" else core
-        ids = self.pieces.get(head)
-        if ids is None or self.kind == "word":
+        word = self.kind == "word"
+        head = core.lower() if word else core
+        ids = self.pieces.get(head) or self.older.get(head)
+        if ids is None or word:
+            if word and c.isspace():
+                return b""
             if not ((core.isalpha() or core[1:].isalpha() and core[0] == " ") and (core.isascii() or max(core) < "\u0250")):
                 return self._whole(c)
             ids = ids or self._piece(head)
@@ -154,9 +156,6 @@ class ChunkEncoder:
 
     def _piece(self, piece: str) -> bytes:
         """A letter run or a punctuation run: the pre-tokenizer would leave it whole."""
-        if piece in self.older:
-            held = self.pieces[piece] = self.older[piece]
-            return held
         shown = piece.replace(" ", "\u0120") if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOWN)
         held = self.pieces[piece] = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
         return held
