@@ -16,10 +16,10 @@ from .common import worker_model
 
 #: Chunks that a worker knows (beyond that only those of the last lot stay), and letter runs inside them, which are
 #: held apart (beyond that the generation before is dropped). So memory stays bounded and what recurs stays known.
-KNOWN_CHUNKS, CACHE_PIECES = 1_000_000, 300_000
+KNOWN_CHUNKS, CACHE_PIECES = 600_000, 150_000
 
 #: Bytes of text whose chunks are found at a time; a longer text makes a longer lot.
-LOT = 12_000_000
+LOT = 5_000_000
 
 #: White space beyond ASCII.
 _WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -107,12 +107,19 @@ class ChunkEncoder:
         offsets = np.append(starts, len(x)).astype(np.int32)
         chunks = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
         which = self._look_up(chunks.dictionary)[chunks.indices.to_numpy()]
-        begins = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        del chunks, first, space
+        ids, upto = self._gather(which)
+        return ids, upto[end[starts]].tolist()
+
+    def _gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known chunks one after the other, and where those of each end."""
         n = self.sizes[which]
-        upto = np.cumsum(n, dtype=np.int64)
-        ids = np.repeat(begins[which] - upto + n, n)
-        ids += np.arange(len(ids))
-        return self.flat[ids], upto[end[starts]].tolist()
+        kind = np.int32 if int(n.sum(dtype=np.int64)) < 1 << 31 else np.int64
+        upto = np.cumsum(n, dtype=kind)
+        begins = (np.cumsum(self.sizes, dtype=np.int64) - self.sizes).astype(kind)
+        at = np.repeat(begins[which] - upto + n, n)
+        at += np.arange(len(at), dtype=kind)
+        return self.flat[at], upto
 
     def _look_up(self, distinct: pa.Array) -> np.ndarray:
         """The place of each chunk among the known ones; new ones are encoded and become known."""
@@ -127,11 +134,8 @@ class ChunkEncoder:
         self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(made), "<u4")])
         self.sizes = np.concatenate([self.sizes, np.array([len(x) // 4 for x in made], np.int32)])
         if len(self.known) > KNOWN_CHUNKS:
-            ends = np.cumsum(self.sizes, dtype=np.int64)
-            n = self.sizes[place]
-            upto = np.cumsum(n, dtype=np.int64)
-            self.flat = self.flat[np.repeat((ends - self.sizes)[place] - upto + n, n) + np.arange(n.sum())]
-            self.known, self.sizes, place = distinct, n, np.arange(len(distinct))
+            self.flat, _ = self._gather(place)
+            self.known, self.sizes, place = distinct, self.sizes[place], np.arange(len(distinct))
         return place
 
     def _whole(self, text: str) -> bytes:
