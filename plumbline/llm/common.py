@@ -80,6 +80,7 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     prepare(df.sparkSession)
 
     def run(batches):
+        large_apart()
         yield from fn(batches)
         give_back()
 
@@ -97,6 +98,13 @@ def worker_model(key, make):
     return _MODEL[key]
 
 
+def large_apart(bytes_: int = 4 << 20) -> None:
+    """Let large arrays live outside the heap, so that they go back to the system when they are freed."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)  # glibc only
+    if mallopt:
+        mallopt(-3, bytes_)  # M_MMAP_THRESHOLD
+
+
 def give_back() -> None:
     """Return what a finished task freed to the system: idle workers stay alive beside the next stage's."""
     pa.default_memory_pool().release_unused()
@@ -114,6 +122,12 @@ def texts_of(column) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def each_text(column, rows: int = 500):
+    """The same one by one, a few rows at a time."""
+    for at in range(0, len(column), rows):
+        yield from texts_of(column.slice(at, rows))
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[Column], out: str, buckets: int = RANK_BUCKETS) -> DataFrame:
     """Add a gapless rank from 0 within ``keys``, without one task ever holding a whole key.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import extended, map_arrow, prepare, ranked, stored, texts_of, without
+from .common import each_text, extended, map_arrow, prepare, ranked, stored, without
 from .tokens import default_path, encoder
 
 CAPACITY = 4096
@@ -236,7 +236,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, kind: str = "word", e
         enc = encoder(vocabulary, kind)
         for b in batches:
             rows = []
-            for doc, raw in zip(b.column(0).to_pylist(), enc.stream(texts_of(b.column(1)))):
+            for doc, raw in zip(b.column(0).to_pylist(), enc.stream(each_text(b.column(1)))):
                 raw += end
                 for k, at in enumerate(range(0, len(raw), capacity * 4)):
                     part = raw[at : at + capacity * 4]

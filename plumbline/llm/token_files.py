@@ -11,17 +11,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import map_arrow, prepare, shared_path, texts_of
-from .tokens import default_path, encoder
+from .common import each_text, map_arrow, prepare, shared_path
+from .tokens import Room, default_path, encoder
 
 #: Ids after which a frame is closed; a frame holds whole documents, so only a longer document exceeds it.
 FRAME_IDS = 1 << 21
 
+#: A worker that only writes files may hold more than one that shares its machine with a pipeline's stages.
+ROOM = Room(lot=12_000_000, known=1_000_000, runs=300_000)
+
 FRAME_SCHEMA = "part int, frame int, base long, n long, doc_ids array<long>, lengths array<long>, freq_table binary, states binary, starts binary, words binary, word_crcs binary, id_crcs binary"
 _FIELDS = pa.schema([("part", pa.int32()), ("frame", pa.int32()), ("base", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), *[(k, pa.binary()) for k in ("freq_table", "states", "starts", "words", "word_crcs", "id_crcs")]])
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, kind: str = "byte", end_id: int = 0, frame_ids: int = FRAME_IDS) -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, kind: str = "byte", end_id: int = 0, frame_ids: int = FRAME_IDS, room: Room = ROOM) -> None:
     """Encode doc_id, text and write frames under ``path`` in ascending doc_id order (null first).
 
     Null text is the empty text (just the end id). Repeated doc_ids are kept, ordered by their text's hash;
@@ -32,7 +35,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     end = np.array([end_id], "<u4").tobytes()
 
     def frames(batches):
-        enc, part = encoder(vocabulary, kind), TaskContext.get().partitionId()
+        enc, part = encoder(vocabulary, kind, room), TaskContext.get().partitionId()
         held, ids, size, base, frame = [], [], 0, 0, 0
 
         def close():
@@ -40,7 +43,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
             return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip([part, frame, base, coded.n, held, [len(x) // 4 for x in ids], coded.table, coded.states, coded.starts, coded.words, coded.word_crcs, coded.id_crcs], _FIELDS)], schema=_FIELDS)
 
         for b in batches:
-            for doc, coded in zip(b.column(0).to_pylist(), enc.stream(texts_of(b.column(1)))):
+            for doc, coded in zip(b.column(0).to_pylist(), enc.stream(each_text(b.column(1)))):
                 coded += end
                 held.append(doc)
                 ids.append(coded)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,19 @@ from tokenizers import Tokenizer
 
 from .common import worker_model
 
-#: Chunks that a worker knows (beyond that only those of the last lot stay), and letter runs inside them, which are
-#: held apart (beyond that the generation before is dropped). So memory stays bounded and what recurs stays known.
-KNOWN_CHUNKS, CACHE_PIECES = 600_000, 150_000
+@dataclass(frozen=True)
+class Room:
+    """What a worker may hold; results don't depend on it.
+
+    lot: bytes of text whose chunks are found at a time (a longer text makes a longer lot); known: chunks whose ids
+    are known (beyond that only those of the last lot stay); runs: letter runs inside them (beyond that the
+    generation before is dropped).
+    """
+
+    lot: int = 3_000_000
+    known: int = 300_000
+    runs: int = 100_000
 
-#: Bytes of text whose chunks are found at a time; a longer text makes a longer lot.
-LOT = 5_000_000
 
 #: White space beyond ASCII.
 _WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -52,10 +60,10 @@ class ChunkEncoder:
     a whole.
     """
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, room: Room = Room()):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.lib = Tokenizer.from_file(path)
-        self.model, self.kind = self.lib.model, kind
+        self.model, self.kind, self.room = self.lib.model, kind, room
         self.odd = [*_ODD, *(x.content for x in self.lib.get_added_tokens_decoder().values())]
         self.known = pa.array([b"\xff"], pa.binary())  # the end of a text, which has no ids
         self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(1, np.int32)
@@ -66,7 +74,7 @@ class ChunkEncoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         return list(self.stream(texts))
 
-    def stream(self, texts: list[str]) -> Iterator[bytes]:
+    def stream(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The same one by one, in order, while few texts at a time are held as ids."""
         held, size = [], 0
         for text in texts:
@@ -74,7 +82,7 @@ class ChunkEncoder:
             raw = text if odd else text.encode()
             held.append((odd, raw))
             size += len(raw)
-            if size >= LOT:
+            if size >= self.room.lot:
                 yield from self._lot(held)
                 held, size = [], 0
         yield from self._lot(held)
@@ -123,7 +131,7 @@ class ChunkEncoder:
 
     def _look_up(self, distinct: pa.Array) -> np.ndarray:
         """The place of each chunk among the known ones; new ones are encoded and become known."""
-        if len(self.pieces) > CACHE_PIECES:
+        if len(self.pieces) > self.room.runs:
             self.older, self.pieces = self.pieces, {}
         at = pc.index_in(distinct, value_set=self.known)
         new = distinct.filter(pc.is_null(at))
@@ -133,7 +141,7 @@ class ChunkEncoder:
         self.known = pa.concat_arrays([self.known, new])
         self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(made), "<u4")])
         self.sizes = np.concatenate([self.sizes, np.array([len(x) // 4 for x in made], np.int32)])
-        if len(self.known) > KNOWN_CHUNKS:
+        if len(self.known) > self.room.known:
             self.flat, _ = self._gather(place)
             self.known, self.sizes, place = distinct, self.sizes[place], np.arange(len(distinct))
         return place
@@ -165,5 +173,5 @@ class ChunkEncoder:
         return held
 
 
-def encoder(path: str, kind: str) -> ChunkEncoder:
-    return worker_model((path, kind), lambda: ChunkEncoder(path, kind))
+def encoder(path: str, kind: str, room: Room = Room()) -> ChunkEncoder:
+    return worker_model((path, kind, room), lambda: ChunkEncoder(path, kind, room))

@@ -140,24 +140,26 @@ def fit(texts: Iterable[str], labels: Iterable[int], rounds: int = ROUNDS, seed:
     docs, given = [], []
     for text, label in zip(texts, labels):
         docs.append(np.array([first_seen.setdefault(w, len(first_seen)) for w in words_of(text)], np.int32))
+        del text
         given.append(label)
     labels, y = given, np.array(given, np.float32)
     distinct = sorted(first_seen)
     rank = np.zeros(len(distinct), np.int32)
     rank[[first_seen[w] for w in distinct]] = np.arange(len(distinct))
     docs = [rank[d] for d in docs]
+    del first_seen, rank
     counts = np.zeros((2, len(distinct)), np.int64)
     for d, label in zip(docs, labels):
         counts[int(label == 1), np.unique(d)] += 1
-    toxic = dict(zip(distinct, counts[1].tolist()))
-    seen = dict(zip(distinct, counts.sum(axis=0).tolist()))
-    vocabulary = {w: i + 1 for i, (w, c) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]) if c >= 3}
+    toxic, seen = counts[1], counts.sum(axis=0)
+    common = np.argsort(-seen, kind="stable")[:VOCABULARY]  # ties by code point
+    common = common[seen[common] >= 3]
+    vocabulary = {distinct[w]: i for i, w in enumerate(common.tolist(), 1)}
     nt, nc = float(y.sum()), float(len(y) - y.sum())
     word = rng.normal(0, 0.1, (len(vocabulary) + 1, WORD_DIM)).astype(np.float32)
     word[0] = 0
-    for w, i in vocabulary.items():
-        odds = np.log((toxic[w] + 0.5) / (nt + 1)) - np.log((seen[w] - toxic[w] + 0.5) / (nc + 1))
-        word[i, 0] = odds * seen[w] / (seen[w] + 5)
+    odds = np.log((toxic[common] + 0.5) / (nt + 1)) - np.log((seen[common] - toxic[common] + 0.5) / (nc + 1))
+    word[1:, 0] = odds * seen[common] / (seen[common] + 5)
     dim, hd = WORD_DIM + CHAR_DIM, HIDDEN
     m = Weights(vocabulary, word, rng.normal(0, 0.1, (BUCKETS, CHAR_DIM)).astype(np.float32), rng.normal(0, 0.4, (2, dim, 3 * hd)).astype(np.float32), rng.normal(0, 0.3, (2, hd, 3 * hd)).astype(np.float32), np.zeros((2, 3 * hd), np.float32), np.zeros(2 * hd, np.float32), rng.normal(0, 0.3, 2 * hd).astype(np.float32), 0.0)
     if not nt or not nc:

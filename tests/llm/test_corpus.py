@@ -253,14 +253,12 @@ def test_cached_ids_equal_the_library(kind, name):
 
 @pytest.mark.parametrize("lot, known, runs", [(12_000_000, 1_000_000, 300_000), (300, 60, 40)])
 @pytest.mark.parametrize("kind, name", [("byte", "byte_bpe_50k.json"), ("word", "word_bpe_49k.json")])
-def test_ids_equal_a_fresh_library(monkeypatch, kind, name, lot, known, runs):
+def test_ids_equal_a_fresh_library(kind, name, lot, known, runs):
     """Many texts at once, strings of added tokens among them, with stores that overflow."""
-    for k, v in (("LOT", lot), ("KNOWN_CHUNKS", known), ("CACHE_PIECES", runs)):
-        monkeypatch.setattr(tokens, k, v)
     rng = np.random.default_rng(5)
     parts = [*"ab cé  \n\t'stréÉ12½²_-.,!  ̈́　 日本\x1c​́Ⅷ\r\x0b\x00", "<|endoftext|>", "<|startoftext|>", "'re", " \n ", "\n\n  x"]
     texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(2500)] + ["x <|endoftext|> y", "", " ", "word " * 30_000]
-    enc, fresh = tokens.ChunkEncoder(tokens.default_path(name), kind), Tokenizer.from_file(tokens.default_path(name))
+    enc, fresh = tokens.ChunkEncoder(tokens.default_path(name), kind, tokens.Room(lot, known, runs)), Tokenizer.from_file(tokens.default_path(name))
     assert enc.encode(texts) == [np.array(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
