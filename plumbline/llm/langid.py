@@ -55,7 +55,7 @@ class Parser:
         self.langs = sorted(model.texts)
         letters = sorted({c for t in model.texts.values() for c in t.lower() if c.isalpha()})
         self.width = len(letters) + 2  # 0: anything but a letter; last: a letter that no training text has
-        self.classes = np.zeros(0x110000, np.int32)
+        self.classes = np.zeros(0x110000, np.int16 if self.width < 1 << 15 else np.int32)
         self.classes[[i for i in range(0x110000) if chr(i).isalpha()]] = self.width - 1
         self.classes[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         self.roots, self.bits, self.again, keys, values, base = [], [], [], [], [], 0

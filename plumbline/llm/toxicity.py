@@ -331,7 +331,9 @@ def score_documents(docs: DataFrame, m: Weights, score: str = "score") -> DataFr
     def run(batches):
         scorer = Scorer(m)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scorer.score(texts_of(b.column(at))), pa.float64())], names=[*b.schema.names, score])
+            text = b.column(at)  # a few rows' texts at a time
+            scores = [scorer.score(texts_of(text.slice(i, 500))) for i in range(0, len(text), 500)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())], names=[*b.schema.names, score])
 
     return map_arrow(docs, run, extended(docs, f"{score} double"))
 
