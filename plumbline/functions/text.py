@@ -15,26 +15,96 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-#: Alternatives of the callout grammar, in the order in which they are tried.
-COUNT_DIA = r"(?i)^\(?(\d+)\)?\s*-?\s*\(?T\s*(\d+)"
-DIA_PITCH = r"(?i)^T\s*(\d+)\s*@\s*(\d+)"
-BARE_DIA = r"(?i)^T\s*(\d+)$"
-MARK = r"^(\d+)-([A-Z]+)"
+#: Alternatives of the callout grammar, in the order in which they are tried. The first one looks at the
+#: text without parentheses, the others at the text as it stands.
+COUNT_DIA = r"(?i)^-?\s*(\d+)\s*-\s*T(\d+)\s*(.*)$"
+DIA_PITCH = r"(?i)^T(\d+)\s*(UBAR|U\s*BAR|TIE[S]?|HOOK)?\s*@\s*(\d+)\s*mm\s*(.*)$"
+BARE_DIA = r"(?i)^T(\d+)$"
+MARK = r"^[A-Z]{1,2}\d{0,2}$"
+
+
+def callout(text: Column) -> Column:
+    """struct kind (count, pitch, bare, mark or UNPARSED), dia, n, pitch, note: the first alternative that holds.
+
+    A bare diameter counts once; marks and unparsed texts have no numbers. Null text is null.
+    """
+    plain = F.trim(F.regexp_replace(text, "\n", " "))
+    bared = squeeze(F.regexp_replace(plain, "[()]", ""))
+    part = lambda t, pattern, i: F.regexp_extract(t, pattern, i)
+    kinds = [(bared.rlike(COUNT_DIA), "count"), (plain.rlike(DIA_PITCH), "pitch"), (plain.rlike(BARE_DIA), "bare"), (plain.rlike(MARK), "mark")]
+    kind = F.lit("UNPARSED")
+    for holds, name in reversed(kinds):
+        kind = F.when(holds, name).otherwise(kind)
+    by = lambda **c: F.coalesce(*[F.when(kind == k, v) for k, v in c.items()])
+    return F.when(text.isNotNull(), F.struct(
+        kind.alias("kind"),
+        by(count=part(bared, COUNT_DIA, 2), pitch=part(plain, DIA_PITCH, 1), bare=part(plain, BARE_DIA, 1)).cast("double").alias("dia"),
+        by(count=part(bared, COUNT_DIA, 1), bare=F.lit("1")).cast("int").alias("n"),
+        by(pitch=part(plain, DIA_PITCH, 3)).cast("double").alias("pitch"),
+        F.trim(by(count=part(bared, COUNT_DIA, 3), pitch=F.concat_ws(" ", part(plain, DIA_PITCH, 2), part(plain, DIA_PITCH, 4)), bare=F.lit(""), mark=F.lit("MARK_REF"), UNPARSED=F.lit("UNPARSED"))).alias("note"),
+    ))
 
 
 def callout_kind(text: Column) -> Column:
-    """count, pitch, bare, mark or UNPARSED: the first alternative that holds."""
-    t = squeeze(text)
-    return F.when(t.rlike(COUNT_DIA), "count").when(t.rlike(DIA_PITCH), "pitch").when(t.rlike(BARE_DIA), "bare").when(t.rlike(MARK), "mark").otherwise("UNPARSED")
+    return callout(text)["kind"]
 
 
-#: Qualifier words of notes.
-QUALIFIERS = ["ALT", "BOTTOM", "BOTH", "EXTRA", "HOOK", "LINK", "SIDE", "STIRRUP", "TOP"]
+#: Qualifiers of notes, each with the words that show it.
+QUALIFIERS = {
+    "u_bar": r"(?i)\bu\s*-?\s*bars?\b|\bubars?\b",
+    "ties": r"(?i)\btie(s)?\b|\blink(s)?\b",
+    "hook": r"(?i)\bhook(s)?\b",
+    "horizontal": r"(?i)\bhoriz(ontal)?\b",
+    "vertical": r"(?i)\bvert(ical)?\b",
+    "crack": r"(?i)\bcrack\b",
+    "perimeter": r"(?i)\bperimeter\b",
+    "dowel": r"(?i)\bdowel\b",
+    "starter": r"(?i)\bstarter\b",
+}
 
 
 def qualifiers(text: Column) -> Column:
-    """Sorted names of the qualifiers that a note holds as words."""
-    return F.filter(F.array(*[F.when(F.upper(text).rlike(rf"\b{q}\b"), F.lit(q)) for q in sorted(QUALIFIERS)]), lambda x: x.isNotNull())
+    """Sorted names of the qualifiers that a note shows; none in a null text."""
+    return F.filter(F.array(*[F.when(F.coalesce(text, F.lit("")).rlike(QUALIFIERS[q]), F.lit(q)) for q in sorted(QUALIFIERS)]), lambda x: x.isNotNull())
+
+
+#: Notes by quantity, by spacing, mark bubbles, bare diameters, in the order in which they are tried.
+NOTE_QTY = r"^-?\(?\s*(\d+)\s*\)?\s*-\s*\(?\s*T\s*(\d+)\s*([^)]*?)\)?\s*$"
+NOTE_SPACE = r"(?i)^T\s*(\d+)\s*([^@]*?)@\s*(\d+)"
+NOTE_MARK = r"^[A-Z][0-9]?$"
+NOTE_DIA = r"(?i)^T\s*(\d+)\s*([A-Za-z ]*)$"
+NOTE_AT = r"@\s*(\d+)"
+
+
+def note(text: Column) -> Column:
+    """struct kind (qty, space, mark, dia), qty, dia, spacing, qual of a label; null where it is no note, empty or null."""
+    t = squeeze(F.regexp_replace(text, r"\\P", " "))
+    number = lambda pattern, i, of=t: F.nullif(F.regexp_extract(of, pattern, i), F.lit("")).cast("int")
+    rest = F.regexp_extract(t, NOTE_QTY, 3)
+    kind = F.when(t.rlike(NOTE_QTY), "qty").when(t.rlike(NOTE_SPACE), "space").when(t.rlike(NOTE_MARK), "mark").when(t.rlike(NOTE_DIA), "dia")
+    pick = lambda **c: F.coalesce(*[F.when(kind == k, v) for k, v in c.items()])
+    return F.when(kind.isNotNull(), F.struct(
+        kind.alias("kind"),
+        pick(qty=number(NOTE_QTY, 1)).alias("qty"),
+        pick(qty=number(NOTE_QTY, 2), space=number(NOTE_SPACE, 1), dia=number(NOTE_DIA, 1)).alias("dia"),
+        pick(qty=number(NOTE_AT, 1, rest), space=number(NOTE_SPACE, 3)).alias("spacing"),
+        pick(qty=qualifiers(rest), space=qualifiers(F.regexp_extract(t, NOTE_SPACE, 2)), dia=qualifiers(F.regexp_extract(t, NOTE_DIA, 2))).alias("qual"),
+    ))
+
+
+#: Classes of drawing texts, the first that holds; "@" counts only beside a diameter.
+COUNT_TEXT = r"(\d+)\s*-\s*T(\d+)"
+PITCH_TEXT = r"(?i)T(\d+)\s*(?:[A-Z ]*)?@\s*(\d+)"
+
+
+def text_class(text: Column) -> Column:
+    """One of seven classes of a drawing text; null text is null."""
+    up = F.upper(text)
+    return (
+        F.when(text.rlike(COUNT_TEXT), "count").when(text.rlike(PITCH_TEXT) | (text.contains("@") & up.rlike(r"T\d+")), "pitch")
+        .when(up.contains("UBAR") | up.contains("U-BAR") | up.contains("U BAR"), "u-bar").when(up.contains("TIE"), "tie")
+        .when(text.rlike(r"^[\d.]+$"), "dimension").when(up.rlike(r"\bN\d+\b"), "insert").when(text.isNotNull(), "other")
+    )
 
 
 def pad_row(row: Column, width: int) -> Column:
@@ -76,12 +146,20 @@ def tally_line(line: Column) -> Column:
     return F.struct(*[F.regexp_extract(line, TALLY_LINE, i).try_cast(kind).alias(k) for i, (k, kind) in kinds.items()])
 
 
+#: Headers of schedule tables (pattern on the squeezed lower-case text, name), the first that holds.
+HEADERS = [
+    ("^(schedule )?mark$", "Schedule Mark"),
+    ("diameter", "Bar Diameter"),
+    ("^shape$", "Shape"),
+    ("total|^length$", "Total Bar Length"),
+    ("bar length", "Bar Length"),
+    (r"quantity|^no\.$", "Quantity"),
+    ("weight", "Weight"),
+]
+
+
 def column_head(text: Column) -> Column:
-    """The canonical name of a table's column header; an unknown one stays as it is in lower case."""
+    """The canonical name of a table's column header: letters a to h are segments; an unknown one stays in lower case."""
     t = F.lower(squeeze(text))
-    return (
-        F.when(t.isin("schedule mark", "mark"), "Schedule Mark").when(t.contains("diameter"), "Bar Diameter").when(t == "shape", "Shape")
-        .when(t.contains("total") | (t == "length"), "Total Bar Length").when(t.contains("bar length"), "Bar Length")
-        .when(t.contains("quantity") | (t == "no."), "Quantity").when(t.contains("weight"), "Weight")
-        .when(t.rlike("^[a-h]$"), F.upper(t)).otherwise(t)
-    )
+    named = F.array(*[F.when(t.rlike(pattern), F.lit(name)) for pattern, name in HEADERS], F.when(t.rlike("^[a-h]$"), F.upper(t)), t)
+    return F.filter(named, lambda x: x.isNotNull())[0]

@@ -159,7 +159,7 @@ def overlap_pairs(spark, sf_dir):
 
 
 @_own("edge_vote_pairing", """
-with e as (select l_suppkey grp, row_number() over (partition by l_suppkey order by l_partkey, l_orderkey, l_linenumber, l_extendedprice) edge, l_quantity * 3.0 "off", l_partkey % 50 * 1.0 lo, l_partkey % 50 + l_tax * 100 hi from lineitem where l_suppkey % 20 = 0),
+with e as (select l_suppkey grp, row_number() over (partition by l_suppkey order by l_partkey, l_orderkey, l_linenumber, l_extendedprice) edge, l_quantity * 3.0 "off", l_partkey % 50 * 1.0 lo, l_partkey % 50 + l_tax * 100 hi from lineitem),
 p as (select a.grp, a.edge e1, b.edge e2, cast(floor(b."off" - a."off" + 0.5) as bigint) dia, least(a.hi, b.hi) - greatest(a.lo, b.lo) ov from e a join e b on a.grp = b.grp and b."off" - a."off" between 5 and 34 where least(a.hi, b.hi) - greatest(a.lo, b.lo) > 0.2),
 v as (select grp, edge, dia, sum(ov) w from (select grp, e1 edge, dia, ov from p union all select grp, e2, dia, ov from p) x group by 1, 2, 3),
 b as (select grp, edge, dia from (select *, row_number() over (partition by grp, edge order by round(w, 6) desc, dia) r from v) y where r = 1)

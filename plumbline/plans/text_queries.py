@@ -22,36 +22,53 @@ def _own(name: str, oracle: str | None = None):
     return add
 
 
-@_own("callout_grammar", r"""
-with t as (select o_orderkey, trim(regexp_replace(o_orderpriority, '\s+', ' ', 'g')) s from orders union all select p_partkey + 1000000000, 'T' || p_size || ' @ ' || (p_size * 10) from part union all select p_partkey + 2000000000, 'T' || p_size from part union all select p_partkey + 3000000000, '(' || p_size || ') - (T8 U Bar)' from part)
-select o_orderkey id, s, case when regexp_matches(s, '(?i)^\(?(\d+)\)?\s*-?\s*\(?T\s*(\d+)') then 'count' when regexp_matches(s, '(?i)^T\s*(\d+)\s*@\s*(\d+)') then 'pitch' when regexp_matches(s, '(?i)^T\s*(\d+)$') then 'bare' when regexp_matches(s, '^(\d+)-([A-Z]+)') then 'mark' else 'UNPARSED' end kind,
- try_cast(nullif(regexp_extract(replace(s, ',', ''), '-?[0-9]+(?:\.[0-9]+)?', 0), '') as double) num from t""")
+#: Labels in every dialect of the notes, made from the numbers of a part; both engines read this text alike.
+LABELS = """case p_partkey % 18 when 0 then '-(' || p_size || ') -(T12)' when 1 then '-(' || p_size || ') -(T8 U Bar)' when 2 then '-(' || p_size || ')-T16 Perimeter Bar'
+ when 3 then '-(' || p_size || ')-T8@200 mm' when 4 then p_size || ' -T20' when 5 then p_size || ' -T16 CRACK BAR' when 6 then p_size || ' -T12 -Crack Bar' when 7 then 'T8 @' || (p_size * 5) || ' mm'
+ when 8 then 'T8 Horizontal Bar @' || (p_size * 5) || ' mm' when 9 then 'T8 UBAR @' || (p_size * 5) || ' mm' when 10 then 'T10 TIES @ ' || (p_size * 5) || ' mm c/c' when 11 then 'T' || p_size
+ when 12 then 'B' || (p_size % 10) when 13 then 'T12 vert starter dowel' when 14 then '1-URGENT' when 15 then 'tie at N' || p_size when 16 then p_size || '.5' else p_name end"""
+
+
+@_own("callout_grammar", rf"""
+with t as (select p_partkey, trim({LABELS}) s from part), u as (select *, trim(regexp_replace(regexp_replace(s, '[()]', '', 'g'), '\s+', ' ', 'g')) b from t),
+k as (select *, case when regexp_matches(b, '(?i)^-?\s*[0-9]+\s*-\s*T[0-9]+') then 'count' when regexp_matches(s, '(?i)^T[0-9]+\s*(UBAR|U\s*BAR|TIES?|HOOK)?\s*@\s*[0-9]+\s*mm') then 'pitch'
+ when regexp_matches(s, '(?i)^T[0-9]+$') then 'bare' when regexp_matches(s, '^[A-Z][A-Z]?[0-9]?[0-9]?$') then 'mark' else 'UNPARSED' end kind from u)
+select p_partkey, s, kind,
+ case kind when 'count' then regexp_extract(b, '(?i)-\s*T([0-9]+)', 1)::double when 'pitch' then regexp_extract(s, '(?i)^T([0-9]+)', 1)::double when 'bare' then substr(s, 2)::double end dia,
+ case kind when 'count' then regexp_extract(b, '[0-9]+')::int when 'bare' then 1 end n,
+ case kind when 'pitch' then regexp_extract(s, '@\s*([0-9]+)', 1)::double end pitch,
+ case kind when 'count' then trim(regexp_replace(b, '(?i)^-?\s*[0-9]+\s*-\s*T[0-9]+', '')) when 'pitch' then trim(regexp_extract(s, '(?i)^T[0-9]+\s*([A-Z ]*?)\s*@', 1) || ' ' || regexp_extract(s, '(?i)mm\s*(.*)$', 1)) when 'bare' then '' when 'mark' then 'MARK_REF' else 'UNPARSED' end note
+from k""")
 def callout_grammar(spark, sf_dir):
-    """Ordered alternatives of the callout grammar, and the first number."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), tx.squeeze(F.col("o_orderpriority")).alias("s"))
-    p, size = table(spark, sf_dir, "part"), F.col("p_size").cast("string")
-    made = [p.select((F.col("p_partkey") + 1000000000 * i).alias("id"), s.alias("s")) for i, s in ((1, F.concat(F.lit("T"), size, F.lit(" @ "), (F.col("p_size") * 10).cast("string"))), (2, F.concat(F.lit("T"), size)), (3, F.concat(F.lit("("), size, F.lit(") - (T8 U Bar)"))))]
-    t = o.unionByName(made[0]).unionByName(made[1]).unionByName(made[2])
-    return t.select("id", "s", tx.callout_kind(F.col("s")).alias("kind"), tx.number(F.col("s")).alias("num"))
+    """Ordered alternatives of the callout grammar with their numbers and notes."""
+    t = table(spark, sf_dir, "part").select("p_partkey", F.trim(F.expr(LABELS)).alias("s"))
+    return t.select("p_partkey", "s", tx.callout(F.col("s")).alias("c")).select("p_partkey", "s", "c.*")
 
 
-@_own("note_qualifiers", "select p_partkey, upper(p_type) t, list_sort(list_filter([" + ", ".join(f"case when regexp_matches(upper(p_type), '\\b{q}\\b') then '{q}' end" for q in ["ECONOMY", "LARGE", "STEEL", "BRASS"]) + "], lambda x: x is not null)) q from part")
-def note_qualifiers(spark, sf_dir):
-    """Sorted qualifier words of a note (T5)."""
-    p = table(spark, sf_dir, "part")
-    words = F.array_sort(F.filter(F.array(*[F.when(F.upper("p_type").rlike(rf"\b{q}\b"), F.lit(q)) for q in ["ECONOMY", "LARGE", "STEEL", "BRASS"]]), lambda x: x.isNotNull()))
-    return p.select("p_partkey", F.upper("p_type").alias("t"), words.alias("q"))
+_WORDS = " || ".join(f"case when regexp_matches(lower(r), '{p}') then ',{q}' else '' end" for q, p in [
+    ("crack", r"\bcrack\b"), ("dowel", r"\bdowel\b"), ("hook", r"\bhooks?\b"), ("horizontal", r"\bhoriz(ontal)?\b"), ("perimeter", r"\bperimeter\b"),
+    ("starter", r"\bstarter\b"), ("ties", r"\b(ties?|links?)\b"), ("u_bar", r"\b(u\s*-?\s*bars?|ubars?)\b"), ("vertical", r"\bvert(ical)?\b")])
 
 
-_CATEGORY = r"case when regexp_matches(text, '[0-9]{3}-[0-9]{4}') then 'phone' when contains(text, '|') then 'table' when contains(lower(text), 'licen') then 'license' when contains(text, '@') then 'mail' when length(text) < 200 then 'short' else 'prose' end"
+@_own("note_qualifiers", rf"""
+with t as (select p_partkey, trim(regexp_replace({LABELS}, '\s+', ' ', 'g')) s from part),
+k as (select *, case when regexp_matches(s, '^-?\(?\s*[0-9]+\s*\)?\s*-\s*\(?\s*T\s*[0-9]+\s*[^)]*\)?\s*$') then 'qty' when regexp_matches(s, '(?i)^T\s*[0-9]+[^@]*@\s*[0-9]+') then 'space' when regexp_matches(s, '^[A-Z][0-9]?$') then 'mark' when regexp_matches(s, '(?i)^T\s*[0-9]+\s*[a-z ]*$') then 'dia' end kind from t),
+r as (select *, case kind when 'qty' then regexp_replace(s, '^-?\(?\s*[0-9]+\s*\)?\s*-\s*\(?\s*T\s*[0-9]+', '') when 'space' then regexp_extract(s, '^[^@]*') when 'dia' then s else '' end r from k where kind is not null)
+select p_partkey, kind, case kind when 'qty' then regexp_extract(s, '[0-9]+')::int end qty, case when kind <> 'mark' then regexp_extract(s, '(?i)T\s*([0-9]+)', 1)::int end dia,
+ case when kind in ('qty', 'space') then nullif(regexp_extract(s, '@\s*([0-9]+)', 1), '')::int end spacing, case when kind <> 'mark' then substr({_WORDS}, 2) end qual from r""")
+def note_qualifiers(spark, sf_dir):
+    """Notes by quantity, spacing, mark or diameter, with their sorted qualifiers (T4, T5)."""
+    t = table(spark, sf_dir, "part").select("p_partkey", tx.note(F.expr(LABELS)).alias("c")).filter("c is not null")
+    return t.select("p_partkey", "c.kind", "c.qty", "c.dia", "c.spacing", F.when(F.col("c.kind") != "mark", F.array_join("c.qual", ",")).alias("qual"))
 
 
-@_own("text_category", f"select category, lang, count(*) n from (select lang, {_CATEGORY} category from documents) x group by category, lang")
+@_own("text_category", rf"""
+with t as (select {LABELS} s from part)
+select category, count(*) n from (select case when regexp_matches(s, '[0-9]\s*-\s*T[0-9]') then 'count' when regexp_matches(s, '(?i)T[0-9]+[a-z ]*@\s*[0-9]') or contains(s, '@') and regexp_matches(upper(s), 'T[0-9]') then 'pitch'
+ when upper(s) like '%UBAR%' or upper(s) like '%U-BAR%' or upper(s) like '%U BAR%' then 'u-bar' when upper(s) like '%TIE%' then 'tie' when regexp_full_match(s, '[0-9.]+') then 'dimension' when regexp_matches(upper(s), '\bN[0-9]+\b') then 'insert' else 'other' end category from t) x group by 1""")
 def text_category(spark, sf_dir):
-    """First matching class of a text."""
-    t = F.col("text")
-    kind = F.when(t.rlike("[0-9]{3}-[0-9]{4}"), "phone").when(t.contains("|"), "table").when(F.lower(t).contains("licen"), "license").when(t.contains("@"), "mail").when(F.length(t) < 200, "short").otherwise("prose")
-    return table(spark, sf_dir, "documents").select("lang", kind.alias("category")).groupBy("category", "lang").agg(F.count(F.lit(1)).alias("n"))
+    """First of seven classes of a drawing text."""
+    return table(spark, sf_dir, "part").select(tx.text_class(F.expr(LABELS)).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_own("cross_ref_extract", r"select page_id, regexp_extract(url, '^https?://([^/]+)', 1) host, len(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) n_refs, regexp_extract(html, 'href=\"([^\"]+)\"', 1) first_ref from pages")

@@ -84,8 +84,25 @@ def test_simplify(spark):
 
 
 def test_callouts(spark):
-    df = spark.createDataFrame([("T8 @ 150",), ("T10",), ("(61) -(T8 U Bar)",), ("5-LOW",), ("x",), (None,)], "s string")
-    assert [r[0] for r in df.select(text.callout_kind(F.col("s"))).collect()] == ["pitch", "bare", "count", "mark", "UNPARSED", "UNPARSED"]
+    """The example labels of both dialects; null, empty and unknown texts."""
+    want = {
+        "-(14) -(T12)": ("count", 12.0, 14, None, ""), "-(61) -(T8 U Bar)": ("count", 8.0, 61, None, "U Bar"), "-(2)-T16 Perimeter Bar": ("count", 16.0, 2, None, "Perimeter Bar"),
+        "2 -T12 Crack Bar": ("count", 12.0, 2, None, "Crack Bar"), "T8 UBAR @125 mm": ("pitch", 8.0, None, 125.0, "UBAR"), "T10 @ 90 mm both ways": ("pitch", 10.0, None, 90.0, "both ways"),
+        "T10": ("bare", 10.0, 1, None, ""), "B1": ("mark", None, None, None, "MARK_REF"), "F": ("mark", None, None, None, "MARK_REF"), "1-URGENT": ("UNPARSED", None, None, None, "UNPARSED"),
+        "T8 @ 150": ("UNPARSED", None, None, None, "UNPARSED"), "": ("UNPARSED", None, None, None, "UNPARSED"), None: None,
+    }
+    df = spark.createDataFrame([(x,) for x in want], "s string")
+    assert {r.s: r.c and tuple(r.c) for r in df.select("s", text.callout(F.col("s")).alias("c")).collect()} == want
+
+
+def test_notes(spark):
+    want = {
+        "-(62) -(T8)": ("qty", 62, 8, None, []), "-(61) -(T8 U Bar)": ("qty", 61, 8, None, ["u_bar"]), "-(2)-T16 Perimeter Bar": ("qty", 2, 16, None, ["perimeter"]), "-(46)-T8@200 mm": ("qty", 46, 8, 200, []),
+        "2 -T16 CRACK BAR": ("qty", 2, 16, None, ["crack"]), "T8 Horizontal Bar @175 mm": ("space", None, 8, 175, ["horizontal"]), "T8 UBAR @125 mm": ("space", None, 8, 125, ["u_bar"]),
+        "T12": ("dia", None, 12, None, []), "T12 dowel starter": ("dia", None, 12, None, ["dowel", "starter"]), "B1": ("mark", None, None, None, None), "note": None, "": None, None: None,
+    }
+    df = spark.createDataFrame([(x,) for x in want], "s string")
+    assert {r.s: r.c and tuple(r.c) for r in df.select("s", text.note(F.col("s")).alias("c")).collect()} == want
 
 
 def test_snap_and_close(spark):
