@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import shared_folder
+
 
 def single_link(df: DataFrame, keys: list[str], value: str, tol: float, out: str = "cluster") -> DataFrame:
     """Cluster number from 0: a gap over ``tol`` to the previous value begins a new one."""
@@ -75,11 +77,7 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
     Alternating large-star and small-star steps: the number of rounds grows with the logarithm of a component's
     diameter. Each round is checkpointed; links that still change after ``rounds`` raise.
     """
-    context = nodes.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
+    shared_folder(nodes.sparkSession)
     known = nodes.select("node").distinct()
     whole = edges.select("a", "b").join(known.withColumnRenamed("node", "a"), "a", "left_semi").join(known.withColumnRenamed("node", "b"), "b", "left_semi")
     links = whole.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).filter("lo <> hi").distinct().checkpoint()

@@ -12,26 +12,27 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 
 def _match(demand: DataFrame, pool: DataFrame, keys: list[str], schema: str, fn) -> DataFrame:
     """Demand (keys, mark, qty, target) against pool (keys, item, length), key by key."""
+    ship(demand.sparkSession)
     return demand.groupBy(*keys).cogroup(pool.groupBy(*keys)).applyInPandas(lambda d, p: fn(d, p), schema)
 
 
-def first_fit(demand: DataFrame, pool: DataFrame, keys: list[str], floor: float = 30.0, rel: float = 0.08) -> DataFrame:
-    """keys, mark, qty, target, found, status: marks in order take the first unused lengths within max(floor, rel * target)."""
+def first_fit(demand: DataFrame, pool: DataFrame, keys: list[str], floor: float = 30.0, rel: float = 0.08, order: str | None = None) -> DataFrame:
+    """keys, mark, qty, target, found, status: marks take the first unused lengths within max(floor, rel * target).
+
+    ``order`` names the column by which marks come (their place in a file); without it they come by mark.
+    """
     kinds = dict(demand.dtypes)
 
     def run(d: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        lengths = sorted(p["length"]) if len(p) else []
-        used, rows = [False] * len(lengths), []
-        for r in d.sort_values(["mark"], kind="stable").itertuples(index=False):
-            tol, found = max(floor, rel * r.target), 0
-            for i in range(bisect_left(lengths, r.target - tol), len(lengths)):
-                if found >= r.qty or lengths[i] > r.target + tol:
-                    break
-                if not used[i]:
-                    used[i], found = True, found + 1
+        pool_, rows = _Pool(p["length"].dropna() if len(p) else []), []
+        for r in d.sort_values([order] if order else ["mark"], kind="stable").itertuples(index=False):
+            tol = max(floor, rel * r.target)
+            found = pool_.first_within(r.target - tol, r.target + tol, r.qty)
             rows.append((*[getattr(r, k) for k in keys], r.mark, r.qty, r.target, found, "OK" if found >= r.qty else "SHORT" if found else "DEAD_END"))
         return pd.DataFrame(rows, columns=[*keys, "mark", "qty", "target", "found", "status"])
 
@@ -44,17 +45,9 @@ def greedy_nearest(demand: DataFrame, pool: DataFrame, keys: list[str], floor: f
     kinds = dict(demand.dtypes)
 
     def run(d: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        left, rows = sorted(p["length"]) if len(p) else [], []
+        pool_, rows = _Pool(p["length"].dropna() if len(p) else []), []
         for r in d.sort_values(["target", "mark"], ascending=[not descending, True], kind="stable").itertuples(index=False):
-            tol, found = max(floor, rel * r.target), 0
-            while found < r.qty and left:
-                i = bisect_left(left, r.target)
-                near = [j for j in (i - 1, i) if 0 <= j < len(left)]
-                j = min(near, key=lambda j: (abs(left[j] - r.target), j))
-                if abs(left[j] - r.target) > tol:
-                    break
-                left.pop(j)
-                found += 1
+            found = pool_.nearest_within(r.target, max(floor, rel * r.target), r.qty)
             rows.append((*[getattr(r, k) for k in keys], r.mark, r.qty, r.target, found, "OK" if found >= r.qty else "SHORT" if found else "DEAD_END"))
         return pd.DataFrame(rows, columns=[*keys, "mark", "qty", "target", "found", "status"])
 
@@ -103,19 +96,138 @@ def scored_assign(candidates: DataFrame, key: str, a: str, b: str, score: str) -
                 keep.append(r.Index)
         return pdf.loc[keep, [key, a, b, score]]
 
+    ship(candidates.sparkSession)
     return candidates.select(key, a, b, score).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {a} {kinds[a]}, {b} {kinds[b]}, {score} double")
 
 
-def tiered(demand: DataFrame, pools: list[DataFrame], keys: list[str]) -> DataFrame:
-    """keys, mark, qty, found_1.., verdict: the first pool by first fit, what lacks from the next by nearest, and so on."""
-    out = first_fit(demand, pools[0], keys).select(*keys, "mark", "qty", "target", F.col("found").alias("found_1"))
-    for i, pool in enumerate(pools[1:], 2):
-        lacks = out.select(*keys, "mark", (F.col("qty") - sum(F.col(f"found_{j}") for j in range(1, i))).alias("qty"), "target").filter("qty > 0")
-        more = greedy_nearest(lacks, pool, keys).select(*keys, "mark", F.col("found").alias(f"found_{i}"))
-        out = out.join(more, [*keys, "mark"], "left").fillna(0, [f"found_{i}"])
-    total = sum(F.col(f"found_{j}") for j in range(1, len(pools) + 1))
-    verdict = F.when(F.col("found_1") >= F.col("qty"), "OK").when(total >= F.col("qty"), "RECOVERABLE").when(total > 0, "SHORT").otherwise("DEAD_END")
-    return out.withColumn("verdict", verdict)
+class _Pool:
+    """Sorted lengths of which each is used once; the next unused one is found by union-find, not by a scan."""
+
+    def __init__(self, lengths):
+        self.at = sorted(lengths)
+        self.up = list(range(len(self.at) + 1))
+        self.down = list(range(len(self.at) + 1))  # shifted by one: 0 stands for none
+
+    @staticmethod
+    def _root(links: list[int], i: int) -> int:
+        while links[i] != i:
+            links[i] = links[links[i]]
+            i = links[i]
+        return i
+
+    def free_from(self, i: int) -> int:
+        """The first unused place from i on; len(at) without one."""
+        return self._root(self.up, i)
+
+    def free_until(self, i: int) -> int:
+        """The last unused place up to i; -1 without one."""
+        return self._root(self.down, i + 1) - 1
+
+    def use(self, i: int) -> None:
+        self.up[i], self.down[i + 1] = i + 1, i
+
+    def nearest(self, x: float) -> int | None:
+        """The unused length nearest to x, the lower of two; None if all are used."""
+        i = bisect_left(self.at, x)
+        near = [j for j in (self.free_until(i - 1), self.free_from(i)) if 0 <= j < len(self.at)]
+        return min(near, key=lambda j: (abs(self.at[j] - x), j)) if near else None
+
+    def first_within(self, low: float, high: float, most: float) -> int:
+        """Use the first unused lengths from low to high, ``most`` of them at most; how many."""
+        n, i = 0, self.free_from(bisect_left(self.at, low))
+        while n < most and i < len(self.at) and self.at[i] <= high:
+            self.use(i)
+            n, i = n + 1, self.free_from(i)
+        return n
+
+    def nearest_within(self, x: float, tol: float, most: int) -> int:
+        """Use the unused lengths nearest to x, as long as they lie within tol."""
+        n = 0
+        while n < most:
+            i = self.nearest(x)
+            if i is None or abs(self.at[i] - x) > tol:
+                break
+            self.use(i)
+            n += 1
+        return n
+
+    def left(self) -> list[float]:
+        return [x for i, x in enumerate(self.at) if self.up[i] == i]
+
+
+def excess(raw, current) -> list[float]:
+    """What is left of the raw lengths when each current one, in order, takes the raw one nearest to it, however far."""
+    pool = _Pool(raw)
+    for x in current:
+        i = pool.nearest(x)
+        if i is None:
+            break
+        pool.use(i)
+    return pool.left()
+
+
+def _pools(pools: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Pools (keys, length) as one, told apart by ``tier``, so that a key's pools meet its demand in one exchange."""
+    out = None
+    for tier, pool in enumerate(pools):
+        rows = pool.select(*keys, F.col("length").cast("double").alias("length"), F.lit(tier).alias("tier"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _lengths(p: pd.DataFrame, tier: int) -> list[float]:
+    return p.loc[p["tier"] == tier, "length"].dropna().tolist() if len(p) else []
+
+
+def tiered(demand: DataFrame, pools: list[DataFrame], keys: list[str], floor: float = 30.0, rel: float = 0.08) -> DataFrame:
+    """keys, mark, qty, found_1, found_2, found_3, verdict: marks by rising target (then mark) through three pools in one exchange.
+
+    First the current pool by first fit; what lacks from the excess of the raw pool over the current one by nearest
+    (see ``excess``), then from the permissive pool by nearest. Pools are shared: a length is used once. OK: the current pool suffices;
+    RECOVERABLE: all three do; SHORT: something was found; else DEAD_END. Missing pools are empty.
+    """
+    kinds = dict(demand.dtypes)
+
+    def run(d: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        current = sorted(_lengths(p, 0))
+        first, second, third = _Pool(current), _Pool(excess(_lengths(p, 1), current)), _Pool(_lengths(p, 2))
+        rows = []
+        for r in d.sort_values(["target", "mark"], kind="stable").itertuples(index=False):
+            tol = max(floor, rel * r.target)
+            a = first.first_within(r.target - tol, r.target + tol, r.qty)
+            b = second.nearest_within(r.target, tol, r.qty - a)
+            c = third.nearest_within(r.target, tol, r.qty - a - b)
+            verdict = "OK" if a >= r.qty else "RECOVERABLE" if a + b + c >= r.qty else "SHORT" if a + b + c else "DEAD_END"
+            rows.append((*[getattr(r, k) for k in keys], r.mark, r.qty, r.target, a, b, c, verdict))
+        return pd.DataFrame(rows, columns=[*keys, "mark", "qty", "target", "found_1", "found_2", "found_3", "verdict"])
+
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"mark {kinds['mark']}", "qty long, target double, found_1 long, found_2 long, found_3 long, verdict string"])
+    return _match(demand, _pools(pools, keys), keys, schema, run)
+
+
+def evidence_sweep(demand: DataFrame, pools: list[DataFrame], keys: list[str], floor: float = 30.0, rel: float = 0.08) -> DataFrame:
+    """keys, mark, qty, found, unclaimed, verdict for the marks that the current pool leaves short, by rising target (then mark).
+
+    The current pool goes by first fit. Of the raw pool a mark claims *all* unused lengths within tolerance, also one that is
+    not short. POSSIBLE_BUG: more raw lengths than found ones; EVIDENCE_USED: some; DEAD_END: none. Marks that ask for nothing are left out.
+    """
+    kinds = dict(demand.dtypes)
+
+    def run(d: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        current, raw, rows = _Pool(_lengths(p, 0)), _Pool(_lengths(p, 1)), []
+        for r in d.sort_values(["target", "mark"], kind="stable").itertuples(index=False):
+            if not (r.qty > 0 and r.target > 0):
+                continue
+            tol = max(floor, rel * r.target)
+            found = current.first_within(r.target - tol, r.target + tol, r.qty)
+            more = raw.first_within(r.target - tol, r.target + tol, float("inf"))
+            if found < r.qty:
+                verdict = "DEAD_END" if not more else "POSSIBLE_BUG" if more > found else "EVIDENCE_USED"
+                rows.append((*[getattr(r, k) for k in keys], r.mark, r.qty, r.target, found, more, verdict))
+        return pd.DataFrame(rows, columns=[*keys, "mark", "qty", "target", "found", "unclaimed", "verdict"])
+
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"mark {kinds['mark']}", "qty long, target double, found long, unclaimed long, verdict string"])
+    return _match(demand, _pools(pools, keys), keys, schema, run)
 
 
 def sequential_slices(demand: DataFrame, keys: list[str], order: list[str], qty: str) -> DataFrame:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 
 class _Grid:
     """Rows by the cell of a point; ``near`` gives those of the cells around a point, in rising order."""
@@ -40,6 +42,7 @@ class _Grid:
 
 def _by_key(df: DataFrame, keys: list[str], ddl: str, fn) -> DataFrame:
     kinds = dict(df.dtypes)
+    ship(df.sparkSession)
     return df.groupBy(*keys).applyInPandas(fn, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], ddl.format(**kinds)]))
 
 
@@ -236,6 +239,7 @@ def elevation_match(marks: DataFrame, runs: DataFrame, keys: list[str], floor_:
         return pd.DataFrame(out, columns=[*keys, "mark", "family", "taken"])
 
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"mark {kinds['mark']}", "family string", f"taken array<{kinds['id']}>"])
+    ship(marks.sparkSession)
     return marks.groupBy(*keys).cogroup(runs.groupBy(*keys)).applyInPandas(run, schema)
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attendance_queries, geometry_queries, matching_queries, pieces_queries, placement_queries, schedule_queries, stream_queries, text_queries
+from . import attendance_queries, geometry_queries, matching_queries, parsing_queries, passes_queries, pieces_queries, placement_queries, report_queries, schedule_queries, stream_queries, text_queries
 
-_MODULES = (schedule_queries, text_queries, geometry_queries, placement_queries, pieces_queries, matching_queries, attendance_queries, stream_queries)
+_MODULES = (schedule_queries, text_queries, geometry_queries, placement_queries, pieces_queries, matching_queries, parsing_queries, passes_queries, report_queries, attendance_queries, stream_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}

@@ -20,7 +20,7 @@ def _sides(spark, sf_dir):
 
 
 def greedy_first_fit(spark, sf_dir):
-    """Marks in order take the first lengths within tolerance (M1, M7)."""
+    """Marks in order take the first lengths within tolerance (M1)."""
     d, p = _sides(spark, sf_dir)
     return matching.first_fit(d, p[0], ["l_suppkey"])
 
@@ -50,11 +50,17 @@ def greedy_best_fit(spark, sf_dir):
 
 
 def tiered_verdict(spark, sf_dir):
-    """Current pool, then excess, then permissive pool."""
+    """Current pool, then excess of the raw pool, then permissive pool."""
     d, p = _sides(spark, sf_dir)
     return matching.tiered(d, p, ["l_suppkey"])
 
 
+def evidence_sweep(spark, sf_dir):
+    """Short marks against all raw lengths (M7)."""
+    d, p = _sides(spark, sf_dir)
+    return matching.evidence_sweep(d, p[:2], ["l_suppkey"])
+
+
 def scored_assign(spark, sf_dir):
     """Global order of scores, each side used once (M8)."""
     from ..operators.joins import band_join
@@ -66,4 +72,4 @@ def scored_assign(spark, sf_dir):
     return matching.scored_assign(c.withColumn("score", 100 * F.abs(F.col("length") - F.col("target")) / F.col("target")), "l_suppkey", "mark", "item", "score")
 
 
-QUERIES = {f.__name__: f for f in (greedy_first_fit, greedy_nearest, greedy_straight, greedy_bent, greedy_best_fit, tiered_verdict, scored_assign)}
+QUERIES = {f.__name__: f for f in (greedy_first_fit, greedy_nearest, greedy_straight, greedy_bent, greedy_best_fit, tiered_verdict, evidence_sweep, scored_assign)}

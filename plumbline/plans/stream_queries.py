@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..runtime import shared_folder, ship
 from ..streaming import gate
 from .tables import table
 
@@ -15,8 +15,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(ship(spark))}/stream-{uuid.uuid4().hex}"
 
 
 def _source(spark, sf_dir, folder):
