@@ -7,9 +7,11 @@ over rows sorted by ``id``; a grid of the tolerance's size keeps each look-up to
 from __future__ import annotations
 
 from collections import defaultdict
+from heapq import nsmallest
 from itertools import product
 from math import dist, floor
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -167,76 +169,113 @@ def near_twins(bars: DataFrame, keys: list[str], tol: float = 6.0, rel: float =
     return _by_key(bars, keys, "id {id}, kept boolean", run)
 
 
-def bridge_runs(runs: DataFrame, keys: list[str], length_rel: float = 0.06, pitch_rel: float = 0.2, twin: float = 3.0, open_gap: float = 400.0) -> DataFrame:
-    """(keys, seed, n, lo, hi, pitch): runs of like length and pitch join while the gap between them is a whole multiple of the
-    pitch (within max(12, a quarter of it)), or at most ``open_gap`` where no pitch is known; in rounds until nothing joins.
+#: How far lengths, pitches and gaps may differ, absolutely and relatively; twins; gaps without a pitch; leg tolerances.
+LIKE_LENGTH, LIKE_PITCH, LIKE_GAP, TWIN, OPEN_GAP = (25.0, 0.06), (10.0, 0.2), (12.0, 0.25), 3.0, 400.0
+LEG = (30.0, 0.06)
+
+
+def _within(difference: float, limits: tuple[float, float], of: float) -> bool:
+    return abs(difference) <= max(limits[0], limits[1] * of)
 
-    Keys hold diameter and axis; runs (id, lo, hi, length, pitch or null, places array). Places at most ``twin`` beyond the last
-    kept one are the same bar; n counts the others. A run without a pitch takes the smallest step of its places.
-    """
 
-    def places(values) -> list[float]:
-        kept: list[float] = []
-        for v in sorted(values):
-            if not kept or v - kept[-1] > twin:
-                kept.append(v)
-        return kept
+class _Chain:
+    """Runs that one chain has taken so far."""
 
-    def joins(a: dict, b: dict) -> bool:
-        if abs(b["length"] - a["length"]) > max(25.0, length_rel * a["length"]):
+    def __init__(self, seed, length: float):
+        self.seed, self.length, self.pitch, self.hi, self.places = seed, length, None, float("-inf"), []
+
+    def accepts(self, lo: float, length: float, pitch: float | None) -> bool:
+        known = self.pitch if self.pitch is not None else pitch
+        if not _within(length - self.length, LIKE_LENGTH, self.length):
             return False
-        if a["pitch"] and b["pitch"] and abs(a["pitch"] - b["pitch"]) > max(10.0, pitch_rel * a["pitch"]):
+        if self.pitch is not None and pitch is not None and not _within(pitch - self.pitch, LIKE_PITCH, self.pitch):
             return False
-        gap, pitch = min(abs(b["lo"] - a["hi"]), abs(a["lo"] - b["hi"])), a["pitch"] or b["pitch"]
-        return abs(gap - max(1, round(gap / pitch)) * pitch) <= max(12.0, 0.25 * pitch) if pitch else gap <= open_gap
+        gap = abs(lo - self.hi)
+        if not known:
+            return gap <= OPEN_GAP
+        return _within(gap - max(round(gap / known), 1) * known, LIKE_GAP, known)
+
+    def take(self, hi: float, pitch: float | None, places) -> None:
+        self.places.extend(places)
+        self.hi = max(self.hi, hi)
+        if self.pitch is None:
+            self.pitch = pitch
+        if self.pitch is None and len(self.bars()) > 1:
+            self.pitch = float(np.diff(self.bars()).min())
+
+    def bars(self) -> np.ndarray:
+        """Places without those at most TWIN beyond the last kept one."""
+        kept = []
+        for at in np.sort(np.asarray(self.places, float)):
+            if not kept or at > kept[-1] + TWIN:
+                kept.append(at)
+        return np.array(kept)
+
+
+def bridge_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, seed, n, lo, hi, pitch): chains of runs across whole multiples of their pitch, found in one sweep from low to high.
+
+    A run joins the oldest chain whose length and pitch are like its own and whose end lies a whole number of pitches away (or
+    near, where no pitch is known); else it begins one. Chains are looked up by cells of length. Keys hold diameter and
+    axis; runs (id, lo, hi, length, pitch or null, places array). A chain without a pitch takes the smallest step of its bars.
+    """
+    cell = 100.0
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.sort_values(["lo", "id"])[["id", "lo", "hi", "length", "pitch", "places"]]
-        left = [{**r, "pitch": None if pd.isna(r["pitch"]) else r["pitch"], "places": list(r["places"])} for r in table.to_dict("records")]
-        out = []
-        while left:
-            a, joined = left.pop(0), True
-            while joined:
-                joined, rest = False, []
-                for b in left:
-                    if not joins(a, b):
-                        rest.append(b)
-                        continue
-                    a["places"] += b["places"]
-                    a["lo"], a["hi"] = round(min(a["lo"], b["lo"]), 1), round(max(a["hi"], b["hi"]), 1)
-                    steps = places(a["places"])
-                    a["pitch"] = a["pitch"] or b["pitch"] or min((q - p for p, q in zip(steps, steps[1:])), default=None)
-                    joined = True
-                left = rest
-            out.append((a["id"], len(places(a["places"])), a["lo"], a["hi"], a["pitch"]))
-        return _keyed(pdf, keys, out, ["seed", "n", "lo", "hi", "pitch"])
+        chains: list[_Chain] = []
+        by_length: dict[int, list[_Chain]] = defaultdict(list)
+        low: dict[int, float] = {}
+        for r in pdf.sort_values(["lo", "id"]).itertuples(index=False):
+            pitch = None if pd.isna(r.pitch) else float(r.pitch)
+            chain = next((c for c in by_length[floor(r.length / cell)] if c.accepts(r.lo, r.length, pitch)), None)
+            if chain is None:
+                chain = _Chain(r.id, r.length)
+                reach = max(LIKE_LENGTH[0], LIKE_LENGTH[1] * r.length)
+                for i in range(floor((r.length - reach) / cell), floor((r.length + reach) / cell) + 1):
+                    by_length[i].append(chain)
+                low[len(chains)] = r.lo
+                chains.append(chain)
+            chain.take(r.hi, pitch, r.places)
+        rows = [(c.seed, len(c.bars()), round(low[i], 1), round(c.hi, 1), c.pitch) for i, c in enumerate(chains)]
+        return _keyed(pdf, keys, rows, ["seed", "n", "lo", "hi", "pitch"])
 
     return _by_key(runs, keys, "seed {id}, n long, lo double, hi double, pitch double", run)
 
 
-def elevation_match(marks: DataFrame, runs: DataFrame, keys: list[str], floor_: float = 30.0, rel: float = 0.06) -> DataFrame:
-    """(keys, mark, family, taken): marks by length falling take up to qty runs whose length is near their length or one of their
-    legs, by (z, x); horizontal runs first, a mark that took some takes no vertical ones.
+def elevation_match(marks: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, mark, family, taken): marks by length falling take up to qty runs of a family whose length is like theirs or like a leg's.
 
-    Keys hold the diameter; marks (mark, qty, length, legs array), runs (id, family h or v, length, z, x). Marks without a run are absent.
+    Horizontal runs are dealt out first; vertical ones go to marks that got none. A family's lengths are sorted once, a mark's
+    tolerances are bands in them, and of the free runs in its bands the lowest by (z, x, id) are taken. Keys hold the diameter; marks
+    (mark, qty, length, legs array or null), runs (id, family h or v, length, z, x). Marks without a run are absent.
     """
     kinds = dict(marks.dtypes) | {"id": dict(runs.dtypes)["id"]}
 
+    def deal(wanted: list, pool: pd.DataFrame) -> dict:
+        """Which runs each mark takes from one family."""
+        place = {i: n for n, i in enumerate(pool.sort_values(["z", "x", "id"])["id"])}
+        lengths = pool.sort_values(["length", "id"])
+        ids, values, gone, out = lengths["id"].tolist(), lengths["length"].to_numpy(float), set(), {}
+        for row in wanted:
+            legs = row.legs if row.legs is not None else []
+            bands = [(t - max(LEG[0], LEG[1] * t), t + max(LEG[0], LEG[1] * t)) for t in {float(row.length), *(float(x) for x in legs if x)}]
+            spans = [range(*np.searchsorted(values, (lo, hi), side="left").tolist()) for lo, hi in ((a, np.nextafter(b, np.inf)) for a, b in bands)]
+            free = {ids[j] for span in spans for j in span} - gone
+            chosen = nsmallest(int(row.qty), free, key=place.__getitem__)
+            if chosen:
+                out[row.mark] = chosen
+                gone.update(chosen)
+        return out
+
     def run(m: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out, done = [], set()
-        wanted = m.sort_values(["length", "mark"], ascending=[False, True]) if len(m) else m
-        for family in ("h", "v"):
-            pool = r[r["family"] == family].sort_values(["z", "x", "id"])[["id", "length"]].to_records(index=False).tolist() if len(r) else []
-            for row in wanted.itertuples(index=False):
-                if row.mark in done:
-                    continue
-                targets = [row.length, *(x for x in (row.legs if row.legs is not None else []) if x)]
-                take = [i for i, (_, n) in enumerate(pool) if any(abs(n - t) <= max(floor_, rel * t) for t in targets)][: int(row.qty)]
-                if take:
-                    done.add(row.mark)
-                    out.append((*[getattr(row, k) for k in keys], row.mark, family, [pool[i][0] for i in take]))
-                    pool = [p for i, p in enumerate(pool) if i not in set(take)]
-        return pd.DataFrame(out, columns=[*keys, "mark", "family", "taken"])
+        if not len(m) or not len(r):
+            return pd.DataFrame([], columns=[*keys, "mark", "family", "taken"])
+        wanted = list(m.sort_values(["length", "mark"], ascending=[False, True]).itertuples(index=False))
+        flat = deal(wanted, r[r["family"] == "h"])
+        upright = deal([x for x in wanted if x.mark not in flat], r[r["family"] == "v"])
+        own = [getattr(wanted[0], k) for k in keys]
+        rows = [(*own, mark, family, taken) for family, got in (("h", flat), ("v", upright)) for mark, taken in got.items()]
+        return pd.DataFrame(rows, columns=[*keys, "mark", "family", "taken"])
 
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"mark {kinds['mark']}", "family string", f"taken array<{kinds['id']}>"])
     ship(marks.sparkSession)

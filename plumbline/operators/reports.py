@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 #: Kg per metre of the audited diameters.
 UNIT_KG = {6: 0.222, 8: 0.395, 10: 0.617, 12: 0.888, 16: 1.578, 20: 2.466, 25: 3.854, 32: 6.313}
 
@@ -102,6 +105,32 @@ def read_sheet(spark: SparkSession, path: str, columns: list[str], first: int =
     return cells.filter(F.col(f"`{columns[0]}`").isNotNull())
 
 
+def sheet_names(rows: DataFrame, name: str, order: list[str], out: str = "sheet") -> DataFrame:
+    """Add ``out``: names less the signs []:*?/\\, cut to 27, and unique: in order, a name that is taken gets _2, _3 and so on until it is free.
+
+    Only names that are equal but for such endings can clash, so these are told apart together, group by group. Null
+    names count as empty; rows equal in ``order`` are interchangeable.
+    """
+    base = F.substring(F.regexp_replace(F.coalesce(name, F.lit("")), r"[\[\]:*?/\\]", ""), 1, 27)
+    marked = rows.withColumn("__base", base).withColumn("__root", F.regexp_replace("__base", r"(_\d+)+$", ""))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        taken, following, names = set(), {}, []
+        for own in pdf["__base"]:
+            free, n = own, following.get(own, 2)
+            while free in taken:
+                free, n = f"{own}_{n}", n + 1
+            following[own] = n
+            taken.add(free)
+            names.append(free)
+        return pdf.drop(columns=["__base", "__root"]).assign(**{out: names})
+
+    ship(rows.sparkSession)
+    schema = ", ".join([*[f"`{c}` {kind}" for c, kind in rows.dtypes], f"`{out}` string"])
+    return marked.groupBy("__root").applyInPandas(run, schema)
+
+
 def report_lines(rows: DataFrame, panel: str, line: Column) -> DataFrame:
     """(panel, value): one text line a row, as a text sink partitioned by panel takes it."""
     return rows.select(panel, line.alias("value"))

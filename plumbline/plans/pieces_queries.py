@@ -44,7 +44,7 @@ def farthest_pair(spark, sf_dir):
 @_own("concentric_arcs")
 def concentric_arcs(spark, sf_dir):
     """Concentric arcs a diameter apart are a bend."""
-    l = table(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_suppkey", "l_quantity", "l_discount", "l_extendedprice", "l_tax")).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
     arcs = l.select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_quantity") / 2).alias("cx"), (F.col("l_discount") * 10).alias("cy"), (F.col("l_extendedprice") % 90).alias("r"), (F.col("l_tax") * 1000).alias("a0"))
     return pieces.concentric_pairs(arcs, ["l_suppkey"])
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import reports
 from .tables import sql_query, table
 
 QUERIES: dict = {}
@@ -100,13 +101,11 @@ def ragged_pad(spark, sf_dir):
 
 
 @_own("sheet_name_dedupe", r"""
-select doc_id, case when r = 1 then base else left(base, 24) || '_' || r end sheet from (select doc_id, base, row_number() over (partition by base order by doc_id) r from (select doc_id, left(regexp_replace(source || ':' || lang, '[\[\]:*?/\\]', '', 'g'), 27) base from documents) a) b""")
+select doc_id, case when r = 1 then base else base || '_' || r end sheet from (select doc_id, base, row_number() over (partition by base order by doc_id) r from (select doc_id, left(regexp_replace(source || ':' || lang, '[\[\]:*?/\\]', '', 'g'), 27) base from documents) a) b""")
 def sheet_name_dedupe(spark, sf_dir):
     """Names stripped of forbidden signs, cut, and made unique."""
-    base = F.substring(F.regexp_replace(F.concat(F.col("source"), F.lit(":"), F.col("lang")), r"[\[\]:*?/\\]", ""), 1, 27)
-    d = table(spark, sf_dir, "documents").select("doc_id", base.alias("base"))
-    r = F.row_number().over(Window.partitionBy("base").orderBy("doc_id"))
-    return d.withColumn("r", r).select("doc_id", F.when(F.col("r") == 1, F.col("base")).otherwise(F.concat(F.substring("base", 1, 24), F.lit("_"), F.col("r").cast("string"))).alias("sheet"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("source"), F.lit(":"), F.col("lang")).alias("name"))
+    return reports.sheet_names(d, "name", ["doc_id"]).select("doc_id", "sheet")
 
 
 @_own("unparsed_top", "select o_orderstatus, count(*) instances, list_slice(list_sort(list(distinct o_orderpriority)), 1, 20) texts from orders where not regexp_matches(o_orderpriority, '^[12]') group by o_orderstatus")

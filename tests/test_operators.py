@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry, placement, text, tolerance
-from plumbline.operators import attendance, clustering, evidence, joins, matching, passes, pieces
+from plumbline.operators import attendance, clustering, evidence, joins, matching, passes, pieces, reports
 from plumbline.operators import tables as parsers
 from plumbline.plans import attendance_queries, stream_queries
 
@@ -344,3 +344,10 @@ def test_a_sheet_without_titles_has_no_rows(spark):
 def test_flowed_rows(spark):
     df = spark.createDataFrame([("K1 M_00 T8 12 <varies> mm 3.5 kg junk K2 17A T8 1 5 mm 1 kg K3 M_11 T10 2 150.5 mm 1..2 kg",), (None,)], "t string")
     assert [[tuple(x) for x in r[0]] for r in df.select(parsers.flowed_rows(F.col("t"))).collect()] == [[("K1", "M_00", 8, 12, 0.0, 3.5)], []]
+
+
+def test_sheet_names_are_unique(spark):
+    """A natural ending, a long name and forbidden signs."""
+    names = ["a", "a_2", "a", "a", "x" * 30, "x" * 40, "b[1]:*", "b1", None]
+    got = reports.sheet_names(spark.createDataFrame(list(enumerate(names)), "i int, name string"), "name", ["i"]).orderBy("i").collect()
+    assert [r.sheet for r in got] == ["a", "a_2", "a_3", "a_4", "x" * 27, "x" * 27 + "_2", "b1", "b1_2", ""]
