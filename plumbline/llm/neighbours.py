@@ -129,7 +129,8 @@ def fit(x: np.ndarray, parts: int, near: int = NEAR, recall: float = RECALL, epo
     place = np.argsort(order, axis=1)
     at = np.take_along_axis(place, home[true], axis=1)
     found = np.array([(at < v).mean() for v in range(1, parts + 1)])
-    r.visits = int(np.argmax(found >= recall)) + 1
+    met = found >= recall
+    r.visits = int(np.argmax(met)) + 1 if met.any() else parts
     return r
 
 

@@ -30,8 +30,8 @@ def shard_by_propagation(nodes: DataFrame, shards: int = SHARDS, rounds: int = R
     """Place rows of (node, link) into shards: adds ``shard``. ``node`` orders rows, ``link`` names a row's group.
 
     Rows with equal non-null links are neighbours; a null link means none. Repeated nodes are rows of their own.
-    An empty table stays empty. Groups larger than a shard are spread over as few shards as hold them. Only node and
-    link are read; the result has these and shard.
+    An empty table stays empty. A group larger than a shard aims at as few shards as hold it; members for which
+    other groups leave no room there stay where they are. Only node and link are read; the result has these and shard.
     """
     nodes = nodes.select("node", "link")
     spark = nodes.sparkSession
