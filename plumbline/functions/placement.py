@@ -16,8 +16,9 @@ FAMILY = {"M_00": "straight", "M_17": "u_bar", "M_17A": "u_bar", "M_T1": "link_t
 
 
 def angle(dx: Column, dy: Column) -> Column:
-    """Direction without sense, from 0 to below pi."""
-    return F.pmod(F.atan2(dy, dx), F.pi())
+    """Direction without sense, from 0 to below pi; within 1e-9 of pi it is 0, so that a line along x has one form."""
+    a = F.pmod(F.atan2(dy, dx), F.pi())
+    return F.when(a >= F.pi() - 1e-9, 0.0).otherwise(a)
 
 
 def line_form(x0: Column, y0: Column, x1: Column, y1: Column) -> dict[str, Column]:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import repeat
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..runtime import shared_folder
+from ..runtime import shared_folder, ship
 
 
 def single_link(df: DataFrame, keys: list[str], value: str, tol: float, out: str = "cluster") -> DataFrame:
@@ -15,24 +22,60 @@ def single_link(df: DataFrame, keys: list[str], value: str, tol: float, out: str
     return df.withColumn("__new", F.when(gap > tol, 1).otherwise(0)).withColumn(out, F.sum("__new").over(w)).drop("__new")
 
 
-def anchor_groups(df: DataFrame, keys: list[str], value: str, tol: float, rel: float = 0.0) -> DataFrame:
-    """One row for each group (keys, group_no, anchor, n): values join while within max(tol, rel * first) of the group's first.
+def _fold(df: DataFrame, keys: list[str], value: str, out: dict[str, str], step: Callable[[Any, float], tuple[Any, tuple | None]], close: Callable[[Any], tuple | None]) -> DataFrame:
+    """Rows (keys, out) that a pass over each key's values, from low to high, gives; null values take no part.
 
-    A window cannot carry the first value, so values are counted, sorted and folded within each key; a key's
-    array has one entry for each distinct value.
+    For rules that look back at the last thing taken, which no window can carry. Rows are dealt by key and sorted by Spark,
+    which spills; ``step(state, value)``, with None as state where a key begins, gives the next state and a row to give out
+    or None, and ``close`` the last row. A worker holds one state and one Arrow batch, however many rows a key has.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    packed = counted.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), F.col("__n").alias("n")))).alias("__a"))
+    kinds = [T.StructField(k, df.schema[k].dataType) for k in keys]
+    spark_kinds = {"long": T.LongType(), "double": T.DoubleType()}
+    schema = T.StructType([*kinds, *[T.StructField(n, spark_kinds[k]) for n, k in out.items()]])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state = None, None
+
+        def batch(found: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*found)) if found else [[] for _ in arrow]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+        for part in batches:
+            found: list[tuple] = []
+            *heads, values = [c.to_pylist() for c in part.columns]
+            for key, v in zip(zip(*heads) if heads else repeat(()), values):
+                if key != held:
+                    last = close(state) if state is not None else None
+                    if last is not None:
+                        found.append((*held, *last))
+                    held, state = key, None
+                state, row = step(state, v)
+                if row is not None:
+                    found.append((*key, *row))
+            yield batch(found)
+        last = close(state) if state is not None else None
+        if last is not None:
+            yield batch([(*held, *last)])
+
+    ship(df.sparkSession)
+    rows = df.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v is not null")
+    dealt = rows.repartition(*keys) if keys else rows.repartition(1)
+    return dealt.sortWithinPartitions(*keys, "__v").mapInArrow(run, schema)
 
-    def fold(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (x.v - last.anchor <= F.greatest(F.lit(tol), F.lit(rel) * last.anchor))
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last.anchor.alias("anchor"), (last.n + x.n).alias("n"))))
-        return F.when(joins, grown).otherwise(F.concat(acc, F.array(F.struct(x.v.alias("anchor"), x.n.alias("n")))))
 
-    start = F.array().cast("array<struct<anchor:double,n:bigint>>")
-    folded = packed.withColumn("__g", F.aggregate("__a", start, fold, lambda a: a))
-    return folded.select(*keys, F.posexplode("__g").alias("group_no", "__s")).select(*keys, "group_no", "__s.anchor", "__s.n")
+def anchor_groups(df: DataFrame, keys: list[str], value: str, tol: float, rel: float = 0.0) -> DataFrame:
+    """One row for each group (keys, group_no, anchor, n): values join while within max(tol, rel * first) of the group's first."""
+
+    def step(state, v):
+        if state is None:
+            return (0, v, 1), None
+        number, anchor, n = state
+        if v - anchor <= max(tol, rel * anchor):
+            return (number, anchor, n + 1), None
+        return (number + 1, v, 1), state
+
+    return _fold(df, keys, value, {"group_no": "long", "anchor": "double", "n": "long"}, step, lambda state: state)
 
 
 def interval_union(df: DataFrame, keys: list[str], lo: str, hi: str, gap: float | Column = 0) -> DataFrame:
@@ -46,29 +89,26 @@ def interval_union(df: DataFrame, keys: list[str], lo: str, hi: str, gap: float
 
 def debounced(df: DataFrame, keys: list[str], ts: str, seconds: float) -> DataFrame:
     """(keys, ts) of emitted events: more than ``seconds`` after the last emitted one. Counts from emissions, so it is a fold."""
-    packed = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(ts))).alias("__t"))
 
-    def fold(acc: Column, t: Column) -> Column:
-        return F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) > seconds), F.concat(acc, F.array(t))).otherwise(acc)
+    def step(last, t):
+        return (t, (t,)) if last is None or t - last > seconds else (last, None)
 
-    return packed.select(*keys, F.explode(F.aggregate("__t", F.array().cast("array<double>"), fold)).alias(ts))
+    return _fold(df, keys, ts, {ts: "double"}, step, lambda last: None)
 
 
 def pitch_runs(df: DataFrame, keys: list[str], value: str, floor: float = 8.0, rel: float = 0.18) -> DataFrame:
     """(keys, run_no, n, pitch, lo, hi): the first nonzero gap sets the pitch; a gap off by more than max(floor, rel) ends the run."""
-    packed = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("__a"))
-
-    def fold(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        d = x - last.hi
-        fits = (F.size(acc) > 0) & ((d == 0) | last.pitch.isNull() | (F.abs(d - last.pitch) <= F.greatest(F.lit(floor), F.lit(rel) * last.pitch)))
-        pitch = F.when(last.pitch.isNull() & (d != 0), d).otherwise(last.pitch)
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct((last.n + 1).alias("n"), pitch.alias("pitch"), last.lo.alias("lo"), x.alias("hi"))))
-        return F.when(fits, grown).otherwise(F.concat(acc, F.array(F.struct(F.lit(1).cast("bigint").alias("n"), F.lit(None).cast("double").alias("pitch"), x.alias("lo"), x.alias("hi")))))
-
-    start = F.array().cast("array<struct<n:bigint,pitch:double,lo:double,hi:double>>")
-    folded = packed.withColumn("__r", F.aggregate("__a", start, fold))
-    return folded.select(*keys, F.posexplode("__r").alias("run_no", "__s")).select(*keys, "run_no", "__s.n", "__s.pitch", "__s.lo", "__s.hi")
+
+    def step(state, x):
+        if state is None:
+            return (0, 1, None, x, x), None
+        number, n, pitch, lo, hi = state
+        gap = x - hi
+        if gap == 0 or pitch is None or abs(gap - pitch) <= max(floor, rel * pitch):
+            return (number, n + 1, gap if pitch is None and gap else pitch, lo, x), None
+        return (number + 1, 1, None, x, x), state
+
+    return _fold(df, keys, value, {"run_no": "long", "n": "long", "pitch": "double", "lo": "double", "hi": "double"}, step, lambda state: state)
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:

@@ -95,7 +95,11 @@ def modal_spacing(spark, sf_dir):
     return b.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "bin"))).filter("r = 1").drop("r")
 
 
-@_own("pitch_runs")
+@_own("pitch_runs", """
+with recursive v as (select o_custkey k, cast(date_diff('day', date '1992-01-01', o_orderdate) as double) x, row_number() over (partition by o_custkey order by o_orderdate) i from orders where o_orderdate is not null),
+f as (select k, i, x, 0 r, cast(null as double) p from v where i = 1 union all select k, i, x, case when fits then r else r + 1 end, case when not fits then null when p is null and d <> 0 then d else p end
+ from (select v.k, v.i, v.x, f.r, f.p, v.x - f.x d, v.x = f.x or f.p is null or abs(v.x - f.x - f.p) <= greatest(8.0, 0.18 * f.p) fits from v join f on v.k = f.k and v.i = f.i + 1) s)
+select k o_custkey, cast(r as bigint) run_no, count(*) n, max(p) pitch, min(x) lo, max(x) hi from f group by k, r""")
 def pitch_runs(spark, sf_dir):
     """Runs of constant pitch of order dates by customer."""
     o = table(spark, sf_dir, "orders").select("o_custkey", F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")).alias("x"))

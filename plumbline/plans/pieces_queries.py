@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import pieces
@@ -22,6 +23,12 @@ def _own(name: str, oracle: str | None = None):
     return add
 
 
+def _numbered(rows: DataFrame, order: str, line: str, by: list[str]) -> DataFrame:
+    """An id for each row: order and line numbers repeat, so rows that share them are told apart by their place among them."""
+    place = F.row_number().over(Window.partitionBy(order, line).orderBy(*by))
+    return rows.withColumn("id", (F.col(order) * 10 + F.col(line)) * 100000 + place)
+
+
 def _points(spark, sf_dir):
     """A point for each order, by customer."""
     return table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), (F.col("o_totalprice") % 500).alias("x"), (F.col("o_totalprice") / 500 % 300).alias("y"))
@@ -44,14 +51,15 @@ def farthest_pair(spark, sf_dir):
 @_own("concentric_arcs")
 def concentric_arcs(spark, sf_dir):
     """Concentric arcs a diameter apart are a bend."""
-    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_suppkey", "l_quantity", "l_discount", "l_extendedprice", "l_tax")).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
-    arcs = l.select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_quantity") / 2).alias("cx"), (F.col("l_discount") * 10).alias("cy"), (F.col("l_extendedprice") % 90).alias("r"), (F.col("l_tax") * 1000).alias("a0"))
+    l = _numbered(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", ["l_suppkey", "l_quantity", "l_discount", "l_extendedprice", "l_tax"])
+    arcs = l.select("l_suppkey", "id", (F.col("l_quantity") / 2).alias("cx"), (F.col("l_discount") * 10).alias("cy"), (F.col("l_extendedprice") % 90).alias("r"), (F.col("l_tax") * 1000).alias("a0"))
     return pieces.concentric_pairs(arcs, ["l_suppkey"])
 
 
 def _pieces(spark, sf_dir):
-    once = _segments(spark, sf_dir).filter("n = 1").groupBy("k", "dia").agg(*[F.min(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
-    return once.select("dia", F.col("k").alias("id"), *[F.round(F.col(c) / 20).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]).withColumn("view", F.pmod(F.xxhash64("id"), F.lit(64)))
+    """All segments on a coarse grid; a view holds the segments of 512 order numbers, so views grow in number and not in size."""
+    own = _numbered(_segments(spark, sf_dir), "k", "n", ["x0", "y0", "x1", "y1", "dia"])
+    return own.select("dia", "id", F.floor(F.col("k") / 512).alias("view"), *[F.round(F.col(c) / 20).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
 @_own("chain_pieces")
@@ -81,7 +89,8 @@ def elevation_match(spark, sf_dir):
     """Marks take drawn runs by their length or a leg's."""
     l = table(spark, sf_dir, "lineitem")
     marks = l.filter("l_returnflag = 'A'").groupBy("l_suppkey", F.col("l_partkey").alias("mark")).agg(F.count(F.lit(1)).alias("qty"), (F.min("l_extendedprice") / 10).alias("length"), F.array(F.min("l_quantity") * 50).alias("legs"))
-    runs = l.filter("l_returnflag = 'R'").groupBy("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg((F.min("l_extendedprice") / 10).alias("length"), F.min("l_quantity").alias("z"), F.min("l_tax").alias("x"), F.when(F.min("l_linestatus") == "F", "h").otherwise("v").alias("family"))
+    own = _numbered(l.filter("l_returnflag = 'R'"), "l_orderkey", "l_linenumber", ["l_suppkey", "l_extendedprice", "l_quantity", "l_tax", "l_linestatus"])
+    runs = own.select("l_suppkey", "id", (F.col("l_extendedprice") / 10).alias("length"), F.col("l_quantity").alias("z"), F.col("l_tax").alias("x"), F.when(F.col("l_linestatus") == "F", "h").otherwise("v").alias("family"))
     return pieces.elevation_match(marks, runs, ["l_suppkey"])
 
 

@@ -37,11 +37,11 @@ def _segments(spark, sf_dir):
 
 
 @_own("line_form", f"""
-with s as ({_SEG_SQL}), a as (select *, atan2(y1 - y0, x1 - x0) t from s), b as (select *, case when t < 0 then t + pi() when t >= pi() then t - pi() else t end th from a)
-select k, n, x0, y0, dia, round(y0 * cos(th) - x0 * sin(th), 6) as off_, round(least(x0 * cos(th) + y0 * sin(th), x1 * cos(th) + y1 * sin(th)), 6) s0, round(greatest(x0 * cos(th) + y0 * sin(th), x1 * cos(th) + y1 * sin(th)), 6) s1 from b where abs(x1 - x0) > 1 and abs(y1 - y0) > 1""")
+with s as ({_SEG_SQL}), a as (select *, atan2(y1 - y0, x1 - x0) t from s), b as (select *, case when t < 0 then t + pi() when t >= pi() - 1e-9 then 0 else t end th from a)
+select k, n, x0, y0, dia, round(y0 * cos(th) - x0 * sin(th), 6) as off_, round(least(x0 * cos(th) + y0 * sin(th), x1 * cos(th) + y1 * sin(th)), 6) s0, round(greatest(x0 * cos(th) + y0 * sin(th), x1 * cos(th) + y1 * sin(th)), 6) s1 from b""")
 def line_form(spark, sf_dir):
     """Canonical form of a segment: offset and extent along its own direction."""
-    s = _segments(spark, sf_dir).filter("abs(x1 - x0) > 1 and abs(y1 - y0) > 1")
+    s = _segments(spark, sf_dir)
     f = pl.line_form(*[F.col(c) for c in ("x0", "y0", "x1", "y1")])
     return s.select("k", "n", "x0", "y0", "dia", F.round(f["off"], 6).alias("off_"), F.round(f["s0"], 6).alias("s0"), F.round(f["s1"], 6).alias("s1"))
 
@@ -66,20 +66,20 @@ def box_filter(spark, sf_dir):
 
 
 @_own("tip_to_bar", f"""
-with s as (select * from ({_SEG_SQL}) z where n = 1), p as (select c_custkey pid, c_acctbal / 2 px, (c_custkey % 50) * 50 py, ['A', 'N', 'R'][1 + c_custkey % 3] dia from customer),
-j as (select p.dia, pid, s.k sid, case when (x1 - x0) ^ 2 + (y1 - y0) ^ 2 < 1e-9 then 0 else greatest(0, least(1, ((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / ((x1 - x0) ^ 2 + (y1 - y0) ^ 2))) end t, px, py, x0, y0, x1, y1 from p join s on p.dia = s.dia),
+with s as ({_SEG_SQL}), p as (select c_custkey pid, c_acctbal / 2 px, (c_custkey % 50) * 50 py, ['A', 'N', 'R'][1 + c_custkey % 3] dia from customer),
+j as (select p.dia, pid, s.k * 10 + s.n sid, case when (x1 - x0) ^ 2 + (y1 - y0) ^ 2 < 1e-9 then 0 else greatest(0, least(1, ((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / ((x1 - x0) ^ 2 + (y1 - y0) ^ 2))) end t, px, py, x0, y0, x1, y1 from p join s on p.dia = s.dia),
 d as (select dia, pid, sid, sqrt((px - x0 - t * (x1 - x0)) ^ 2 + (py - y0 - t * (y1 - y0)) ^ 2) distance from j)
 select dia, pid, sid, round(distance, 4) distance from (select *, row_number() over (partition by dia, pid order by distance, sid) r from d where distance < 60) w where r = 1""")
 def tip_to_bar(spark, sf_dir):
     """Each leader tip to the nearest bar of its diameter within 60, by distance from the segment."""
-    s = _segments(spark, sf_dir).filter("n = 1").withColumnRenamed("k", "sid")
+    s = _segments(spark, sf_dir).withColumn("sid", F.col("k") * 10 + F.col("n"))
     kind = F.element_at(F.array(*[F.lit(x) for x in "ANR"]), (F.col("c_custkey") % 3 + 1).cast("int"))
     p = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pid"), (F.col("c_acctbal") / 2).alias("px"), (F.col("c_custkey") % 50 * 50).cast("double").alias("py"), kind.alias("dia"))
     return evidence.nearest_segment(p, s, ["dia"], 60.0).select("dia", "pid", "sid", F.round("distance", 4).alias("distance"))
 
 
 @_own("leader_walk", f"""
-with s as (select k, x0, y0, x1, y1, dia from ({_SEG_SQL}) z where n <= 2 and (x1 - x0) ^ 2 + (y1 - y0) ^ 2 >= 110 ^ 2),
+with s as (select k, x0, y0, x1, y1, dia from ({_SEG_SQL}) z where (x1 - x0) ^ 2 + (y1 - y0) ^ 2 >= 110 ^ 2),
 e as (select dia, k, x0 x, y0 y, x1 fx, y1 fy from s union all select dia, k, x1, y1, x0, y0 from s),
 t as (select c_custkey tag, c_acctbal / 2 tx, (c_custkey % 50) * 50 ty, ['A', 'N', 'R'][1 + c_custkey % 3] dia from customer),
 a as (select dia, tag, k, fx, fy from (select t.dia, tag, k, fx, fy, row_number() over (partition by tag order by sqrt((tx - x) ^ 2 + (ty - y) ^ 2), k, fx, fy) r from t join e on t.dia = e.dia and sqrt((tx - x) ^ 2 + (ty - y) ^ 2) < 480) w where r = 1),
@@ -87,7 +87,7 @@ h as (select p_partkey head, p_retailprice * 2.5 hx, p_size * 40 hy from part)
 select tag, k, head, round(d, 4) d from (select tag, k, head, sqrt((fx - hx) ^ 2 + (fy - hy) ^ 2) d, row_number() over (partition by tag order by sqrt((fx - hx) ^ 2 + (fy - hy) ^ 2), head) r from a join h on sqrt((fx - hx) ^ 2 + (fy - hy) ^ 2) < 160) w where r = 1""")
 def leader_walk(spark, sf_dir):
     """A tag takes the long segment whose end is nearest, and its far end snaps to an arrow head."""
-    s = _segments(spark, sf_dir).filter("n <= 2 and pow(x1 - x0, 2) + pow(y1 - y0, 2) >= 12100")
+    s = _segments(spark, sf_dir).filter("pow(x1 - x0, 2) + pow(y1 - y0, 2) >= 12100")
     kind = F.element_at(F.array(*[F.lit(x) for x in "ANR"]), (F.col("c_custkey") % 3 + 1).cast("int"))
     tags = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tag"), (F.col("c_acctbal") / 2).alias("tx"), (F.col("c_custkey") % 50 * 50).cast("double").alias("ty"), kind.alias("dia"))
     heads = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("head"), (F.col("p_retailprice") * 2.5).alias("hx"), (F.col("p_size") * 40.0).alias("hy"))
