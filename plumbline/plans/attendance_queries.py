@@ -101,6 +101,16 @@ def debounce_events(spark, sf_dir):
     return clustering.debounced(e, ["user_id"], "t", 7200.0)
 
 
+@_own("gate_debounce", """
+with recursive e as (select event_type, user_id, cast(floor(epoch(ts)) as double) t, row_number() over (partition by event_type, user_id order by floor(epoch(ts))) i from events),
+f as (select event_type, user_id, i, t, t last_t, true emitted from e where i = 1 union all select e.event_type, e.user_id, e.i, e.t, case when e.t - f.last_t > 7200 then e.t else f.last_t end, e.t - f.last_t > 7200 from e join f on e.event_type = f.event_type and e.user_id = f.user_id and e.i = f.i + 1)
+select event_type, user_id, t from f where emitted""")
+def gate_debounce(spark, sf_dir):
+    """Events more than two hours after the last one emitted for the same gate (the event type) and person."""
+    e = table(spark, sf_dir, "events").select("event_type", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("t"))
+    return clustering.debounced(e, ["event_type", "user_id"], "t", 7200.0)
+
+
 @_own("nearest_vector", "select face, case when d < 0.9 then employee_id end employee_id, round(d, 6) distance from (select a.vec_id face, b.vec_id employee_id, sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(a.embedding[i]::double - b.embedding[i]::double, 2)))) d, row_number() over (partition by a.vec_id order by sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(a.embedding[i]::double - b.embedding[i]::double, 2)))), b.vec_id) r from embeddings a join embeddings b on b.vec_id % 25 = 0 and a.vec_id % 25 <> 0) x where r = 1")
 def nearest_vector(spark, sf_dir):
     """Nearest known encoding below a limit (J18); every 25th row plays a registered person."""

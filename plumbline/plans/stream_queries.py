@@ -25,11 +25,11 @@ def _source(spark, sf_dir, folder):
 
 
 def stream_debounce(spark, sf_dir):
-    """Debounced events of the stream."""
+    """Debounced events of the stream by gate (the event type) and person."""
     folder = _folder(spark)
-    q = gate.debounce_stream(_source(spark, sf_dir, folder), 7200.0).writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q = gate.debounce_stream(_source(spark, sf_dir, folder), ["event_type", "user_id"], 7200.0).writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("user_id long, t double").parquet(f"{folder}/out")
+    return spark.read.schema("event_type string, user_id long, t double").parquet(f"{folder}/out")
 
 
 def stream_daily_upsert(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,10 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.attendance import daily
 
 
-def debounce_stream(events: DataFrame, seconds: float, delay: str = "1 hour") -> DataFrame:
-    """(user_id, t) emitted more than ``seconds`` after the last emitted one, by event time in each batch's order.
+def debounce_stream(events: DataFrame, keys: Sequence[str], seconds: float, delay: str = "1 hour") -> DataFrame:
+    """(keys, t) emitted more than ``seconds`` after the last emitted one, by event time in each batch's order.
 
-    State of a key is one number; it goes when the watermark is ``seconds`` past it.
+    Keys are a gate and a person: each gate counts for itself. State of a key is one number; it goes when the watermark is ``seconds`` past it.
     """
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -29,10 +29,12 @@ def debounce_stream(events: DataFrame, seconds: float, delay: str = "1 hour") ->
                 last = t
         state.update((last,))
         state.setTimeoutTimestamp(max(int((last + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"user_id": [key[0]] * len(out), "t": out})
+        yield pd.DataFrame({**{n: [k] * len(out) for n, k in zip(keys, key)}, "t": out})
 
-    marked = events.withWatermark("ts", delay).select("user_id", "ts", F.unix_seconds("ts").cast("double").alias("t"))
-    return marked.groupBy("user_id").applyInPandasWithState(run, "user_id long, t double", "last double", "append", GroupStateTimeout.EventTimeTimeout)
+    marked = events.withWatermark("ts", delay).select(*keys, "ts", F.unix_seconds("ts").cast("double").alias("t"))
+    kinds = dict(events.dtypes)
+    ddl = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "t double"])
+    return marked.groupBy(*keys).applyInPandasWithState(run, ddl, "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def merge_daily(old: DataFrame | None, batch: DataFrame) -> DataFrame:

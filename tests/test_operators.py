@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import geometry, placement, text, tolerance
 from plumbline.operators import attendance, clustering, evidence, joins, matching, passes, pieces, reports
 from plumbline.operators import tables as parsers
-from plumbline.plans import attendance_queries, stream_queries
+from plumbline.plans import attendance_queries, pieces_queries, placement_queries, stream_queries
 
 
 def test_single_link_and_anchor_differ(spark):
@@ -62,6 +62,42 @@ def test_interval_union(spark):
     assert sorted((r.lo, r.hi) for r in clustering.interval_union(df, ["k"], "lo", "hi").collect()) == [(0, 9), (12, 13)]
 
 
+def test_folds_carry_their_state_over_batches_and_partitions(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, None if rng.random() < 0.01 else float(rng.integers(0, 40000))) for k in [1] * 12000 + [2] * 3000 + [None] * 2000 + list(range(10, 60))]
+    df = spark.createDataFrame(rows, "k int, x double").repartition(7)
+    want, runs = set(), set()
+    for k in {r[0] for r in rows}:
+        last, number, begin, n = None, 0, None, 0
+        for x in sorted(x for j, x in rows if j == k and x is not None):
+            if last is None or x - last > 20:
+                want.add((k, x))
+                last = x
+            if begin is not None and x - begin > 9:
+                runs.add((k, number, begin, n))
+                number, begin, n = number + 1, None, 0
+            begin, n = x if begin is None else begin, n + 1
+        if begin is not None:
+            runs.add((k, number, begin, n))
+    got = [tuple(r) for r in clustering.debounced(df, ["k"], "x", 20).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {tuple(r) for r in clustering.anchor_groups(df, ["k"], "x", 9.0).collect()} == runs
+    nothing = df.filter("x < 0")
+    assert clustering.pitch_runs(nothing, ["k"], "x").collect() == [] and clustering.debounced(nothing, ["k"], "x", 1).collect() == []
+
+
+def test_whole_tables_where_line_numbers_repeat(spark):
+    d = "/root/testdata/sf0.001"
+    line = spark.read.parquet(f"{d}/lineitem.parquet")
+    segments = placement_queries._segments(spark, d).count()
+    twins = pieces_queries.near_twins(spark, d)
+    assert twins.count() == segments == twins.select("id").distinct().count()
+    chained = pieces_queries.chain_pieces(spark, d).select(F.explode("ids").alias("id"))
+    assert chained.count() == segments == chained.distinct().count()
+    numbered = pieces_queries._numbered(line, "l_orderkey", "l_linenumber", ["l_suppkey", "l_quantity", "l_extendedprice"])
+    assert numbered.select("id").distinct().count() == line.count()
+
+
 def test_pitch_runs(spark):
     df = spark.createDataFrame([(1, float(x)) for x in (0, 0, 150, 300, 452, 1000, 1100)], "k int, x double")
     assert [(r.n, r.pitch) for r in clustering.pitch_runs(df, ["k"], "x").orderBy("run_no").collect()] == [(5, 150.0), (2, 100.0)]
@@ -123,7 +159,7 @@ def test_band_join_equals_nested_loop(spark):
 def test_streams_equal_their_batch_twins(spark):
     d = "/root/testdata/sf0.001"
     a = stream_queries.stream_debounce(spark, d)
-    b = attendance_queries.debounce_events(spark, d).select("user_id", "t")
+    b = attendance_queries.gate_debounce(spark, d)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     x = stream_queries.stream_daily_upsert(spark, d).select("user_id", "day", F.col("in_ts").cast("string"), F.col("out_ts").cast("string"))
     y = attendance_queries.attendance_daily(spark, d).select("user_id", "day", F.col("in_ts").cast("string"), F.col("out_ts").cast("string"))
