@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import pieces
+from ..operators import clustering, pieces, rails
 from .placement_queries import _segments
 from .tables import table
 
@@ -76,6 +76,16 @@ def near_twins(spark, sf_dir):
     return pieces.near_twins(bars.withColumn("length", F.sqrt((F.col("x1") - F.col("x0")) ** 2 + (F.col("y1") - F.col("y0")) ** 2)), ["view", "dia"])
 
 
+@_own("rail_bars")
+def rail_bars(spark, sf_dir):
+    """Outlines joined to rails over gaps of up to 60, and rails a diameter apart paired to bars."""
+    l = table(spark, sf_dir, "lineitem")
+    outlines = l.select("l_suppkey", (F.col("l_quantity") * 4).alias("off"), (F.col("l_extendedprice") / 20).alias("lo"), (F.col("l_extendedprice") / 20 + 50 + F.col("l_discount") * 4000).alias("hi"))
+    merged = clustering.interval_union(outlines, ["l_suppkey", "off"], "lo", "hi", 60.0)
+    number = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("off", "lo"))
+    return rails.rail_bars(merged.withColumn("rail", number), ["l_suppkey"])
+
+
 @_own("bridge_runs")
 def bridge_runs(spark, sf_dir):
     """Runs split by crossing bars join over gaps of whole pitches."""

@@ -42,4 +42,24 @@ def stream_daily_upsert(spark, sf_dir):
     return spark.read.parquet(f"{folder}/daily/v{max(last, 0)}")
 
 
-QUERIES = {f.__name__: f for f in (stream_debounce, stream_daily_upsert)}
+def stream_mirror(spark, sf_dir):
+    """The mirror of the daily rows: a second sink of the same batches."""
+    folder = _folder(spark)
+    s = _source(spark, sf_dir, folder).filter("event_type in ('view', 'purchase')")
+    q = gate.daily_upsert(s.select("user_id", "ts", F.when(F.col("event_type") == "view", "in").otherwise("out").alias("mode"), "event_id"), f"{folder}/daily", f"{folder}/state", lambda t, n: t.write.mode("overwrite").parquet(f"{folder}/mirror"))
+    q.awaitTermination()
+    return spark.read.parquet(f"{folder}/mirror")
+
+
+def stream_identify(spark, sf_dir):
+    """Nearest known encoding of a stream of faces, the registry being read anew for each batch."""
+    folder = _folder(spark)
+    e = table(spark, sf_dir, "embeddings")
+    faces = e.filter("vec_id % 25 <> 0").select(F.col("vec_id").alias("face"), F.col("embedding").alias("v"))
+    faces.write.parquet(f"{folder}/in")
+    known = lambda: e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("employee_id"), F.col("embedding").alias("e"))
+    gate.identify_stream(spark.readStream.schema(faces.schema).parquet(f"{folder}/in"), known, f"{folder}/out", f"{folder}/state", 0.9).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("face", "employee_id", F.round("distance", 6).alias("distance"))
+
+
+QUERIES = {f.__name__: f for f in (stream_debounce, stream_daily_upsert, stream_mirror, stream_identify)}

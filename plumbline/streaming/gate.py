@@ -1,15 +1,18 @@
-"""Gate events as streams: debouncing with state, daily upserts in batches."""
+"""Gate events as streams: debouncing with state, daily upserts with a mirror, faces against a registry that changes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import logging
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.attendance import daily
+from ..operators.attendance import daily, identify
+
+_LOG = logging.getLogger(__name__)
 
 
 def debounce_stream(events: DataFrame, keys: Sequence[str], seconds: float, delay: str = "1 hour") -> DataFrame:
@@ -47,12 +50,36 @@ def merge_daily(old: DataFrame | None, batch: DataFrame) -> DataFrame:
     return j.select(F.coalesce("user_id", "u").alias("user_id"), F.coalesce("day", "d").alias("day"), F.coalesce("in_ts", "i").alias("in_ts"), F.coalesce("o", "out_ts").alias("out_ts"))
 
 
-def daily_upsert(stream: DataFrame, path: str, checkpoint: str):
+def daily_upsert(stream: DataFrame, path: str, checkpoint: str, mirror: Callable[[DataFrame, int], None] | None = None):
     """Write the stream's daily table as versions under ``path``: one folder for each batch, so a batch that runs again
-    overwrites only its own."""
+    overwrites only its own.
+
+    ``mirror(table, batch)`` is given each version once it stands. It does its best: what it raises is logged and leaves
+    the table and the stream as they are; as each version holds all days, the next call makes good a missed one.
+    """
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         old = spark.read.parquet(f"{path}/v{number - 1}") if number else None
         merge_daily(old, batch).write.mode("overwrite").parquet(f"{path}/v{number}")
+        if mirror:
+            try:
+                mirror(spark.read.parquet(f"{path}/v{number}"), number)
+            except Exception as e:  # the mirror's own trouble, whatever it is
+                _LOG.warning("mirror of batch %d failed, the table is unaffected: %s", number, e)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def identify_stream(faces: DataFrame, registry: Callable[[], DataFrame], path: str, checkpoint: str, limit: float = 0.5):
+    """(face, employee_id, distance) of a stream of faces (face, v) under ``path``, one folder for each batch.
+
+    ``registry()`` gives the known people (employee_id, e) and is asked anew for every batch, so that whoever is enrolled
+    or removed counts from the next batch on, without a restart. An empty registry leaves every face without an id.
+    """
+    def put(batch: DataFrame, number: int) -> None:
+        known = registry()
+        met = identify(batch, known, limit)
+        out = batch.select("face").join(met, "face", "left") if known.isEmpty() else met
+        out.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return faces.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry, placement, text, tolerance
-from plumbline.operators import attendance, clustering, evidence, joins, matching, passes, pieces, reports
+from plumbline.operators import attendance, clustering, evidence, joins, matching, passes, pieces, rails, reports
 from plumbline.operators import tables as parsers
 from plumbline.plans import attendance_queries, pieces_queries, placement_queries, stream_queries
+from plumbline.streaming import gate
 
 
 def test_single_link_and_anchor_differ(spark):
@@ -260,6 +261,56 @@ def test_concentric_arcs_and_cells(spark):
     assert [(r.t, r.x, r.end) for r in got] == [("Bar mark", 11.0, 20.0), ("8", 35.0, 40.0), ("B1", 2.0, 4.0)]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rail_bars_meet_a_count_of_unit_cells(spark, seed):
+    """Whole-number rails, each a set of free unit cells; a pair takes runs of cells free on both."""
+    rng = np.random.default_rng(seed)
+    rows = [(int(k), i, float(rng.integers(0, 30) * 3), float(lo := rng.integers(0, 200)), float(lo + rng.integers(1, 160))) for k in range(3) for i in range(40)]
+    want = set()
+    for k in range(3):
+        own = [r[1:] for r in rows if r[0] == k]
+        cells = {i: set(range(int(lo), int(hi))) for i, _, lo, hi in own}
+        pairs = [(min(a[3], b[3]) - max(a[2], b[2]), a[1], a[2], a[0], b[1], b[2], b[0]) for a in own for b in own if 5 <= b[1] - a[1] <= 34]
+        for over, off_a, lo_a, a, off_b, lo_b, b in sorted((p for p in pairs if p[0] >= 30), reverse=True):
+            both = sorted(cells[a] & cells[b])
+            runs = np.split(np.array(both), np.flatnonzero(np.diff(both) > 1) + 1) if both else []
+            for run in runs:
+                if len(run) >= 30:
+                    cells[a] -= set(run.tolist())
+                    cells[b] -= set(run.tolist())
+                    want.add((k, a, b, (off_a + off_b) / 2, float(run[0]), float(run[-1] + 1), off_b - off_a))
+    df = spark.createDataFrame([*rows, (9, 1, None, 0.0, 90.0), (9, 2, 10.0, 0.0, 90.0)], "k int, rail int, off double, lo double, hi double")
+    got = [tuple(r) for r in rails.rail_bars(df, ["k"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_a_failing_mirror_leaves_the_daily_table(spark, tmp_path):
+    events = spark.createDataFrame([(1, pd.Timestamp("2024-01-01 09:00").to_pydatetime(), "in", 1)], "user_id long, ts timestamp, mode string, event_id long")
+    events.write.parquet(f"{tmp_path}/in")
+    stream, seen = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in"), []
+
+    def mirror(table, number):
+        seen.append(table.count())
+        raise OSError("no network")
+
+    gate.daily_upsert(stream, f"{tmp_path}/daily", f"{tmp_path}/state", mirror).awaitTermination()
+    assert seen == [1] and spark.read.parquet(f"{tmp_path}/daily/v0").count() == 1
+
+
+def test_a_registry_counts_from_the_next_batch_on(spark, tmp_path):
+    def face(i, v):
+        spark.createDataFrame([(i, v)], "face long, v array<double>").write.mode("append").parquet(f"{tmp_path}/in")
+
+    known = []
+    people = lambda: spark.createDataFrame(known, "employee_id string, e array<double>")
+    for i, enrolled in enumerate([None, ("ann", [0.0, 0.1]), ("bo", [0.0, 0.05])]):
+        known += [enrolled] if enrolled else []
+        face(i, [0.0, 0.0])
+        faces = spark.readStream.schema("face long, v array<double>").parquet(f"{tmp_path}/in")
+        gate.identify_stream(faces, people, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert {r.face: r.employee_id for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {0: None, 1: "ann", 2: "bo"}
+
+
 def test_edge_votes_meet_brute_force(spark):
     import random
     from collections import defaultdict
