@@ -87,3 +87,28 @@ def fused_confidence(views: Column, inside: Column) -> Column:
     """More views agree, more confidence, up to 0.98; outside the concrete it is cut to six tenths."""
     c = F.least(F.lit(0.98), F.lit(0.90) + F.lit(0.04) * (views - 1))
     return F.when(inside, c).otherwise(F.round(c * 0.6, 2))
+
+
+#: Cover and the thickness taken where none is known, how near a leg comes to the clear thickness, how far a bar may exceed a panel.
+COVER, THICKNESS, CLEAR, EXCESS = 30.0, 200.0, 18.0, 20.0
+
+
+def bar_axes(legs: Column, length: Column, dia: Column, shape: Column, note: Column, thickness: Column, width: Column, height: Column) -> dict[str, Column]:
+    """run and fold axis (X, Y or Z) of a bar in its panel, and whether it crosses the thickness.
+
+    It does if it is noted as a U bar or link, has a tie's shape, or a leg equals the clear thickness; then it folds into Y,
+    else into the plane. It runs along the side that its longest leg (its length, without legs) fits into with the least slack.
+    """
+    real = F.filter(legs, lambda v: v > 0)
+    clear = F.when(F.coalesce(thickness, F.lit(0)) == 0, F.lit(THICKNESS)).otherwise(thickness) - 2 * (COVER + dia / 2)
+    words = F.lower(F.coalesce(note, F.lit("")))
+    through = F.exists(real, lambda v: F.abs(v - clear) <= CLEAR) | words.contains("u bar") | words.contains("link") | F.coalesce(shape, F.lit("")).startswith("M_T")
+    long = F.coalesce(F.array_max(real), length)
+    sides = [F.struct((side - long < -EXCESS).alias("over"), F.abs(side - long).alias("slack"), F.lit(axis).alias("axis")) for axis, side in (("X", width), ("Z", height))]
+    run = F.array_min(F.array(*sides))["axis"]
+    return {"run": run, "fold": F.when(through, "Y").when(run == "X", "Z").otherwise("X"), "through": through}
+
+
+def in_panel(u: Column, v: Column, run: Column, fold: Column, origin: tuple[Column, Column, Column]) -> Column:
+    """Point (x, y, z) of a point (u, v) of the bending plane: u along the run axis, v along the fold axis."""
+    return F.struct(*[(o + F.when(run == a, u).otherwise(0.0) + F.when(fold == a, v).otherwise(0.0)).alias(a.lower()) for a, o in zip("XYZ", origin)])

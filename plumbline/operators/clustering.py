@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..runtime import shared_folder, ship
+from .joins import touching_boxes
 
 
 def single_link(df: DataFrame, keys: list[str], value: str, tol: float, out: str = "cluster") -> DataFrame:
@@ -111,6 +112,17 @@ def pitch_runs(df: DataFrame, keys: list[str], value: str, floor: float = 8.0, r
     return _fold(df, keys, value, {"run_no": "long", "n": "long", "pitch": "double", "lo": "double", "hi": "double"}, step, lambda state: state)
 
 
+def outline_components(boxes: DataFrame, keys: list[str], gap: float = 3.0, least: int = 3) -> DataFrame:
+    """(keys, component, n, x0, y0, x1, y1): outlines joined by boxes at most ``gap`` apart; those of fewer than ``least`` go.
+
+    Boxes (keys, id, x0, y0, x1, y1), ids being unique over all keys; a component is named by its least id.
+    """
+    whole = boxes.select(*keys, "id", "x0", "y0", "x1", "y1").dropna()
+    named = components(whole.select(F.col("id").alias("node")), touching_boxes(whole, keys, gap))
+    sides = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    return whole.join(named, F.col("id") == F.col("node")).groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("n"), *sides).filter(F.col("n") >= least)
+
+
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component): least node reachable. Links with an end that is no node don't count.
 

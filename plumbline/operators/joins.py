@@ -18,6 +18,30 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], x: str, y: str
     return l.join(r, [*keys, "__b"]).filter((F.col(y) - F.col(x) >= low) & (F.col(y) - F.col(x) <= high)).drop("__b")
 
 
+def touching_boxes(boxes: DataFrame, keys: list[str], gap: float) -> DataFrame:
+    """(a, b): ids of boxes (keys, id, x0, y0, x1, y1) of one key at most ``gap`` apart in x and in y, each pair once.
+
+    A box lies in the cells of its level, a power of two times the gap and no less than its size, so in nine at most; a smaller
+    box asks for it at that level. Boxes with a null touch none.
+    """
+    size = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(gap))
+    own = boxes.select(*keys, "id", "x0", "y0", "x1", "y1").dropna().withColumn("__l", F.ceil(F.log2(size / gap)).cast("int"))
+    width = F.pow(F.lit(2.0), F.col("__at")) * gap
+
+    def spread(df: DataFrame, pad: float) -> DataFrame:
+        for c, lo, hi in (("__cx", "x0", "x1"), ("__cy", "y0", "y1")):
+            df = df.withColumn(c, F.explode(F.sequence(F.floor((F.col(lo) - pad) / width), F.floor((F.col(hi) + pad) / width))))
+        return df
+
+    # a key has few levels: their number grows with the logarithm of the largest box
+    levels = own.select(*keys, F.col("__l").alias("__at")).distinct()
+    dealt = spread(own.withColumn("__at", F.col("__l")), gap)
+    asked = spread(own.join(levels, keys).filter("__l <= __at"), 0.0).select(*keys, "__at", "__cx", "__cy", F.col("__l").alias("__m"), *[F.col(c).alias(f"{c}_") for c in ("id", "x0", "y0", "x1", "y1")])
+    near = [F.col(f"{c}0") - gap <= F.col(f"{c}1_") for c in "xy"] + [F.col(f"{c}0_") - gap <= F.col(f"{c}1") for c in "xy"]
+    met = dealt.join(asked, [*keys, "__at", "__cx", "__cy"]).filter(near[0] & near[1] & near[2] & near[3] & ((F.col("__m") < F.col("__l")) & (F.col("id") != F.col("id_")) | (F.col("id_") < F.col("id"))))
+    return met.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+
+
 def radius_join(left: DataFrame, right: DataFrame, keys: list[str], lxy: tuple[str, str], rxy: tuple[str, str], radius: float) -> DataFrame:
     """Pairs with equal keys at most ``radius`` apart, by grid cells."""
     def cell(c: str) -> Column:

@@ -193,3 +193,10 @@ def exact_hit(gaps: Column, sizes: list[float], reach: float = 0.35) -> Column:
     """The first gap of an array that is within ``reach`` of a standard size, and that size; null without one."""
     near = F.transform(gaps, lambda g: F.struct(g.alias("gap"), F.get(F.filter(F.array(*[F.lit(float(s)) for s in sizes]), lambda s: F.abs(g - s) < reach), F.lit(0)).alias("size")))
     return F.get(F.filter(near, lambda x: x["size"].isNotNull()), F.lit(0))
+
+
+def drop_fragments(bars: DataFrame, marks: DataFrame, keys: list[str], share: float = 0.5) -> DataFrame:
+    """Bars (keys, length) less those shorter than ``share`` of the least of the marks' longest segments of their keys (marks:
+    keys, segments array). Keys hold the panel and the diameter; bars without a mark, and those of unknown length, stay."""
+    floors = marks.groupBy(*keys).agg(F.min(F.array_max("segments")).alias("__floor"))
+    return bars.join(floors, keys, "left").filter(F.coalesce(F.col("length") >= share * F.col("__floor"), F.lit(True))).drop("__floor")

@@ -85,6 +85,19 @@ def conn_components(spark, sf_dir):
     return clustering.components(e.select(F.col("vec_id").alias("node")), edges)
 
 
+@_own("outline_components", """
+with recursive o as (select c_nationkey k, c_custkey id, c_acctbal % 400 x0, c_custkey * 37 % 300 * 1.0 y0, c_acctbal % 400 + (20 + c_custkey % 30) x1, c_custkey * 37 % 300 * 1.0 + (case when c_custkey % 50 = 0 then 250 else 10 end) y1 from customer),
+e as (select a.id a, b.id b from o a join o b on a.k = b.k and a.id <> b.id and a.x0 - 3 <= b.x1 and b.x0 - 3 <= a.x1 and a.y0 - 3 <= b.y1 and b.y0 - 3 <= a.y1),
+w as (select id node, id c from o union select e.b, w.c from w join e on e.a = w.node),
+m as (select node, min(c) component from w group by node)
+select k c_nationkey, component, count(*) n, min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1 from o join m on node = id group by 1, 2 having count(*) >= 3""")
+def outline_components(spark, sf_dir):
+    """Outlines whose boxes lie near each other, three at least."""
+    x, y, i = F.col("c_acctbal") % 400, F.col("c_custkey") * 37 % 300 * 1.0, F.col("c_custkey")
+    boxes = table(spark, sf_dir, "customer").select("c_nationkey", i.alias("id"), x.alias("x0"), y.alias("y0"), (x + (i % 30 + 20)).alias("x1"), (y + F.when(i % 50 == 0, 250).otherwise(10)).alias("y1"))
+    return clustering.outline_components(boxes, ["c_nationkey"])
+
+
 @_own("modal_spacing", """
 select user_id, bin, n from (select user_id, bin, count(*) n, row_number() over (partition by user_id order by count(*) desc, bin) r from (select user_id, cast(floor(d / 300 + 0.5) as bigint) * 300 bin from (select user_id, epoch(ts) - lag(epoch(ts)) over (partition by user_id order by ts, event_id) d from events) a where d > 20 and d < 600000) b group by user_id, bin) c where r = 1""")
 def modal_spacing(spark, sf_dir):

@@ -205,3 +205,14 @@ def exact_hit(spark, sf_dir):
     gaps = F.transform("embedding", lambda v: 20 * F.abs(v.cast("double")))
     e = table(spark, sf_dir, "embeddings").select("vec_id", passes.exact_hit(gaps, [8, 10, 12, 16, 20, 25, 32]).alias("h")).filter("h is not null")
     return e.select("vec_id", F.round("h.gap", 6).alias("gap"), "h.size")
+
+
+@_own("fragment_floor", """
+with f as (select l_suppkey, l_linenumber, min(greatest(l_quantity * 20, l_extendedprice / 20)) f from lineitem where l_returnflag = 'A' group by 1, 2)
+select l.l_suppkey, l.l_linenumber, count(*) n, round(sum(l.l_extendedprice / 10), 4) total from lineitem l left join f on l.l_suppkey = f.l_suppkey and l.l_linenumber = f.l_linenumber where l.l_returnflag = 'R' and (f.f is null or l.l_extendedprice / 10 >= 0.5 * f.f) group by 1, 2""")
+def fragment_floor(spark, sf_dir):
+    """Drawn pieces shorter than half the least of their marks' longest segments go."""
+    l = table(spark, sf_dir, "lineitem")
+    marks = l.filter("l_returnflag = 'A'").select("l_suppkey", "l_linenumber", F.array(F.col("l_quantity") * 20, F.col("l_extendedprice") / 20).alias("segments"))
+    bars = l.filter("l_returnflag = 'R'").select("l_suppkey", "l_linenumber", (F.col("l_extendedprice") / 10).alias("length"))
+    return passes.drop_fragments(bars, marks, ["l_suppkey", "l_linenumber"]).groupBy("l_suppkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("length"), 4).alias("total"))

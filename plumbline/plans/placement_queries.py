@@ -107,6 +107,23 @@ def bent_lengths(spark, sf_dir):
     return p.select("p_partkey", F.size("s").alias("n_segments"), F.round(pl.bent_length(F.col("s"), F.col("p_size"), F.col("p_size") % 5 == 0), 6).alias("bent"), pl.run_count(F.col("p_retailprice"), F.col("p_size") + 100).alias("bars"), F.round(end.x, 6).alias("end_x"), F.round(end.y, 6).alias("end_y"))
 
 
+@_own("panel_axes", """
+with p as (select p_partkey k, p_retailprice len, 8 + p_size % 5 * 2 dia, case when p_partkey % 11 = 0 then null else 200.0 end t, p_size * 60.0 w, 400 + p_retailprice h, p_size * 40.0 a, case when p_partkey % 6 = 0 then 128.0 + p_size end b,
+  case when p_partkey % 9 = 0 then 'T8 U Bar' end note, case when p_partkey % 13 = 0 then 'M_T1' else 'M_17' end shape from part),
+q as (select *, coalesce(t, 200) - 60 - dia clear, greatest(a, coalesce(b, 0)) m from p),
+r as (select *, coalesce(abs(a - clear) <= 18, false) or coalesce(abs(b - clear) <= 18, false) or note is not null or shape = 'M_T1' through,
+  case when (w - m < -20) <> (h - m < -20) then case when w - m < -20 then 'Z' else 'X' end when abs(h - m) < abs(w - m) then 'Z' else 'X' end run from q),
+s as (select *, case when through then 'Y' when run = 'X' then 'Z' else 'X' end fold from r)
+select k, run, fold, through, case when run = 'X' then 100.0 when fold = 'X' then 25.0 else 0.0 end x, case when fold = 'Y' then 25.0 else 0.0 end y, case when run = 'Z' then 100.0 when fold = 'Z' then 25.0 else 0.0 end z from s""")
+def panel_axes(spark, sf_dir):
+    """The axes that a bar follows in its panel, and a point of its plane on them."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    legs = F.array(size * 40.0, F.when(k % 6 == 0, size + 128.0))
+    a = pl.bar_axes(legs, F.col("p_retailprice"), size % 5 * 2 + 8, F.when(k % 13 == 0, "M_T1").otherwise("M_17"), F.when(k % 9 == 0, "T8 U Bar"), F.when(k % 11 != 0, 200.0), size * 60.0, F.col("p_retailprice") + 400)
+    q = table(spark, sf_dir, "part").select(k.alias("k"), *[c.alias(n) for n, c in a.items()])
+    return q.select("*", pl.in_panel(F.lit(100.0), F.lit(25.0), F.col("run"), F.col("fold"), (F.lit(0.0), F.lit(0.0), F.lit(0.0))).alias("p")).select("k", "run", "fold", "through", "p.*")
+
+
 @_own("shape_families", """
 select case when shape is null or shape = '' then '?' when shape = 'M_00' then 'straight' when shape in ('M_17', 'M_17A') then 'u_bar' when shape in ('M_T1', 'M_T10') then 'link_tie' else 'bent_other' end family, count(*) n
 from (select ['M_00', 'M_17', 'M_17A', 'M_T1', 'M_T10', 'X', '', null][1 + p_partkey % 8] shape from part) x group by 1""")
