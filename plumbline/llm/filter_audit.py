@@ -34,20 +34,18 @@ def failures(docs: DataFrame, labels: DataFrame, min_words: int = 200, distinct_
     """
     text = F.coalesce("text", F.lit(""))
     docs = docs.select("doc_id", text.alias("text"), F.coalesce("source", F.lit("")).alias("part"), F.xxhash64(text).alias("h"))
-    # one null stands for the row itself, so that repeated rows can be told from repeated words
-    words = docs.select("doc_id", "h", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.split("text", GAP))).alias("word"))
-    by_word = words.groupBy("doc_id", "h", "word").agg(F.count(F.lit(1)).alias("c"))
-    shown = F.col("word") != ""
-    by_doc = by_word.groupBy(F.col("doc_id").alias("wd"), F.col("h").alias("wh")).agg(
-        F.sum(F.when(shown, F.col("c")).otherwise(0)).alias("total"), F.count(F.when(shown, 1)).alias("distinct_words"), F.sum(F.when(F.col("word").isNull(), F.col("c"))).alias("copies")
-    )
+    # equal rows are one before they are shuffled; from then on a document's words stay where its text is
+    texts = docs.groupBy("doc_id", "h").agg(F.first("text").alias("text"))
+    by_word = texts.select("doc_id", "h", F.explode(F.split("text", GAP)).alias("word")).filter("word <> ''").groupBy("doc_id", "h", "word").agg(F.count(F.lit(1)).alias("c"))
+    by_doc = by_word.groupBy(F.col("doc_id").alias("wd"), F.col("h").alias("wh")).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("distinct_words"))
     capitals = F.length("text") - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
     flags = docs.select("doc_id", "h", "part", F.sha2("text", 256).alias("digest"), (100 * capitals > caps_pct * F.length("text")).alias("c"), F.col("text").rlike(marks).alias("d"))
     flags = flags.groupBy("doc_id", "h", "part", "digest", "c", "d").agg(F.count(F.lit(1)).alias("n"))
     # the first holder of each text; it is looked up by text and doc_id, so no text's copies meet in one task
     first = flags.filter("doc_id is not null").groupBy(F.col("digest").alias("fd")).agg(F.min("doc_id").alias("fi")).withColumn("first", F.lit(True))
     met = flags.join(first, (F.col("digest") == F.col("fd")) & (F.col("doc_id") == F.col("fi")), "left").join(by_doc, F.col("doc_id").eqNullSafe(F.col("wd")) & (F.col("h") == F.col("wh")), "left")
-    fails = [F.col("total") < min_words * F.col("copies"), 100 * F.col("distinct_words") * F.col("copies") < distinct_pct * F.col("total"), F.col("c"), F.col("d"), F.col("doc_id").isNotNull() & F.col("first").isNull()]
+    total, distinct = F.coalesce("total", F.lit(0)), F.coalesce("distinct_words", F.lit(0))
+    fails = [total < min_words, 100 * distinct < distinct_pct * total, F.col("c"), F.col("d"), F.col("doc_id").isNotNull() & F.col("first").isNull()]
     mask = sum((F.when(f, 1 << i).otherwise(0) for i, f in enumerate(fails)), F.lit(0))
     masked = met.select("doc_id", "part", mask.alias("mask"), "n").groupBy("doc_id", "part", "mask").agg(F.sum("n").alias("n"))
     known = labels.groupBy(F.col("doc_id").alias("ld")).agg(F.max(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
