@@ -51,6 +51,8 @@ def folder(spark, tmp_path_factory):
         spark.createDataFrame([(1, 1, 1), (2, 0, None), (None, 1, 1)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
         vectors = [(i, [float(i % 7), 1.0, -2.0], 1) for i in range(45)] + [(50, None, 1), (51, [0.0, 0.0, 0.0], 1), (52, [1.0, None, 2.0], 1), (53, [float("nan"), 1.0, 1.0], 1), (None, [1.0, 1.0, 1.0], 1)]
         spark.createDataFrame(vectors if rows else [], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+        said = [(1, 0, "user", "Hi."), (1, None, None, None), (2, 3, "assistant", ""), (None, 1, "user", "x" * 100_000), (2, 3, "assistant", "")]
+        spark.createDataFrame([(*r, 1) for r in said] if rows else [], "conv_id long, turn long, role string, text string, cost int").write.parquet(f"{d}/conversations.parquet")
         out[name] = d
     return out
 
@@ -61,7 +63,7 @@ def test_queries_on_awkward_and_empty_tables(spark, folder):
     for name, query in QUERIES.items():
         assert query(spark, folder["empty"]).count() == 0, name
         n = query(spark, folder["awkward"]).count()
-        assert n == {"op7_best_fit_packing": n, "op8_learned_partitions": 60}.get(name, len(ROWS)), name
+        assert n == {"op7_best_fit_packing": n, "op8_learned_partitions": 60, "op12_conversation_repair": 3, "op13_filter_interactions": 4 * 600}.get(name, len(ROWS)), name
     assert corpus_pipeline.run(spark, folder["empty"]).count() == 0
     assert corpus_pipeline.run(spark, folder["awkward"]).count() > 0
 
