@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Cells are no smaller than this, where a gap or radius is 0.
+LEAST_CELL = 1e-6
+
 
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], x: str, y: str, low: float, high: float) -> DataFrame:
     """Pairs with equal keys and y - x between low and high (both included)."""
@@ -19,14 +22,15 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], x: str, y: str
 
 
 def touching_boxes(boxes: DataFrame, keys: list[str], gap: float) -> DataFrame:
-    """(a, b): ids of boxes (keys, id, x0, y0, x1, y1) of one key at most ``gap`` apart in x and in y, each pair once.
+    """(a, b): ids of boxes (keys, id, x0, y0, x1, y1) of one key at most ``gap`` apart in x and in y, each pair once; 0: those that touch.
 
     A box lies in the cells of its level, a power of two times the gap and no less than its size, so in nine at most; a smaller
     box asks for it at that level. Boxes with a null touch none.
     """
-    size = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(gap))
-    own = boxes.select(*keys, "id", "x0", "y0", "x1", "y1").dropna().withColumn("__l", F.ceil(F.log2(size / gap)).cast("int"))
-    width = F.pow(F.lit(2.0), F.col("__at")) * gap
+    unit = max(gap, LEAST_CELL)
+    size = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(unit))
+    own = boxes.select(*keys, "id", "x0", "y0", "x1", "y1").dropna().withColumn("__l", F.ceil(F.log2(size / unit)).cast("int"))
+    width = F.pow(F.lit(2.0), F.col("__at")) * unit
 
     def spread(df: DataFrame, pad: float) -> DataFrame:
         for c, lo, hi in (("__cx", "x0", "x1"), ("__cy", "y0", "y1")):
@@ -43,9 +47,9 @@ def touching_boxes(boxes: DataFrame, keys: list[str], gap: float) -> DataFrame:
 
 
 def radius_join(left: DataFrame, right: DataFrame, keys: list[str], lxy: tuple[str, str], rxy: tuple[str, str], radius: float) -> DataFrame:
-    """Pairs with equal keys at most ``radius`` apart, by grid cells."""
+    """Pairs with equal keys at most ``radius`` apart (0: at one point), by grid cells."""
     def cell(c: str) -> Column:
-        return F.floor(F.col(c) / radius).cast("long")
+        return F.floor(F.col(c) / max(radius, LEAST_CELL)).cast("long")
 
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     l = left.withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around)).withColumn("__cx", cell(lxy[0]) + F.col("__dx")).withColumn("__cy", cell(lxy[1]) + F.col("__dy")).drop("__dx", "__dy")
@@ -62,14 +66,26 @@ def nearest_capped(left: DataFrame, right: DataFrame, keys: list[str], lid: str,
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], lo: str, hi: str, lo2: str, hi2: str, cell: float) -> DataFrame:
-    """Pairs with equal keys whose intervals overlap, with ``overlap``; each pair once, in the first cell both touch."""
-    def cells(df: DataFrame, a: str, b: str) -> DataFrame:
-        return df.withColumn("__c", F.explode(F.sequence(F.floor(F.col(a) / cell).cast("long"), F.floor(F.col(b) / cell).cast("long"))))
+    """Pairs with equal keys whose intervals overlap, with ``overlap``; each pair once.
 
-    pairs = cells(left, lo, hi).join(cells(right, lo2, hi2), [*keys, "__c"])
-    first = F.greatest(F.floor(F.col(lo) / cell), F.floor(F.col(lo2) / cell))
+    An interval lies in the cells of its level, a power of two times ``cell`` and no less than its length, so in two at
+    most, however long it is. It is asked at its own level by longer and equal ones, and asks the others' levels, of which a key has few.
+    """
+    level = lambda a, b: F.ceil(F.log2(F.greatest(F.col(b) - F.col(a), F.lit(cell)) / cell)).cast("int")
+
+    def cells(df: DataFrame, a: str, b: str, at: str) -> DataFrame:
+        width = F.pow(F.lit(2.0), F.col(at)) * cell
+        return df.withColumn("__c", F.explode(F.sequence(F.floor(F.col(a) / width).cast("long"), F.floor(F.col(b) / width).cast("long"))))
+
+    l, r = left.filter(F.col(lo) <= F.col(hi)).withColumn("__l", level(lo, hi)), right.filter(F.col(lo2) <= F.col(hi2)).withColumn("__r", level(lo2, hi2))
+    # the pair meets once: at the longer one's level, in the first cell that both touch there
+    l_at, r_at = l.select(*keys, F.col("__l").alias("__w")).distinct(), r.select(*keys, F.col("__r").alias("__w")).distinct()
+    one = cells(l.withColumn("__w", F.col("__l")), lo, hi, "__w").join(cells(r.join(l_at, keys).filter("__r <= __w"), lo2, hi2, "__w"), [*keys, "__w", "__c"])
+    two = cells(l.join(r_at, keys).filter("__l < __w"), lo, hi, "__w").join(cells(r.withColumn("__w", F.col("__r")), lo2, hi2, "__w"), [*keys, "__w", "__c"])
+    width = F.pow(F.lit(2.0), F.col("__w")) * cell
+    first = F.greatest(F.floor(F.col(lo) / width), F.floor(F.col(lo2) / width))
     shared = F.least(hi, hi2) - F.greatest(lo, lo2)
-    return pairs.filter(F.col("__c") == first).withColumn("overlap", shared).filter("overlap > 0").drop("__c")
+    return one.unionByName(two).filter(F.col("__c") == first).withColumn("overlap", shared).filter("overlap > 0").drop("__c", "__w", "__l", "__r")
 
 
 def edge_votes(edges: DataFrame, low: float = 5.0, high: float = 34.0) -> DataFrame:

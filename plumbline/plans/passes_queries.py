@@ -13,8 +13,8 @@ ORACLE_SQL: dict[str, str] = {}
 #: Inputs by name, as columns of a table that both engines read alike.
 INPUTS = {
     # distinct rows of an order's lines as bars: panel, bar, coordinate, radius, kind, diameter, length, position
-    "bars": ("select o panel, n bar, sup * 7.0 c, (qty % 5) * 0.5 r, case when sup % 3 = 0 then 'hook' when sup % 3 = 1 then 'face-dowel' else 'mesh' end kind, 8 + 2 * (part % 3) dia, round(price / 10, 1) len, qty * 20.0 x, flag from lines"),
-    "marks": ("select panel, 8 + 2 * (p % 3) dia, 'k' || p mark, 1 + p % 2 qty, round(1000.0 + 37 * (p % 40), 1) len, case when p % 4 = 0 then 'M_00' when p % 4 = 1 then '17A' else 'M_11' end shape, 1 + p % 3 legs from (select o panel, part % 7 p from lines group by 1, 2) z"),
+    "bars": ("select o panel, n bar, sup * 7.0e0 c, (qty % 5) * 0.5e0 r, case when sup % 3 = 0 then 'hook' when sup % 3 = 1 then 'face-dowel' else 'mesh' end kind, 8 + 2 * (part % 3) dia, round(price / 10, 1) len, qty * 20.0e0 x, flag from lines"),
+    "marks": ("select panel, 8 + 2 * (p % 3) dia, 'k' || p mark, 1 + p % 2 qty, round(1000.0e0 + 37 * (p % 40), 1) len, case when p % 4 = 0 then 'M_00' when p % 4 = 1 then '17A' else 'M_11' end shape, 1 + p % 3 legs from (select o panel, part % 7 p from lines group by 1, 2) z"),
 }
 _LINES = "lines as (select l_orderkey o, l_orderkey * 1000 + row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) n, l_suppkey sup, l_partkey part, cast(l_quantity as bigint) qty, l_extendedprice price, l_returnflag flag from lineitem)"
 _WITH = f"with {_LINES}, bars as ({INPUTS['bars']}), marks as ({INPUTS['marks']})"

@@ -1,12 +1,15 @@
 """Binding, chaining, de-clashing, registration and leaders against plain re-computations on random small inputs."""
 
+import math
 import random
 from collections import Counter
 from math import dist
 
 import pytest
+from pyspark.sql import functions as F
 
-from plumbline.operators import binding, chaining, clashes, leaders, references, registration
+from plumbline.functions import shapes
+from plumbline.operators import binding, chaining, clashes, evidence, joins, leaders, references, registration, sections, synthesis
 
 POINTS = "array<struct<x:double,y:double,z:double>>"
 
@@ -81,8 +84,6 @@ def test_binding_of_empty_tables(spark):
 
 def test_targets(spark):
     r = spark.createDataFrame([(900.0, [50.0, 210.0, 160.0, 30.0, None])], "l double, d array<double>")
-    from pyspark.sql import functions as F
-
     got = r.select(binding.mark_targets(F.col("l"), F.col("d"), F.array(F.lit(200.0), F.lit(None).cast("double"))).alias("t")).first().t
     assert [(t.target, t.penalty) for t in got] == [(900.0, 0.0), (50.0, 55.0), (210.0, 15.0), (160.0, 20.0)]
 
@@ -241,3 +242,112 @@ def test_leaders_by_hand(spark):
     wide = spark.createDataFrame([(1, 0, 0, -100.0, -100.0, 1600.0, 400.0)], "sheet int, view int, rank int, x0 double, y0 double, x1 double, y1 double")
     got = {r.inst: (r.bar, r.status) for r in leaders.bind_tips(tips, wide, bars, bubbles, "sheet").collect()}
     assert got == {7: (2, "ok"), 8: (3, "dia_mismatch")}
+
+
+def test_pairs_at_no_distance(spark):
+    boxes = spark.createDataFrame([(1, 1, 0.0, 0.0, 1.0, 1.0), (1, 2, 1.0, 1.0, 900.0, 2.0), (1, 3, 900.0, 2.1, 901.0, 3.0), (1, 4, 5.0, 1.5, 5.0, 1.5)], "k int, id int, x0 double, y0 double, x1 double, y1 double")
+    assert {(r.a, r.b) for r in joins.touching_boxes(boxes, ["k"], 0.0).collect()} == {(1, 2), (2, 4)}
+    p = spark.createDataFrame([(1, 1, 2.0, 3.0), (1, 2, 2.0, 3.0), (1, 3, 2.0, 3.5)], "k int, i int, x double, y double")
+    q = p.select("k", p.i.alias("j"), p.x.alias("u"), p.y.alias("v"))
+    assert {(r.i, r.j) for r in joins.radius_join(p, q, ["k"], ("x", "y"), ("u", "v"), 0.0).collect()} == {(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)}
+    seg = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 0.0)], "k int, sid int, x0 double, y0 double, x1 double, y1 double")
+    assert evidence.nearest_segment(spark.createDataFrame([(1, 1, 5.0, 1.0)], "k int, pid int, px double, py double"), seg, ["k"], 0.0).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_overlaps_of_very_long_and_short_spans(spark, seed):
+    rng = random.Random(seed)
+    spans = lambda n: [(rng.choice([1, 2]), i, float(rng.randrange(-500, 500)), float(rng.choice([0, 1, 7, 90, 10**9]))) for i in range(n)]
+    a, b = spans(40), spans(40)
+    left = spark.createDataFrame([(k, i, x, x + w) for k, i, x, w in a], "k int, i int, lo double, hi double")
+    right = spark.createDataFrame([(k, i, x, x + w) for k, i, x, w in b], "k int, j int, lo2 double, hi2 double")
+    got = Counter((r.i, r.j, r.overlap) for r in joins.overlap_join(left, right, ["k"], "lo", "hi", "lo2", "hi2", 5.0).collect())
+    want = Counter((i, j, min(x + w, y + v) - max(x, y)) for k, i, x, w in a for m, j, y, v in b if k == m and min(x + w, y + v) > max(x, y))
+    assert got == want
+
+
+def plain_shape(shape, dims, dia, cut):
+    """One bar, step by step."""
+    legs, turns, mode, close, hooks = shapes.SHAPES[shape]
+    tight = 2 * dia if shape.startswith("M_T") or dia <= 16 else 3.5 * dia
+    wide = 2 * dia if dia <= 16 else 3.5 * dia
+    take = lambda t: tight * math.radians(abs(t)) / 2 if mode == "path" else (tight + dia / 2) * math.tan(math.radians(abs(t)) / 2)
+    x = y = h = 0.0
+    pts = [(x, y)]
+    for i, name in enumerate(legs):
+        run = max(1.0, dims[name] - (take(turns[i - 1]) if i else 0) - (take(turns[i]) if i < len(turns) else 0))
+        x, y = x + run * math.cos(h), y + run * math.sin(h)
+        pts.append((x, y))
+        if i < len(turns):
+            t = math.radians(turns[i])
+            s = math.copysign(1, t)
+            c = (x - s * wide * math.sin(h), y + s * wide * math.cos(h))
+            steps = max(3, int(abs(turns[i]) / 15) + 2)
+            for k in range(1, steps + 1):
+                a = h - s * math.pi / 2 + t * k / steps
+                pts.append((c[0] + wide * math.cos(a), c[1] + wide * math.sin(a)))
+            (x, y), h = pts[-1], h + t
+    if close:
+        pts.append(pts[0])
+    for k, v in enumerate([dims[c] for c in hooks if dims.get(c)]):
+        a = math.atan2(pts[1][1] - pts[0][1], pts[1][0] - pts[0][0]) + (1 if k == 0 else -1) * math.radians(135)
+        pts.append((pts[0][0] + v * math.cos(a), pts[0][1] + v * math.sin(a)))
+    return pts, sum(dist(a, b) for a, b in zip(pts, pts[1:]))
+
+
+def test_shapes_have_their_cut_length(spark):
+    rng = random.Random(1)
+    rows = [(s, {c: float(rng.randint(80, 900)) for c in "ABCDEG"}, d, float(rng.randint(300, 4000))) for s in shapes.SHAPES for d in (8.0, 20.0)]
+    rows += [("M_T1", {**{c: 300.0 for c in "BCDE"}, "A": None, "G": 70.0}, 10.0, None), ("M_17", {"B": 1.0, "C": 0.0, "D": 5.0}, 8.0, 10.0), ("M_17", {"B": 1.0}, 8.0, 10.0), ("none", {}, 8.0, 1.0), (None, None, 8.0, 1.0)]
+    df = spark.createDataFrame(rows, "s string, d map<string,double>, dia double, cut double")
+    got = df.select("s", shapes.bent_bar(F.col("s"), F.col("d"), F.col("dia"), F.col("cut")).alias("b")).collect()
+    for (s, d, dia, cut), r in zip(rows[:-4], got):
+        pts, geo = plain_shape(s, d, dia, cut)
+        assert [tuple(p) for p in r.b.pts] == [pytest.approx(p, abs=1e-6) for p in pts] and r.b.geometric_mm == round(geo, 1)
+        exact = [tuple(p) for p in r.b.pts_exact]
+        assert abs(sum(dist(a, b) for a, b in zip(exact, exact[1:])) - (cut or geo)) < 0.1
+        assert r.b.scale_applied == (pytest.approx(cut / geo, abs=1e-6) if cut else 1.0)
+    assert [r.b.error for r in got[-4:]] == ["missing dimension C", "missing dimension C", "unknown shape code none", "unknown shape code null"]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_stretches_covered_by_several_spans(spark, seed):
+    rng = random.Random(seed)
+    rows = [(k, a, a + rng.randrange(0, 20)) for k in (1, 2) for a in [rng.randrange(0, 100) for _ in range(25)]]
+    got = {}
+    for r in synthesis.covered(spark.createDataFrame(rows, "k int, lo int, hi int"), ["k"], 3).collect():
+        assert not got.get(r.k, set()) & set(range(r.lo, r.hi))
+        got.setdefault(r.k, set()).update(range(r.lo, r.hi))
+    assert got == {k: {c for c in range(130) if sum(x == k and a <= c < b for x, a, b in rows) >= 3} for k in (1, 2)}
+
+
+def test_stacks_take_the_longest_pairs_once(spark):
+    bars = [(1, 16, x, 30.0, hi) for x, hi in ((0.2, 900.0), (100.0, 1000.0), (200.0, 1200.0), (300.0, 1200.0), (900.0, 2000.0))] + [(1, 16, 100.0, 1000.5, 1100.0), (1, 10, 50.0, 0.0, 2000.0), (2, 16, 0.0, 0.0, 500.0), (1, 16, None, 0.0, 1.0)]
+    b = spark.createDataFrame(bars, "panel int, dia int, x double, lo double, hi double")
+    calls = spark.createDataFrame([(1, 8, 100.0), (1, 8, 100.0), (1, 10, 150.0), (2, 8, None)], "panel int, dia int, pitch double")
+    stacks = synthesis.tie_stacks(b, calls, "panel")
+    # 200-300 share 1170, 100-200 share 1070 but 200 is taken, 0-100 share 870
+    assert [(r.a, r.b, r.covered) for r in stacks.orderBy("a").collect()] == [(0.0, 100.0, 870.0), (200.0, 300.0, 1170.0)]
+    one = synthesis.tie_stacks(b, calls.limit(1), "panel").collect()
+    assert [(r.a, r.b) for r in one] == [(200.0, 300.0)]
+    panels = spark.createDataFrame([(1, 1000.0, 1000.0, 160.0)], "panel int, width double, height double, thickness double")
+    ties = synthesis.place_ties(stacks, panels, "panel").collect()
+    assert sorted(r.y for r in ties if r.x_lo == 170.0) == [30.0 + 100 * i for i in range(10)] and {r.loop_mm for r in ties} == {2 * 160 + 100 + 160.0}
+
+
+def test_column_ties_merge_near_levels(spark):
+    rows = [(1, i, 10, "default", 50.0, 350.0, y, 300.0) for i, y in enumerate((10.0, 25.0, 31.0, 49.0, 52.0))] + [(1, 9, 10, "section", 50.0, 350.0, 500.0, 300.0), (1, 10, 10, "default", 50.0, 100.0, 600.0, 50.0), (1, 11, 10, "plane-snap", 50.0, 350.0, 700.0, 420.0), (2, 12, 10, "default", 50.0, 350.0, 10.0, 300.0)]
+    bars = spark.createDataFrame(rows, "panel int, id int, dia int, z_source string, x0 double, x1 double, y double, length double")
+    panels = spark.createDataFrame([(1, 400.0, 2000.0, 300.0), (2, 800.0, 2000.0, 300.0)], "panel int, width double, height double, thickness double")
+    straight = spark.createDataFrame([(1, 10, 450.0), (1, 12, 300.0), (1, 10, None)], "panel int, dia int, length double")
+    got = synthesis.column_ties(bars, straight, panels, "panel").orderBy("y").collect()
+    assert [(r.y, r.n) for r in got] == [(10.0, 2), (31.0, 2), (52.0, 1)] and {(r.x_lo, r.x_hi, r.z_lo, r.z_hi) for r in got} == {(40.0, 360.0, 40.0, 260.0)}
+
+
+def test_marks_take_units_in_order_of_trust(spark):
+    units = spark.createDataFrame([(1, "end_cut", "cluster", 5, 9, 1), (1, "plan_cut", "single", 1, 1, 1), (1, "plan_cut", "pitch", 2, 3, 3), (1, "plan_cut", "cluster", 3, 2, 1), (1, "plan_cut", "cluster", 4, 4, 1), (1, "other", "single", 6, 1, 1)], "k int, kind string, tier string, unit int, strength int, n int")
+    marks = spark.createDataFrame([(1, "a", 3), (1, "b", 0), (1, "c", None), (1, "d", 3), (1, "e", 9), (1, "f", 1), (2, "g", 1)], "k int, mark string, qty int")
+    got = {}
+    for r in sections.triangulate(units, marks, ["k"], ["mark"]).collect():
+        got.setdefault(r.mark, set()).add((r.unit, r.seq))
+    assert got == {"a": {(4, 0), (3, 0), (2, 0)}, "d": {(2, 1), (2, 2), (1, 0)}, "e": {(5, 0)}}
