@@ -137,17 +137,18 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], out: str, bucket
     """
     df = without(df, out)
     buckets = max(buckets, buckets * RANK_SHARE * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // RANK_BUCKETS)
-    b, base = f"__{out}_bucket", f"__{out}_base"
+    b, base, local, kb, *ks = free(df, f"__{out}_bucket", f"__{out}_base", "__local", "__kb", *[f"__k{i}" for i in range(len(keys))])
     hashed = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = hashed.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("__n"))
+    (rows,) = free(hashed, "__n")
+    counts = hashed.groupBy(*keys, b).agg(F.count(F.lit(1)).alias(rows))
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(b).alias("__kb"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(base))
-    on = F.col(b) == F.col("__kb")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    bases = counts.select(*[F.col(k).alias(n) for n, k in zip(ks, keys)], F.col(b).alias(kb), F.coalesce(F.sum(rows).over(before), F.lit(0)).alias(base))
+    on = F.col(b) == F.col(kb)
+    for n, k in zip(ks, keys):
+        on = on & F.col(k).eqNullSafe(F.col(n))
     inner = Window.partitionBy(*keys, b).orderBy(*order)
-    local = hashed.withColumn("__local", F.row_number().over(inner) - 1)
-    return local.join(bases, on).withColumn(out, F.col("__local") + F.col(base)).select(*df.columns, out)
+    placed = hashed.withColumn(local, F.row_number().over(inner) - 1)
+    return placed.join(bases, on).withColumn(out, F.col(local) + F.col(base)).select(*df.columns, out)
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -199,6 +200,17 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]) if taken & {c.lower() for c in df.columns} else df
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores behind them as far as df, or another of them, holds them (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def extended(df: DataFrame, ddl: str) -> StructType:
     """The schema of df with further columns behind its own."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, prepare, ranked, stored, without
+from .common import forget, free, prepare, ranked, stored, without
 
 LIMIT = 3
 WORD = r"[^\x20\x09-\x0D]+"
@@ -113,15 +113,16 @@ def mix(docs: DataFrame, size: str, source: str, key: list[str], limit: int = LI
     rows are interchangeable; columns of the added names are replaced.
     """
     docs = without(docs, *({"source_size", "target", "copies"} - {size, source, *key}))
-    rows = docs.withColumn("__size", F.col(size).cast("long")).withColumn("__source", F.col(source))
-    counts = stored(rows.groupBy(F.col("__source").alias("source"), F.col("__size").alias("size")).agg(F.count(F.lit(1)).alias("n")), "size-counts")
+    z, src, rank, ks, kz, n, c = free(docs, "__size", "__source", "__rank", "__s", "__z", "__n", "__c")
+    rows = docs.withColumn(z, F.col(size).cast("long")).withColumn(src, F.col(source))
+    counts = stored(rows.groupBy(F.col(src).alias("source"), F.col(z).alias("size")).agg(F.count(F.lit(1)).alias("n")), "size-counts")
     wanted = targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), limit)
     dual = rates(counts, wanted, limit)
     made = copies_of_sizes(counts, dual, limit).join(dual.select(F.col("source").alias("k"), "source_size", "target"), F.col("source").eqNullSafe(F.col("k"))).drop("k")
-    made = made.select(F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("n").alias("__n"), F.col("copies").alias("__c"), "source_size", "target")
-    placed = ranked(rows, ["__source", "__size"], [F.col(k) for k in key], "__rank", 64)
-    joined = placed.join(made, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")))
-    copies = F.floor(F.col("__c") / F.col("__n")) + F.when(F.col("__rank") < F.col("__c") % F.col("__n"), 1).otherwise(0)
+    made = made.select(F.col("source").alias(ks), F.col("size").alias(kz), F.col("n").alias(n), F.col("copies").alias(c), "source_size", "target")
+    placed = ranked(rows, [src, z], [F.col(k) for k in key], rank, 64)
+    joined = placed.join(made, F.col(src).eqNullSafe(F.col(ks)) & (F.col(z) == F.col(kz)))
+    copies = F.floor(F.col(c) / F.col(n)) + F.when(F.col(rank) < F.col(c) % F.col(n), 1).otherwise(0)
     return joined.withColumn("copies", copies.cast("int")).select(*docs.columns, "source_size", "target", "copies")
 
 

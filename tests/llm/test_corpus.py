@@ -349,3 +349,41 @@ def test_pipeline_stages_take_effect(spark, awkward):
     assert kept.columns == awkward.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 2, 5, 6, 8, 9]
     one = stages["near duplicates"](spark, awkward, SF)
     assert sorted(r.doc_id or 0 for r in one.collect()) == [0, 1, 3, 4, 5, 7, 8, 9]
+
+
+def test_stages_keep_columns_of_any_name(spark, awkward):
+    """Columns with the names that stages, or the operators under them, might use stay as they are."""
+    names = ["__h", "__copies", "__copy", "__lang", "__score", "__toxicity", "__kd", "__kh", "__d", "__k", "__n", "__size", "__source", "__rank", "__local", "__kb", "__k0", "__s", "__z", "__c", "H", "group_key", "copies", "target"]
+    wide = awkward.select("*", *[F.concat(F.lit(f"{n} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns, name
+        for r in out.collect():
+            own = "-" if r.doc_id is None else r.doc_id
+            assert [r[n] for n in names] == [f"{n} {own}" for n in names], name
+    assert stage is not None and corpus_pipeline.STAGES[-1][1](spark, wide, SF).count() >= awkward.count()
+
+
+def test_mixing_stage_deals_copies(spark, awkward):
+    """Documents of a source come as often as op 3 says of the same table, equal rows together."""
+    out = dict(corpus_pipeline.STAGES)["mixing"](spark, awkward, SF)
+    small = awkward.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64(*awkward.columns).alias("h"))
+    want = {}
+    for r in mixing.mix(small, "size", "source", ["doc_id", "h"]).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.copies
+    got = {}
+    for r in out.collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_toxicity_and_packing_stages(spark):
+    """The toxicity stage drops what the operator scores 0.7 or more, and nothing else; packing keeps every token once."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    scored = {r.doc_id: r.score for r in toxicity.op5_toxicity(spark, SF).collect()}
+    assert {r.doc_id for r in stages["toxicity"](spark, docs, SF).select("doc_id").collect()} == {d for d, s in scored.items() if s < toxicity.THRESHOLD}
+    packed = stages["packing"](spark, docs, SF)
+    want = packing.pieces(docs).agg(F.sum("length"), F.count("*")).first()
+    sums = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
+    assert (sum(r.n for r in sums), packed.count()) == tuple(want) and all(r.n == r.end <= 4096 for r in sums)
