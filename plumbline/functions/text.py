@@ -163,3 +163,45 @@ def column_head(text: Column) -> Column:
     t = F.lower(squeeze(text))
     named = F.array(*[F.when(t.rlike(pattern), F.lit(name)) for pattern, name in HEADERS], F.when(t.rlike("^[a-h]$"), F.upper(t)), t)
     return F.filter(named, lambda x: x.isNotNull())[0]
+
+
+#: Names of anchor blocks. Capacity (with _ for the point), embedded length, id and view of a spread
+#: anchor; two diameters, id and view of a lifting insert.
+SPREAD_ANCHOR = r"(?i)^RR spread anchor face based - RR-SA-([\d_]+)-(\d+)-([^-]+)-(.+)$"
+LIFTING_INSERT = r"(?i)^([\d_]+)Ø_?\s*Lifting Insert_COLUMN - ([\d_]+)Ø\s*Lifting insert-([^-]+)-(.+)$"
+#: Kinds of cast-in blocks by words of their name, the first that holds; for models, and for drawings.
+BLOCK_KINDS = [("corbel", "corbel"), ("wire loop", "loop"), ("loopbox", "loop"), ("spread anchor", "anchor"), ("rr-sa", "anchor"), ("stiffener", "embed"), ("channel", "embed")]
+CASTIN_KINDS = [("corbel", "corbel"), ("anchor", "anchor"), ("loopbox", "anchor"), ("stiffener", "channel"), ("channel", "channel")]
+
+
+def anchor_block(name: Column) -> Column:
+    """struct<family, capacity_t, embed_length_mm, type_key, ref_id, view_suffix> of an anchor block's name.
+
+    A name of neither form is of the family ``unknown``, keyed by its first 40 signs; a null one too, with a null key.
+    """
+    part = lambda pattern, i: F.regexp_extract(name, pattern, i)
+    none = lambda kind: F.lit(None).cast(kind)
+    fields = ("family", "capacity_t", "embed_length_mm", "type_key", "ref_id", "view_suffix")
+
+    def told(*values: Column) -> Column:
+        return F.struct(*[v.alias(n) for v, n in zip(values, fields)])
+
+    spread = told(F.lit("RR-SA"), F.regexp_replace(part(SPREAD_ANCHOR, 1), "_", ".").try_cast("double"), part(SPREAD_ANCHOR, 2).try_cast("int"), F.concat_ws("-", F.lit("RR-SA"), part(SPREAD_ANCHOR, 1), part(SPREAD_ANCHOR, 2)), part(SPREAD_ANCHOR, 3), part(SPREAD_ANCHOR, 4))
+    lift = told(F.lit("lifting_insert"), none("double"), none("int"), F.concat(F.lit("LIFT-"), part(LIFTING_INSERT, 2)), part(LIFTING_INSERT, 3), part(LIFTING_INSERT, 4))
+    other = told(F.lit("unknown"), none("double"), none("int"), F.concat(F.lit("UNKNOWN:"), F.substring(name, 1, 40)), none("string"), none("string"))
+    return F.when(name.rlike(SPREAD_ANCHOR), spread).when(name.rlike(LIFTING_INSERT), lift).otherwise(other)
+
+
+def block_kind(name: Column, kinds: list[tuple[str, str]] = BLOCK_KINDS, other: str | None = None) -> Column:
+    """The kind of the first word that a block's name holds, in any case; ``other`` without one."""
+    low = F.lower(name)
+    return F.coalesce(*[F.when(low.contains(word), kind) for word, kind in kinds], F.lit(other).cast("string"))
+
+
+#: Fixed value: a note that names the element whose reinforcement holds here.
+REINFORCED_AS = r"(?i)REINFORCEMENT\s+DETAILS?\s*(?:REFER|SEE)?\s*[:\-]?\s*([A-Z]{2}-[A-Z0-9\-]+)"
+
+
+def reinforced_as(text: Column) -> Column:
+    """The element that the first such note of a text, white space squeezed, names; null without one."""
+    return F.nullif(F.regexp_extract(F.regexp_replace(text, r"\s+", " "), REINFORCED_AS, 1), F.lit(""))

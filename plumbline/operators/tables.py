@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from math import nextafter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .clustering import single_link
+from .clustering import anchor_groups, single_link
 
 #: Titles that begin a segment, labels of the revision block, cells that only data rows hold.
 TABLE_TITLE = r"Rebar schedule for ([\w\-]+)\(([A-Za-z]+)"
@@ -94,3 +96,26 @@ def element_code(stem: Column) -> Column:
 
 def panel_code(stem: Column) -> Column:
     return F.split_part(stem, F.lit("("), F.lit(1))
+
+
+def visual_lines(texts: DataFrame, keys: list[str], tol: float = 3.0) -> DataFrame:
+    """keys, line_no, y, line, cells: texts in visual rows from top to bottom, joined by ' | ' from left to right.
+
+    texts: keys, x, y, text. A text joins the first row that exists less than ``tol`` from it, else begins one. Texts
+    come by falling y, so that is the last row: rows are told by their first text, by a fold over distinct y; texts are then dealt to them by
+    a running look-up. Texts of one place go by text; null texts and places are left out.
+    """
+    known = texts.dropna(subset=["x", "y", "text"]).select(*keys, "x", F.col("y").cast("double").alias("y"), "text")
+    firsts = anchor_groups(known.select(*keys, (-F.col("y")).alias("__d")).distinct(), keys, "__d", nextafter(tol, 0.0))
+    marks = firsts.select(*keys, F.col("anchor").alias("__d"), "group_no", "anchor", F.lit(None).cast("struct<x:double,text:string>").alias("cell"))
+    cells = known.select(*keys, (-F.col("y")).alias("__d"), F.lit(None).cast("long").alias("group_no"), F.lit(None).cast("double").alias("anchor"), F.struct(F.col("x").cast("double").alias("x"), "text").alias("cell"))
+    upto = Window.partitionBy(*keys).orderBy("__d", F.col("group_no").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = marks.unionByName(cells).withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in ("group_no", "anchor")}).filter("cell is not null")
+    rows = placed.groupBy(*keys, F.col("group_no").alias("line_no"), (-F.col("anchor")).alias("y")).agg(F.array_sort(F.collect_list("cell")).alias("c"))
+    return rows.select(*keys, "line_no", "y", F.array_join(F.transform("c", lambda c: c["text"]), " | ").alias("line"), F.size("c").alias("cells"))
+
+
+def sheet_texts(cells: DataFrame, sheet: str, order: list[str], text: str) -> DataFrame:
+    """sheet, text: the texts of a sheet in order, by one space; null texts are left out, a sheet without any is empty."""
+    held = cells.groupBy(sheet).agg(F.array_sort(F.collect_list(F.struct(*order, text))).alias("c"))
+    return held.select(sheet, F.array_join(F.transform("c", lambda c: c[text]), " ").alias("text"))
