@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..operators import clustering, joins
+from ..operators import clustering, joins, summaries
 from .tables import sql_query, table
 
 QUERIES: dict = {}
@@ -208,10 +208,19 @@ def polyline_shape(spark, sf_dir):
     return q.select("vec_id", F.size(geo.simplify(F.col("p"))).alias("kept"), F.size(geo.sample(F.col("p"), 0.05)).alias("samples"), F.round(geo.length(ring), 6).alias("arc_len"))
 
 
-_same("distance_pctl", "select user_id % 10 g, round(percentile_cont(0.5) within group (order by value), 4) med, round(percentile_cont(0.9) within group (order by value), 4) p90, round(avg(case when value <= 50 then 1.0 else 0.0 end), 4) within_50 from events group by user_id % 10".replace("avg(case when value <= 50 then 1.0 else 0.0 end)", "cast(sum(case when value <= 50 then 1 else 0 end) as double) / count(*)"))
+@_own("distance_pctl", "select user_id % 10 g, round(percentile_cont(0.5) within group (order by value), 4) med, round(percentile_cont(0.9) within group (order by value), 4) p90, round(avg(case when value <= 50 then 1.0 else 0.0 end), 4) within_50 from events group by user_id % 10".replace("avg(case when value <= 50 then 1.0 else 0.0 end)", "cast(sum(case when value <= 50 then 1 else 0 end) as double) / count(*)"))
+def distance_pctl(spark, sf_dir):
+    """Median, ninth decile and share within a distance."""
+    e = table(spark, sf_dir, "events").withColumn("g", F.col("user_id") % 10)
+    return summaries.distance_stats(e, "g", "value", 50).withColumnRenamed("within", "within_50")
+
 
 _same("histogram_tv", """
 with h as (select event_type t, least(cast(floor(value / 25) as bigint), 19) b, count(*) n from events group by 1, 2), s as (select t, b, cast(n as double) / sum(n) over (partition by t) f from h)
 select coalesce(x.t, y.t) t, round(sum(abs(coalesce(x.f, 0) - coalesce(y.f, 0))) * 50, 4) mismatch from (select s.t, s.b, s.f from s where s.t <> 'view') x full outer join (select k.t, s.b, s.f from s cross join (select distinct event_type t from events where event_type <> 'view') k where s.t = 'view') y on x.t = y.t and x.b = y.b group by 1""")
 
-_same("sum_by_projection", "select cast(floor(p_retailprice / 5) as bigint) * 5 key5, p_size, count(*) n from part group by cast(floor(p_retailprice / 5) as bigint) * 5, p_size")
+
+@_own("sum_by_projection", "select cast(floor(p_retailprice / 5) as bigint) * 5 key5, p_size, count(*) n from part group by cast(floor(p_retailprice / 5) as bigint) * 5, p_size")
+def sum_by_projection(spark, sf_dir):
+    """Counts by a coordinate cut to steps."""
+    return summaries.projected_counts(table(spark, sf_dir, "part"), "p_retailprice", 5, "p_size").withColumnRenamed("key", "key5")

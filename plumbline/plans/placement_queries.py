@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import placement as pl
 from ..functions import text as grammar
-from ..operators import evidence
+from ..operators import evidence, summaries
 from .tables import sql_query, table
 
 QUERIES: dict = {}
@@ -135,7 +135,9 @@ def shape_families(spark, sf_dir):
 
 
 # demand of projection and fill for each schedule and element that share a mark, and the best element
-_same("element_fit", """
+
+
+@_own("element_fit", """
 with m as (select distinct o_custkey schedule, o_orderkey, l_partkey mark, l_extendedprice / 10 len, l_quantity qty from lineitem join orders on l_orderkey = o_orderkey),
 e as (select p_partkey mark, p_size element, 4000 + 20 * p_size span from part),
 w as (select schedule, count(distinct mark) want from m group by schedule),
@@ -144,6 +146,11 @@ overlap as (select schedule, element, count(distinct m.mark) both_n from m join
 fit as (select hit.schedule, hit.element, -cast(sum(cast(greatest(len - span - 25, 0) * qty as decimal(18,3))) as double) / 1000 + least(max(len) / max(span), 1) * 50 fit from hit join m on hit.schedule = m.schedule group by hit.schedule, hit.element),
 s as (select f.schedule, f.element, round(cast(both_n as double) / want * 200 + cast(fit as double), 6) score, round(cast(both_n as double) / want, 2) tag_overlap from fit f join overlap o on f.schedule = o.schedule and f.element = o.element join w on w.schedule = f.schedule)
 select schedule, element, score, tag_overlap from (select *, row_number() over (partition by schedule order by score desc, element desc) r from s) x where r = 1""")
+def element_fit(spark, sf_dir):
+    """The element that a schedule belongs to."""
+    l, o, p = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
+    rows = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("schedule"), "o_orderkey", F.col("l_partkey").alias("mark"), (F.col("l_extendedprice") / 10).alias("len"), F.col("l_quantity").alias("qty")).distinct()
+    return summaries.schedule_fit(rows, p.select(F.col("p_partkey").alias("mark"), F.col("p_size").alias("element"), (4000 + 20 * F.col("p_size")).alias("span")), "schedule")
 
 
 @_own("fused_confidence", "select user_id, views, inside, case when inside then c else round(c * 0.6, 2) end confidence from (select user_id, views, inside, cast(least(0.98, cast(0.9 as double) + cast(0.04 as double) * (views - 1)) as double) c from (select user_id, count(distinct event_type) views, min(value) > 1 inside from events group by user_id) a) b")
@@ -165,15 +172,29 @@ def bucket_probe(spark, sf_dir):
 
 
 # section frame to elevation frame, both boxes known for each view
-_same("frame_remap", """
+
+
+@_own("frame_remap", """
 with b as (select l_suppkey view_id, min(l_extendedprice) c0, max(l_extendedprice) c1, min(l_quantity) * 100 e0, max(l_quantity) * 100 e1 from lineitem group by l_suppkey)
 select view_id, l_orderkey, l_linenumber, l_extendedprice, round(e0 + (l_extendedprice - c0) / (c1 - c0) * (e1 - e0), 4) x from lineitem join b on l_suppkey = view_id where c1 > c0""")
+def frame_remap(spark, sf_dir):
+    """Coordinates of a view's crop in its extent."""
+    l = table(spark, sf_dir, "lineitem").withColumn("view_id", F.col("l_suppkey"))
+    frames = l.groupBy("view_id").agg(F.min("l_extendedprice").alias("c0"), F.max("l_extendedprice").alias("c1"), (F.min("l_quantity") * 100).alias("e0"), (F.max("l_quantity") * 100).alias("e1"))
+    return summaries.remapped(l.select("view_id", "l_orderkey", "l_linenumber", "l_extendedprice"), frames, "view_id", "l_extendedprice").withColumnRenamed("x_there", "x")
+
 
 # every source of a mark against its first: which fields differ
-_same("first_source_diffs", """
+
+
+@_own("first_source_diffs", """
 with r as (select l_partkey mark, l_suppkey src, max(l_quantity) qty, max(l_extendedprice) len, max(l_returnflag) shape from lineitem group by l_partkey, l_suppkey),
 b as (select *, first_value(qty) over w qty0, first_value(len) over w len0, first_value(shape) over w shape0, first_value(src) over w src0 from r window w as (partition by mark order by src))
 select mark, src0 base_src, src, case when qty <> qty0 then 1 else 0 end qty_diff, case when abs(len - len0) > 1.0 then 1 else 0 end len_diff, case when shape <> shape0 then 1 else 0 end shape_diff from b where src <> src0 and (qty <> qty0 or abs(len - len0) > 1.0 or shape <> shape0)""")
+def first_source_diffs(spark, sf_dir):
+    """Sources of a mark that differ from its first."""
+    r = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("mark"), F.col("l_suppkey").alias("src")).agg(F.max("l_quantity").alias("qty"), F.max("l_extendedprice").alias("len"), F.max("l_returnflag").alias("shape"))
+    return summaries.against_first(r, "mark", "src", {"qty": None, "len": 1.0, "shape": None})
 
 
 @_own("claim_leftovers", """
@@ -191,9 +212,17 @@ def claim_leftovers(spark, sf_dir):
 
 
 # arcs of one centre and radius cover 100 degrees or more together: a sleeve (C14)
-_same("arc_sleeves", """
+
+
+@_own("arc_sleeves", """
 with a as (select cast(floor(l_extendedprice / 500) as bigint) cx, l_suppkey cy, cast(l_quantity as bigint) r, cast(l_orderkey * 37 % 360 as bigint) a0, cast(l_partkey * 53 % 360 as bigint) a1 from lineitem)
 select cx, cy, r, sum((a1 - a0 + 360) % 360) coverage, count(*) arcs from a group by cx, cy, r having sum((a1 - a0 + 360) % 360) >= 100""")
+def arc_sleeves(spark, sf_dir):
+    """Circles that arcs mostly cover (C14)."""
+    whole = lambda c: F.expr(f"cast({c} as bigint)")
+    a = table(spark, sf_dir, "lineitem").select(whole("floor(l_extendedprice / 500)").alias("cx"), F.col("l_suppkey").alias("cy"), whole("l_quantity").alias("r"), whole("l_orderkey * 37 % 360").alias("a0"), whole("l_partkey * 53 % 360").alias("a1"))
+    return summaries.sleeves(a, ["cx", "cy", "r"], "a0", "a1")
+
 
 _PROFILE_SQL = """
 with e as (select distinct l_suppkey view_id, l_orderkey, l_linenumber, l_extendedprice / 20 x0, l_extendedprice / 20 + l_quantity * 10 x1, l_partkey * 2 y0, l_partkey * 2 + l_discount * 40 y1 from lineitem),
@@ -216,12 +245,19 @@ def depth_zones(spark, sf_dir):
 
 
 # why a mark is not fully located: the first reason that holds
-_same("unlocated_reasons", """
+
+
+@_own("unlocated_reasons", """
 with m as (select p_partkey mark, p_size dia, p_retailprice cut, p_size % 7 + 1 qty, p_partkey % 4 located from part),
 a as (select c_custkey % 60 dia, c_acctbal / 5 len, c_custkey % 5 + 1 n from customer),
 g as (select mark, min(abs(len - cut) / greatest(cut, 1)) err_cut, min(abs(len - cut / 3) / greatest(cut / 3, 1)) err_leg, count(len) runs,
  coalesce(sum(case when abs(len - cut) / greatest(cut, 1) <= 0.1 then n end), 0) pool, coalesce(sum(case when abs(len - cut / 3) / greatest(cut / 3, 1) <= 0.1 then n end), 0) legs, max(qty) qty, max(located) located from m left join a on m.dia = a.dia group by mark)
 select mark, cast(pool as bigint) pool, cast(legs as bigint) legs, case when runs = 0 then 'NO_BAR_OF_DIAMETER' when least(err_cut, err_leg) > 0.1 then 'NO_RUN_OF_LENGTH' when located > 0 then 'PARTLY_DRAWN' when pool = 0 then 'LEG_MATCH_ONLY' when pool < qty then 'TOO_FEW_DRAWN' else 'CLAIMED_BY_OTHERS' end reason from g""")
+def unlocated_reasons(spark, sf_dir):
+    """Why bars of a mark were not found."""
+    p, c = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
+    marks = p.select(F.col("p_partkey").alias("mark"), F.col("p_size").alias("dia"), F.col("p_retailprice").alias("cut"), (F.col("p_retailprice") / 3).alias("leg"), (F.col("p_size") % 7 + 1).alias("qty"), (F.col("p_partkey") % 4).alias("located"))
+    return summaries.unlocated_reasons(marks, c.select((F.col("c_custkey") % 60).alias("dia"), (F.col("c_acctbal") / 5).alias("len"), (F.col("c_custkey") % 5 + 1).alias("n")))
 
 
 _TAG_SQL = r"case when regexp_matches(t, '^-\(([0-9]+)\)\s*-?\(?\s*T([0-9]+)(.*?)\)?$') then 'note' when regexp_full_match(t, '[A-Z][0-9]?') then 'mark' when regexp_matches(t, '^T[0-9]+') then 'spacing' else 'none' end"
@@ -276,6 +312,16 @@ def report_lines(spark, sf_dir):
 
 
 # candidate documents: exact stem first, then longest core, nearest in time, schedule sheets
-_same("candidate_ranking", """
+
+
+@_own("candidate_ranking", """
 with c as (select o_custkey, o_orderkey, o_orderpriority name, split_part(o_orderpriority, '-', 1) core, o_orderdate from orders), d as (select c_custkey, c_custkey % 5 + 1 want from customer)
 select o_custkey, o_orderkey, rank_no from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by case when core = cast(want as string) then 0 else 1 end, length(name) desc, abs(year(o_orderdate) * 12 + month(o_orderdate) - 1996 * 12), case when name like '%SPEC%' then 0 else 1 end, o_orderkey) rank_no from c join d on o_custkey = c_custkey) x where rank_no <= 3""")
+def candidate_ranking(spark, sf_dir):
+    """The first three candidates of each key."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 5 + 1).alias("want"))
+    j = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    core = F.split_part("o_orderpriority", F.lit("-"), F.lit(1)) == F.col("want").cast("string")
+    months = F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1996 * 12
+    order = [F.when(core, 0).otherwise(1), F.length("o_orderpriority").desc(), F.abs(months), F.when(F.col("o_orderpriority").contains("SPEC"), 0).otherwise(1)]
+    return summaries.ranked_candidates(j, "o_custkey", "o_orderkey", order, 3)

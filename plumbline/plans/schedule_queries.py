@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tolerance as tol
-from ..operators import matching
+from ..operators import matching, summaries
 from .tables import sql_query, table
 
 QUERIES: dict = {}
@@ -82,12 +82,24 @@ _same("verify_grand", """
 select cast(sum(d) as double) rows_total, cast(max(g) as double) grand, case when abs(cast(sum(d) as double) - cast(max(g) as double)) <= greatest(0.15, 0.01 * abs(cast(max(g) as double))) then 'OK' else 'MISMATCH' end status
 from (select cast(l_extendedprice as decimal(18,2)) d, null g from lineitem union all select null d, cast(o_totalprice as decimal(18,2)) g from orders) u""".replace("cast(max(g) as double)", "cast(sum(g) as double)"))
 
-_same("master_rollup", f"""
+
+@_own("master_rollup", f"""
 with b as (select l_suppkey panel, {_SNAP} dia, l_quantity q, cast(l_extendedprice as decimal(18,2)) len from lineitem join part on l_partkey = p_partkey)
 select panel, dia, count(*) n_rows, sum(q) qty, cast(sum(len) as double) length, grouping(panel) g_panel, grouping(dia) g_dia from b group by rollup (panel, dia)""")
+def master_rollup(spark, sf_dir):
+    """Rows, quantity and length by panel and diameter, with sums (A4, A10)."""
+    p = table(spark, sf_dir, "part").select("p_partkey", tol.snap(F.col("p_size").cast("double")).alias("dia"))
+    rows = table(spark, sf_dir, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    return summaries.diameter_rollup(rows, "l_suppkey", "dia", "l_quantity", "l_extendedprice")
+
 
-_same("census_by_kind", """
+@_own("census_by_kind", """
 select event_type, user_id % 10 layer, count(*) n, count(distinct user_id) instances, round(sum(cast(value as decimal(18,4))), 2) drawn from events group by event_type, user_id % 10""".replace("round(sum(cast(value as decimal(18,4))), 2)", "cast(sum(cast(value as decimal(18,4))) as double)"))
+def census_by_kind(spark, sf_dir):
+    """Entities, instances and drawn length by kind and layer."""
+    e = table(spark, sf_dir, "events").withColumn("layer", F.col("user_id") % 10)
+    return summaries.kind_census(e, ["event_type", "layer"], "user_id", "value")
+
 
 _same("conf_split_flag", """
 with c as (select l_suppkey panel, l_shipmode_ dia, cast(sum(case when l_discount >= 0.05 then cast(l_extendedprice as decimal(18,2)) end) as double) high, cast(sum(case when l_discount < 0.05 then cast(l_extendedprice as decimal(18,2)) end) as double) low from (select *, l_returnflag l_shipmode_ from lineitem) x group by l_suppkey, l_shipmode_)
@@ -142,33 +154,71 @@ _same("count_gated_update", """
 with g as (select l_orderkey k, count(*) n, max(l_quantity) q from lineitem group by l_orderkey)
 select l_orderkey, l_linenumber, l_partkey, count(*) n_rows, max(case when n = floor(q / 10) then o_totalprice else l_extendedprice end) len from lineitem join g on l_orderkey = k join orders on o_orderkey = l_orderkey group by l_orderkey, l_linenumber, l_partkey""")
 
-_same("sanity_findings", """
+
+@_own("sanity_findings", """
 select 'z_bounds' check_name, l_orderkey id, l_extendedprice val from lineitem where l_extendedprice < 1000 or l_extendedprice > 100000
 union all select 'density', o_orderkey, o_totalprice from orders where o_totalprice < 2000 or o_totalprice > 400000
 union all select 'degenerate', l_orderkey, l_quantity from lineitem where l_quantity <= 0""")
+def sanity_findings(spark, sf_dir):
+    """Rows out of bounds, by check."""
+    l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    out = lambda c, low, high: (F.col(c) < low) | (F.col(c) > high)
+    return summaries.findings(("z_bounds", l, "l_orderkey", "l_extendedprice", out("l_extendedprice", 1000, 100000)), ("density", o, "o_orderkey", "o_totalprice", out("o_totalprice", 2000, 400000)), ("degenerate", l, "l_orderkey", "l_quantity", F.col("l_quantity") <= 0))
 
-_same("source_agreement", """
+
+@_own("source_agreement", """
 with f as (select l_partkey mark, l_suppkey src, max(l_quantity) v from lineitem group by l_partkey, l_suppkey), b as (select mark, src, v, first_value(v) over (partition by mark order by src) v0 from f)
 select mark, count(*) sources, case when count(*) = 1 then 'SINGLE_SOURCE' when sum(case when abs(v - v0) > 1 then 1 else 0 end) = 0 then 'AGREE' else 'DISAGREE' end status from b group by mark""")
+def source_agreement(spark, sf_dir):
+    """Do the sources of a mark agree (A26)?"""
+    f = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("mark"), F.col("l_suppkey").alias("src")).agg(F.max("l_quantity").alias("v"))
+    return summaries.source_agreement(f, "mark", "src", "v")
+
 
 _same("balance_check", """
 select l_shipdate_ y, count(*) read_n, sum(case when l_returnflag <> 'N' then 1 else 0 end) written_n, sum(case when l_returnflag = 'N' then 1 else 0 end) skipped_n,
  count(*) = sum(case when l_returnflag <> 'N' then 1 else 0 end) + sum(case when l_returnflag = 'N' then 1 else 0 end) balanced from (select year(l_shipdate) l_shipdate_, l_returnflag from lineitem) x group by l_shipdate_""")
 
-_same("combined_sheets", """
+
+@_own("combined_sheets", """
 select base, cast(sum(t) as double) total, count(*) sheets, case when cast(sum(t) as double) >= 0.95 * 1000000 then 'OK' else 'SHORTFALL' end verdict from (select o_custkey % 100 base, cast(sum(cast(o_totalprice as decimal(18,2))) as decimal(18,2)) t from orders group by o_custkey) x group by base""")
+def combined_sheets(spark, sf_dir):
+    """Sheets of one base against its demand."""
+    s = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum(summaries.money(F.col("o_totalprice"))).alias("t")).withColumn("base", F.col("o_custkey") % 100)
+    return summaries.combined_sheets(s, "base", "t", F.lit(1000000))
+
 
 _same("distinct_view_max", """
 select label, max(per_view) most from (select l_partkey label, l_suppkey view_id, sum(q) per_view from (select distinct l_partkey, l_suppkey, l_linenumber, l_quantity q from lineitem) d group by l_partkey, l_suppkey) v group by label""")
 
-_same("element_candidates", """
+
+@_own("element_candidates", """
 select grp, best, n_views, extras from (select p_brand grp, p_partkey best, p_size n_views, row_number() over (partition by p_brand order by case when p_type like '%STEEL%' then 0 else 1 end, p_size desc, p_partkey) r, count(*) over (partition by p_brand) - 1 extras from part) x where r = 1""")
+def element_candidates(spark, sf_dir):
+    """The best candidate of each group."""
+    return summaries.best_candidate(table(spark, sf_dir, "part"), "p_brand", "p_partkey", F.col("p_type").like("%STEEL%"), "p_size")
+
+
+@_own("known_only", "select distinct l_partkey from lineitem where exists (select 1 from part where p_partkey = l_partkey and p_size in (8, 10, 12, 16, 20, 25, 32))")
+def known_only(spark, sf_dir):
+    """Keys of standard sizes."""
+    return summaries.known_sizes(table(spark, sf_dir, "lineitem"), "l_partkey", table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", [8, 10, 12, 16, 20, 25, 32])
+
+
+@_own("phantom_drop", "select o_orderkey, o_custkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)")
+def phantom_drop(spark, sf_dir):
+    """Orders that no line names."""
+    return summaries.without_evidence(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", table(spark, sf_dir, "lineitem"), "l_orderkey")
 
-_same("known_only", "select distinct l_partkey from lineitem where exists (select 1 from part where p_partkey = l_partkey and p_size in (8, 10, 12, 16, 20, 25, 32))")
 
-_same("phantom_drop", "select o_orderkey, o_custkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)")
+@_own("set_ops", "select l_suppkey k, 'both' side from lineitem where l_returnflag = 'A' intersect select l_suppkey, 'both' from lineitem where l_returnflag = 'R' union all (select c_nationkey, 'only_customer' from customer except select s_nationkey, 'only_customer' from supplier)")
+def set_ops(spark, sf_dir):
+    """Keys on both sides, and keys on one side only."""
+    l = table(spark, sf_dir, "lineitem")
+    flag = lambda f: l.filter(F.col("l_returnflag") == f).select("l_suppkey")
+    nations = (table(spark, sf_dir, t).select(F.col(f"{t[0]}_nationkey").cast("bigint")) for t in ("customer", "supplier"))
+    return summaries.set_report(flag("A"), flag("R"), *nations, "both", "only_customer")
 
-_same("set_ops", "select l_suppkey k, 'both' side from lineitem where l_returnflag = 'A' intersect select l_suppkey, 'both' from lineitem where l_returnflag = 'R' union all (select c_nationkey, 'only_customer' from customer except select s_nationkey, 'only_customer' from supplier)")
 
 _same("fragment_drop", """
 with f as (select l_suppkey k, max(l_quantity) floor_q from lineitem group by l_suppkey)
