@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import shared_folder, ship
 from .clustering import components
-from .joins import band_join
+from .joins import band_join, near_values
 from .linking import linked
 from .pieces import _Grid
 
@@ -113,12 +113,10 @@ def chain_fragments(fragments: DataFrame, keys: list[str], gap: float = 20.0, de
 
 def wanted(marks: DataFrame, bars: DataFrame, keys: list[str]) -> DataFrame:
     """marks with ``need``: quantity less the bars (keys, length) within max(30, 8 %) of their length."""
-    cell = lambda x: F.floor(F.log(F.greatest(x, F.lit(1.0))) * 8)
-    tol = F.greatest(F.lit(30.0), 0.08 * F.col("length"))
-    asked = marks.select(*keys, "mark", "length", F.explode(F.sequence(cell(F.col("length") - tol), cell(F.col("length") + tol))).alias("__c"))
-    held = bars.filter("length is not null").select(*keys, F.col("length").alias("__l"), cell(F.col("length")).alias("__c")).groupBy(*keys, "__l", "__c").agg(F.count(F.lit(1)).alias("__n"))
-    found = asked.join(held, [*keys, "__c"]).filter(F.abs(F.col("__l") - F.col("length")) <= tol).groupBy(*keys, "mark").agg(F.sum("__n").alias("__n"))
-    return marks.join(found, [*keys, "mark"], "left").withColumn("need", (F.col("qty") - F.coalesce("__n", F.lit(0))).cast("long")).drop("__n")
+    held = bars.filter("length is not null").groupBy(*keys, F.col("length").alias("__l")).agg(F.count(F.lit(1)).alias("__n"))
+    met = near_values(marks, held, keys, "length", "__l", 30.0, 0.08).join(held, [*keys, "__l"])
+    found = met.groupBy(*keys, "length").agg(F.sum("__n").alias("__n"))
+    return marks.join(found, [*keys, "length"], "left").withColumn("need", (F.col("qty") - F.coalesce("__n", F.lit(0))).cast("long")).drop("__n")
 
 
 def accept_chains(chains: DataFrame, marks: DataFrame, keys: list[str], share: float = 0.15) -> DataFrame:

@@ -65,8 +65,22 @@ def _fold(df: DataFrame, keys: list[str], value: str, out: dict[str, str], step:
     return dealt.sortWithinPartitions(*keys, "__v").mapInArrow(run, schema)
 
 
+def _islands(df: DataFrame, keys: list[str], value: str, reach: Callable[[Column], Column]) -> DataFrame:
+    """df with ``__island``: a value beyond the previous one by more than ``reach(previous)`` begins a new one.
+
+    A rule that starts afresh there folds islands apart: a key's rows are sorted once by Spark and then dealt by island.
+    """
+    along = Window.partitionBy(*keys).orderBy(value)
+    before = F.lag(value).over(along)
+    new = F.when(F.col(value) - before > reach(before), 1).otherwise(0)
+    return df.filter(F.col(value).isNotNull()).withColumn("__new", new).withColumn("__island", F.sum("__new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__new")
+
+
 def anchor_groups(df: DataFrame, keys: list[str], value: str, tol: float, rel: float = 0.0) -> DataFrame:
-    """One row for each group (keys, group_no, anchor, n): values join while within max(tol, rel * first) of the group's first."""
+    """One row for each group (keys, group_no, anchor, n): values join while within max(tol, rel * first) of the group's first.
+
+    A gap over that from the last value is one from the first too, so islands between such gaps are folded apart (rel: 0 or more).
+    """
 
     def step(state, v):
         if state is None:
@@ -76,7 +90,10 @@ def anchor_groups(df: DataFrame, keys: list[str], value: str, tol: float, rel: f
             return (number, anchor, n + 1), None
         return (number + 1, v, 1), state
 
-    return _fold(df, keys, value, {"group_no": "long", "anchor": "double", "n": "long"}, step, lambda state: state)
+    apart = _islands(df.withColumn(value, F.col(value).cast("double")), keys, value, lambda before: F.greatest(F.lit(float(tol)), F.lit(float(rel)) * before))
+    groups = _fold(apart, [*keys, "__island"], value, {"group_no": "long", "anchor": "double", "n": "long"}, step, lambda state: state)
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("anchor")) - 1
+    return groups.select(*keys, number.cast("long").alias("group_no"), "anchor", "n")
 
 
 def interval_union(df: DataFrame, keys: list[str], lo: str, hi: str, gap: float | Column = 0) -> DataFrame:
@@ -89,12 +106,16 @@ def interval_union(df: DataFrame, keys: list[str], lo: str, hi: str, gap: float
 
 
 def debounced(df: DataFrame, keys: list[str], ts: str, seconds: float) -> DataFrame:
-    """(keys, ts) of emitted events: more than ``seconds`` after the last emitted one. Counts from emissions, so it is a fold."""
+    """(keys, ts) of emitted events: more than ``seconds`` after the last emitted one. Counts from emissions, so it is a fold.
+
+    After a gap of more than ``seconds`` the next event is emitted whatever came before: islands are folded apart.
+    """
 
     def step(last, t):
         return (t, (t,)) if last is None or t - last > seconds else (last, None)
 
-    return _fold(df, keys, ts, {ts: "double"}, step, lambda last: None)
+    apart = _islands(df.withColumn(ts, F.col(ts).cast("double")), keys, ts, lambda before: F.lit(float(seconds)))
+    return _fold(apart, [*keys, "__island"], ts, {ts: "double"}, step, lambda last: None).drop("__island")
 
 
 def pitch_runs(df: DataFrame, keys: list[str], value: str, floor: float = 8.0, rel: float = 0.18) -> DataFrame:

@@ -21,6 +21,20 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], x: str, y: str
     return l.join(r, [*keys, "__b"]).filter((F.col(y) - F.col(x) >= low) & (F.col(y) - F.col(x) <= high)).drop("__b")
 
 
+def near_values(owner: DataFrame, other: DataFrame, keys: list[str], x: str, y: str, floor: float, rel: float) -> DataFrame:
+    """Distinct (keys, x, y) with equal keys and y within max(floor, rel * x) of x; ``owner`` has x, ``other`` y; nulls have no partner.
+
+    Values meet by cells of their logarithm, which suit a tolerance that grows with the value.
+    """
+    def cell(v: Column) -> Column:
+        return F.floor(F.log(F.greatest(v, F.lit(1.0))) * 8)
+
+    tol = F.greatest(F.lit(float(floor)), rel * F.col(x))
+    asked = owner.filter(F.col(x).isNotNull()).select(*keys, x).distinct().withColumn("__c", F.explode(F.sequence(cell(F.col(x) - tol), cell(F.col(x) + tol))))
+    held = other.filter(F.col(y).isNotNull()).select(*keys, y).distinct().withColumn("__c", cell(F.col(y)))
+    return asked.join(held, [*keys, "__c"]).filter(F.abs(F.col(y) - F.col(x)) <= tol).select(*keys, x, y)
+
+
 def touching_boxes(boxes: DataFrame, keys: list[str], gap: float) -> DataFrame:
     """(a, b): ids of boxes (keys, id, x0, y0, x1, y1) of one key at most ``gap`` apart in x and in y, each pair once; 0: those that touch.
 
@@ -96,7 +110,7 @@ def edge_votes(edges: DataFrame, low: float = 5.0, high: float = 34.0) -> DataFr
     b = edges.select("grp", F.col("edge").alias("e2"), F.col("off").alias("o2"), F.col("lo").alias("l2"), F.col("hi").alias("h2"))
     pairs = band_join(a, b, ["grp"], "o1", "o2", low, high).withColumn("ov", F.least("h1", "h2") - F.greatest("l1", "l2")).filter("ov > 0.2")
     pairs = pairs.withColumn("dia", F.floor(F.col("o2") - F.col("o1") + 0.5).cast("long"))
-    votes = pairs.select("grp", F.col("e1").alias("edge"), "dia", "ov").unionByName(pairs.select("grp", F.col("e2").alias("edge"), "dia", "ov"))
+    votes = pairs.select("grp", F.explode(F.array("e1", "e2")).alias("edge"), "dia", "ov")
     total = votes.groupBy("grp", "edge", "dia").agg(F.sum("ov").alias("w"))
     won = total.withColumn("r", F.row_number().over(Window.partitionBy("grp", "edge").orderBy(F.round("w", 6).desc(), "dia"))).filter("r = 1").select("grp", "edge", "dia")
     one = won.select("grp", F.col("edge").alias("e1"), "dia")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clustering import components, single_link
-from .joins import band_join
+from .joins import band_join, near_values
 
 
 def depth_lookup(bars: DataFrame, readings: DataFrame, key: str, reach: float = 40.0, radius: float = 0.5, tol: float = 8.0, spread: float = 15.0) -> DataFrame:
@@ -96,9 +96,8 @@ def drop_unclaimed_ties(bars: DataFrame, marks: DataFrame, panels: DataFrame, ke
     span ``share`` of the width and have no mark's length."""
     slender = panels.filter((F.col("h") >= slim * F.col("w")) & (F.col("h") >= slim * F.col("t"))).select(key, "w")
     asked = bars.join(slender, key).join(dowel_only(marks, key), [key, "dia"], "left_semi").filter(F.col("length") >= share * F.col("w"))
-    m = marks.select(F.col(key).alias("__k"), F.col("dia").alias("__d"), F.col("len").alias("__l"))
-    claimed = (F.col(key) == F.col("__k")) & (F.col("dia") == F.col("__d")) & (F.abs(F.col("length") - F.col("__l")) <= F.greatest(F.lit(floor), rel * F.col("__l")))
-    gone = asked.join(m, claimed, "left_anti").select("bar")
+    claimed = near_values(marks.select(key, "dia", F.col("len").alias("__l")), asked, [key, "dia"], "__l", "length", floor, rel).select(key, "dia", "length").distinct()
+    gone = asked.join(claimed, [key, "dia", "length"], "left_anti").select("bar")
     return bars.join(gone, "bar", "left_anti")
 
 
@@ -129,15 +128,15 @@ def mirror_fill(bars: DataFrame, key: str, x: str, width: str, tol: float = 15.0
     """Bars with those that their mirror image lacks: ``mirrored`` marks the added ones; an image within ``tol`` of a bar adds none."""
     own = bars.withColumn("mirrored", F.lit(False))
     image = bars.withColumn("__x", F.col(width) - F.col(x))
-    held = bars.select(F.col(key).alias("__k"), F.col(x).alias("__hx"))
-    lacks = image.join(held, (F.col(key) == F.col("__k")) & (F.abs(F.col("__x") - F.col("__hx")) <= tol), "left_anti")
+    met = band_join(image.select(key, "__x").distinct(), bars.select(key, F.col(x).alias("__hx")).distinct(), [key], "__x", "__hx", -tol, tol).select(key, "__x").distinct()
+    lacks = image.join(met, [key, "__x"], "left_anti")
     return own.unionByName(lacks.drop(x).withColumnRenamed("__x", x).withColumn("mirrored", F.lit(True)).select(*own.columns))
 
 
 def dimension_evidence(absent: DataFrame, signals: DataFrame, key: str, low: float = 20.0, high: float = 15000.0, floor: float = 30.0, rel: float = 0.08) -> DataFrame:
     """Rows of ``absent`` (key, mark, len) for which a dimension or hatch extent (key, extent) of their key is within tolerance."""
-    s = signals.filter((F.col("extent") > low) & (F.col("extent") < high)).select(F.col(key).alias("__k"), F.col("extent").alias("__e"))
-    return absent.join(s, (F.col(key) == F.col("__k")) & (F.abs(F.col("__e") - F.col("len")) <= F.greatest(F.lit(floor), rel * F.col("len"))), "left_semi")
+    s = signals.filter((F.col("extent") > low) & (F.col("extent") < high)).select(key, F.col("extent").alias("__e"))
+    return absent.join(near_values(absent, s, [key], "len", "__e", floor, rel).select(key, "len").distinct(), [key, "len"], "left_semi").select(*absent.columns)
 
 
 def cross_view_clusters(circles: DataFrame, key: str, tol: float) -> DataFrame:
@@ -169,8 +168,8 @@ def fused_extent(clusters: DataFrame, runs: DataFrame, outlines: DataFrame, key:
 
     ``runs``: key, dia, rx, lo, hi; of equally near ones the one with the smallest rx. ``outlines``: key, lo, hi.
     """
-    r = runs.select(F.col(key).alias("__k"), F.col("dia").alias("__d"), "rx", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
-    hit = clusters.join(r, (F.col(key) == F.col("__k")) & (F.col("dia") == F.col("__d")) & (F.abs(F.col("x") - F.col("rx")) <= reach))
+    r = runs.select(key, "dia", "rx", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
+    hit = band_join(clusters.select(key, "id", "dia", "x"), r, [key, "dia"], "x", "rx", -reach, reach)
     best = hit.groupBy("id").agg(F.min_by(F.struct("__lo", "__hi"), F.struct(F.abs(F.col("x") - F.col("rx")), F.col("rx"), F.col("__lo"))).alias("r"))
     o = outlines.select(key, F.col("lo").alias("__olo"), F.col("hi").alias("__ohi"))
     j = clusters.join(best, "id", "left").join(o, key, "left")
@@ -183,8 +182,11 @@ def cut_extent(spans: DataFrame, cuts: DataFrame, key: str) -> DataFrame:
     new = spans.withColumn("__new", F.coalesce(F.col("lo") > F.max("hi").over(w), F.lit(True)).cast("int"))
     no = new.withColumn("__no", F.sum("__new").over(Window.partitionBy(key).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     merged = no.groupBy(key, "__no").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    c = cuts.select(F.col(key).alias("__k"), "at")
-    held = merged.join(c, (F.col(key) == F.col("__k")) & F.col("at").between(F.col("lo"), F.col("hi")), "left").groupBy(key, "lo", "hi").agg(F.max(F.col("at").isNotNull()).alias("on_cut"))
+    # merged spans are apart: a cut can only lie on the last one that begins before it
+    both = merged.select(key, F.col("lo").alias("at"), "lo", "hi", F.lit(0).alias("__cut")).unionByName(cuts.filter("at is not null").select(key, "at", F.lit(1).alias("__cut")), allowMissingColumns=True)
+    upto = Window.partitionBy(key).orderBy("at", "__cut").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumns({f"__{c}": F.last(c, ignorenulls=True).over(upto) for c in ("lo", "hi")}).filter("__cut = 0 or at <= __hi")
+    held = seen.groupBy(key, F.col("__lo").alias("lo"), F.col("__hi").alias("hi")).agg((F.max("__cut") == 1).alias("on_cut"))
     best = F.max_by(F.struct("lo", "hi", "on_cut"), F.struct(F.col("on_cut"), F.col("hi") - F.col("lo"), -F.col("lo")))
     return held.groupBy(key).agg(best.alias("b")).select(key, "b.*")
 

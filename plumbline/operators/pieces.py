@@ -73,13 +73,51 @@ def seed_clusters(points: DataFrame, keys: list[str], tol: float = 60.0) -> Data
     return _by_key(points, keys, "id {id}, seed {id}", run)
 
 
+def hull(points: list[tuple]) -> list[tuple]:
+    """Corners of the convex hull of (x, y, id) points, and points that rounding cannot tell from its edges; of points at one
+    place the two of least id."""
+    kept: list[tuple] = []
+    for p in sorted(points):
+        if len(kept) < 2 or p[:2] != kept[-1][:2] or p[:2] != kept[-2][:2]:
+            kept.append(p)
+    if len(kept) < 4:
+        return kept
+    size = max(abs(c) for p in kept for c in p[:2]) or 1.0
+
+    def half(rows: list[tuple]) -> list[tuple]:
+        out: list[tuple] = []
+        for p in rows:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) < -1e-9 * size * size:
+                out.pop()
+            out.append(p)
+        return out
+
+    return sorted(set(half(kept)) | set(half(kept[::-1])))
+
+
 def farthest_pair(points: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, id_a, id_b, d): the two points of a component farthest apart, ties to the smaller ids; a single point has none.
 
-    For short components such as leaders: pairs are made within a component.
+    Only corners of a component's hull can be ends of its longest distance: each task keeps its rows' corners before
+    the exchange, a component keeps those of all, and only they meet in pairs. Null coordinates take no part.
     """
-    a = points.select(*keys, F.col("id").alias("id_a"), F.col("x").alias("xa"), F.col("y").alias("ya"))
-    b = points.select(*keys, F.col("id").alias("id_b"), F.col("x").alias("xb"), F.col("y").alias("yb"))
+    kinds = dict(points.dtypes)
+    ddl = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"id {kinds['id']}, x double, y double"])
+    columns = [*keys, "id", "x", "y"]
+    known = points.dropna(subset=["id", "x", "y"]).select(*keys, "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for key, part in pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]:
+            found = hull(list(zip(part["x"].tolist(), part["y"].tolist(), part["id"].tolist())))
+            rows += [(*(key if isinstance(key, tuple) else (key,)), i, x, y) for x, y, i in found]
+        return pd.DataFrame(rows, columns=columns)
+
+    ship(points.sparkSession)
+    few = known.mapInPandas(lambda parts: (corners(p) for p in parts), ddl)
+    few = few.groupBy(*keys).applyInPandas(lambda pdf: corners(pdf), ddl)
+    a = few.select(*keys, F.col("id").alias("id_a"), F.col("x").alias("xa"), F.col("y").alias("ya"))
+    b = few.select(*keys, F.col("id").alias("id_b"), F.col("x").alias("xb"), F.col("y").alias("yb"))
     d = F.sqrt((F.col("xa") - F.col("xb")) ** 2 + (F.col("ya") - F.col("yb")) ** 2)
     best = a.join(b, keys).filter("id_a < id_b").groupBy(*keys).agg(F.min(F.struct((-d).alias("m"), "id_a", "id_b")).alias("p"))
     return best.select(*keys, "p.id_a", "p.id_b", (-F.col("p.m")).alias("d"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import attendance as att
-from ..operators import clustering
+from ..operators import clustering, ranking
 from .tables import table
 
 QUERIES: dict = {}
@@ -64,7 +63,7 @@ def attendance_totals(spark, sf_dir):
 @_own("currently_in", _DAILY + "select user_id, secs, row_number() over (order by secs desc, user_id) place from s where status = 'currently-in'")
 def currently_in(spark, sf_dir):
     """Who is in, longest first (O2)."""
-    return _rows(spark, sf_dir).filter("status = 'currently-in'").select("user_id", "secs", F.row_number().over(Window.orderBy(F.desc("secs"), "user_id")).alias("place"))
+    return ranking.global_rank(_rows(spark, sf_dir).filter("status = 'currently-in'").select("user_id", "secs"), [F.desc("secs"), F.col("user_id")], "place")
 
 
 @_own("preset_ranges", _DAILY + """, p as (select 'this-week' preset, date '2024-01-29' a, date '2024-01-30' b union all select 'last-week', date '2024-01-22', date '2024-01-28' union all select 'this-month', date '2024-01-01', date '2024-01-30' union all select 'last-30', date '2024-01-01', date '2024-01-30')
