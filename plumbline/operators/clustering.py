@@ -73,7 +73,7 @@ def _islands(df: DataFrame, keys: list[str], value: str, reach: Callable[[Column
     along = Window.partitionBy(*keys).orderBy(value)
     before = F.lag(value).over(along)
     new = F.when(F.col(value) - before > reach(before), 1).otherwise(0)
-    return df.filter(F.col(value).isNotNull()).withColumn("__new", new).withColumn("__island", F.sum("__new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__new")
+    return df.filter(F.col(value).isNotNull()).withColumn("__new", new).withColumn("__island", F.sum("__new").over(along)).drop("__new")
 
 
 def anchor_groups(df: DataFrame, keys: list[str], value: str, tol: float, rel: float = 0.0) -> DataFrame:
@@ -97,11 +97,11 @@ def anchor_groups(df: DataFrame, keys: list[str], value: str, tol: float, rel: f
 
 
 def interval_union(df: DataFrame, keys: list[str], lo: str, hi: str, gap: float | Column = 0) -> DataFrame:
-    """(keys, lo, hi, n): islands of intervals that overlap or lie at most ``gap`` apart."""
+    """(keys, lo, hi, n): islands of intervals that overlap or lie at most ``gap`` apart; equal intervals are numbered together."""
     w = Window.partitionBy(*keys).orderBy(lo, hi)
     reach = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = df.withColumn("__new", F.when(reach.isNull() | (F.col(lo) > reach + gap), 1).otherwise(0))
-    numbered = marked.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    numbered = marked.withColumn("__island", F.sum("__new").over(w))
     return numbered.groupBy(*keys, "__island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.count(F.lit(1)).alias("n")).drop("__island")
 
 

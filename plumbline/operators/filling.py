@@ -24,8 +24,7 @@ def reach_parts(demand: DataFrame, pool: DataFrame, keys: list[str], tol: Column
     d = demand.withColumn("__lo", F.col("target") - tol).withColumn("__hi", F.col("target") + tol)
     along = Window.partitionBy(*keys).orderBy("__lo", "__hi")
     before = F.max("__hi").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = d.withColumn("__new", F.when(before.isNull() | (F.col("__lo") > before), 1).otherwise(0)).withColumn("part", F.sum("__new").over(upto))
+    numbered = d.withColumn("__new", F.when(before.isNull() | (F.col("__lo") > before), 1).otherwise(0)).withColumn("part", F.sum("__new").over(along))
     spans = numbered.groupBy(*keys, "part").agg(F.min("__lo").alias("__at"), F.max("__hi").alias("__hi"))
     held = [c for c in pool.columns if c not in keys]
     marks = spans.select(*keys, "__at", "part", "__hi", *[F.lit(None).cast(dict(pool.dtypes)[c]).alias(c) for c in held], F.lit(0).alias("__kind"))

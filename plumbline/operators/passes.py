@@ -180,7 +180,7 @@ def cut_extent(spans: DataFrame, cuts: DataFrame, key: str) -> DataFrame:
     """key, lo, hi, on_cut: of the merged spans (key, lo, hi) the longest that contains a cut (key, at), else the longest; ties to the lower."""
     w = Window.partitionBy(key).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
     new = spans.withColumn("__new", F.coalesce(F.col("lo") > F.max("hi").over(w), F.lit(True)).cast("int"))
-    no = new.withColumn("__no", F.sum("__new").over(Window.partitionBy(key).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    no = new.withColumn("__no", F.sum("__new").over(Window.partitionBy(key).orderBy("lo", "hi")))
     merged = no.groupBy(key, "__no").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     # merged spans are apart: a cut can only lie on the last one that begins before it
     both = merged.select(key, F.col("lo").alias("at"), "lo", "hi", F.lit(0).alias("__cut")).unionByName(cuts.filter("at is not null").select(key, "at", F.lit(1).alias("__cut")), allowMissingColumns=True)

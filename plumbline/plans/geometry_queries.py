@@ -52,7 +52,7 @@ def _union_sql(keys: str, gap: str) -> str:
     return f"""
 with e as (select user_id, event_type, floor(epoch(ts)) lo, floor(epoch(ts)) + value hi from events),
 a as (select *, max(hi) over (partition by {keys} order by lo, hi rows between unbounded preceding and 1 preceding) reach from e),
-b as (select *, sum(case when reach is null or lo > reach + {gap} then 1 else 0 end) over (partition by {keys} order by lo, hi rows between unbounded preceding and current row) island from a)
+b as (select *, sum(case when reach is null or lo > reach + {gap} then 1 else 0 end) over (partition by {keys} order by lo, hi) island from a)
 select {keys}, min(lo) lo, round(max(hi), 3) hi, count(*) n from b group by {keys}, island"""
 
 

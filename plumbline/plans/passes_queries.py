@@ -36,7 +36,7 @@ def _own(name: str, oracle: str):
 
 @_own("depth_lookup", f"""{_WITH},
 near as (select b.panel, b.bar, a.kind section, a.len z from bars b join bars a on a.panel = b.panel and a.c between b.c - 40 and b.c + 40 and abs(a.r - b.r) <= 0.5 where b.flag = 'A' and a.flag <> 'A'),
-g as (select *, case when z - lag(z) over (partition by bar order by z, section) > 8 then 1 else 0 end f from near), h as (select *, sum(f) over (partition by bar order by z, section rows unbounded preceding) cl from g),
+g as (select *, case when z - lag(z) over (partition by bar order by z, section) > 8 then 1 else 0 end f from near), h as (select *, sum(f) over (partition by bar order by z, section) cl from g),
 p as (select panel, bar, cl, avg(z) depth, count(*) n, count(distinct section) s from h group by 1, 2, 3),
 q as (select *, row_number() over (partition by bar order by n desc, cl) i from p), w as (select bar, max(z) - min(z) sp from near group by 1)
 select panel, q.bar, round(depth, 4) depth, n, s sections, s >= 2 or sp <= 15 corroborated from q join w on q.bar = w.bar where i = 1""")
@@ -191,7 +191,7 @@ def fused_extent(spark, sf_dir):
 
 
 @_own("cut_extent", f"""{_WITH}, s as (select panel, x lo, x + r * 60 hi from bars), a as (select *, case when lo > max(hi) over (partition by panel order by lo, hi rows between unbounded preceding and 1 preceding) then 1 else 0 end f from s),
-b as (select *, sum(f) over (partition by panel order by lo, hi rows unbounded preceding) g from a), m as (select panel, min(lo) lo, max(hi) hi from b group by panel, g),
+b as (select *, sum(f) over (partition by panel order by lo, hi) g from a), m as (select panel, min(lo) lo, max(hi) hi from b group by panel, g),
 h as (select *, exists (select 1 from bars c where c.panel = m.panel and c.flag = 'A' and c.c between m.lo and m.hi) on_cut from m), q as (select *, row_number() over (partition by panel order by on_cut desc, hi - lo desc, lo) i from h) select panel, lo, hi, on_cut from q where i = 1""")
 def cut_extent(spark, sf_dir):
     """The merged span on a cut, else the longest."""

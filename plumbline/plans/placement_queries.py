@@ -199,7 +199,7 @@ def first_source_diffs(spark, sf_dir):
 
 @_own("claim_leftovers", """
 with base as (select c_nationkey k, c_custkey id, c_acctbal lo, c_acctbal + 400 hi from customer), claims as (select s_nationkey k, s_acctbal lo, s_acctbal + 150 hi from supplier),
-a as (select *, max(hi) over (partition by k order by lo, hi rows between unbounded preceding and 1 preceding) reach from claims), b as (select *, sum(case when reach is null or lo > reach then 1 else 0 end) over (partition by k order by lo, hi rows between unbounded preceding and current row) i from a),
+a as (select *, max(hi) over (partition by k order by lo, hi rows between unbounded preceding and 1 preceding) reach from claims), b as (select *, sum(case when reach is null or lo > reach then 1 else 0 end) over (partition by k order by lo, hi) i from a),
 m as (select k, min(lo) lo, max(hi) hi from b group by k, i),
 t as (select base.k, id, greatest(base.lo, m.lo) lo, least(base.hi, m.hi) hi from base join m on base.k = m.k and base.lo < m.hi and m.lo < base.hi union all select k, id, lo, lo from base union all select k, id, hi, hi from base),
 w as (select k, id, hi piece_lo, lead(lo) over (partition by k, id order by lo, hi) piece_hi from t)

@@ -43,7 +43,7 @@ def tie_stacks(spark, sf_dir):
 _HAIRPINS = f"""with {_L}, u as ({_UPRIGHT}), c as ({_CALLOUTS}), s as ({_SIZES}), t as (select panel, dia, row_number() over (partition by panel order by count(*) desc, dia, pitch) r from c group by panel, dia, pitch),
 m as (select u.panel, u.dia, x, z, lo, hi from u join t on t.panel = u.panel and t.dia = u.dia and r = 1),
 a as (select *, case when lo > max(hi) over (partition by panel, dia, x, z order by lo, hi rows between unbounded preceding and 1 preceding) + 5 then 1 else 0 end n from m),
-b as (select *, sum(n) over (partition by panel, dia, x, z order by lo, hi rows unbounded preceding) g from a), i as (select panel, dia, x, z, min(lo) lo, max(hi) hi from b group by panel, dia, x, z, g),
+b as (select *, sum(n) over (partition by panel, dia, x, z order by lo, hi) g from a), i as (select panel, dia, x, z, min(lo) lo, max(hi) hi from b group by panel, dia, x, z, g),
 f as (select panel, dia, x, count(distinct z) faces from i group by 1, 2, 3 having count(distinct z) >= 2),
 e as (select panel, dia, x, y, sum(d) d from (select panel, dia, x, lo y, 1 d from i union all select panel, dia, x, hi, -1 from i) z group by 1, 2, 3, 4),
 w as (select *, sum(d) over (partition by panel, dia, x order by y) depth, lead(y) over (partition by panel, dia, x order by y) nxt from e),
