@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import uuid
 
@@ -113,6 +114,19 @@ def give_back() -> None:
         trim(0)
 
 
+@contextlib.contextmanager
+def rows_a_batch(spark: SparkSession, rows: int):
+    """While it holds, Arrow batches of tables written inside have at most so many rows: long texts then take less room
+    on both sides. The session's setting comes back afterwards; a smaller one stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(before, rows) if before > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(before))
+
+
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
 

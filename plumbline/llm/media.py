@@ -28,27 +28,46 @@ ITEM = "struct<position:int,kind:string,text:string,digest:string,caption:string
 _ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
 STORE_SCHEMA = "digest string, n_bytes long, media binary"
 
-_MEDIA = {"img", "audio", "video", "source", "embed"}
+#: Attributes that refer to a medium, by tag; of those in one group the first given counts.
+_MEDIA = {"img": (("src", "srcset"),), "audio": (("src",),), "video": (("poster",), ("src",)), "source": (("src", "srcset"),), "embed": (("src",),), "object": (("data",),)}
 _BLOCK = {"p", "div", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "table", "tr", "td", "th", "br", "hr", "figure", "blockquote", "pre", "nav", "footer", "header", "body", "title", "main", "aside"}
 #: What stands in these is not shown as text; without an end, a template hides nothing.
 _SILENT = {"script", "style", "template"}
 _SPACE = re.compile(r"\s+")
 
 
+def _references(tag: str, given: dict) -> list[str]:
+    """What a tag refers to; of a set of sources the first."""
+    found = []
+    for group in _MEDIA[tag]:
+        name = next((n for n in group if (given.get(n) or "").strip()), None)
+        if name:
+            value = given[name].strip()
+            found.append(re.split(r",?\s", value)[0].rstrip(",") if name == "srcset" else value)
+    return found
+
+
 class _Sequence(HTMLParser):
-    """Items in page order. ``figures`` holds, for each open figure, where its items begin and its captions so far."""
+    """Items in page order, as [kind, text, digest, caption, captions shown]. ``figures`` holds, for each open figure, where
+    its items begin, its captions so far and its own media (those of no inner figure)."""
 
     def __init__(self, scheme: str):
         super().__init__(convert_charrefs=True)
         self.scheme, self.items, self.held, self.caption, self.inner = scheme, [], [], None, 0
-        self.figures: list[tuple[int, list[str]]] = []
+        self.figures: list[tuple[int, list[str], list[list]]] = []
         self.silent, self.hidden = [], []
 
     def _flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.held)).strip()
         self.held = []
         if text:
-            self.items.append(["text", text, None, None])
+            self.items.append(["text", text, None, None, []])
+
+    @staticmethod
+    def _show(item: list, text: str) -> None:
+        """Put a caption behind those that a medium has; the first takes the place of its alternative text."""
+        item[4].append(text)
+        item[3] = " ".join(item[4])
 
     def close_caption(self) -> None:
         """End an open caption: it waits for its figure's end; outside a figure it belongs to the medium just before it, or is text."""
@@ -60,22 +79,23 @@ class _Sequence(HTMLParser):
         if self.figures:
             self.figures[-1][1].append(text)
         elif self.items and self.items[-1][0] == "media":
-            self.items[-1][3] = text
+            self._show(self.items[-1], text)
         else:
-            self.items.append(["text", text, None, None])
+            self.items.append(["text", text, None, None, []])
 
     def close_figure(self) -> None:
-        """A figure's captions, in order, go to all its media, before or after them; without a medium they are text."""
+        """A figure's captions, in order, go to all its own media, before or after them; without any, to those of the
+        figures inside it, behind their own captions; without a medium they are text."""
         self.close_caption()
         self._flush()
         if not self.figures:
             return
-        since, captions = self.figures.pop()
-        media = [item for item in self.items[since:] if item[0] == "media"]
+        since, captions, own = self.figures.pop()
+        media = own or [item for item in self.items[since:] if item[0] == "media"]
         for item in media if captions else ():
-            item[3] = " ".join(captions)
+            self._show(item, " ".join(captions))
         if not media:
-            self.items += [["text", text, None, None] for text in captions]
+            self.items += [["text", text, None, None, []] for text in captions]
 
     def handle_starttag(self, tag, attrs):
         if tag in _SILENT:
@@ -86,13 +106,15 @@ class _Sequence(HTMLParser):
             self.caption, self.inner = [], 0
         elif tag in _MEDIA:
             given = dict(attrs)
-            src = given.get("src") or ""
-            if src and not self.silent:
+            for src in _references(tag, given) if not self.silent else ():
                 self._flush()
-                self.items.append(["media", None, src.removeprefix(self.scheme), given.get("alt") or None])
+                self.items.append(["media", None, src.removeprefix(self.scheme), given.get("alt") or None, []])
+                if self.figures:
+                    self.figures[-1][2].append(self.items[-1])
         elif tag == "figure":
-            self.close_figure()  # figures don't nest here: a new one ends the one before
-            self.figures.append((len(self.items), []))
+            self.close_caption()
+            self._flush()
+            self.figures.append((len(self.items), [], []))
         elif tag in _BLOCK:
             if self.caption is not None:  # blocks may stand inside a caption
                 self.caption.append(" ")
@@ -144,14 +166,16 @@ class _Sequence(HTMLParser):
 def sequence(html: str | None, scheme: str = "sha256:") -> list[dict]:
     """Ordered items of one HTML text; positions count from 0. Null or empty HTML has none.
 
-    A caption stands with every medium of its figure, on whichever side; one outside a figure with the medium just
-    before it; else it is text. All shown text is kept, also where tags have no end.
+    A caption stands with every medium of its own figure, on whichever side (without any: of the figures inside); one
+    outside a figure with the medium just before it; else it is text. Several captions of a medium follow one another,
+    none is replaced. Media are what src, srcset (its first), poster and an object's data refer to. All shown text is
+    kept, also where tags have no end.
     """
     if not html:
         return []
     p = _Sequence(scheme)
     p.feed(html)
-    return [{"position": i, "kind": k, "text": t, "digest": d, "caption": c} for i, (k, t, d, c) in enumerate(p.finish())]
+    return [{"position": i, "kind": k, "text": t, "digest": d, "caption": c} for i, (k, t, d, c, _) in enumerate(p.finish())]
 
 
 def parse_html(df: DataFrame, html: str = "html", out: str = "items", scheme: str = "sha256:") -> DataFrame:

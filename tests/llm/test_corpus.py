@@ -91,6 +91,10 @@ def test_sequences_keep_order_and_captions():
         ('<div><img src="u"><figcaption>cap</div>after', [("media", None, "cap"), ("text", "after", None)]),
         ('<figure><img src="u"><figcaption><p>one</p><p>two</p> three</figcaption></figure>d', [("media", None, "one two three"), ("text", "d", None)]),
         ('<figure><img src="u"><figcaption>cap<figure><img src="v"></figure>', [("media", None, "cap"), ("media", None, None)]),
+        ('<figure><figure><img src=u><figcaption>inner</figcaption></figure><figcaption>outer</figcaption></figure>', [("media", None, "inner outer")]),
+        ('<figure><img src=u><figure><img src=v><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>', [("media", None, "out"), ("media", None, "in")]),
+        ('<img src=u alt=a><figcaption>one</figcaption><figcaption>two</figcaption>', [("media", None, "one two")]),
+        ('<picture><source srcset="x 1x, y 2x"><img srcset="z"></picture><video poster=p src=q></video><object data=o></object>', [("media", None, None)] * 5),
         ('a<figcaption>rest <p>of the page', [("text", "a", None), ("text", "rest of the page", None)]),
     ],
 )
