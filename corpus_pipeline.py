@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import jaccard_join, langid, mixing, packing, toxicity
-from plumbline.llm.common import free, learn_rows, prepare, stored
+from plumbline.llm.common import free, learn_rows, prepare, rows_a_batch, stored
 
 #: The stages are not expressible in SQL; tests hold them against brute force.
 ORACLE_SQL = None
@@ -69,7 +69,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Null and empty texts are the end id alone; longer texts are cut; repeated rows are packed each; other columns go.
     """
-    cut = stored(packing.pieces(docs), "pieces")
+    with rows_a_batch(spark, 1000):  # workers of the earlier stages still stand beside these
+        cut = stored(packing.pieces(docs), "pieces")
     return packing.pack(cut, ["doc_id", "piece", "ids_crc32"])
 
 
