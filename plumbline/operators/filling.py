@@ -11,30 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .matching import _Pool
+from .matching import _Pool, reach_parts
 from .reports import unit_kg
 
 
-def reach_parts(demand: DataFrame, pool: DataFrame, keys: list[str], tol: Column) -> tuple[DataFrame, DataFrame]:
-    """demand and pool with ``part``: no mark of one part can take a length of another.
-
-    demand: keys, target; pool: keys, length; ``tol``: of the demand. The marks' reaches are united along the length; a
-    length in none of them, and a null one, is dropped from the pool. Both sides pass one sorted window a key.
-    """
-    d = demand.withColumn("__lo", F.col("target") - tol).withColumn("__hi", F.col("target") + tol)
-    along = Window.partitionBy(*keys).orderBy("__lo", "__hi")
-    before = F.max("__hi").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    numbered = d.withColumn("__new", F.when(before.isNull() | (F.col("__lo") > before), 1).otherwise(0)).withColumn("part", F.sum("__new").over(along))
-    spans = numbered.groupBy(*keys, "part").agg(F.min("__lo").alias("__at"), F.max("__hi").alias("__hi"))
-    held = [c for c in pool.columns if c not in keys]
-    marks = spans.select(*keys, "__at", "part", "__hi", *[F.lit(None).cast(dict(pool.dtypes)[c]).alias(c) for c in held], F.lit(0).alias("__kind"))
-    rows = pool.filter("length is not null").select(*keys, F.col("length").cast("double").alias("__at"), F.lit(None).cast("long").alias("part"), F.lit(None).cast("double").alias("__hi"), *held, F.lit(1).alias("__kind"))
-    last = Window.partitionBy(*keys).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = marks.unionByName(rows).withColumns({c: F.last(c, ignorenulls=True).over(last) for c in ("part", "__hi")})
-    found = placed.filter((F.col("__kind") == 1) & (F.col("__at") <= F.col("__hi"))).select(*keys, *held, "part")
-    return numbered.drop("__lo", "__hi", "__new"), found
-
-
 class _Named(_Pool):
     """Lengths with the items that have them; items of one length are used in their order."""
 

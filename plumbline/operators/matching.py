@@ -1,6 +1,7 @@
-"""Capacity-limited greedy matching. Eligibility needs equal keys, so keys split the work without loss.
+"""Capacity-limited greedy matching. Eligibility needs equal keys and lengths within a tolerance, so keys, and parts of a
+key over whose gaps no tolerance reaches, split the work without loss.
 
-Sequential choices run inside a key by ``applyInPandas`` over rows sorted there; sums along an order
+Sequential choices run inside a part by ``applyInPandas`` over rows sorted there; sums along an order
 are windows.
 """
 
@@ -9,7 +10,7 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship
@@ -21,6 +22,32 @@ def _match(demand: DataFrame, pool: DataFrame, keys: list[str], schema: str, fn)
     return demand.groupBy(*keys).cogroup(pool.groupBy(*keys)).applyInPandas(lambda d, p: fn(d, p), schema)
 
 
+def _match_parts(demand: DataFrame, pool: DataFrame, keys: list[str], floor: float, rel: float, schema: str, fn) -> DataFrame:
+    """The same part by part (see reach_parts), where no mark takes a length beyond max(floor, rel * target)."""
+    marks, lengths = reach_parts(demand, pool, keys, F.greatest(F.lit(float(floor)), F.lit(float(rel)) * F.col("target")))
+    return _match(marks, lengths, [*keys, "part"], schema, fn)
+
+
+def reach_parts(demand: DataFrame, pool: DataFrame, keys: list[str], tol: Column) -> tuple[DataFrame, DataFrame]:
+    """demand and pool with ``part``: no mark of one part can take a length of another.
+
+    demand: keys, target; pool: keys, length; ``tol``: of the demand. The marks' reaches are united along the length; a
+    length in none of them, and a null one, is dropped from the pool. Both sides pass one sorted window a key.
+    """
+    d = demand.withColumn("__lo", F.col("target") - tol).withColumn("__hi", F.col("target") + tol)
+    along = Window.partitionBy(*keys).orderBy("__lo", "__hi")
+    before = F.max("__hi").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = d.withColumn("__new", F.when(before.isNull() | (F.col("__lo") > before), 1).otherwise(0)).withColumn("part", F.sum("__new").over(along))
+    spans = numbered.groupBy(*keys, "part").agg(F.min("__lo").alias("__at"), F.max("__hi").alias("__hi"))
+    held = [c for c in pool.columns if c not in keys]
+    marks = spans.select(*keys, "__at", "part", "__hi", *[F.lit(None).cast(dict(pool.dtypes)[c]).alias(c) for c in held], F.lit(0).alias("__kind"))
+    rows = pool.filter("length is not null").select(*keys, F.col("length").cast("double").alias("__at"), F.lit(None).cast("long").alias("part"), F.lit(None).cast("double").alias("__hi"), *held, F.lit(1).alias("__kind"))
+    last = Window.partitionBy(*keys).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = marks.unionByName(rows).withColumns({c: F.last(c, ignorenulls=True).over(last) for c in ("part", "__hi")})
+    found = placed.filter((F.col("__kind") == 1) & (F.col("__at") <= F.col("__hi"))).select(*keys, *held, "part")
+    return numbered.drop("__lo", "__hi", "__new"), found
+
+
 def first_fit(demand: DataFrame, pool: DataFrame, keys: list[str], floor: float = 30.0, rel: float = 0.08, order: str | None = None) -> DataFrame:
     """keys, mark, qty, target, found, status: marks take the first unused lengths within max(floor, rel * target).
 
@@ -37,7 +64,7 @@ def first_fit(demand: DataFrame, pool: DataFrame, keys: list[str], floor: float
         return pd.DataFrame(rows, columns=[*keys, "mark", "qty", "target", "found", "status"])
 
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"mark {kinds['mark']}", "qty long", "target double", "found long", "status string"])
-    return _match(demand, pool, keys, schema, run)
+    return _match_parts(demand, pool.select(*keys, "length"), keys, floor, rel, schema, run)
 
 
 def greedy_nearest(demand: DataFrame, pool: DataFrame, keys: list[str], floor: float = 30.0, rel: float = 0.08, descending: bool = False) -> DataFrame:
@@ -52,7 +79,7 @@ def greedy_nearest(demand: DataFrame, pool: DataFrame, keys: list[str], floor: f
         return pd.DataFrame(rows, columns=[*keys, "mark", "qty", "target", "found", "status"])
 
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"mark {kinds['mark']}", "qty long", "target double", "found long", "status string"])
-    return _match(demand, pool, keys, schema, run)
+    return _match_parts(demand, pool.select(*keys, "length"), keys, floor, rel, schema, run)
 
 
 def best_fit_bars(demand: DataFrame, pool: DataFrame, keys: list[str]) -> DataFrame:
@@ -227,7 +254,7 @@ def evidence_sweep(demand: DataFrame, pools: list[DataFrame], keys: list[str], f
         return pd.DataFrame(rows, columns=[*keys, "mark", "qty", "target", "found", "unclaimed", "verdict"])
 
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"mark {kinds['mark']}", "qty long, target double, found long, unclaimed long, verdict string"])
-    return _match(demand, _pools(pools, keys), keys, schema, run)
+    return _match_parts(demand, _pools(pools, keys), keys, floor, rel, schema, run)
 
 
 def sequential_slices(demand: DataFrame, keys: list[str], order: list[str], qty: str) -> DataFrame:
