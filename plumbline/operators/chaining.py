@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import shared_folder, ship
 from .clustering import components
-from .joins import band_join, near_values
+from .joins import band_join, near_values, radius_join
 from .linking import linked
 from .pieces import _Grid
 
@@ -143,3 +143,19 @@ def accept_chains(chains: DataFrame, marks: DataFrame, keys: list[str], share: f
 
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"mark {kinds['mark']}", f"chain {kinds['chain']}", "n int, length double"])
     return linked(pairs, keys, "mark", "chain").groupBy("component").applyInPandas(run, schema)
+
+
+def shapes_by_evidence(marks: DataFrame, fragments: DataFrame, labels: DataFrame, bars: DataFrame, keys: list[str], radius: float = 2200.0, least: int = 3) -> DataFrame:
+    """keys, mark, bar, length, evidence: bars of bent marks whose fragments lie by their labels.
+
+    marks: keys, mark, length, qty, shape; fragments: keys, frag (unique over all keys), points (those below the strict
+    ceiling, see fragment_ceilings); labels: keys, mark, x, y, one for each instance drawn; bars: keys, length (all that
+    stand). A bent mark (shape other than M_00) that needs more bars than stand (see wanted), and of whose diameter at
+    least ``least`` fragments have a point within ``radius`` of one of its labels, gets all it needs; ``bar`` counts from 0.
+    """
+    bent = marks.filter("qty > 0 and length > 0").filter(F.coalesce(F.upper(F.trim("shape")) != "M_00", F.lit(True)))
+    short = wanted(bent, bars, keys).filter("need > 0").select(*keys, "mark", "length", "need")
+    at = labels.dropna(subset=["x", "y"]).join(short.select(*keys, "mark"), [*keys, "mark"]).select(*keys, "mark", F.col("x").alias("lx"), F.col("y").alias("ly"))
+    ends = fragments.select(*keys, "frag", F.explode("points").alias("p")).select(*keys, "frag", F.col("p.x").alias("px"), F.col("p.y").alias("py")).dropna(subset=["px", "py"])
+    near = radius_join(ends, at, keys, ("px", "py"), ("lx", "ly"), radius).groupBy(*keys, "mark").agg(F.countDistinct("frag").alias("n")).filter(F.col("n") >= least)
+    return short.join(near.select(*keys, "mark"), [*keys, "mark"]).select(*keys, "mark", F.explode(F.sequence(F.lit(0).cast("long"), F.col("need") - 1)).alias("bar"), "length", F.lit("bent-shape-evidence-origin").alias("evidence"))

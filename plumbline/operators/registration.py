@@ -144,3 +144,42 @@ def view_outlines(segments: DataFrame, keys: list[str], min_run: float = 25.0) -
 
     kinds = dict(best.dtypes)
     return best.mapInPandas(walk, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "points array<struct<x:double,y:double>>, area double"]))
+
+
+#: A section view agrees with its elevation within this, is slimmer than this share, and depths are pooled by buckets of this.
+POSITION_TOL, SLIM, BUCKET = 20.0, 0.3, 30.0
+
+
+def section_views(views: DataFrame, elevations: DataFrame, key: str, tol: float = POSITION_TOL) -> DataFrame:
+    """key, view, way, x0, y0, x1, y1: outlines beside an elevation that are cuts of it.
+
+    views: key, view, x0, y0, x1, y1; elevations: key and the same sides, one of each key. Outlines inside the elevation (1 of slack) are part
+    of it. ``vertical``: the elevation's range in y, within ``tol`` at both ends, and narrower than 0.3 of its height; else
+    ``horizontal``: its width, within three times ``tol``, and lower than 0.3 of it. Others, and those with nulls, are left out.
+    """
+    e = elevations.select(key, *[F.col(c).alias(f"e{c}") for c in ("x0", "y0", "x1", "y1")])
+    v = views.join(e, key)
+    inside = (F.col("x0") >= F.col("ex0") - 1) & (F.col("x1") <= F.col("ex1") + 1) & (F.col("y0") >= F.col("ey0") - 1) & (F.col("y1") <= F.col("ey1") + 1)
+    w, h, ew, eh = (F.col(b) - F.col(a) for a, b in (("x0", "x1"), ("y0", "y1"), ("ex0", "ex1"), ("ey0", "ey1")))
+    upright = (F.abs(F.col("y0") - F.col("ey0")) < tol) & (F.abs(F.col("y1") - F.col("ey1")) < tol) & (w < SLIM * eh)
+    level = (F.abs(w - ew) < 3 * tol) & (h < SLIM * ew)
+    return v.filter(~inside).withColumn("way", F.when(upright, "vertical").when(level, "horizontal")).filter("way is not null").select(key, "view", "way", "x0", "y0", "x1", "y1")
+
+
+def depth_pairs(circles: DataFrame, sections: DataFrame, elevations: DataFrame, key: str) -> DataFrame:
+    """key, family, bucket, dia, front, back, n: how deep bars lie, from their circles in section views.
+
+    circles: key, view, x, y, dia; sections: of section_views; elevations: key, x0, x1 (and more). A vertical cut tells the depth of level
+    bars (family ``h``, bucket y / 30), as the share of its width; a horizontal one that of upright bars (``v``), as the share of its height,
+    its x (to 30) carried over to the elevation's. Shares of one bucket and diameter below one half are the front, the
+    others the back, by their means; without both, front is the mean of all and back null. Views without depth tell nothing.
+    """
+    s = sections.join(elevations.select(key, F.col("x0").alias("ex0"), (F.col("x1") - F.col("x0")).alias("ew")), key)
+    c = circles.select(key, "view", F.col("x").alias("cx"), F.col("y").alias("cy"), "dia").join(s, [key, "view"]).filter("cx between x0 and x1 and cy between y0 and y1")
+    w, h, up = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("way") == "vertical"
+    there = F.col("ex0") + (F.rint(F.col("cx") / BUCKET) * BUCKET - F.col("x0")) / w * F.col("ew")
+    told = c.filter(F.when(up, w > 0).otherwise((h > 0) & (w > 0))).select(key, F.when(up, "h").otherwise("v").alias("family"), F.rint(F.when(up, F.col("cy")).otherwise(there) / BUCKET).cast("long").alias("bucket"), "dia", F.when(up, (F.col("cx") - F.col("x0")) / w).otherwise((F.col("cy") - F.col("y0")) / h).alias("f"))
+    low, high = F.avg(F.when(F.col("f") < 0.5, F.col("f"))), F.avg(F.when(F.col("f") >= 0.5, F.col("f")))
+    sums = told.groupBy(key, "family", "bucket", "dia").agg(low.alias("low"), high.alias("high"), F.count(F.lit(1)).alias("n"))
+    both = F.col("low").isNotNull() & F.col("high").isNotNull()
+    return sums.select(key, "family", "bucket", "dia", F.coalesce("low", "high").alias("front"), F.when(both, F.col("high")).alias("back"), "n")

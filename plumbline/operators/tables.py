@@ -119,3 +119,37 @@ def sheet_texts(cells: DataFrame, sheet: str, order: list[str], text: str) -> Da
     """sheet, text: the texts of a sheet in order, by one space; null texts are left out, a sheet without any is empty."""
     held = cells.groupBy(sheet).agg(F.array_sort(F.collect_list(F.struct(*order, text))).alias("c"))
     return held.select(sheet, F.array_join(F.transform("c", lambda c: c[text]), " ").alias("text"))
+
+
+#: The title of the table of inserts and its columns, in the order in which an equally near cell takes them.
+INSERT_TITLE = "Insert Schedule"
+INSERT_COLUMNS = {"ref": "Ref No.", "type": "Type", "count": "Count"}
+
+
+def insert_schedule(cells: DataFrame, sheet: str, near: float = 20.0, row: float = 3.0) -> DataFrame:
+    """sheet, line_no, ref, type, count: the table of inserts of each sheet that has one.
+
+    cells: sheet, x, y, text (white space squeezed before). The header cells stand less than 12 below the title; a sheet
+    without all three has no table. Cells more than 4 below the title, up to 15 right of the last column, come from top
+    to bottom (then by x) until one that names another schedule; a cell more than ``near`` from all columns is not of the
+    table, others take the nearest. A row begins with a cell more than ``row`` below the first one of the row before.
+    Of several cells of one place the last counts; a row needs all three, and a digit in its count. If a title or header
+    stands twice, the upper, then left one counts. Nulls are left out.
+    """
+    t = cells.dropna(subset=["x", "y", "text"]).select(sheet, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text")).filter("text <> ''")
+    title = t.filter(F.col("text") == INSERT_TITLE).groupBy(sheet).agg(F.max("y").alias("hy"))
+    heads = t.join(title, sheet).filter((F.col("y") < F.col("hy")) & (F.col("hy") - F.col("y") < 12) & F.col("text").isin(*INSERT_COLUMNS.values()))
+    place = [F.min_by("x", F.when(F.col("text") == name, F.struct(-F.col("y"), F.col("x")))).alias(c) for c, name in INSERT_COLUMNS.items()]
+    frame = heads.groupBy(sheet).agg(*place).dropna().join(title, sheet)
+    band = t.join(frame, sheet).filter((F.col("y") < F.col("hy") - 4) & (F.col("x") <= F.greatest(*INSERT_COLUMNS) + 15) & ~F.col("text").isin(*INSERT_COLUMNS.values()))
+    stop = band.filter(F.col("text").contains("Schedule") | F.startswith(F.col("text"), F.lit("\\L"))).groupBy(sheet).agg(F.min(F.struct((-F.col("y")).alias("d"), "x")).alias("stop"))
+    column = F.array_min(F.array(*[F.struct(F.abs(F.col("x") - F.col(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(INSERT_COLUMNS)]))
+    kept = band.join(stop, sheet, "left").filter(F.col("stop").isNull() | (F.struct((-F.col("y")).alias("d"), "x") < F.col("stop"))).withColumn("c", column).filter(F.col("c.d") <= near)
+    rows = anchor_groups(kept.select(sheet, (-F.col("y")).alias("__d")).distinct(), [sheet], "__d", row)
+    marks = rows.select(sheet, F.col("anchor").alias("__d"), "group_no", F.lit(None).cast("int").alias("i"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("string").alias("text"))
+    held = kept.select(sheet, (-F.col("y")).alias("__d"), F.lit(None).cast("long").alias("group_no"), F.col("c.i").alias("i"), "x", "text")
+    upto = Window.partitionBy(sheet).orderBy("__d", F.col("group_no").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = marks.unionByName(held).withColumn("line_no", F.last("group_no", ignorenulls=True).over(upto)).filter("i is not null")
+    last = [F.max(F.when(F.col("i") == i, F.struct("__d", "x", "text"))).alias(c) for i, c in enumerate(INSERT_COLUMNS)]
+    whole = placed.groupBy(sheet, "line_no").agg(*last).dropna()
+    return whole.select(sheet, "line_no", F.col("ref.text").alias("ref"), F.col("type.text").alias("type"), F.regexp_replace("count.text", r"\D", "").try_cast("long").alias("count")).filter("count is not null")

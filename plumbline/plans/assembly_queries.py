@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chaining, clashes, leaders, registration
+from ..operators import chaining, clashes, leaders, registration, tables
 from .tables import table
 
 QUERIES: dict = {}
@@ -184,3 +184,45 @@ def declash_shapes(spark, sf_dir):
     """Shapes moved in depth until they stand in nothing."""
     bars, panels = _model(spark, sf_dir)
     return clashes.declash_shapes(bars, panels, ["panel"])
+
+
+_ELEVATIONS = "select s panel, 0.0e0 x0, 0.0e0 y0, 3000.0e0 x1, 2800.0e0 y1 from l group by 1"
+_SIDES = "select s panel, id as view, 4000.0e0 + p % 9 * 300 x0, case k % 3 when 0 then 5.0e0 * (p % 6) else -900.0e0 end y0, 4000.0e0 + p % 9 * 300 + case k % 3 when 0 then q * 30 else 2900 + p % 200 end x1, case k % 3 when 0 then 2780.0e0 + p % 50 else -900 + q * 20 end y1 from l where f = 'A'"
+_CIRCLES = "select l.s panel, l.id as view, 4000.0e0 + l.p % 9 * 300 + m * 7 % (l.q * 30) x, case l.k % 3 when 0 then m * 97 % 2800 else -900 + m * 5 % (l.q * 20) end y, 8 + 4 * (m % 2) dia from l, (select 1 m union all select 2 union all select 3 union all select 5 union all select 11) c where l.f = 'A'"
+
+
+@_own("depth_pairs", f"""with {_L}, e as ({_ELEVATIONS}), v as ({_SIDES}), c as ({_CIRCLES}),
+s as (select * from (select v.*, e.x0 ex0, e.x1 - e.x0 ew, case when abs(v.y0 - e.y0) < 20 and abs(v.y1 - e.y1) < 20 and v.x1 - v.x0 < 0.3e0 * (e.y1 - e.y0) then 'vertical' when abs(v.x1 - v.x0 - (e.x1 - e.x0)) < 60 and v.y1 - v.y0 < 0.3e0 * (e.x1 - e.x0) then 'horizontal' end way
+ from v join e on e.panel = v.panel where not (v.x0 >= e.x0 - 1 and v.x1 <= e.x1 + 1 and v.y0 >= e.y0 - 1 and v.y1 <= e.y1 + 1)) z where way is not null),
+f as (select s.panel, case way when 'vertical' then 'h' else 'v' end family, cast(round_even(case way when 'vertical' then c.y else ex0 + (round_even(c.x / 30, 0) * 30 - x0) / (x1 - x0) * ew end / 30, 0) as bigint) bucket, dia, case way when 'vertical' then (c.x - x0) / (x1 - x0) else (c.y - y0) / (y1 - y0) end f
+ from s join c on c.panel = s.panel and c.view = s.view where c.x between x0 and x1 and c.y between y0 and y1 and x1 > x0 and y1 > y0)
+select panel, family, bucket, dia, round(coalesce(avg(f) filter (f < 0.5), avg(f) filter (f >= 0.5)), 6) front, round(case when avg(f) filter (f < 0.5) is not null then avg(f) filter (f >= 0.5) end, 6) back, count(*) n from f group by 1, 2, 3, 4""")
+def depth_pairs(spark, sf_dir):
+    """Depths of bars from their circles in section views."""
+    elevations = _sql(spark, sf_dir, _ELEVATIONS)
+    sections = registration.section_views(_sql(spark, sf_dir, _SIDES), elevations, "panel")
+    out = registration.depth_pairs(_sql(spark, sf_dir, _CIRCLES), sections, elevations, "panel")
+    return out.withColumns({c: F.round(c, 6) for c in ("front", "back")})
+
+
+@_own("evidence_shapes")
+def evidence_shapes(spark, sf_dir):
+    """Bars of bent marks whose fragments lie by their labels."""
+    keys = ["panel", "dia"]
+    marks = _sql(spark, sf_dir, "select s panel, 8 + 2 * (p % 3) dia, id mark, cast(q as bigint) % 9 qty, e / 60 length, case when k = 1 then 'M_00' else 'M_T1' end shape from l where f = 'A'")
+    labels = _sql(spark, sf_dir, "select s panel, 8 + 2 * (p % 3) dia, id mark, e x, q * 500 y from l where f = 'A' and k <= 4")
+    bars = _sql(spark, sf_dir, "select s panel, 8 + 2 * (p % 3) dia, e / 100 length from l where f = 'N'")
+    at = lambda dx: F.struct((F.col("e") + dx).alias("x"), (F.col("q") * 500).alias("y"), F.lit(0.0).alias("z"))
+    fragments = _sql(spark, sf_dir, "select s panel, 8 + 2 * (p % 3) dia, id frag, e, q from l where f = 'R'").select(*keys, "frag", F.array(at(0), at(60)).alias("points"))
+    return chaining.shapes_by_evidence(marks, fragments, labels, bars, keys)
+
+
+#: Sheets with a table of inserts: title, headers, three cells a row a little askew, a legend beside it, another table below.
+_INSERTS = """select o sheet, 0.0e0 x, 1000.0e0 y, 'Insert  Schedule' text from l group by 1 union all select o, 10, 992, 'Ref No.' from l group by 1 union all select o, 60, 992, 'Type' from l group by 1 union all select o, 110, 991, 'Count' from l where o % 5 > 0 group by 1
+union all select o, 8.0e0 + p % 6, 980 - k * 10 - p % 3, 'N' || k from l union all select o, 62, 980 - k * 10, 'RR-SA-' || p % 9 from l union all select o, 108.0e0 + q % 40, 980 - k * 10, case when p % 7 = 0 then '- M' else p % 50 || ' nos' end from l union all select o, 15, 945, 'Dowel Schedule' from l where f = 'R' group by 1"""
+
+
+@_own("insert_schedule")
+def insert_schedule(spark, sf_dir):
+    """Tables of inserts read from the cells of sheets."""
+    return tables.insert_schedule(_sql(spark, sf_dir, _INSERTS), "sheet")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import shapes
-from plumbline.operators import binding, chaining, clashes, evidence, joins, leaders, references, registration, sections, synthesis
+from plumbline.operators import binding, chaining, clashes, evidence, joins, leaders, references, registration, sections, synthesis, tables
 
 POINTS = "array<struct<x:double,y:double,z:double>>"
 
@@ -351,3 +351,19 @@ def test_marks_take_units_in_order_of_trust(spark):
     for r in sections.triangulate(units, marks, ["k"], ["mark"]).collect():
         got.setdefault(r.mark, set()).add((r.unit, r.seq))
     assert got == {"a": {(4, 0), (3, 0), (2, 0)}, "d": {(2, 1), (2, 2), (1, 0)}, "e": {(5, 0)}}
+
+
+def test_bent_marks_with_fragments_by_their_labels(spark):
+    marks = spark.createDataFrame([(1, "a", 1000.0, 4, "M_T1"), (1, "b", 1000.0, 2, "M_00"), (1, "c", 2000.0, 2, "M_17"), (1, "d", 3000.0, 1, "M_17")], "k int, mark string, length double, qty int, shape string")
+    frags = spark.createDataFrame([(1, i, [{"x": 100.0 * i, "y": 0.0, "z": 0.0}, {"x": 9000.0, "y": 9000.0, "z": 0.0}]) for i in range(3)] + [(1, 9, [{"x": 9000.0, "y": 0.0, "z": 0.0}])], f"k int, frag int, points {POINTS}")
+    labels = spark.createDataFrame([(1, "a", 0.0, 2000.0), (1, "a", 1.0, 2000.0), (1, "c", 0.0, -2200.0), (1, "b", 0.0, 0.0), (1, "d", None, 0.0)], "k int, mark string, x double, y double")
+    bars = spark.createDataFrame([(1, 1010.0)], "k int, length double")
+    got = chaining.shapes_by_evidence(marks, frags, labels, bars, ["k"]).collect()
+    assert sorted((r.mark, r.bar) for r in got) == [("a", 0), ("a", 1), ("a", 2)]  # c has one fragment in reach only
+
+
+def test_tables_of_inserts_by_hand(spark):
+    rows = [(0, 100, "Insert Schedule"), (10, 92, "Ref No."), (60, 92, "Type"), (110, 91, "Count"), (9, 80, "N1"), (61, 79, "RR-SA-3.0"), (112, 78, "2 nos"), (200, 80, "- M40"), (125, 80, "7"), (145, 70, "M40"), (10, 70, "N2"), (60, 69, "x"), (10, 60, "N3"), (60, 60, "y"), (110, 60, "none"), (11, 50, "N4"), (60, 50, " z \n q"), (110, 50, "12"), (0, 40, "Dowel Schedule"), (10, 30, "N5"), (60, 30, "w"), (110, 30, "1"), (None, 30, "1")]
+    cells = spark.createDataFrame([(1, x if x is None else float(x), float(y), t) for x, y, t in rows] + [(2, 0.0, 100.0, "Insert Schedule"), (2, 10.0, 92.0, "Type"), (2, 10.0, 80.0, "N1")], "s int, x double, y double, text string")
+    got = tables.insert_schedule(cells, "s").orderBy("line_no").collect()
+    assert [(r.s, r.ref, r.type, r["count"]) for r in got] == [(1, "N1", "RR-SA-3.0", 2), (1, "N4", "z q", 12)]
