@@ -102,7 +102,7 @@ def outline_components(spark, sf_dir):
 select user_id, bin, n from (select user_id, bin, count(*) n, row_number() over (partition by user_id order by count(*) desc, bin) r from (select user_id, cast(floor(d / 300 + 0.5) as bigint) * 300 bin from (select user_id, epoch(ts) - lag(epoch(ts)) over (partition by user_id order by ts, event_id) d from events) a where d > 20 and d < 600000) b group by user_id, bin) c where r = 1""")
 def modal_spacing(spark, sf_dir):
     """Most frequent binned difference."""
-    s = F.unix_seconds(F.col("ts").cast("timestamp"))
+    s = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6  # seconds with their fraction, which decides between bins
     d = table(spark, sf_dir, "events").withColumn("s", s).withColumn("d", F.col("s") - F.lag("s").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     b = d.filter("d > 20 and d < 600000").select("user_id", (F.floor(F.col("d") / 300 + 0.5) * 300).alias("bin")).groupBy("user_id", "bin").agg(F.count(F.lit(1)).alias("n"))
     return b.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "bin"))).filter("r = 1").drop("r")
