@@ -38,3 +38,16 @@ def test_modal_spacing_counts_fractions_of_seconds(spark, held):
     base = datetime(2024, 1, 1)
     rows = [(i, base + timedelta(seconds=s), 1) for i, s in enumerate((0.9, 450.5, 900.1))]
     assert held("modal_spacing", events=spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long")) == [(1, 300, 2)]
+
+
+def test_tol_match_flags_at_the_very_edge(spark, held):
+    """Prices a whole tolerance off, where the order of three factors decides."""
+    rng, parts, lines = random.Random(0), [], []
+    while len(parts) < 60:
+        p, q, r = rng.randint(90000, 200000) / 100, float(rng.randint(1, 50)), rng.choice([0.08, 0.15, 0.20, 0.01, 0.005])
+        if r * p * q != r * (p * q) and r * p * q > 120:
+            e = p * q + rng.choice([r * p * q, r * (p * q)])
+            if (abs(e - p * q) <= r * p * q) != (abs(e - p * q) <= r * (p * q)):
+                parts.append((len(parts), p))
+                lines.append((len(lines), q, e, "N"))
+    held("tol_match_flags", part=spark.createDataFrame(parts, "p_partkey long, p_retailprice double"), lineitem=spark.createDataFrame(lines, "l_partkey long, l_quantity double, l_extendedprice double, l_returnflag string"))
