@@ -179,7 +179,9 @@ def depth_pairs(circles: DataFrame, sections: DataFrame, elevations: DataFrame,
     w, h, up = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("way") == "vertical"
     there = F.col("ex0") + (F.rint(F.col("cx") / BUCKET) * BUCKET - F.col("x0")) / w * F.col("ew")
     told = c.filter(F.when(up, w > 0).otherwise((h > 0) & (w > 0))).select(key, F.when(up, "h").otherwise("v").alias("family"), F.rint(F.when(up, F.col("cy")).otherwise(there) / BUCKET).cast("long").alias("bucket"), "dia", F.when(up, (F.col("cx") - F.col("x0")) / w).otherwise((F.col("cy") - F.col("y0")) / h).alias("f"))
-    low, high = F.avg(F.when(F.col("f") < 0.5, F.col("f"))), F.avg(F.when(F.col("f") >= 0.5, F.col("f")))
+    # decimals sum to the same in any order; doubles turn a mean that ends in a 5 now up, now down
+    mean = lambda c: F.sum(F.when(c, F.col("f").cast("decimal(38,18)"))).cast("double") / F.count(F.when(c, 1))
+    low, high = mean(F.col("f") < 0.5), mean(F.col("f") >= 0.5)
     sums = told.groupBy(key, "family", "bucket", "dia").agg(low.alias("low"), high.alias("high"), F.count(F.lit(1)).alias("n"))
     both = F.col("low").isNotNull() & F.col("high").isNotNull()
     return sums.select(key, "family", "bucket", "dia", F.coalesce("low", "high").alias("front"), F.when(both, F.col("high")).alias("back"), "n")

@@ -51,3 +51,13 @@ def test_tol_match_flags_at_the_very_edge(spark, held):
                 parts.append((len(parts), p))
                 lines.append((len(lines), q, e, "N"))
     held("tol_match_flags", part=spark.createDataFrame(parts, "p_partkey long, p_retailprice double"), lineitem=spark.createDataFrame(lines, "l_partkey long, l_quantity double, l_extendedprice double, l_returnflag string"))
+
+
+def test_depth_pairs_mean_does_not_depend_on_the_order(spark):
+    rng = random.Random(1)
+    marks = [(p, 1, float(rng.randint(1, 499)), 300.0, 8) for p in range(150) for _ in range(11)]
+    sides = spark.createDataFrame([(p, 1, "vertical", 0.0, 0.0, 1000.0, 3000.0) for p in range(150)], "panel int, view int, way string, x0 double, y0 double, x1 double, y1 double")
+    elevations = spark.createDataFrame([(p, 0.0, 0.0, 3000.0, 3000.0) for p in range(150)], "panel int, x0 double, y0 double, x1 double, y1 double")
+    circles = spark.createDataFrame(marks, "panel int, view int, x double, y double, dia int").repartition(7, F.rand(3))
+    got = {r.panel: r.front for r in registration.depth_pairs(circles, sides, elevations, "panel").collect()}
+    assert got == {p: sum(int(x) for q, _, x, *_ in marks if q == p) / 1000 / 11 for p in range(150)}
