@@ -25,7 +25,7 @@ def true_pitch(steps: Column) -> Column:
 
     base = F.array_min(steps)
     tried = F.filter(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda k: base / k), lambda c: (c >= LEAST_PITCH) & fits(c))
-    return F.coalesce(F.element_at(tried, -1), base)
+    return F.coalesce(F.try_element_at(tried, F.lit(-1)), base)
 
 
 def _apart(sorted_: Column) -> Column:

@@ -61,3 +61,8 @@ def test_depth_pairs_mean_does_not_depend_on_the_order(spark):
     circles = spark.createDataFrame(marks, "panel int, view int, x double, y double, dia int").repartition(7, F.rand(3))
     got = {r.panel: r.front for r in registration.depth_pairs(circles, sides, elevations, "panel").collect()}
     assert got == {p: sum(int(x) for q, _, x, *_ in marks if q == p) / 1000 / 11 for p in range(150)}
+
+
+def test_steps_without_a_fitting_pitch_keep_the_least(spark):
+    steps = spark.createDataFrame([([15.0, 37.0],), ([40.0, 80.0],)], "s array<double>")
+    assert [r[0] for r in steps.select(extension.true_pitch(F.col("s"))).collect()] == [15.0, 20.0]
