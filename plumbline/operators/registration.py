@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import dist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,13 +114,36 @@ def walk_profile(x0: float, step: float, cells: list[tuple]) -> list[tuple]:
     return kept
 
 
+def longest_row(size: np.ndarray, at: np.ndarray, top: np.ndarray, bottom: np.ndarray) -> list[tuple]:
+    """(bin, top, bottom) of the longest row of neighbouring bins at least 1 high, the first of equal ones; none: empty.
+
+    Blocks of 2 ** size bins from ``at`` on have a highest and a lowest edge; larger ones hand theirs to both halves.
+    """
+    end = int(max(at + (1 << size)))
+    high, low = np.full(end, -np.inf), np.full(end, np.inf)
+    for s in range(int(max(size)), -1, -1):
+        if s < max(size):
+            half = 1 << s
+            high[half:] = np.maximum(high[half:], high[: end - half].copy())
+            low[half:] = np.minimum(low[half:], low[: end - half].copy())
+        here = size == s
+        np.maximum.at(high, at[here], top[here])
+        np.minimum.at(low, at[here], bottom[here])
+    good = np.flatnonzero(high - low >= 1)
+    rows = np.split(good, np.flatnonzero(np.diff(good) > 1) + 1)
+    return [(int(b), float(high[b]), float(low[b])) for b in max(rows, key=len)]
+
+
 def view_outlines(segments: DataFrame, keys: list[str], min_run: float = 25.0) -> DataFrame:
     """keys, points, area: the rectilinear outline of each view, steps and notches included.
 
     segments: keys, x1, y1, x2, y2. The width of all segments is cut into bins of about 3 (60 to 1200 of them); level
-    segments (2 of slack) of ``min_run`` give each bin they cover its highest and lowest edge, by aggregation; the
+    segments (2 of slack) of ``min_run`` give each bin they cover its highest and lowest edge; the
     longest row of bins at least 1 high, the first of equal ones, is walked as a polygon: 1200 bins at most a view,
     however many segments it has. Views of no width or without such bins give no row; null coordinates are left out.
+
+    A segment's bins are the union of two blocks of one power of two, so it is two rows and not as many as it has bins; a
+    view has 13,000 different blocks at most, from which its bins' edges follow when it is walked.
     """
     ship(segments.sparkSession)
     known = segments.dropna(subset=["x1", "y1", "x2", "y2"])
@@ -127,23 +151,23 @@ def view_outlines(segments: DataFrame, keys: list[str], min_run: float = 25.0) -
     frame = frame.withColumn("bins", _bins(F.col("w"))).withColumn("step", F.col("w") / F.col("bins"))
     level = known.filter((F.abs(F.col("y1") - F.col("y2")) <= 2.0) & (F.abs(F.col("x1") - F.col("x2")) >= min_run)).join(frame, keys)
     place = lambda x, half: F.greatest(F.lit(0), F.least(F.col("bins") - 1, ((x - F.col("x0")) / F.col("step") + half).cast("int")))
-    low, high = place(F.least("x1", "x2"), 0.5), place(F.greatest("x1", "x2"), -0.5)
-    spread = level.filter(low <= high).select(*keys, "x0", "step", ((F.col("y1") + F.col("y2")) / 2).alias("y"), F.explode(F.sequence(low, high)).alias("bin"))
-    cells = spread.groupBy(*keys, "x0", "step", "bin").agg(F.max("y").alias("top"), F.min("y").alias("bottom")).filter("top - bottom >= 1")
-    row = F.row_number().over(Window.partitionBy(*keys).orderBy("bin"))
-    runs = cells.withColumn("run", F.col("bin") - row).groupBy(*keys, "x0", "step", "run").agg(F.count(F.lit(1)).alias("n"), F.min("bin").alias("first"), F.array_sort(F.collect_list(F.struct("bin", "top", "bottom"))).alias("cells"))
-    best = runs.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("first")).alias("f"), "x0", "step", "cells")).alias("b"))
+    held = level.select(*keys, "x0", "step", ((F.col("y1") + F.col("y2")) / 2).alias("y"), place(F.least("x1", "x2"), 0.5).alias("low"), place(F.greatest("x1", "x2"), -0.5).alias("high")).filter("low <= high")
+    size = F.floor(F.log2(F.col("high") - F.col("low") + 1.5)).cast("int")
+    sized = held.withColumn("size", size).withColumn("last", F.col("high") - F.expr("shiftleft(1, size)") + 1)
+    blocks = sized.select(*keys, "x0", "step", "y", "size", F.explode(F.array_distinct(F.array("low", "last"))).alias("at"))
+    edges = blocks.groupBy(*keys, "x0", "step", "size", "at").agg(F.max("y").alias("top"), F.min("y").alias("bottom"))
+    views = edges.groupBy(*keys, "x0", "step").agg(*[F.collect_list(c).alias(c) for c in ("size", "at", "top", "bottom")])
 
     def walk(batches):
         for pdf in batches:
-            rings = [walk_profile(b["x0"], b["step"], [(c["bin"], c["top"], c["bottom"]) for c in b["cells"]]) for b in pdf["b"]]
+            rings = [walk_profile(x0, step, longest_row(*blocks)) for x0, step, *blocks in zip(*(pdf[c] for c in ("x0", "step", "size", "at", "top", "bottom")))]
             out = pdf[keys].copy()
             out["points"] = [[{"x": x, "y": y} for x, y in r] for r in rings]
             out["area"] = [abs(sum(x * v - u * y for (x, y), (u, v) in zip(r, r[1:] + r[:1]))) / 2 for r in rings]
-            yield pd.DataFrame(out)
+            yield pd.DataFrame(out)[[bool(r) for r in rings]]
 
-    kinds = dict(best.dtypes)
-    return best.mapInPandas(walk, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "points array<struct<x:double,y:double>>, area double"]))
+    kinds = dict(views.dtypes)
+    return views.mapInPandas(walk, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "points array<struct<x:double,y:double>>, area double"]))
 
 
 #: A section view agrees with its elevation within this, is slimmer than this share, and depths are pooled by buckets of this.

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,17 @@ def test_depth_pairs_mean_does_not_depend_on_the_order(spark):
 def test_steps_without_a_fitting_pitch_keep_the_least(spark):
     steps = spark.createDataFrame([([15.0, 37.0],), ([40.0, 80.0],)], "s array<double>")
     assert [r[0] for r in steps.select(extension.true_pitch(F.col("s"))).collect()] == [15.0, 20.0]
+
+
+def test_longest_row_of_blocks_as_bin_by_bin():
+    rng = random.Random(2)
+    for _ in range(200):
+        spans = [(a, min(a + rng.randint(0, 40), 79), rng.uniform(0, 3)) for a in (rng.randint(0, 79) for _ in range(rng.randint(1, 30)))]
+        blocks = [(n, at, y, y) for a, b, y in spans for n in [(b - a + 1).bit_length() - 1] for at in {a, b - (1 << n) + 1}]
+        cells = {i: [y for a, b, y in spans if a <= i <= b] for i in range(80)}
+        rows, last = [[]], None
+        for i in sorted(i for i, y in cells.items() if y and max(y) - min(y) >= 1):
+            rows += [[]] if i - 1 != last else []
+            rows[-1].append((i, max(cells[i]), min(cells[i])))
+            last = i
+        assert registration.longest_row(*map(np.array, zip(*blocks))) == max(rows, key=len)
