@@ -73,10 +73,65 @@ def radius_join(left: DataFrame, right: DataFrame, keys: list[str], lxy: tuple[s
 
 
 def nearest_capped(left: DataFrame, right: DataFrame, keys: list[str], lid: str, x: str, y: str, rid: str, cap: float) -> DataFrame:
-    """(keys, lid, rid, distance): the nearest right row within ``cap``, ties to the smaller rid; none leaves nulls."""
-    near = band_join(left.select(*keys, lid, x), right.select(*keys, rid, y), keys, x, y, -cap, cap)
-    best = near.groupBy(*keys, lid).agg(F.min(F.struct(F.abs(F.col(y) - F.col(x)).alias("d"), F.col(rid).alias("r"))).alias("__m"))
-    return left.select(*keys, lid).join(best, [*keys, lid], "left").select(*keys, lid, F.col("__m.r").alias(rid), F.col("__m.d").alias("distance"))
+    """(keys, lid, rid, distance): the nearest right row within ``cap``, ties to the smaller rid; none leaves nulls.
+
+    The nearest is the last value at or below, or the first at or above, so a key's rows are sorted and no pairs are made.
+    """
+    held = right.filter(F.col(y).isNotNull() & ~F.isnan(y)).groupBy(*keys, F.col(y).cast("double").alias("__v")).agg(F.min(rid).alias("__r"))
+    asked = left.select(*keys, F.col(x).cast("double").alias("__v"), F.col(lid).alias("__a"))
+    both = asked.withColumn("__r", F.lit(None).cast(held.schema["__r"].dataType)).unionByName(held.withColumn("__a", F.lit(None).cast(left.schema[lid].dataType)), allowMissingColumns=True)
+    both = both.withColumn("__y", F.when(F.col("__r").isNotNull(), F.struct(F.col("__v").alias("y"), F.col("__r").alias("r"))))
+    side = lambda order: F.last("__y", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order))
+    met = both.withColumn("__low", side([F.col("__v")])).withColumn("__high", side([F.col("__v").desc()])).filter("__r is null")
+    near = lambda c: F.when(F.abs(F.col(f"{c}.y") - F.col("__v")) <= cap, F.struct(F.abs(F.col(f"{c}.y") - F.col("__v")).alias("d"), F.col(f"{c}.r").alias("r")))
+    return met.select(*keys, F.col("__a").alias(lid), F.least(near("__low"), near("__high")).alias("__m")).select(*keys, lid, F.col("__m.r").alias(rid), F.col("__m.d").alias("distance"))
+
+
+def _repeated(df: DataFrame, id_: str) -> DataFrame:
+    """Ids on more than one row."""
+    return df.groupBy(id_).agg(F.count(F.lit(1)).alias("__k")).filter("__k > 1").select(id_)
+
+
+def near_pair_sums(df: DataFrame, keys: list[str], id_: str, value: str, tol: float) -> DataFrame:
+    """(keys, pairs, gap): number of pairs of one key and different ids at most ``tol`` apart, and the sum of their distances; keys without pairs are absent.
+
+    Rows of one value are counted together, so copies of values add no pairs to the join. Null ids and values have no partner.
+    """
+    rows = df.select(*keys, id_, value).dropna()
+    counted = rows.groupBy(*keys, F.col(value).alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
+    other = counted.select(*keys, F.col("__x").alias("__y"), F.col("__n").alias("__m"))
+    apart = band_join(counted, other, keys, "__x", "__y", -tol, tol).filter("__x < __y").select(*keys, (F.col("__n") * F.col("__m")).alias("__p"), (F.col("__n") * F.col("__m") * (F.col("__y") - F.col("__x"))).alias("__g"))
+    equal = counted.filter("__n > 1").select(*keys, F.expr("__n * (__n - 1) div 2").alias("__p"), F.lit(0.0).alias("__g"))
+    # pairs of rows that share an id were counted above
+    own = rows.join(_repeated(rows, id_), id_).withColumn("__i", F.monotonically_increasing_id())
+    twin = own.select(*keys, id_, F.col(value).alias("__y"), F.col("__i").alias("__j"))
+    same = own.join(twin, [*keys, id_]).withColumn("__d", F.abs(F.col("__y") - F.col(value))).filter((F.col("__i") < F.col("__j")) & (F.col("__d") <= tol)).select(*keys, F.lit(-1).cast("long").alias("__p"), (-F.col("__d")).alias("__g"))
+    sums = apart.unionByName(equal).unionByName(same).groupBy(*keys).agg(F.sum("__p").alias("pairs"), F.sum("__g").alias("gap"))
+    return sums.filter("pairs > 0")
+
+
+def radius_counts(df: DataFrame, keys: list[str], id_: str, xy: tuple[str, str], radius: float) -> DataFrame:
+    """(id, near): number of other ids with a row of the same key at most ``radius`` away from a row of this one; ids without any are absent.
+
+    Rows at one point are counted together, so copies of points add no pairs to the join; only ids on several rows are
+    told apart one by one. Null ids and places have no neighbour.
+    """
+    rows = df.select(*keys, F.col(id_).alias("__id"), F.col(xy[0]).alias("__x"), F.col(xy[1]).alias("__y")).dropna()
+    many = _repeated(rows, "__id")
+    once, several = rows.join(many, "__id", "left_anti"), rows.join(many, "__id", "left_semi")
+    points = once.groupBy(*keys, "__x", "__y").agg(F.count(F.lit(1)).alias("__n"))
+    places = rows.select(*keys, "__x", "__y").distinct()
+
+    def around(a: DataFrame, b: DataFrame, *kept: str) -> DataFrame:
+        b = b.select(*keys, F.col("__x").alias("__u"), F.col("__y").alias("__v"), *kept)
+        return radius_join(a, b, keys, ("__x", "__y"), ("__u", "__v"), radius)
+
+    at = [*keys, "__x", "__y"]
+    counts = around(places, points, "__n").groupBy(*at).agg(F.sum("__n").alias("__c"))
+    others = around(places, several.withColumnRenamed("__id", "__o"), "__o").groupBy(*at).agg(F.countDistinct("__o").alias("__e"))
+    single = once.join(counts, at).join(others, at, "left").select("__id", (F.col("__c") - 1 + F.coalesce("__e", F.lit(0))).alias("near"))
+    all_ = around(several, rows.withColumnRenamed("__id", "__o"), "__o").filter("__id <> __o").groupBy("__id").agg(F.countDistinct("__o").alias("near"))
+    return single.unionByName(all_).filter("near > 0").withColumnRenamed("__id", id_)
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], lo: str, hi: str, lo2: str, hi2: str, cell: float) -> DataFrame:

@@ -130,11 +130,7 @@ def base_pitch(spark, sf_dir):
 @_own("range_join_tol", "select a.p_brand, count(*) pairs, round(sum(abs(a.p_retailprice - b.p_retailprice)), 2) gap from part a join part b on a.p_brand = b.p_brand and a.p_partkey < b.p_partkey and b.p_retailprice - a.p_retailprice between -5 and 5 group by a.p_brand")
 def range_join_tol(spark, sf_dir):
     """Tolerance join within equal keys, bucketed."""
-    p = table(spark, sf_dir, "part")
-    a = p.select("p_brand", F.col("p_partkey").alias("ka"), F.col("p_retailprice").alias("x"))
-    b = p.select("p_brand", F.col("p_partkey").alias("kb"), F.col("p_retailprice").alias("y"))
-    j = joins.band_join(a, b, ["p_brand"], "x", "y", -5, 5).filter("ka < kb")
-    return j.groupBy("p_brand").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum(F.abs(F.col("x") - F.col("y"))), 2).alias("gap"))
+    return joins.near_pair_sums(table(spark, sf_dir, "part"), ["p_brand"], "p_partkey", "p_retailprice", 5.0).withColumn("gap", F.round("gap", 2))
 
 
 @_own("band_self_join", "select a.c_nationkey, count(*) pairs from customer a join customer b on a.c_nationkey = b.c_nationkey and b.c_acctbal - a.c_acctbal between 5 and 34 group by 1")
@@ -149,10 +145,7 @@ def band_self_join(spark, sf_dir):
 def radius_count(spark, sf_dir):
     """Distinct neighbours within a radius, by grid cells."""
     p = table(spark, sf_dir, "part").withColumn("s", F.col("p_size").cast("double"))
-    a = p.select("p_brand", F.col("p_partkey").alias("ka"), F.col("s").alias("ax"), F.col("p_retailprice").alias("ay"))
-    b = p.select("p_brand", F.col("p_partkey").alias("kb"), F.col("s").alias("bx"), F.col("p_retailprice").alias("by"))
-    j = joins.radius_join(a, b, ["p_brand"], ("ax", "ay"), ("bx", "by"), 10.0).filter("ka <> kb")
-    return j.groupBy(F.col("ka").alias("p_partkey")).agg(F.countDistinct("kb").alias("near"))
+    return joins.radius_counts(p, ["p_brand"], "p_partkey", ("s", "p_retailprice"), 10.0)
 
 
 @_own("nearest_capped", "select c_nationkey, c_custkey, s_suppkey, distance from (select c.c_nationkey, c_custkey, s_suppkey, abs(s_acctbal - c_acctbal) distance, row_number() over (partition by c_custkey order by abs(s_acctbal - c_acctbal), s_suppkey) r from customer c left join supplier s on c.c_nationkey = s.s_nationkey and abs(s_acctbal - c_acctbal) <= 900) x where r = 1")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import extension, registration
+from plumbline.operators import extension, joins, registration
 from plumbline.plans import catalog
 
 
@@ -81,3 +81,36 @@ def test_longest_row_of_blocks_as_bin_by_bin():
             rows[-1].append((i, max(cells[i]), min(cells[i])))
             last = i
         assert registration.longest_row(*map(np.array, zip(*blocks))) == max(rows, key=len)
+
+
+def parts(spark, n, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice([i, i, 3, None]), f"Brand#{rng.randint(1, 2)}", rng.choice([1, 2, 9, None]), rng.choice([900.0, 903.5, 905.0, 905.1, 911.0, None])) for i in range(n)]
+    return spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int, p_retailprice double")
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_joins_of_counted_values_with_repeated_ids(spark, held, seed):
+    held("range_join_tol", part=parts(spark, 60, seed))
+
+
+def test_radius_counts_with_repeated_ids(spark, held):
+    held("radius_count", part=parts(spark, 60, 5))
+
+
+def test_nearest_capped_takes_ties_on_both_sides(spark, held):
+    rng = random.Random(3)
+    money = lambda: rng.choice([0.0, 100.0, 200.0, 1100.0, 5000.0, None])
+    customers = spark.createDataFrame([(i, rng.randint(0, 2), money()) for i in range(60)], "c_custkey long, c_nationkey int, c_acctbal double")
+    suppliers = spark.createDataFrame([(i, rng.randint(0, 1), money()) for i in range(9)], "s_suppkey long, s_nationkey int, s_acctbal double")
+    held("nearest_capped", customer=customers, supplier=suppliers)
+
+
+def test_copies_of_values_make_no_pairs(spark):
+    """300,000 copies: 45 billion pairs, which no join of rows gets through."""
+    df = spark.range(300000).select(F.lit(1).alias("k"), "id", F.lit(5.0).alias("v"), F.lit(2.0).alias("w"))
+    assert [tuple(r) for r in joins.near_pair_sums(df, ["k"], "id", "v", 5.0).collect()] == [(1, 300000 * 299999 // 2, 0.0)]
+    assert [tuple(r) for r in joins.radius_counts(df, ["k"], "id", ("v", "w"), 10.0).groupBy("near").count().collect()] == [(299999, 300000)]
+    right = df.select("k", F.col("id").alias("r"), F.col("v").alias("u"))
+    near = joins.nearest_capped(df, right, ["k"], "id", "v", "u", "r", 900.0)
+    assert [tuple(r) for r in near.groupBy("r", "distance").count().collect()] == [(0, 0.0, 300000)]
