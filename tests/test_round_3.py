@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import extension, joins, registration
+from plumbline.operators import clashes, extension, joins, registration
 from plumbline.plans import catalog
 
 
@@ -114,3 +114,19 @@ def test_copies_of_values_make_no_pairs(spark):
     right = df.select("k", F.col("id").alias("r"), F.col("v").alias("u"))
     near = joins.nearest_capped(df, right, ["k"], "id", "v", "u", "r", 900.0)
     assert [tuple(r) for r in near.groupBy("r", "distance").count().collect()] == [(0, 0.0, 300000)]
+
+
+def test_clashes_of_many_copies(spark):
+    """20,000 copies of a cross and of a link in it: 400 million pairs of each kind, which are not made."""
+    at = lambda x, y, z: F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
+    n = lambda v: F.lit(float(v))
+    kinds = {"h-mesh": (at(n(0), n(50), n(75)), at(n(100), n(50), n(75))), "v-mesh": (at(n(80), n(0), n(75)), at(n(80), n(90), n(75))), "link": (at(n(40), n(52), n(40)), at(n(40), n(52), n(110)))}
+    bars = None
+    for i, (k, ends) in enumerate(kinds.items()):
+        one = spark.range(i * 20000, i * 20000 + 20000).select(F.lit(1).alias("panel"), "id", F.lit(k).alias("kind"), n(10).alias("dia"), F.lit("default").alias("z_source"), F.array(*ends).alias("points"))
+        bars = bars.unionByName(one) if bars else one
+    panels = spark.createDataFrame([(1, 200.0, 80.0, 150.0)], "panel int, width double, height double, thickness double")
+    moved = clashes.declash_links(bars, panels, ["panel"]).groupBy("kind", "shift_x", "shift_y").count().collect()
+    assert sorted(map(tuple, moved)) == [("h-mesh", 0.0, 0.0, 20000), ("link", 0.0, 10.0, 20000), ("v-mesh", 0.0, 0.0, 20000)]
+    laid = clashes.declash_planes(bars, panels, ["panel"]).groupBy("kind", "z").count().collect()
+    assert sorted(map(tuple, laid), key=repr) == [("h-mesh", 80.0, 20000), ("link", None, 20000), ("v-mesh", 70.0, 20000)]
