@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import clashes, extension, joins, registration
+from plumbline.operators import clashes, extension, joins, references, registration
 from plumbline.plans import catalog
 
 
@@ -130,3 +130,18 @@ def test_clashes_of_many_copies(spark):
     assert sorted(map(tuple, moved)) == [("h-mesh", 0.0, 0.0, 20000), ("link", 0.0, 10.0, 20000), ("v-mesh", 0.0, 0.0, 20000)]
     laid = clashes.declash_planes(bars, panels, ["panel"]).groupBy("kind", "z").count().collect()
     assert sorted(map(tuple, laid), key=repr) == [("h-mesh", 80.0, 20000), ("link", None, 20000), ("v-mesh", 70.0, 20000)]
+
+
+def test_blocks_are_walked_once_however_often_they_are_opened(spark):
+    one = (1.0, 0.0, 0.0, 1.0)
+    nested = spark.createDataFrame([(1, 7, 1, 8, *one, 5.0, 0.0), (1, 8, 2, 7, *one, 0.0, 0.0)], "sheet int, block int, ref int, child int, a double, b double, c double, d double, tx double, ty double")
+    top = spark.range(1000).select(F.lit(1).alias("sheet"), F.lit(None).cast("int").alias("block"), (F.col("id") + 10).cast("int").alias("ref"), F.lit(7).alias("child"), *[F.lit(v).alias(c) for c, v in zip("abcd", (0.0, -1.0, 1.0, 0.0))], F.col("id").cast("double").alias("tx"), F.lit(0.0).alias("ty"))
+    refs = top.unionByName(nested)
+    tops, inside, met = references.expand_blocks(refs, "sheet")
+    assert (tops.count(), inside.count(), met.count()) == (1000, 2, 2)
+    ents = spark.createDataFrame([(1, 8, 1, "LINE", [(1.0, 2.0)])], "sheet int, block int, ent int, type string, points array<struct<x:double,y:double>>")
+    got = sorted((r.outer, r.depth, *r.points[0]) for r in references.placed_by_blocks(ents, tops, inside, "sheet").collect())
+    assert got == [(i + 10, 2, i - 2.0, 6.0) for i in range(1000)]
+    instances, seen = references.expand_references(refs, "sheet")
+    assert sorted((r.outer, r.depth, *r.points[0]) for r in references.placed_entities(ents, instances, "sheet").collect()) == got
+    assert sorted(map(tuple, seen.groupBy("depth", "outcome").count().collect())) == [(0, "opened", 1000), (1, "opened", 1000), (2, "cycle", 1000)]
