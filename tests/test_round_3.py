@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import clashes, extension, joins, references, registration
+from plumbline.operators import clashes, evidence, extension, joins, references, registration
 from plumbline.plans import catalog
 
 
@@ -145,3 +145,13 @@ def test_blocks_are_walked_once_however_often_they_are_opened(spark):
     instances, seen = references.expand_references(refs, "sheet")
     assert sorted((r.outer, r.depth, *r.points[0]) for r in references.placed_entities(ents, instances, "sheet").collect()) == got
     assert sorted(map(tuple, seen.groupBy("depth", "outcome").count().collect())) == [(0, "opened", 1000), (1, "opened", 1000), (2, "cycle", 1000)]
+
+
+def test_nearest_of_many_copies(spark):
+    """100,000 copies on either side: ten billion pairs, which are not made."""
+    n = 100000
+    points = spark.range(n).select(F.lit("A").alias("dia"), F.col("id").alias("pid"), F.lit(3.0).alias("px"), F.lit(4.0).alias("py"))
+    lines = spark.range(n).select(F.lit("A").alias("dia"), (F.col("id") + 5).alias("sid"), *[F.lit(v).alias(c) for c, v in zip(("x0", "y0", "x1", "y1"), (0.0, 0.0, 9.0, 0.0))])
+    assert [tuple(r) for r in evidence.nearest_segment(points, lines, ["dia"], 60.0).groupBy("sid", "distance").count().collect()] == [(5, 4.0, n)]
+    got = evidence.nearest_point(points, lines, ["dia"], "pid", ("px", "py"), ("x0", "y0"), ["sid"], 60.0)
+    assert [tuple(r) for r in got.groupBy("sid", "d").count().collect()] == [(5, 5.0, n)]
