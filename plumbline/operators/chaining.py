@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from math import dist, log
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import shared_folder, ship
 from .clustering import components
+from .dealing import in_groups
 from .joins import band_join, near_values, radius_join
 from .linking import linked
 from .pieces import _Grid
@@ -51,6 +51,8 @@ def touching_ends(fragments: DataFrame, keys: list[str], gap: float) -> DataFram
 def grow(fragments: list[tuple], gap: float, depth: float) -> list[tuple]:
     """Chains (members, points) of (id, points), sorted by id: the first free fragment takes, pass by pass in order, each
     free one that touches its last end, else its first, and whose depth differs by ``depth`` at most from its own."""
+    if len(fragments) == 1:
+        return [([fragments[0][0]], list(fragments[0][1]))]
     grid, free, out = _Grid(max(gap, 1e-6)), [True] * len(fragments), []
     for i, (_, pts) in enumerate(fragments):
         for p in (pts[0], pts[-1]):
@@ -100,15 +102,15 @@ def chain_fragments(fragments: DataFrame, keys: list[str], gap: float = 20.0, de
     named = components(known.select(F.col("frag").alias("node")), touching_ends(known, keys, gap).select("a", "b"))
     kinds = dict(known.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        head = [pdf[k].iloc[0] for k in keys]
-        for members, pts in grow([(r.frag, [(p["x"], p["y"], p["z"]) for p in r.points]) for r in pdf.sort_values("frag").itertuples()], gap, depth):
-            rows.append((*head, members[0], members, len(members), sum(dist(a, b) for a, b in zip(pts, pts[1:])), [dict(zip("xyz", p)) for p in pts]))
-        return pd.DataFrame(rows, columns=[*keys, "chain", "members", "n", "length", "points"])
+    width = len(keys)
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        made = grow([(r[width], [(p["x"], p["y"], p["z"]) for p in r[width + 1]]) for r in rows], gap, depth)
+        return [(*rows[0][:width], members[0], members, len(members), sum(dist(a, b) for a, b in zip(pts, pts[1:])), [dict(zip("xyz", p)) for p in pts]) for members, pts in made]
 
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"chain {kinds['frag']}", f"members array<{kinds['frag']}>", "n int, length double", f"points array<{POINT}>"])
-    return known.join(named.withColumnRenamed("node", "frag"), "frag").groupBy(*keys, "component").applyInPandas(run, schema)
+    rows = known.join(named.withColumnRenamed("node", "frag"), "frag").select(*keys, "frag", "points", "component")
+    return in_groups(rows, [*keys, "component"], ["frag"], run, schema)
 
 
 def wanted(marks: DataFrame, bars: DataFrame, keys: list[str]) -> DataFrame:
@@ -130,19 +132,21 @@ def accept_chains(chains: DataFrame, marks: DataFrame, keys: list[str], share: f
     pairs = band_join(asked, made, keys, "__x", "__y", log(1 - share) - 1e-9, log(1 + share) + 1e-9).filter(F.abs(F.col("path") - F.col("length")) <= share * F.col("length")).drop("__x", "__y")
     kinds = dict(pairs.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, rows = set(), []
-        for _, part in pdf.assign(first=-pdf["length"]).sort_values(["first", "mark", "chain"]).groupby(["first", "mark"], sort=True):
-            left = int(part["need"].iloc[0])
-            for r in part.itertuples():
-                if left and r.chain not in used:
-                    used.add(r.chain)
-                    left -= 1
-                    rows.append((*[getattr(r, k) for k in keys], r.mark, r.chain, r.n, r.path))
-        return pd.DataFrame(rows, columns=[*keys, "mark", "chain", "n", "length"])
+    width = len(keys)
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        used, left, out = set(), {}, []
+        for r in rows:
+            mark, chain, n, need, path, length = r[width : width + 6]
+            if left.setdefault((length, mark), need) > 0 and chain not in used:
+                used.add(chain)
+                left[length, mark] -= 1
+                out.append((*r[:width], mark, chain, n, path))
+        return out
 
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"mark {kinds['mark']}", f"chain {kinds['chain']}", "n int, length double"])
-    return linked(pairs, keys, "mark", "chain").groupBy("component").applyInPandas(run, schema)
+    dealt = linked(pairs, keys, "mark", "chain").select(*keys, "mark", "chain", "n", "need", "path", "length", "component")
+    return in_groups(dealt, ["component"], [F.col("length").desc(), "mark", "chain"], run, schema)
 
 
 def shapes_by_evidence(marks: DataFrame, fragments: DataFrame, labels: DataFrame, bars: DataFrame, keys: list[str], radius: float = 2200.0, least: int = 3) -> DataFrame:
