@@ -146,7 +146,7 @@ def accept_chains(chains: DataFrame, marks: DataFrame, keys: list[str], share: f
 
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"mark {kinds['mark']}", f"chain {kinds['chain']}", "n int, length double"])
     dealt = linked(pairs, keys, "mark", "chain").select(*keys, "mark", "chain", "n", "need", "path", "length", "component")
-    return in_groups(dealt, ["component"], [F.col("length").desc(), "mark", "chain"], run, schema)
+    return in_groups(dealt, [*keys, "component"], [F.col("length").desc(), "mark", "chain"], run, schema)
 
 
 def shapes_by_evidence(marks: DataFrame, fragments: DataFrame, labels: DataFrame, bars: DataFrame, keys: list[str], radius: float = 2200.0, least: int = 3) -> DataFrame:
