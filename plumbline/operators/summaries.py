@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 
 def money(c: Column) -> Column:
     """Exact sums: two places, as decimals."""
@@ -129,17 +132,63 @@ def schedule_fit(marks: DataFrame, tags: DataFrame, schedule: str, slack: float
     return scored.groupBy(schedule).agg(F.max(F.struct("score", "element", "tag_overlap")).alias("b")).select(schedule, "b.element", "b.score", "b.tag_overlap")
 
 
+def reach(value: np.ndarray, tol: float) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest double x with |x - value| / max(value, 1) <= tol, as these operations round."""
+    size = np.maximum(value, 1.0)
+    fits = lambda x: np.abs(x - value) / size <= tol
+    ends = []
+    for sign in (-1.0, 1.0):
+        x = value + sign * tol * size
+        while (off := ~fits(x)).any():
+            x = np.where(off, np.nextafter(x, -sign * np.inf), x)
+        while (more := fits(np.nextafter(x, sign * np.inf))).any():
+            x = np.where(more, np.nextafter(x, sign * np.inf), x)
+        ends.append(x)
+    return ends[0], ends[1]
+
+
+def _bars_near(asked: DataFrame, held: DataFrame, tol: float) -> DataFrame:
+    """(dia, at, near, bars): of each asked length the number of held ones (dia, len, n) within ``tol``, and the sum of their n.
+
+    The rounded distance grows with the true one, so what is near lies between two ends: differences of running sums along
+    the lengths of a diameter, without pairs.
+    """
+    ship(asked.sparkSession)
+
+    def ends(parts):
+        for pdf in parts:
+            pdf["lo"], pdf["hi"] = reach(pdf["at"].to_numpy(float), tol)
+            yield pdf
+
+    dia = asked.schema["dia"].dataType.simpleString()
+    known = asked.select("dia", F.col("at").cast("double").alias("at")).filter(F.abs("at") < float("inf")).distinct()
+    bounds = known.mapInPandas(ends, f"dia {dia}, at double, lo double, hi double")
+    none = F.lit(None).cast("double").alias("at")
+    # at equal places: lower ends, lengths, upper ends
+    marks = [bounds.select("dia", F.col(c).alias("x"), F.lit(k).alias("k"), "at", F.lit(0).cast("long").alias("c"), F.lit(0).cast(held.schema["n"].dataType).alias("n")) for c, k in (("lo", 0), ("hi", 2))]
+    rows = held.filter("len is not null").select("dia", F.col("len").cast("double").alias("x"), F.lit(1).alias("k"), none, F.lit(1).cast("long").alias("c"), F.coalesce("n", F.lit(0)).alias("n"))
+    so_far = Window.partitionBy("dia").orderBy("x", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = marks[0].unionByName(marks[1]).unionByName(rows).withColumns({"c": F.sum("c").over(so_far), "n": F.sum("n").over(so_far)}).filter("k <> 1")
+    less = lambda c: F.sum(F.when(F.col("k") == 2, F.col(c)).otherwise(-F.col(c)))
+    return summed.groupBy("dia", "at").agg(less("c").alias("near"), less("n").alias("bars"))
+
+
 def unlocated_reasons(marks: DataFrame, runs: DataFrame, tol: float = 0.1) -> DataFrame:
     """mark, pool, legs, reason: why bars of a mark were not found.
 
     marks: mark, dia, cut, leg, qty, located; runs: dia, len, n. pool and legs: bars of runs within ``tol`` of the cut
     length and of the leg. In this order: no run of the diameter; none near either length; some bars located; only legs
-    match; fewer drawn than scheduled; else others claimed them. Runs meet marks as counts by length, not one by one.
+    match; fewer drawn than scheduled; else others claimed them. Runs are counted along their lengths and never meet marks one by one.
     """
-    held = runs.groupBy(F.col("dia").alias("__d"), "len").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("runs"))
-    j = marks.join(held, F.col("dia") == F.col("__d"), "left")
-    err = {c: F.abs(F.col("len") - F.col(c)) / F.greatest(F.col(c), F.lit(1)) for c in ("cut", "leg")}
-    pool = {c: F.coalesce(F.sum(F.when(e <= tol, F.col("n"))), F.lit(0)) for c, e in err.items()}
-    g = j.groupBy("mark").agg(F.min(err["cut"]).alias("e0"), F.min(err["leg"]).alias("e1"), F.count("len").alias("runs"), pool["cut"].cast("bigint").alias("pool"), pool["leg"].cast("bigint").alias("legs"), F.max("qty").alias("qty"), F.max("located").alias("located"))
-    reason = F.when(F.col("runs") == 0, "NO_BAR_OF_DIAMETER").when(F.least("e0", "e1") > tol, "NO_RUN_OF_LENGTH").when(F.col("located") > 0, "PARTLY_DRAWN").when(F.col("pool") == 0, "LEG_MATCH_ONLY").when(F.col("pool") < F.col("qty"), "TOO_FEW_DRAWN").otherwise("CLAIMED_BY_OTHERS")
+    held = runs.filter("dia is not null").groupBy("dia", "len").agg(F.sum("n").alias("n"))
+    some = held.groupBy("dia").agg(F.count("len").alias("runs"))
+    asked = marks.select("dia", F.col("cut").alias("at")).unionByName(marks.select("dia", F.col("leg").alias("at")))
+    near = _bars_near(asked.filter("dia is not null"), held, tol)
+    j = marks.join(some, "dia", "left")
+    for c in ("cut", "leg"):
+        j = j.withColumn("at", F.col(c).cast("double")).join(near.withColumnsRenamed({"near": f"near_{c}", "bars": f"bars_{c}"}), ["dia", "at"], "left").drop("at")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    told = F.max((F.coalesce("runs", F.lit(0)) > 0) & (F.col("cut").isNotNull() | F.col("leg").isNotNull()))
+    g = j.groupBy("mark").agg(total("runs").alias("runs"), told.alias("told"), (total("near_cut") + total("near_leg")).alias("near"), total("bars_cut").alias("pool"), total("bars_leg").alias("legs"), F.max("qty").alias("qty"), F.max("located").alias("located"))
+    reason = F.when(F.col("runs") == 0, "NO_BAR_OF_DIAMETER").when(F.col("told") & (F.col("near") == 0), "NO_RUN_OF_LENGTH").when(F.col("located") > 0, "PARTLY_DRAWN").when(F.col("pool") == 0, "LEG_MATCH_ONLY").when(F.col("pool") < F.col("qty"), "TOO_FEW_DRAWN").otherwise("CLAIMED_BY_OTHERS")
     return g.select("mark", "pool", "legs", reason.alias("reason"))
