@@ -60,6 +60,23 @@ def touching_boxes(boxes: DataFrame, keys: list[str], gap: float) -> DataFrame:
     return met.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
 
 
+def boxes_over_points(boxes: DataFrame, points: DataFrame, keys: list[str], sides: tuple[str, str, str, str], xy: tuple[str, str]) -> DataFrame:
+    """Pairs of boxes and points of equal keys that share a cell: all where the box (x0, y0, x1, y1) holds the point, and some beside.
+
+    A box lies in the cells of its level, a power of two no less than its size, so in nine at most; a point asks each
+    level of its key, of which there are few. The caller tells who is inside. Boxes without a whole size and points without a place meet none.
+    """
+    x0, y0, x1, y1 = (F.col(c) for c in sides)
+    slack = 1e-9 * (F.abs(x0) + F.abs(y0) + F.abs(x1) + F.abs(y1) + 1)
+    dealt = boxes.dropna(subset=list(sides)).filter((x0 <= x1) & (y0 <= y1)).withColumn("__l", F.ceil(F.log2(F.greatest(x1 - x0, y1 - y0, F.lit(1.0)))).cast("int"))
+    width = F.pow(F.lit(2.0), F.col("__l"))
+    cells = lambda a, b: F.explode(F.sequence(F.floor((a - slack) / width).cast("long"), F.floor((b + slack) / width).cast("long")))
+    levels = dealt.select(*keys, "__l").distinct()
+    dealt = dealt.withColumn("__cx", cells(x0, x1)).withColumn("__cy", cells(y0, y1))
+    asked = points.dropna(subset=list(xy)).join(levels, keys).withColumns({n: F.floor(F.col(c) / width).cast("long") for n, c in zip(("__cx", "__cy"), xy)})
+    return dealt.join(asked, [*keys, "__l", "__cx", "__cy"]).drop("__l", "__cx", "__cy")
+
+
 def radius_join(left: DataFrame, right: DataFrame, keys: list[str], lxy: tuple[str, str], rxy: tuple[str, str], radius: float) -> DataFrame:
     """Pairs with equal keys at most ``radius`` apart (0: at one point), by grid cells."""
     def cell(c: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clustering import components, single_link
-from .joins import band_join, near_values
+from .joins import band_join, boxes_over_points, near_values
 
 
 def depth_lookup(bars: DataFrame, readings: DataFrame, key: str, reach: float = 40.0, radius: float = 0.5, tol: float = 8.0, spread: float = 15.0) -> DataFrame:
@@ -156,11 +156,17 @@ def cross_view_clusters(circles: DataFrame, key: str, tol: float) -> DataFrame:
 
 
 def first_containing_view(texts: DataFrame, views: DataFrame, key: str, margin: float) -> DataFrame:
-    """texts (key, id, x, y) with ``view``: the first (by rank) whose box (x0, y0, x1, y1), widened by ``margin``, holds them; null in none."""
-    v = views.select(F.col(key).alias("__k"), F.col("rank").alias("__rank"), F.col("view").alias("__view"), (F.col("x0") - margin).alias("__x0"), (F.col("y0") - margin).alias("__y0"), (F.col("x1") + margin).alias("__x1"), (F.col("y1") + margin).alias("__y1"))
-    hit = texts.join(v, (F.col(key) == F.col("__k")) & F.col("x").between(F.col("__x0"), F.col("__x1")) & F.col("y").between(F.col("__y0"), F.col("__y1")))
-    best = hit.groupBy("id").agg(F.min_by("__view", "__rank").alias("view"))
-    return texts.join(best, "id", "left")
+    """texts (key, id, x, y) with ``view``: the first (by rank, then name) whose box (x0, y0, x1, y1), widened by ``margin``, holds them; null in none.
+
+    Texts of one place ask once, and of views with the same box only the first takes part; both meet by cells of the box's level.
+    """
+    sides = ("__x0", "__y0", "__x1", "__y1")
+    wide = [(F.col(c) + m).alias(f"__{c}") for c, m in (("x0", -margin), ("y0", -margin), ("x1", margin), ("y1", margin))]
+    v = views.filter("rank is not null").select(key, F.struct("rank", "view").alias("__v"), *wide).groupBy(key, *sides).agg(F.min("__v").alias("__v"))
+    places = texts.select(key, "x", "y").distinct()
+    inside = F.col("x").between(F.col("__x0"), F.col("__x1")) & F.col("y").between(F.col("__y0"), F.col("__y1"))
+    best = boxes_over_points(v, places, [key], sides, ("x", "y")).filter(inside).groupBy(key, "x", "y").agg(F.min("__v").alias("__v"))
+    return texts.join(best, [key, "x", "y"], "left").select(*texts.columns, F.col("__v.view").alias("view"))
 
 
 def fused_extent(clusters: DataFrame, runs: DataFrame, outlines: DataFrame, key: str, reach: float) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from .joins import boxes_over_points
 
 
 class _Grid:
@@ -346,14 +347,19 @@ def viewport_titles(views: DataFrame, texts: DataFrame, keys: list[str], pad: fl
     """(keys, view, scale, wx0, wy0, wx1, wy1, title): a viewport's model window, and the text nearest to the middle of its lower
     edge within the padded frame (a quarter of its height further down; none: empty).
 
-    Views (view, cx, cy, w, h, vx, vy, vh); texts (tx, ty, s). A sheet has few of both, so they meet by sheet.
+    Views (view, cx, cy, w, h, vx, vy, vh); texts (tx, ty, s). Views with the same frame ask once, texts of one place answer once (the
+    least), and both meet by cells of the frame's level.
     """
     w = F.when(F.col("h") != 0, F.col("vh") * F.col("w") / F.col("h")).otherwise(0.0)
     window = views.select(*keys, "view", "cx", "cy", "w", "h", F.when(F.col("h") != 0, F.col("vh") / F.col("h")).otherwise(0.0).alias("scale"), *[F.when(F.col("h") != 0, e).alias(n) for e, n in ((F.col("vx") - w / 2, "wx0"), (F.col("vy") - F.col("vh") / 2, "wy0"), (F.col("vx") + w / 2, "wx1"), (F.col("vy") + F.col("vh") / 2, "wy1"))])
     within = (F.abs(F.col("tx") - F.col("cx")) <= F.col("w") * pad / 2) & F.col("ty").between(F.col("cy") - F.col("h") * pad / 2 - F.col("h") * 0.25, F.col("cy") + F.col("h") * pad / 2)
     d = F.sqrt((F.col("tx") - F.col("cx")) ** 2 + (F.col("ty") - F.col("cy") + F.col("h") / 2) ** 2)
-    near = window.join(texts, keys).filter(within).groupBy(*keys, "view").agg(F.min(F.struct(d.alias("d"), "tx", "ty", "s")).alias("m"))
-    out = window.join(near, [*keys, "view"], "left")
+    frame, half = ["cx", "cy", "w", "h"], F.col("w") * pad / 2
+    frames = window.select(*keys, *frame).distinct().withColumns({"__x0": F.col("cx") - half, "__x1": F.col("cx") + half, "__y0": F.col("cy") - F.col("h") * (pad / 2 + 0.25), "__y1": F.col("cy") + F.col("h") * pad / 2})
+    places = texts.groupBy(*keys, "tx", "ty").agg(F.min("s").alias("s"))
+    met = boxes_over_points(frames, places, keys, ("__x0", "__y0", "__x1", "__y1"), ("tx", "ty")).filter(within)
+    near = met.groupBy(*keys, *frame).agg(F.min(F.struct(d.alias("d"), "tx", "ty", "s")).alias("m"))
+    out = window.join(near, [*keys, *frame], "left")
     return out.select(*keys, "view", "scale", "wx0", "wy0", "wx1", "wy1", F.coalesce("m.s", F.lit("")).alias("title"))
 
 
