@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from .dealing import in_groups
 from .matching import _Pool, reach_parts
 from .reports import unit_kg
 
@@ -48,19 +49,23 @@ def claim_bars(rows: DataFrame, bars: DataFrame, keys: list[str], floor: float =
     demand, pool = reach_parts(asked, bars.select(*keys, "item", "length"), keys, F.greatest(F.lit(floor), rel * F.col("target")))
     kinds = dict(asked.dtypes) | {"item": dict(bars.dtypes)["item"]}
 
-    def run(d: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        free, out = _Named(list(zip(p["length"].astype(float), p["item"]))), []
-        for r in d.assign(__t=-d["target"]).sort_values(["__t", "mark"], kind="stable").to_dict("records"):
-            for unit in range(r["qty"]):
-                got = free.take(r["target"], max(floor, rel * r["target"])) or (None, None)
-                out.append((*[r[k] for k in keys], r["mark"], unit, *got))
-        frame = pd.DataFrame(out, columns=[*keys, "mark", "unit", "item", "length"])
-        frame["item"] = frame["item"].astype("object")
-        return frame
+    width = len(keys) + 2
+    empty = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    by = [*keys, "part"]
+    one = demand.select(*by, F.lit(0).alias("side"), "mark", "qty", "target", empty("item"), F.lit(None).cast("double").alias("length"))
+    two = pool.select(*by, F.lit(1).alias("side"), empty("mark"), empty("qty"), empty("target"), "item", F.col("length").cast("double").alias("length"))
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        free, out = _Named([(r[-1], r[-2]) for r in rows if r[width - 1]]), []
+        for r in rows:
+            if not r[width - 1]:
+                mark, qty, target = r[width : width + 3]
+                for unit in range(qty):
+                    out.append((*r[: len(keys)], mark, unit, *(free.take(target, max(floor, rel * target)) or (None, None))))
+        return out
 
     ddl = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"mark {kinds['mark']}", f"unit long, item {kinds['item']}, length double"])
-    by = [*keys, "part"]
-    return demand.groupBy(*by).cogroup(pool.groupBy(*by)).applyInPandas(lambda d, p: run(d, p), ddl)
+    return in_groups(one.unionByName(two), by, ["side", F.col("target").desc(), "mark"], run, ddl)
 
 
 def made_bars(claims: DataFrame, rows: DataFrame, bars: DataFrame, panels: DataFrame, keys: list[str], panel: str) -> DataFrame:
