@@ -1,7 +1,7 @@
 """Drawn pieces: point clusters, leader ends, bends from arcs, chains, twin bars, runs across gaps, words to cells.
 
-The greedy rules depend on the order of rows inside a key (a view or an element), so they run in ``applyInPandas``
-over rows sorted by ``id``; a grid of the tolerance's size keeps each look-up to the neighbouring cells.
+The greedy rules depend on the order of rows inside a key (a view or an element), so a worker passes through rows
+sorted by ``id``, key by key; a grid keeps each look-up to the cells that the tolerance reaches.
 """
 
 from __future__ import annotations
@@ -17,48 +17,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from .dealing import in_groups
 from .joins import boxes_over_points
 
 
 class _Grid:
-    """Rows by the cell of a point; ``near`` gives those of the cells around a point, in rising order."""
+    """Rows by the cell of a point; ``near`` gives those of the cells that ``tol`` around a point reaches, two an axis."""
 
-    def __init__(self, size: float):
-        self.size, self.held = size, defaultdict(set)
+    def __init__(self, tol: float):
+        self.reach = tol * (1 + 1e-6)  # what rounding adds to a distance
+        self.size, self.held = 2.5 * self.reach, {}
 
     def _cell(self, p) -> tuple:
-        return tuple(floor(c / self.size) for c in p)
+        return tuple([floor(c / self.size + 0.5) for c in p])
 
     def put(self, p, row: int) -> None:
-        self.held[self._cell(p)].add(row)
+        self.held.setdefault(self._cell(p), set()).add(row)
 
     def take(self, p, row: int) -> None:
-        self.held[self._cell(p)].discard(row)
+        self.held.get(self._cell(p), set()).discard(row)
 
-    def near(self, *points) -> list[int]:
+    def near(self, *points) -> set[int]:
         found: set[int] = set()
         for p in points:
-            for step in product((-1, 0, 1), repeat=len(p)):
-                found |= self.held.get(tuple(a + b for a, b in zip(self._cell(p), step)), set())
-        return sorted(found)
+            spans = []
+            for c in p:
+                low, high = floor((c - self.reach) / self.size + 0.5), floor((c + self.reach) / self.size + 0.5)
+                spans.append((low,) if low == high else (low, high))
+            for cell in product(*spans):
+                rows = self.held.get(cell)
+                if rows:
+                    found |= rows
+        return found
 
 
-def _by_key(df: DataFrame, keys: list[str], ddl: str, fn) -> DataFrame:
-    kinds = dict(df.dtypes)
-    ship(df.sparkSession)
-    return df.groupBy(*keys).applyInPandas(fn, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], ddl.format(**kinds)]))
+def _by_key(df: DataFrame, keys: list[str], columns: list[str], ddl: str, fn, order: list[str] | None = None) -> DataFrame:
+    """Rows that ``fn`` gives for the tuples of ``columns`` of each key, by id or ``order``."""
+    kinds, n = dict(df.dtypes), len(keys)
 
+    def run(rows: list[tuple]) -> list[tuple]:
+        head = rows[0][:n]
+        return [(*head, *r) for r in fn([r[n:] for r in rows])]
 
-def _keyed(pdf: pd.DataFrame, keys: list[str], rows: list, names: list[str]) -> pd.DataFrame:
-    head = [pdf[k].iloc[0] for k in keys]
-    return pd.DataFrame([(*head, *r) for r in rows], columns=[*keys, *names])
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], ddl.format(**kinds)])
+    return in_groups(df.select(*keys, *columns), keys, order or ["id"], run, schema)
 
 
 def seed_clusters(points: DataFrame, keys: list[str], tol: float = 60.0) -> DataFrame:
     """(keys, id, seed): a free point takes all later free points within ``tol`` of it in x and in y."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values("id")[["id", "x", "y"]].itertuples(index=False, name=None))
+    def run(rows: list[tuple]) -> list[tuple]:
         grid, seed = _Grid(tol), {}
         for i, (_, x, y) in enumerate(rows):
             grid.put((x, y), i)
@@ -69,9 +77,9 @@ def seed_clusters(points: DataFrame, keys: list[str], tol: float = 60.0) -> Data
                 if abs(rows[j][1] - x) <= tol and abs(rows[j][2] - y) <= tol:
                     seed[j] = own
                     grid.take(rows[j][1:], j)
-        return _keyed(pdf, keys, [(r[0], seed[i]) for i, r in enumerate(rows)], ["id", "seed"])
+        return [(r[0], seed[i]) for i, r in enumerate(rows)]
 
-    return _by_key(points, keys, "id {id}, seed {id}", run)
+    return _by_key(points, keys, ["id", "x", "y"], "id {id}, seed {id}", run)
 
 
 def hull(points: list[tuple]) -> list[tuple]:
@@ -128,84 +136,95 @@ def concentric_pairs(arcs: DataFrame, keys: list[str], centre: float = 2.0, low:
     """(keys, id_a, id_b, dia, radius): an arc takes the first later free arc about the same centre whose radius differs by a
     diameter and whose start angle agrees. Arcs (id, cx, cy, r, a0); radii of at most 1 take no part."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf[pdf["r"] > 1.0].sort_values("id")[["id", "cx", "cy", "r", "a0"]].itertuples(index=False, name=None))
+    def run(rows: list[tuple]) -> list[tuple]:
         grid, used, out = _Grid(centre), set(), []
         for i, r in enumerate(rows):
             grid.put(r[1:3], i)
         for i, (own, x, y, r, a0) in enumerate(rows):
-            for j in grid.near((x, y)) if i not in used else []:
+            for j in sorted(grid.near((x, y))) if i not in used else []:
                 other = rows[j]
                 off = (a0 - other[4]) % 360
                 if j > i and j not in used and dist((x, y), other[1:3]) <= centre and low <= abs(r - other[3]) <= high and not turn < off < 360 - turn:
                     used |= {i, j}
                     out.append((own, other[0], abs(r - other[3]), (r + other[3]) / 2))
                     break
-        return _keyed(pdf, keys, out, ["id_a", "id_b", "dia", "radius"])
+        return out
 
-    return _by_key(arcs, keys, "id_a {id}, id_b {id}, dia double, radius double", run)
+    return _by_key(arcs.filter("r > 1"), keys, ["id", "cx", "cy", "r", "a0"], "id_a {id}, id_b {id}, dia double, radius double", run)
 
 
 def chain_pieces(pieces: DataFrame, keys: list[str], tol: float = 4.0, dia_tol: float = 1.9) -> DataFrame:
     """(keys, seed, ids, length, dia): pieces whose ends meet join the seed's chain at its tail or head while their diameter is
     near the seed's; dia is the mean by length. Pieces (id, x0, y0, x1, y1, dia) are looked at in rounds, by id."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = {r[0]: r[1:] for r in pdf.sort_values("id")[["id", "x0", "y0", "x1", "y1", "dia"]].itertuples(index=False, name=None)}
-        order = list(rows)
+    def run(pieces_: list[tuple]) -> list[tuple]:
+        rows = {r[0]: r[1:] for r in pieces_}
+        order, dias = list(rows), [r[4] for r in rows.values()]
+        ends = [p for r in rows.values() for p in (r[:2], r[2:4])]  # those of piece j are 2 j and 2 j + 1
         grid, free, out = _Grid(tol), set(range(len(order))), []
-        for i, k in enumerate(order):
-            grid.put(rows[k][:2], i)
-            grid.put(rows[k][2:4], i)
+        for e, p in enumerate(ends):
+            grid.put(p, e)
+
+        def use(i: int) -> None:
+            free.discard(i)
+            grid.take(ends[2 * i], 2 * i)
+            grid.take(ends[2 * i + 1], 2 * i + 1)
+
+        def meeting(p: tuple, dia: float) -> set[int]:
+            return {e >> 1 for e in grid.near(p) if abs(dias[e >> 1] - dia) <= dia_tol and dist(p, ends[e]) <= tol}
+
         for i, k in enumerate(order):
             if i not in free:
                 continue
-            free.discard(i)
-            head, tail, dia, chain, at = rows[k][:2], rows[k][2:4], rows[k][4], [i], -1
-            while True:
-                fits = [j for j in grid.near(head, tail) if j in free and abs(rows[order[j]][4] - dia) <= dia_tol]
-                fits = [j for j in fits if min(dist(e, p) for e in (head, tail) for p in (rows[order[j]][:2], rows[order[j]][2:4])) <= tol]
-                if not fits:
-                    break
-                at = next((j for j in fits if j > at), fits[0])  # on through the ids, then from the first again
-                a, b = rows[order[at]][:2], rows[order[at]][2:4]
+            use(i)
+            head, tail, dia, chain, at = ends[2 * i], ends[2 * i + 1], dias[i], [i], -1
+            before, behind = meeting(head, dia), meeting(tail, dia)
+            while before or behind:
+                # on through the ids, then from the first again
+                at = min((j for fits in (before, behind) for j in fits if j > at), default=None)
+                if at is None:
+                    at = min(j for fits in (before, behind) for j in fits)
+                a, b = ends[2 * at], ends[2 * at + 1]
+                use(at)
                 if dist(tail, a) <= tol:
-                    tail = b
+                    tail, moved = b, True
                 elif dist(tail, b) <= tol:
-                    tail = a
+                    tail, moved = a, True
                 elif dist(head, b) <= tol:
-                    head = a
+                    head, moved = a, False
                 else:
-                    head = b
-                free.discard(at)
+                    head, moved = b, False
+                before, behind = (before - {at}, meeting(tail, dia)) if moved else (meeting(head, dia), behind - {at})
                 chain.append(at)
-            size = [dist(rows[order[j]][:2], rows[order[j]][2:4]) for j in chain]
+            size = [dist(ends[2 * j], ends[2 * j + 1]) for j in chain]
             total = sum(size)
-            out.append((k, [order[j] for j in chain], total, sum(rows[order[j]][4] * n for j, n in zip(chain, size)) / total if total else dia))
-        return _keyed(pdf, keys, out, ["seed", "ids", "length", "dia"])
+            out.append((k, [order[j] for j in chain], total, sum(dias[j] * n for j, n in zip(chain, size)) / total if total else dia))
+        return out
 
-    return _by_key(pieces, keys, "seed {id}, ids array<{id}>, length double, dia double", run)
+    return _by_key(pieces, keys, ["id", "x0", "y0", "x1", "y1", "dia"], "seed {id}, ids array<{id}>, length double, dia double", run)
 
 
 def near_twins(bars: DataFrame, keys: list[str], tol: float = 6.0, rel: float = 0.05) -> DataFrame:
     """(keys, id, kept): a bar goes if both its ends lie within ``tol`` of an earlier kept bar's, either way round, and the
     lengths differ by less than ``rel``. Keys hold kind and diameter; bars (id, x0, y0, z0, x1, y1, z1, length)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: list[tuple]) -> list[tuple]:
         grid, kept, out = _Grid(tol), {}, []
-        for i, r in enumerate(pdf.sort_values("id")[["id", "x0", "y0", "z0", "x1", "y1", "z1", "length"]].itertuples(index=False, name=None)):
-            a, b, n = r[1:4], r[4:7], r[7]
+        for i, (own, *ends, n) in enumerate(rows):
+            a, b = tuple(ends[:3]), tuple(ends[3:])
+            # ends within tol, either way round, leave the middles within tol
+            middle = tuple([(u + v) / 2 for u, v in zip(a, b)])
             twin = any(
-                (dist(a, kept[j][0]) < tol and dist(b, kept[j][1]) < tol or dist(a, kept[j][1]) < tol and dist(b, kept[j][0]) < tol) and kept[j][2] and abs(n - kept[j][2]) / kept[j][2] < rel
-                for j in grid.near(a, b)
+                m and abs(n - m) / m < rel and (dist(a, p) < tol and dist(b, q) < tol or dist(a, q) < tol and dist(b, p) < tol)
+                for p, q, m in map(kept.__getitem__, grid.near(middle))
             )
             if not twin:
                 kept[i] = (a, b, n)
-                grid.put(a, i)
-            out.append((r[0], not twin))
-        return _keyed(pdf, keys, out, ["id", "kept"])
+                grid.put(middle, i)
+            out.append((own, not twin))
+        return out
 
-    return _by_key(bars, keys, "id {id}, kept boolean", run)
+    return _by_key(bars, keys, ["id", "x0", "y0", "z0", "x1", "y1", "z1", "length"], "id {id}, kept boolean", run)
 
 
 #: How far lengths, pitches and gaps may differ, absolutely and relatively; twins; gaps without a pitch; leg tolerances.
@@ -213,42 +232,45 @@ LIKE_LENGTH, LIKE_PITCH, LIKE_GAP, TWIN, OPEN_GAP = (25.0, 0.06), (10.0, 0.2), (
 LEG = (30.0, 0.06)
 
 
-def _within(difference: float, limits: tuple[float, float], of: float) -> bool:
-    return abs(difference) <= max(limits[0], limits[1] * of)
-
-
 class _Chain:
     """Runs that one chain has taken so far."""
 
-    def __init__(self, seed, length: float):
-        self.seed, self.length, self.pitch, self.hi, self.places = seed, length, None, float("-inf"), []
+    __slots__ = ("seed", "length", "reach", "pitch", "low", "hi", "places")
+
+    def __init__(self, seed, length: float, low: float):
+        self.seed, self.length, self.pitch, self.low, self.hi, self.places = seed, length, None, low, float("-inf"), []
+        self.reach = max(LIKE_LENGTH[0], LIKE_LENGTH[1] * length)
 
     def accepts(self, lo: float, length: float, pitch: float | None) -> bool:
-        known = self.pitch if self.pitch is not None else pitch
-        if not _within(length - self.length, LIKE_LENGTH, self.length):
+        if abs(length - self.length) > self.reach:
             return False
-        if self.pitch is not None and pitch is not None and not _within(pitch - self.pitch, LIKE_PITCH, self.pitch):
+        known = self.pitch
+        if known is None:
+            known = pitch
+        elif pitch is not None and abs(pitch - known) > max(LIKE_PITCH[0], LIKE_PITCH[1] * known):
             return False
         gap = abs(lo - self.hi)
         if not known:
             return gap <= OPEN_GAP
-        return _within(gap - max(round(gap / known), 1) * known, LIKE_GAP, known)
+        return abs(gap - max(round(gap / known), 1) * known) <= max(LIKE_GAP[0], LIKE_GAP[1] * known)
 
     def take(self, hi: float, pitch: float | None, places) -> None:
         self.places.extend(places)
         self.hi = max(self.hi, hi)
         if self.pitch is None:
             self.pitch = pitch
-        if self.pitch is None and len(self.bars()) > 1:
-            self.pitch = float(np.diff(self.bars()).min())
+        if self.pitch is None:
+            bars = self.bars()
+            if len(bars) > 1:
+                self.pitch = min(b - a for a, b in zip(bars, bars[1:]))
 
-    def bars(self) -> np.ndarray:
+    def bars(self) -> list[float]:
         """Places without those at most TWIN beyond the last kept one."""
-        kept = []
-        for at in np.sort(np.asarray(self.places, float)):
+        kept: list[float] = []
+        for at in sorted(self.places):
             if not kept or at > kept[-1] + TWIN:
                 kept.append(at)
-        return np.array(kept)
+        return kept
 
 
 def bridge_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -260,25 +282,21 @@ def bridge_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
     """
     cell = 100.0
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: list[tuple]) -> list[tuple]:
         chains: list[_Chain] = []
         by_length: dict[int, list[_Chain]] = defaultdict(list)
-        low: dict[int, float] = {}
-        for r in pdf.sort_values(["lo", "id"]).itertuples(index=False):
-            pitch = None if pd.isna(r.pitch) else float(r.pitch)
-            chain = next((c for c in by_length[floor(r.length / cell)] if c.accepts(r.lo, r.length, pitch)), None)
+        for own, lo, hi, length, pitch, places in rows:
+            chain = next((c for c in by_length[floor(length / cell)] if c.accepts(lo, length, pitch)), None)
             if chain is None:
-                chain = _Chain(r.id, r.length)
-                reach = max(LIKE_LENGTH[0], LIKE_LENGTH[1] * r.length)
-                for i in range(floor((r.length - reach) / cell), floor((r.length + reach) / cell) + 1):
+                chain = _Chain(own, length, lo)
+                for i in range(floor((length - chain.reach) / cell), floor((length + chain.reach) / cell) + 1):
                     by_length[i].append(chain)
-                low[len(chains)] = r.lo
                 chains.append(chain)
-            chain.take(r.hi, pitch, r.places)
-        rows = [(c.seed, len(c.bars()), round(low[i], 1), round(c.hi, 1), c.pitch) for i, c in enumerate(chains)]
-        return _keyed(pdf, keys, rows, ["seed", "n", "lo", "hi", "pitch"])
+            chain.take(hi, pitch, places)
+        return [(c.seed, len(c.bars()), round(c.low, 1), round(c.hi, 1), c.pitch) for c in chains]
 
-    return _by_key(runs, keys, "seed {id}, n long, lo double, hi double, pitch double", run)
+    known = runs.select(*keys, "id", *[F.col(c).cast("double").alias(c) for c in ("lo", "hi", "length")], F.nanvl(F.col("pitch").cast("double"), F.lit(None)).alias("pitch"), F.col("places").cast("array<double>").alias("places"))
+    return _by_key(known, keys, ["id", "lo", "hi", "length", "pitch", "places"], "seed {id}, n long, lo double, hi double, pitch double", run, ["lo", "id"])
 
 
 def elevation_match(marks: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
