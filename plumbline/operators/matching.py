@@ -1,8 +1,8 @@
 """Capacity-limited greedy matching. Eligibility needs equal keys and lengths within a tolerance, so keys, and parts of a
 key over whose gaps no tolerance reaches, split the work without loss.
 
-Sequential choices run inside a part by ``applyInPandas`` over rows sorted there; sums along an order
-are windows.
+Sequential choices run inside a part, over rows that Spark has sorted and without a frame for each part; sums along an
+order are windows.
 """
 
 from __future__ import annotations
@@ -14,18 +14,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from .dealing import in_groups
 
 
-def _match(demand: DataFrame, pool: DataFrame, keys: list[str], schema: str, fn) -> DataFrame:
-    """Demand (keys, mark, qty, target) against pool (keys, item, length), key by key."""
-    ship(demand.sparkSession)
-    return demand.groupBy(*keys).cogroup(pool.groupBy(*keys)).applyInPandas(lambda d, p: fn(d, p), schema)
+def _match(demand: DataFrame, pool: DataFrame, keys: list[str], by: list[str], order: list[Column], ddl: str, fn) -> DataFrame:
+    """keys and the rows that ``fn`` gives for each ``by``, which begins with the keys: its marks as (mark, qty, target), in
+    ``order`` (nulls last), and its lengths as (length, tier), rising.
 
+    demand: keys, mark, qty, target; pool: keys, length and, of several pools, tier. Null lengths are of no use.
+    """
+    kinds, n, m = dict(demand.dtypes), len(keys), len(by)
+    at = [f"__o{i}" for i in range(len(order))]
+    marks = demand.select(*by, F.lit(0).alias("__side"), "mark", F.col("qty").cast("long").alias("qty"), F.col("target").cast("double").alias("__x"), *[c.alias(a) for c, a in zip(order, at)])
+    tier = F.col("tier") if "tier" in pool.columns else F.lit(0)
+    lengths = pool.filter("length is not null").select(*by, F.lit(1).alias("__side"), tier.cast("long").alias("qty"), F.col("length").cast("double").alias("__x"))
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        d = [r[m + 1 : m + 4] for r in rows if not r[m]]
+        if not d:
+            return []
+        head = rows[0][:n]
+        return [(*head, *r) for r in fn(d, [(r[m + 3], r[m + 2]) for r in rows if r[m]])]
+
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], ddl.format(**kinds)])
+    return in_groups(marks.unionByName(lengths, allowMissingColumns=True), by, ["__side", *[F.asc_nulls_last(a) for a in at], "__x"], run, schema)
 
-def _match_parts(demand: DataFrame, pool: DataFrame, keys: list[str], floor: float, rel: float, schema: str, fn) -> DataFrame:
+
+def _match_parts(demand: DataFrame, pool: DataFrame, keys: list[str], floor: float, rel: float, order: list[Column], ddl: str, fn) -> DataFrame:
     """The same part by part (see reach_parts), where no mark takes a length beyond max(floor, rel * target)."""
     marks, lengths = reach_parts(demand, pool, keys, F.greatest(F.lit(float(floor)), F.lit(float(rel)) * F.col("target")))
-    return _match(marks, lengths, [*keys, "part"], schema, fn)
+    return _match(marks, lengths, keys, [*keys, "part"], order, ddl, fn)
 
 
 def reach_parts(demand: DataFrame, pool: DataFrame, keys: list[str], tol: Column) -> tuple[DataFrame, DataFrame]:
@@ -53,60 +71,57 @@ def first_fit(demand: DataFrame, pool: DataFrame, keys: list[str], floor: float
 
     ``order`` names the column by which marks come (their place in a file); without it they come by mark.
     """
-    kinds = dict(demand.dtypes)
+    def run(d: list[tuple], p: list[tuple]) -> list[tuple]:
+        pool_, rows = _Pool([x for x, _ in p]), []
+        for mark, qty, target in d:
+            tol = max(floor, rel * (target or 0.0))
+            found = pool_.first_within(target - tol, target + tol, qty or 0) if target is not None else 0
+            rows.append((mark, qty, target, found, _status(found, qty)))
+        return rows
+
+    return _match_parts(demand, pool.select(*keys, "length"), keys, floor, rel, [F.col(order or "mark")], _FOUND, run)
+
 
-    def run(d: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        pool_, rows = _Pool(p["length"].dropna() if len(p) else []), []
-        for r in d.sort_values([order] if order else ["mark"], kind="stable").itertuples(index=False):
-            tol = max(floor, rel * r.target)
-            found = pool_.first_within(r.target - tol, r.target + tol, r.qty)
-            rows.append((*[getattr(r, k) for k in keys], r.mark, r.qty, r.target, found, "OK" if found >= r.qty else "SHORT" if found else "DEAD_END"))
-        return pd.DataFrame(rows, columns=[*keys, "mark", "qty", "target", "found", "status"])
+#: Columns of what marks found.
+_FOUND = "mark {mark}, qty long, target double, found long, status string"
 
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"mark {kinds['mark']}", "qty long", "target double", "found long", "status string"])
-    return _match_parts(demand, pool.select(*keys, "length"), keys, floor, rel, schema, run)
+
+def _status(found: int, qty: int | None) -> str:
+    return "OK" if qty is not None and found >= qty else "SHORT" if found else "DEAD_END"
 
 
 def greedy_nearest(demand: DataFrame, pool: DataFrame, keys: list[str], floor: float = 30.0, rel: float = 0.08, descending: bool = False) -> DataFrame:
     """Like first_fit, each unit taking the nearest unused length; demands by target (M4 rising, M2 falling)."""
-    kinds = dict(demand.dtypes)
-
-    def run(d: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        pool_, rows = _Pool(p["length"].dropna() if len(p) else []), []
-        for r in d.sort_values(["target", "mark"], ascending=[not descending, True], kind="stable").itertuples(index=False):
-            found = pool_.nearest_within(r.target, max(floor, rel * r.target), r.qty)
-            rows.append((*[getattr(r, k) for k in keys], r.mark, r.qty, r.target, found, "OK" if found >= r.qty else "SHORT" if found else "DEAD_END"))
-        return pd.DataFrame(rows, columns=[*keys, "mark", "qty", "target", "found", "status"])
+    def run(d: list[tuple], p: list[tuple]) -> list[tuple]:
+        pool_, rows = _Pool([x for x, _ in p]), []
+        for mark, qty, target in d:
+            found = pool_.nearest_within(target, max(floor, rel * target), qty or 0) if target is not None else 0
+            rows.append((mark, qty, target, found, _status(found, qty)))
+        return rows
 
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"mark {kinds['mark']}", "qty long", "target double", "found long", "status string"])
-    return _match_parts(demand, pool.select(*keys, "length"), keys, floor, rel, schema, run)
+    target = F.col("target").cast("double")
+    return _match_parts(demand, pool.select(*keys, "length"), keys, floor, rel, [-target if descending else target, F.col("mark")], _FOUND, run)
 
 
 def best_fit_bars(demand: DataFrame, pool: DataFrame, keys: list[str]) -> DataFrame:
     """keys, mark, qty, filled: bars by length falling take the row of best ratio, first as one unit (ratio 0.75 to 1.30),
     then as two (1.75 to 2.45); a row takes up to its capacity."""
-    kinds = dict(demand.dtypes)
-
-    def run(d: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        marks = d.sort_values(["mark", "target"], kind="stable").reset_index(drop=True)
-        left = [int(q) for q in marks["qty"]]
-        bars = sorted(p["length"], reverse=True) if len(p) else []
+    def run(d: list[tuple], p: list[tuple]) -> list[tuple]:
+        left = [qty or 0 for _, qty, _ in d]
+        bars = [x for x, _ in reversed(p)]
         taken = [False] * len(bars)
         for units, low, high in ((1, 0.75, 1.30), (2, 1.75, 2.45)):
             for i, bar in enumerate(bars):
                 if taken[i]:
                     continue
-                fits = [(abs(bar / t - units), j) for j, t in enumerate(marks["target"]) if left[j] >= units and t > 0 and low <= bar / t <= high]
+                fits = [(abs(bar / t - units), j) for j, (_, _, t) in enumerate(d) if left[j] >= units and t is not None and t > 0 and low <= bar / t <= high]
                 if fits:
                     _, j = min(fits)
                     left[j] -= units
                     taken[i] = True
-        out = marks[[*keys, "mark", "qty"]].copy()
-        out["filled"] = [q - x for q, x in zip(marks["qty"], left)]
-        return out
+        return [(mark, qty, None if qty is None else qty - x) for (mark, qty, _), x in zip(d, left)]
 
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"mark {kinds['mark']}", "qty long", "filled long"])
-    return _match(demand, pool, keys, schema, run)
+    return _match(demand, pool, keys, keys, [F.col("mark"), F.col("target")], "mark {mark}, qty long, filled long", run)
 
 
 def scored_assign(candidates: DataFrame, key: str, a: str, b: str, score: str) -> DataFrame:
@@ -202,8 +217,8 @@ def _pools(pools: list[DataFrame], keys: list[str]) -> DataFrame:
     return out
 
 
-def _lengths(p: pd.DataFrame, tier: int) -> list[float]:
-    return p.loc[p["tier"] == tier, "length"].dropna().tolist() if len(p) else []
+def _lengths(p: list[tuple], tier: int) -> list[float]:
+    return [x for x, t in p if t == tier]
 
 
 def tiered(demand: DataFrame, pools: list[DataFrame], keys: list[str], floor: float = 30.0, rel: float = 0.08) -> DataFrame:
@@ -213,23 +228,24 @@ def tiered(demand: DataFrame, pools: list[DataFrame], keys: list[str], floor: fl
     (see ``excess``), then from the permissive pool by nearest. Pools are shared: a length is used once. OK: the current pool suffices;
     RECOVERABLE: all three do; SHORT: something was found; else DEAD_END. Missing pools are empty.
     """
-    kinds = dict(demand.dtypes)
-
-    def run(d: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        current = sorted(_lengths(p, 0))
+    def run(d: list[tuple], p: list[tuple]) -> list[tuple]:
+        current = _lengths(p, 0)
         first, second, third = _Pool(current), _Pool(excess(_lengths(p, 1), current)), _Pool(_lengths(p, 2))
         rows = []
-        for r in d.sort_values(["target", "mark"], kind="stable").itertuples(index=False):
-            tol = max(floor, rel * r.target)
-            a = first.first_within(r.target - tol, r.target + tol, r.qty)
-            b = second.nearest_within(r.target, tol, r.qty - a)
-            c = third.nearest_within(r.target, tol, r.qty - a - b)
-            verdict = "OK" if a >= r.qty else "RECOVERABLE" if a + b + c >= r.qty else "SHORT" if a + b + c else "DEAD_END"
-            rows.append((*[getattr(r, k) for k in keys], r.mark, r.qty, r.target, a, b, c, verdict))
-        return pd.DataFrame(rows, columns=[*keys, "mark", "qty", "target", "found_1", "found_2", "found_3", "verdict"])
-
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"mark {kinds['mark']}", "qty long, target double, found_1 long, found_2 long, found_3 long, verdict string"])
-    return _match(demand, _pools(pools, keys), keys, schema, run)
+        for mark, qty, target in d:
+            a = b = c = 0
+            if qty is not None and target is not None:
+                tol = max(floor, rel * target)
+                a = first.first_within(target - tol, target + tol, qty)
+                b = second.nearest_within(target, tol, qty - a)
+                c = third.nearest_within(target, tol, qty - a - b)
+            asked = float("inf") if qty is None else qty
+            verdict = "OK" if a >= asked else "RECOVERABLE" if a + b + c >= asked else "SHORT" if a + b + c else "DEAD_END"
+            rows.append((mark, qty, target, a, b, c, verdict))
+        return rows
+
+    ddl = "mark {mark}, qty long, target double, found_1 long, found_2 long, found_3 long, verdict string"
+    return _match(demand, _pools(pools, keys), keys, keys, [F.col("target"), F.col("mark")], ddl, run)
 
 
 def evidence_sweep(demand: DataFrame, pools: list[DataFrame], keys: list[str], floor: float = 30.0, rel: float = 0.08) -> DataFrame:
@@ -238,23 +254,20 @@ def evidence_sweep(demand: DataFrame, pools: list[DataFrame], keys: list[str], f
     The current pool goes by first fit. Of the raw pool a mark claims *all* unused lengths within tolerance, also one that is
     not short. POSSIBLE_BUG: more raw lengths than found ones; EVIDENCE_USED: some; DEAD_END: none. Marks that ask for nothing are left out.
     """
-    kinds = dict(demand.dtypes)
-
-    def run(d: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+    def run(d: list[tuple], p: list[tuple]) -> list[tuple]:
         current, raw, rows = _Pool(_lengths(p, 0)), _Pool(_lengths(p, 1)), []
-        for r in d.sort_values(["target", "mark"], kind="stable").itertuples(index=False):
-            if not (r.qty > 0 and r.target > 0):
+        for mark, qty, target in d:
+            if not ((qty or 0) > 0 and (target or 0.0) > 0):
                 continue
-            tol = max(floor, rel * r.target)
-            found = current.first_within(r.target - tol, r.target + tol, r.qty)
-            more = raw.first_within(r.target - tol, r.target + tol, float("inf"))
-            if found < r.qty:
-                verdict = "DEAD_END" if not more else "POSSIBLE_BUG" if more > found else "EVIDENCE_USED"
-                rows.append((*[getattr(r, k) for k in keys], r.mark, r.qty, r.target, found, more, verdict))
-        return pd.DataFrame(rows, columns=[*keys, "mark", "qty", "target", "found", "unclaimed", "verdict"])
-
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"mark {kinds['mark']}", "qty long, target double, found long, unclaimed long, verdict string"])
-    return _match_parts(demand, _pools(pools, keys), keys, floor, rel, schema, run)
+            tol = max(floor, rel * target)
+            found = current.first_within(target - tol, target + tol, qty)
+            more = raw.first_within(target - tol, target + tol, float("inf"))
+            if found < qty:
+                rows.append((mark, qty, target, found, more, "DEAD_END" if not more else "POSSIBLE_BUG" if more > found else "EVIDENCE_USED"))
+        return rows
+
+    ddl = "mark {mark}, qty long, target double, found long, unclaimed long, verdict string"
+    return _match_parts(demand, _pools(pools, keys), keys, floor, rel, [F.col("target"), F.col("mark")], ddl, run)
 
 
 def sequential_slices(demand: DataFrame, keys: list[str], order: list[str], qty: str) -> DataFrame:
