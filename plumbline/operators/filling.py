@@ -6,7 +6,8 @@ task of its own.
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,33 +120,41 @@ def fill_rows(rows: DataFrame, bars: DataFrame, keys: list[str]) -> DataFrame:
     r = rows.select(*keys, "sno", F.col("dia").alias("printed"), F.when(F.col("dia") == 15, 16).otherwise(F.col("dia")).cast("long").alias("dia"), want.alias("want"), F.col("nos").cast("long").alias("nos"), F.col("length").cast("double").alias("length"))
     b = bars.dropna(subset=["length", "dia"]).select(*keys, "bar", F.col("dia").cast("long").alias("dia"), F.col("length").cast("double").alias("length"), F.coalesce("orient", F.lit("Other")).alias("orient"))
     kinds = dict(r.dtypes)
-
-    def run(d: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values("sno").reset_index(drop=True)
-        left, units, found = d["nos"].fillna(0).astype(int).tolist(), [0] * len(d), [0.0] * len(d)
-        open_, wants = d["length"].tolist(), d["want"].tolist()
-        free = p.sort_values(["length", "bar"], ascending=[False, True])[["length", "orient"]].to_records(index=False).tolist() if len(p) else []
+    n = len(keys) + 2
+
+    def run(group: list[tuple]) -> list[tuple]:
+        d = [g for g in group if not g[n - 1]]
+        if not d:
+            return []
+        left, units, found = [g[n + 3] or 0 for g in d], [0] * len(d), [0.0] * len(d)
+        wants = [g[n + 2] for g in d]
+        free = [(g[n + 4], g[n + 6]) for g in group[len(d) :]]
         # rows by length: a bar looks only at those its ratios reach
-        order = sorted((x, i) for i, x in enumerate(open_) if x and x > 0)
-        lengths = pd.Index([x for x, _ in order])
-        for n, low, high in UNITS:
+        order = sorted((g[n + 4], i) for i, g in enumerate(d) if g[n + 4] and g[n + 4] > 0 and left[i] > 0)
+        lengths = [x for x, _ in order]
+        for k, low, high in UNITS:
             rest = []
             for length, way in free:
-                near = range(lengths.searchsorted(length / high * (1 - 1e-9)), lengths.searchsorted(length / low * (1 + 1e-9), side="right"))
-                fits = [(abs(length / (n * order[j][0]) - 1), order[j][1]) for j in near if left[order[j][1]] >= n and low <= length / order[j][0] <= high and (wants[order[j][1]] in (None, way) or way == "Other")]
-                if fits:
-                    i = min(fits)[1]
-                    left[i] -= n
-                    units[i] += n
+                best = None
+                for x, i in order[bisect_left(lengths, length / high * (1 - 1e-9)) : bisect_right(lengths, length / low * (1 + 1e-9))]:
+                    if left[i] >= k and low <= length / x <= high and (wants[i] in (None, way) or way == "Other"):
+                        off = abs(length / (k * x) - 1)
+                        if best is None or (off, i) < best:
+                            best = (off, i)
+                if best:
+                    i = best[1]
+                    left[i] -= k
+                    units[i] += k
                     found[i] += length
                 else:
                     rest.append((length, way))
             free = rest
-        return pd.DataFrame({**{k: d[k] for k in keys}, "sno": d["sno"], "dia": d["printed"], "nos": d["nos"], "units": units, "found": found})
+        return [(*g[: n - 2], g[n + 1], g[n], g[n + 3], u, f) for g, u, f in zip(d, units, found)]
 
     ddl = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"sno {kinds['sno']}, dia {kinds['printed']}, nos long, units long, found double"])
-    by = [*keys, "dia"]
-    return r.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(lambda d, p: run(d, p), ddl)
+    one = r.select(*keys, "dia", F.lit(0).alias("side"), "printed", "sno", "want", "nos", "length")
+    both = one.unionByName(b.withColumn("side", F.lit(1)), allowMissingColumns=True).select(*one.columns, "bar", "orient")
+    return in_groups(both, [*keys, "dia"], ["side", F.asc_nulls_last("sno"), F.desc("length"), "bar"], run, ddl)
 
 
 def with_missing(verdicts: DataFrame, dia: str) -> DataFrame:
