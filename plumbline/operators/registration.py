@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from math import dist
+from bisect import bisect_left
+from math import dist, inf
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from .dealing import in_groups
 from .joins import band_join
 
 
@@ -56,17 +58,49 @@ def cut_stations(stubs: DataFrame, numbers: DataFrame, sheet: str, reach: float
     (to 0.1) are a cut line if there are two at least. Its number is the nearest: distance to the station, plus 0.15
     of the distance to the nearer stub along the line; beyond ``reach`` it has none. A number labels one cut, the first
     by axis and station. Ties go to the smaller number. Nulls are left out.
+
+    A cut looks from its station outwards, so its work does not grow with the numbers farther away than the best.
     """
     lines = stubs.dropna(subset=["station", "other"]).groupBy(sheet, "axis", F.round("station", 1).alias("station")).agg(F.collect_set("other").alias("others"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    n = numbers.dropna(subset=["number", "x", "y"]).select(sheet, "number", "x", "y")
-    across, along = (F.when(F.col("axis") == "Z", F.col(a)).otherwise(F.col(b)) for a, b in (("y", "x"), ("x", "y")))
-    # a number lies within reach of its station: bands keep a sheet's numbers from meeting all its cuts
-    sides = n.select(sheet, "number", "x", "y", F.explode(F.array(F.struct(F.lit("Z").alias("axis"), F.col("y").alias("v")), F.struct(F.lit("X").alias("axis"), F.col("x").alias("v")))).alias("s")).select(sheet, "number", "x", "y", "s.axis", "s.v")
-    met = band_join(lines, sides, [sheet, "axis"], "station", "v", -reach, reach)
-    d = F.abs(across - F.col("station")) + 0.15 * F.array_min(F.transform("others", lambda o: F.abs(along - o)))
-    best = met.groupBy(sheet, "axis", "station").agg(F.min(F.struct(d.alias("d"), "number")).alias("b")).filter(F.col("b.d") <= reach)
-    first = F.row_number().over(Window.partitionBy(sheet, "b.number").orderBy("axis", "station"))  # a number's few cuts
-    return best.withColumn("r", first).filter("r = 1").select(sheet, F.col("b.number").alias("number"), "axis", "station", F.col("b.d").alias("distance"))
+    # a number lies within reach of its station: bands of four reaches, in up to two of which a number stands, part a sheet
+    n, wide = numbers.dropna(subset=[sheet, "number", "x", "y"]), 4 * reach
+    band = lambda c: F.floor(c / wide).cast("long")
+    sides = n.select(sheet, "number", F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(v).cast("double").alias("at"), F.col(u).cast("double").alias("along")) for a, v, u in (("Z", "y", "x"), ("X", "x", "y"))])).alias("s")).select(sheet, "s.axis", "number", "s.at", "s.along")
+    held = sides.withColumn("band", F.explode(F.sequence(band(F.col("at") - reach), band(F.col("at") + reach)))).withColumn("side", F.lit(0))
+    asked = lines.filter(F.col(sheet).isNotNull()).select(sheet, "axis", F.col("station").cast("double").alias("at"), F.array_sort(F.col("others").cast("array<double>")).alias("others"), band(F.col("station")).alias("band"), F.lit(1).alias("side"))
+    both = held.unionByName(asked, allowMissingColumns=True).select(sheet, "axis", "band", "side", "at", "along", "number", "others")
+
+    def nearest(rows: list[tuple]) -> list[tuple]:
+        known = [r[4:7] for r in rows if not r[3]]
+        at, out = [v for v, _, _ in known], []
+        for key, axis, _, side, station, _, _, others in rows:
+            if not side:
+                continue
+            i = bisect_left(at, station)
+            j, best = i - 1, (reach, None)
+            while True:
+                # from the station outwards, until the distance across alone is more than the best
+                low, high = station - at[j] if j >= 0 else inf, at[i] - station if i < len(at) else inf
+                if min(low, high) > best[0]:
+                    break
+                if low <= high:
+                    v, along, number = known[j]
+                    j -= 1
+                else:
+                    v, along, number = known[i]
+                    i += 1
+                k = bisect_left(others, along)
+                d = abs(v - station) + 0.15 * min(abs(along - o) for o in others[max(k - 1, 0) : k + 1])
+                if d <= reach and (best[1] is None or (d, number) < best):
+                    best = (d, number)
+            if best[1] is not None:
+                out.append((key, axis, station, *best))
+        return out
+
+    kinds = dict(n.dtypes) | dict(lines.dtypes)
+    best = in_groups(both, [sheet, "axis", "band"], ["side", "at"], nearest, f"`{sheet}` {kinds[sheet]}, axis string, station double, d double, number {kinds['number']}")
+    first = F.row_number().over(Window.partitionBy(sheet, "number").orderBy("axis", "station"))  # a number's few cuts
+    return best.withColumn("r", first).filter("r = 1").select(sheet, "number", "axis", "station", F.col("d").alias("distance"))
 
 
 def thickness_flips(points: DataFrame, sheet: str) -> DataFrame:
