@@ -6,9 +6,17 @@ of its value, the join is on key and bucket, and the exact predicate filters.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import floor
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dealing import in_groups
+
+#: Pairs that a worker holds at once.
+PAIRS = 1 << 20
 #: Cells are no smaller than this, where a gap or radius is 0.
 LEAST_CELL = 1e-6
 
@@ -177,14 +185,44 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], lo: str, hi
 def edge_votes(edges: DataFrame, low: float = 5.0, high: float = 34.0) -> DataFrame:
     """Parallel edges (grp, edge, off, lo, hi) paired by a vote: each pair votes its overlap for its offset gap, rounded
     to whole units, on both edges; an edge keeps its heaviest (weights to 6 places, so that the order of summing breaks
-    no tie; ties to the smaller gap); pairs stay where both edges agree."""
-    a = edges.select("grp", F.col("edge").alias("e1"), F.col("off").alias("o1"), F.col("lo").alias("l1"), F.col("hi").alias("h1"))
-    b = edges.select("grp", F.col("edge").alias("e2"), F.col("off").alias("o2"), F.col("lo").alias("l2"), F.col("hi").alias("h2"))
-    pairs = band_join(a, b, ["grp"], "o1", "o2", low, high).withColumn("ov", F.least("h1", "h2") - F.greatest("l1", "l2")).filter("ov > 0.2")
-    pairs = pairs.withColumn("dia", F.floor(F.col("o2") - F.col("o1") + 0.5).cast("long"))
-    votes = pairs.select("grp", F.explode(F.array("e1", "e2")).alias("edge"), "dia", "ov")
-    total = votes.groupBy("grp", "edge", "dia").agg(F.sum("ov").alias("w"))
-    won = total.withColumn("r", F.row_number().over(Window.partitionBy("grp", "edge").orderBy(F.round("w", 6).desc(), "dia"))).filter("r = 1").select("grp", "edge", "dia")
-    one = won.select("grp", F.col("edge").alias("e1"), "dia")
-    two = won.select("grp", F.col("edge").alias("e2"), "dia")
-    return pairs.join(one, ["grp", "e1", "dia"]).join(two, ["grp", "e2", "dia"]).select("grp", "e1", "e2", "dia", "ov")
+    no tie; ties to the smaller gap); pairs stay where both edges agree.
+
+    A group's edges are sorted once and its pairs made in blocks, first to count votes, then to give out those that
+    stay: edges are shuffled, pairs are not. Edges without a group, number or offset take no part.
+    """
+    kinds = dict(edges.dtypes)
+    least, gaps = floor(low + 0.5), floor(high + 0.5) - floor(low + 0.5) + 1
+
+    def pairs(off: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple]:
+        """(first, second, gap from the least, overlap) of pairs, a block of edges at a time."""
+        slack = 1e-9 * (abs(low) + abs(high) + np.abs(off))
+        begin, end = np.searchsorted(off, off + low - slack), np.searchsorted(off, off + high + slack, side="right")
+        upto = np.concatenate([[0], np.cumsum(end - begin)])
+        at = 0
+        while at < len(off):
+            stop = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS, side="right")) - 1)
+            n = end[at:stop] - begin[at:stop]
+            one = np.repeat(np.arange(at, stop), n)
+            two = np.arange(len(one)) + np.repeat(begin[at:stop] - (upto[at:stop] - upto[at]), n)
+            gap, over = off[two] - off[one], np.fmin(hi[one], hi[two]) - np.fmax(lo[one], lo[two])
+            kept = (gap >= low) & (gap <= high) & (over > 0.2)
+            yield one[kept], two[kept], np.floor(gap[kept] + 0.5).astype(np.int64) - least, over[kept]
+            at = stop
+
+    def run(rows: list[tuple]) -> Iterator[tuple]:
+        group, names, *sides = zip(*rows)
+        off, lo, hi = (np.array(c, float) for c in sides)
+        number = {e: i for i, e in enumerate(dict.fromkeys(names))}
+        edge = np.array([number[e] for e in names])
+        votes = np.zeros(len(number) * gaps)
+        for one, two, gap, over in pairs(off, lo, hi):
+            for side in (one, two):
+                np.add.at(votes, edge[side] * gaps + gap, over)
+        won = votes.reshape(-1, gaps).round(6).argmax(axis=1)
+        for one, two, gap, over in pairs(off, lo, hi):
+            agreed = (won[edge[one]] == gap) & (won[edge[two]] == gap)
+            for i, j, g, o in zip(one[agreed].tolist(), two[agreed].tolist(), gap[agreed].tolist(), over[agreed].tolist()):
+                yield group[0], names[i], names[j], g + least, o
+
+    known = edges.dropna(subset=["grp", "edge", "off"]).select("grp", "edge", *[F.col(c).cast("double").alias(c) for c in ("off", "lo", "hi")])
+    return in_groups(known, ["grp"], ["off"], run, f"grp {kinds['grp']}, e1 {kinds['edge']}, e2 {kinds['edge']}, dia long, ov double")
