@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import shared_folder, ship, stored
 from .clustering import components, single_link
 from .joins import band_join, boxes_over_points, near_values
 
@@ -142,17 +143,23 @@ def dimension_evidence(absent: DataFrame, signals: DataFrame, key: str, low: flo
 def cross_view_clusters(circles: DataFrame, key: str, tol: float) -> DataFrame:
     """id, component of circles (key, id, view, dia, x, y) linked across different views of a key: same diameter, both axes within ``tol``.
 
-    Only components that span two views are given. Links are made by cells of ``tol``, each circle meeting nine.
+    Only components that span two views are given. Links are made by cells of ``tol``, each circle meeting nine. Ids are unique.
+    Circles of one view at one place have the same links, so they are one: copies make no pairs. Nulls are linked with nothing.
     """
     cell = lambda c: F.floor(F.col(c) / tol).cast("long")
-    a = circles.withColumn("cx", F.explode(F.array(*[cell("x") + i for i in (-1, 0, 1)]))).withColumn("cy", F.explode(F.array(*[cell("y") + i for i in (-1, 0, 1)])))
-    b = circles.select(F.col(key).alias("__k"), F.col("dia").alias("__d"), F.col("id").alias("b"), F.col("view").alias("__v"), F.col("x").alias("__x"), F.col("y").alias("__y"), cell("x").alias("__cx"), cell("y").alias("__cy"))
+    place = [key, "dia", "view", "x", "y"]
+    shared_folder(ship(circles.sparkSession))
+    known = circles.select("id", *place).dropna()
+    once = stored(known.groupBy(*place).agg(F.min("id").alias("id")), "circles")
+    a = once.withColumn("cx", F.explode(F.array(*[cell("x") + i for i in (-1, 0, 1)]))).withColumn("cy", F.explode(F.array(*[cell("y") + i for i in (-1, 0, 1)])))
+    b = once.select(F.col(key).alias("__k"), F.col("dia").alias("__d"), F.col("id").alias("b"), F.col("view").alias("__v"), F.col("x").alias("__x"), F.col("y").alias("__y"), cell("x").alias("__cx"), cell("y").alias("__cy"))
     on = (F.col(key) == F.col("__k")) & (F.col("dia") == F.col("__d")) & (F.col("cx") == F.col("__cx")) & (F.col("cy") == F.col("__cy")) & (F.col("id") < F.col("b"))
     edges = a.join(b, on).filter((F.col("view") != F.col("__v")) & (F.abs(F.col("x") - F.col("__x")) <= tol) & (F.abs(F.col("y") - F.col("__y")) <= tol)).select(F.col("id").alias("a"), "b")
-    comp = components(circles.select(F.col("id").alias("node")), edges)
-    named = circles.select("id", "view").join(comp, F.col("id") == F.col("node"))
+    comp = components(once.select(F.col("id").alias("node")), edges)
+    named = once.join(comp, F.col("id") == F.col("node"))
     wide = named.groupBy("component").agg(F.countDistinct("view").alias("views")).filter("views >= 2")
-    return named.join(wide, "component").select("id", "component", "views")
+    linked = named.join(wide, "component").select(*place, "component", "views")
+    return known.join(linked, place).select("id", "component", "views")
 
 
 def first_containing_view(texts: DataFrame, views: DataFrame, key: str, margin: float) -> DataFrame:
