@@ -160,9 +160,8 @@ HEADERS = [
 
 def column_head(text: Column) -> Column:
     """The canonical name of a table's column header: letters a to h are segments; an unknown one stays in lower case."""
-    t = F.lower(squeeze(text))
-    named = F.array(*[F.when(t.rlike(pattern), F.lit(name)) for pattern, name in HEADERS], F.when(t.rlike("^[a-h]$"), F.upper(t)), t)
-    return F.filter(named, lambda x: x.isNotNull())[0]
+    named = lambda t: F.coalesce(*[F.when(t.rlike(pattern), F.lit(name)) for pattern, name in HEADERS], F.when(t.rlike("^[a-h]$"), F.upper(t)), t)
+    return F.transform(F.array(F.lower(squeeze(text))), named)[0]  # squeezed once
 
 
 #: Names of anchor blocks. Capacity (with _ for the point), embedded length, id and view of a spread

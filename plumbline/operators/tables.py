@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import nextafter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -18,10 +19,18 @@ REVISION_LABELS = ["Rev", "Date", "Description", "Chkd", "Appd."]
 DATA_CELL = r"^\d+(\.\d+)?\s*(mm|kg)$"
 
 
+def _reading(sheet: str) -> WindowSpec:
+    """The cells of a sheet from the top, then from the left; steps that read in this order share one sort."""
+    return Window.partitionBy(sheet).orderBy(F.desc("y"), "x", "txt")
+
+
 def without_revisions(cells: DataFrame, sheet: str, pad: float = 5.0) -> DataFrame:
-    """Cells (sheet, y, x, txt) less those in the x range of a sheet's revision labels, whatever their height."""
-    span = cells.filter(F.trim("txt").isin(REVISION_LABELS)).groupBy(F.col(sheet).alias("__k")).agg((F.min("x") - pad).alias("__lo"), (F.max("x") + pad).alias("__hi"))
-    return cells.join(span, (F.col(sheet) == F.col("__k")) & F.col("x").between(F.col("__lo"), F.col("__hi")), "left_anti")
+    """Cells (sheet, y, x, txt) less those in the x range of a sheet's revision labels, whatever their height; cells of no sheet (null) stay."""
+    whole = _reading(sheet).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    label = F.when(F.col(sheet).isNotNull() & F.trim("txt").isin(REVISION_LABELS), F.col("x"))
+    span = cells.withColumns({"__lo": F.min(label).over(whole), "__hi": F.max(label).over(whole)})
+    within = F.col("x").between(F.col("__lo") - pad, F.col("__hi") + pad)
+    return span.filter(~F.coalesce(within, F.lit(False))).drop("__lo", "__hi")
 
 
 def segments(cells: DataFrame, sheet: str) -> DataFrame:
@@ -30,13 +39,19 @@ def segments(cells: DataFrame, sheet: str) -> DataFrame:
     A summary keeps the panel of the table before it; what stands before any title or under a revision title goes.
     """
     kind = F.when(F.col("txt").rlike(TABLE_TITLE), "table").when(F.col("txt").contains(SUMMARY_TITLE), "summary").when(F.col("txt").contains(REVISION_TITLE), "revision")
-    order = Window.partitionBy(sheet).orderBy(F.desc("y"), "x", "txt")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    titled = cells.withColumn("__t", kind).withColumn("block", F.sum(F.when(F.col("__t").isNotNull(), 1).otherwise(0)).over(upto))
-    panel = F.when(F.col("__t") == "table", F.regexp_extract("txt", TABLE_TITLE, 1))
-    named = titled.withColumn("kind", F.last("__t", True).over(upto)).withColumn("panel", F.last(panel, True).over(upto))
-    named = named.withColumn("sub", F.last(F.when(F.col("__t") == "table", F.regexp_extract("txt", TABLE_TITLE, 2)), True).over(upto))
-    return named.filter("__t is null and kind in ('table', 'summary')").withColumn("sub", F.when(F.col("kind") == "table", F.col("sub"))).drop("__t")
+    upto = _reading(sheet).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    titled = cells.withColumn("__t", kind)
+    table = F.when(F.col("__t") == "table", F.struct(*[F.regexp_extract("txt", TABLE_TITLE, i).alias(c) for i, c in ((1, "panel"), (2, "sub"))]))
+    running = {"block": F.count("__t").over(upto), "kind": F.last("__t", True).over(upto), "__of": F.last("__table", True).over(upto)}
+    named = titled.withColumn("__table", table).withColumns(running).filter("__t is null and kind in ('table', 'summary')")
+    return named.withColumns({"panel": F.col("__of.panel"), "sub": F.when(F.col("kind") == "table", F.col("__of.sub"))}).drop("__t", "__table", "__of")
+
+
+def _lines(cells: DataFrame, sheet: str, kind: str, row_tol: float) -> DataFrame:
+    """sheet, block, panel, sub, row, x, txt (trimmed) of the cells in segments of a kind; rows are single links of y."""
+    body = segments(without_revisions(cells, sheet), sheet).filter(F.col("kind") == kind)
+    body = body.select(sheet, "block", "panel", "sub", "x", F.trim("txt").alias("txt"), (-F.col("y")).alias("__up"))
+    return single_link(body, [sheet, "block"], "__up", row_tol, "row").drop("__up")
 
 
 def parse_tables(cells: DataFrame, sheet: str, row_tol: float = 2.0, column_tol: float = 12.0) -> DataFrame:
@@ -45,32 +60,39 @@ def parse_tables(cells: DataFrame, sheet: str, row_tol: float = 2.0, column_tol:
     Rows are single links of y; the rows above the first data row are the header, one or more lines, whose lowest line gives
     the columns; a cell belongs to the nearest column within ``column_tol``, the left one of two. Of two texts in one place the
     left one counts. Sheets without a title, or tables without a data row, give nothing.
+
+    Cells are dealt once, by sheet; from a row's cells on, as many as a table is wide, a row is an array. Column names are found once a table.
     """
-    body = segments(without_revisions(cells, sheet), sheet).filter("kind = 'table'").withColumn("__up", -F.col("y"))
     keys = [sheet, "block"]
     block = Window.partitionBy(*keys)
-    rows = single_link(body, keys, "__up", row_tol, "row").withColumn("__first", F.min(F.when(F.trim("txt").rlike(DATA_CELL), F.col("row"))).over(block))
-    rows = rows.withColumn("__low", F.max(F.when(F.col("row") < F.col("__first"), F.col("row"))).over(block))
-    # the header's cells, as many as a table is wide, become one array of columns
-    cell = F.struct("row", "x", F.trim("txt").alias("label"), (F.col("row") == F.col("__low")).alias("base"))
-    head = rows.filter("row <= __low").groupBy(*keys).agg(F.sort_array(F.collect_list(cell)).alias("h"))
-    over = lambda b: F.array_join(F.transform(F.filter("h", lambda a: F.abs(a["x"] - b["x"]) <= column_tol), lambda a: a["label"]), " ")
-    head = head.select(*keys, F.transform(F.filter("h", lambda c: c["base"]), lambda b: F.struct(b["x"].alias("cx"), tx.column_head(over(b)).alias("column"))).alias("cols"))
-    data = rows.filter("row >= __first").select(*keys, "panel", "sub", "row", "x", F.trim("txt").alias("txt")).join(head, keys)
-    near = F.transform(F.filter("cols", lambda c: F.abs(F.col("x") - c["cx"]) <= column_tol), lambda c: F.struct(F.abs(F.col("x") - c["cx"]).alias("d"), c["cx"].alias("cx"), c["column"].alias("column")))
-    own = data.withColumn("c", F.array_min(near)).filter("c is not null")
-    one = own.groupBy(*keys, "panel", "sub", "row", F.col("c.column").alias("column")).agg(F.min_by("txt", F.struct("x", "txt")).alias("txt"))
-    out = one.groupBy(*keys, "panel", "sub", "row").agg(F.map_from_entries(F.collect_list(F.struct("column", "txt"))).alias("cells"))
-    return out.filter(F.col("cells")["Schedule Mark"].isNotNull()).select(sheet, "panel", "sub", "row", "cells")
+    cell = F.struct("x", "txt").alias("c")
+    rows = _lines(cells, sheet, "table", row_tol).groupBy(*keys, "row").agg(F.first("panel").alias("panel"), F.first("sub").alias("sub"), F.max(F.col("txt").rlike(DATA_CELL)).alias("__data"), F.collect_list(cell).alias("c"))
+    rows = rows.withColumn("__first", F.min(F.when(F.col("__data"), F.col("row"))).over(block))
+    # rows are numbered without gaps, so the header's lowest line is the one before the first data row
+    part = F.transform("c", lambda a: F.struct("row", a["x"].alias("x"), a["txt"].alias("label"), (F.col("row") == F.col("__first") - 1).alias("base")))
+    rows = rows.withColumn("h", F.collect_list(F.when(F.col("row") < F.col("__first"), part)).over(block)).filter((F.col("row") >= F.col("__first")) & (F.size("h") > 0))
+    label = lambda h, b: F.array_join(F.transform(F.filter(h, lambda a: F.abs(a["x"] - b["x"]) <= column_tol), lambda a: a["label"]), " ")
+    labelled = lambda h: F.transform(F.filter(h, lambda c: c["base"]), lambda b: F.struct(b["x"].alias("cx"), label(h, b).alias("label")))
+    named = F.transform(_with(F.sort_array(F.flatten("h")), labelled), lambda b: F.struct(b["cx"].alias("cx"), tx.column_head(b["label"]).alias("column")))
+    data = rows.withColumn("__named", F.when(F.col("row") == F.col("__first"), named)).drop("h").withColumn("cols", F.first("__named", True).over(block))
+    near = lambda x: F.array_min(F.transform(F.filter("cols", lambda c: F.abs(x - c["cx"]) <= column_tol), lambda c: F.struct(F.abs(x - c["cx"]).alias("d"), c["cx"].alias("cx"), c["column"].alias("column"))))
+    own = F.filter(F.transform(F.sort_array("c"), lambda a: F.struct(near(a["x"])["column"].alias("column"), a["txt"].alias("txt"))), lambda a: a["column"].isNotNull())
+    # of a column's texts the first from the left; exploded, so that the condition on marks does not find the map a second time
+    first = lambda o: _with(F.transform(o, lambda a: a["column"]), lambda names: F.filter(o, lambda a, i: F.array_position(names, a["column"]) == i + 1))
+    out = data.select(sheet, "panel", "sub", "row", F.explode(F.array(F.map_from_entries(_with(own, first)))).alias("cells"))
+    return out.filter(F.col("cells")["Schedule Mark"].isNotNull())
+
+
+def _with(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is found once, however often fn names it."""
+    return F.transform(F.array(value), fn)[0]
 
 
 def parse_summaries(cells: DataFrame, sheet: str, row_tol: float = 2.0, largest: int = 50) -> DataFrame:
     """sheet, panel, dia, length, kg of the summary rows: three numbers, the first a diameter of at most ``largest``; totals rows go."""
-    body = segments(without_revisions(cells, sheet), sheet).filter("kind = 'summary'").withColumn("__up", -F.col("y"))
-    rows = single_link(body, [sheet, "block"], "__up", row_tol, "row")
     number = F.regexp_extract(F.regexp_replace("txt", ",", ""), r"(\d+(?:\.\d+)?)", 1).try_cast("double")
-    numbers = rows.withColumn("v", number).filter("v is not null")
-    three = numbers.groupBy(sheet, "block", "panel", "row").agg(F.transform(F.sort_array(F.collect_list(F.struct("x", "v"))), lambda s: s["v"]).alias("v")).filter(F.size("v") == 3)
+    numbers = _lines(cells, sheet, "summary", row_tol).withColumn("v", number).filter("v is not null")
+    three = numbers.groupBy(sheet, "block", "row").agg(F.first("panel").alias("panel"), F.transform(F.sort_array(F.collect_list(F.struct("x", "v"))), lambda s: s["v"]).alias("v")).filter(F.size("v") == 3)
     return three.select(sheet, "panel", F.col("v")[0].alias("dia"), F.col("v")[1].alias("length"), F.col("v")[2].alias("kg")).filter(F.col("dia") <= largest)
 
 

@@ -24,9 +24,30 @@ union all select o, 300.0, 10.0, 'Total' from s union all select o, 300.0, 60.0,
 union all select o, 975.0, 900.0, 'Rev' from s union all select o, 975.0, 930.0, 'Date' from s union all select o, 970.0 - o % 50, 915.0, '12 mm' from s"""
 
 
+def _drawn(*cells: tuple[str, float, str]) -> str:
+    return "array(" + ", ".join(f"named_struct('y', cast({y} as double), 'x', {x}d, 'txt', {txt})" for y, x, txt in cells) + ")"
+
+
+_ROW = _drawn(("980.4 - 6 * r", 57.0, "d || ' mm'"), ("980.0 - 6 * r", 104.0, "'' || q"), ("981.0 - 6 * r", 148.0, "(q * 100) || ' mm'"), ("980.0 - 6 * r", 201.0, "q || '.5 kg'"))
+_MARK = _drawn(("980.0 - 6 * r", 12.0, "'K' || m"))
+_SHEET = _drawn(
+    ("1000.0", 10.0, "'Rebar schedule for PW-' || o || '(R)'"), ("990.0", 10.0, "'Schedule'"), ("985.0", 11.0, "'Mark'"), ("990.0", 60.0, "'Bar'"), ("985.0", 58.0, "'Diameter'"),
+    ("985.0", 100.0, "'Quantity'"), ("985.5", 150.0, "'Bar Length'"), ("985.0", 200.0, "'Weight'"), ("500.0", 10.0, "'Summary Schedule'"), ("490.0", 10.0, "'Dia'"),
+    ("300.0", 10.0, "'Total'"), ("300.0", 60.0, "'99'"), ("975.0", 900.0, "'Rev'"), ("975.0", 930.0, "'Date'"), ("970.0 - o % 50", 915.0, "'12 mm'"),
+)
+_SUMS = _drawn(("480.0 - 6 * d", 10.0, "'T' || d"), ("480.0 - 6 * d", 60.0, "mm || ' mm'"), ("480.5 - 6 * d", 100.0, "kg || '.25 kg'"))
+#: The cells of CELLS, places as doubles, drawn in one pass over an order's rows: a row's own, the sheet's with its first row, a summary's with a
+#: diameter's first row. Orders are dealt once, by the name that sheets are parsed by.
+DRAWN = f"""with l as (select l_orderkey o, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_partkey % 90 m, cast(l_quantity as bigint) q, 8 + 2 * (l_suppkey % 3) d, l_returnflag f from lineitem),
+rows_ as (select o, m, q, d, f, row_number() over (partition by o order by l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) r from l),
+w as (select *, sum(q * 100) over e mm, sum(q) over e kg, row_number() over (partition by o, d order by r) n from rows_ window e as (partition by o, d order by r rows between unbounded preceding and unbounded following))
+select o sheet, inline(concat({_ROW}, case when f <> 'N' or m % 2 = 0 then {_MARK} else array() end, case when r = 1 then {_SHEET} else array() end, case when n = 1 then {_SUMS} else array() end)) from w"""
+
+
 def _cells(spark, sf_dir):
+    """CELLS, dealt by sheet once: their steps go on where the rows lie."""
     table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    return spark.sql(CELLS)
+    return spark.sql(DRAWN)
 
 
 def schedule_rows(spark, sf_dir):
