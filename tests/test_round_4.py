@@ -3,8 +3,9 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from plumbline.operators import evidence
+from plumbline.operators import evidence, references
 
 
 def test_nearest_of_meets_brute_force():
@@ -41,3 +42,15 @@ def test_nearest_in_a_crowd_makes_no_pairs_outside_a_worker(spark):
 
     want = {i: min((gap(x, y, r), r[1]) for r in at[k]) for k, i, x, y in p if k is not None and not math.isnan(x)}
     assert {r.pid: (r.distance, r.sid) for r in touch.collect()} == {i: w for i, w in want.items() if w[0] < 25}
+
+
+def test_blocks_are_summed_before_references_open_them(spark):
+    refs = [("s", None, 1, 10, 1.0), ("s", None, 2, 10, 2.0), ("s", None, 2, 11, 3.0), ("s", None, 3, None, 1.0), ("s", 10, 4, 11, 5.0), ("s", 11, 5, 10, 7.0)]
+    refs = spark.createDataFrame([(*r[:4], 0.0, -1.0, 1.0, 0.0, r[4], 1.0) for r in refs], "sheet string, block long, ref long, child long, a double, b double, c double, d double, tx double, ty double")
+    ents = spark.createDataFrame([("s", b, e, t, p) for b, e, t, p in ((10, 1, "LINE", [(1.0, 2.0)]), (10, 2, "LINE", [(3.0, None)]), (11, 3, "LINE", [(5.0, 8.0), (0.0, 0.0)]), (11, 4, "HATCH", None), (11, 5, "TEXT", []))], "sheet string, block long, ent long, type string, points array<struct<x:double,y:double>>")
+    tops, inside, _ = references.expand_blocks(refs, "sheet")
+    at = F.get("points", F.lit(0))
+    want = references.placed_by_blocks(ents, tops, inside, "sheet").groupBy("sheet", "outer", "type", "depth").agg(F.count(F.lit(1)).alias("n"), F.sum(at["x"]).alias("x"), F.sum(at["y"]).alias("y"))
+    got = references.summed_by_blocks(ents, tops, inside, "sheet")
+    assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+    assert got.count() == 10
