@@ -137,7 +137,7 @@ def outline_components(boxes: DataFrame, keys: list[str], gap: float = 3.0, leas
     """(keys, component, n, x0, y0, x1, y1): outlines joined by boxes at most ``gap`` apart; those of fewer than ``least`` go.
 
     Boxes (keys, id, x0, y0, x1, y1), ids being unique over all keys; a component is named by its least id.
-    Equal boxes are one, so copies make no pairs; different ones near each other still do.
+    Equal boxes are one, and others are linked in cells by few pairs, so crowds make no more links than boxes.
     """
     sides = ["x0", "y0", "x1", "y1"]
     whole = boxes.select(*keys, "id", *sides).dropna()
@@ -145,7 +145,7 @@ def outline_components(boxes: DataFrame, keys: list[str], gap: float = 3.0, leas
     apart = F.when((F.col("x0") - gap > F.col("x1")) | (F.col("y0") - gap > F.col("y1")), F.col("id"))
     once = whole.groupBy(*keys, *sides, apart.alias("__apart")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     once = stored(once.drop("__apart"), "outlines")
-    named = components(once.select(F.col("id").alias("node")), touching_boxes(once, keys, gap))
+    named = components(once.select(F.col("id").alias("node")), touching_boxes(once, keys, gap, True))
     ends = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
     return once.join(named, F.col("id") == F.col("node")).groupBy(*keys, "component").agg(F.sum("n").alias("n"), *ends).filter(F.col("n") >= least)
 
