@@ -6,12 +6,13 @@ empty results.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import shared_folder, ship, stored
 from .clustering import components, single_link
-from .joins import band_join, boxes_over_points, near_values
+from .joins import LEAST_CELL, band_join, boxes_over_points, linked_in_cells, near_values
 
 
 def depth_lookup(bars: DataFrame, readings: DataFrame, key: str, reach: float = 40.0, radius: float = 0.5, tol: float = 8.0, spread: float = 15.0) -> DataFrame:
@@ -143,18 +144,26 @@ def dimension_evidence(absent: DataFrame, signals: DataFrame, key: str, low: flo
 def cross_view_clusters(circles: DataFrame, key: str, tol: float) -> DataFrame:
     """id, component of circles (key, id, view, dia, x, y) linked across different views of a key: same diameter, both axes within ``tol``.
 
-    Only components that span two views are given. Links are made by cells of ``tol``, each circle meeting nine. Ids are unique.
+    Only components that span two views are given. Circles are linked in cells by few pairs (see spanning_links), not by all. Ids are unique.
     Circles of one view at one place have the same links, so they are one: copies make no pairs. Nulls are linked with nothing.
     """
-    cell = lambda c: F.floor(F.col(c) / tol).cast("long")
     place = [key, "dia", "view", "x", "y"]
     shared_folder(ship(circles.sparkSession))
     known = circles.select("id", *place).dropna()
     once = stored(known.groupBy(*place).agg(F.min("id").alias("id")), "circles")
-    a = once.withColumn("cx", F.explode(F.array(*[cell("x") + i for i in (-1, 0, 1)]))).withColumn("cy", F.explode(F.array(*[cell("y") + i for i in (-1, 0, 1)])))
-    b = once.select(F.col(key).alias("__k"), F.col("dia").alias("__d"), F.col("id").alias("b"), F.col("view").alias("__v"), F.col("x").alias("__x"), F.col("y").alias("__y"), cell("x").alias("__cx"), cell("y").alias("__cy"))
-    on = (F.col(key) == F.col("__k")) & (F.col("dia") == F.col("__d")) & (F.col("cx") == F.col("__cx")) & (F.col("cy") == F.col("__cy")) & (F.col("id") < F.col("b"))
-    edges = a.join(b, on).filter((F.col("view") != F.col("__v")) & (F.abs(F.col("x") - F.col("__x")) <= tol) & (F.abs(F.col("y") - F.col("__y")) <= tol)).select(F.col("id").alias("a"), "b")
+    # equal views have equal numbers within a key; cells are four times as wide as the tolerance, so most circles lie in one
+    views = once.select(key, "view").distinct().withColumn("__view", F.row_number().over(Window.partitionBy(key).orderBy("view")).cast("double"))
+    own = once.join(views, [key, "view"]).select(key, "dia", "id", "__view", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    wide = 4 * max(tol, LEAST_CELL)
+    cell = lambda c: F.floor(c / wide).cast("long")
+    reach = lambda c: tol + 1e-9 * (F.abs(c) + tol)
+    near = lambda c: F.explode(F.sequence(cell(F.col(c) - reach(c)), cell(F.col(c) + reach(c))))
+
+    def meets(one: list, others: list) -> np.ndarray:
+        return (others[0] != one[0]) & (np.abs(others[1] - one[1]) <= tol) & (np.abs(others[2] - one[2]) <= tol)
+
+    held, asked = own.withColumns({"__cx": cell(F.col("x")), "__cy": cell(F.col("y"))}), own.withColumn("__cx", near("x")).withColumn("__cy", near("y"))
+    edges = linked_in_cells(held, asked, [key, "dia", "__cx", "__cy"], ["__view", "x", "y"], meets)
     comp = components(once.select(F.col("id").alias("node")), edges)
     named = once.join(comp, F.col("id") == F.col("node"))
     wide = named.groupBy("component").agg(F.countDistinct("view").alias("views")).filter("views >= 2")
