@@ -13,12 +13,13 @@ from math import dist, floor
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .dealing import in_groups
-from .joins import boxes_over_points
+from .dealing import in_groups, in_tables
+from .joins import PAIRS, boxes_and_points
 
 
 class _Grid:
@@ -366,17 +367,40 @@ def viewport_titles(views: DataFrame, texts: DataFrame, keys: list[str], pad: fl
     edge within the padded frame (a quarter of its height further down; none: empty).
 
     Views (view, cx, cy, w, h, vx, vy, vh); texts (tx, ty, s). Views with the same frame ask once, texts of one place answer once (the
-    least), and both meet by cells of the frame's level.
+    least), and both meet by cells of the frame's level, which go through a worker: no pairs are sorted or stored.
     """
     w = F.when(F.col("h") != 0, F.col("vh") * F.col("w") / F.col("h")).otherwise(0.0)
     window = views.select(*keys, "view", "cx", "cy", "w", "h", F.when(F.col("h") != 0, F.col("vh") / F.col("h")).otherwise(0.0).alias("scale"), *[F.when(F.col("h") != 0, e).alias(n) for e, n in ((F.col("vx") - w / 2, "wx0"), (F.col("vy") - F.col("vh") / 2, "wy0"), (F.col("vx") + w / 2, "wx1"), (F.col("vy") + F.col("vh") / 2, "wy1"))])
-    within = (F.abs(F.col("tx") - F.col("cx")) <= F.col("w") * pad / 2) & F.col("ty").between(F.col("cy") - F.col("h") * pad / 2 - F.col("h") * 0.25, F.col("cy") + F.col("h") * pad / 2)
-    d = F.sqrt((F.col("tx") - F.col("cx")) ** 2 + (F.col("ty") - F.col("cy") + F.col("h") / 2) ** 2)
     frame, half = ["cx", "cy", "w", "h"], F.col("w") * pad / 2
     frames = window.select(*keys, *frame).distinct().withColumns({"__x0": F.col("cx") - half, "__x1": F.col("cx") + half, "__y0": F.col("cy") - F.col("h") * (pad / 2 + 0.25), "__y1": F.col("cy") + F.col("h") * pad / 2})
     places = texts.groupBy(*keys, "tx", "ty").agg(F.min("s").alias("s"))
-    met = boxes_over_points(frames, places, keys, ("__x0", "__y0", "__x1", "__y1"), ("tx", "ty")).filter(within)
-    near = met.groupBy(*keys, *frame).agg(F.min(F.struct(d.alias("d"), "tx", "ty", "s")).alias("m"))
+    sides, cell = ("__x0", "__y0", "__x1", "__y1"), [*keys, "__l", "__cx", "__cy"]
+    dealt, asked = boxes_and_points(frames, places, keys, sides, ("tx", "ty"))
+    numbers = lambda df, names: [F.col(c).cast("double").alias(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in names]
+    names = [*frame, "tx", "ty"]
+    both = dealt.select(*cell, F.lit(0).alias("__s"), *numbers(dealt, names), F.lit(None).cast(dict(places.dtypes)["s"]).alias("s")).unionByName(asked.select(*cell, F.lit(1).alias("__s"), *numbers(asked, names), "s"))
+
+    def run(rows: pa.Table) -> pa.Table | None:
+        n = rows.num_rows - int(rows.column("__s").to_numpy().sum())
+        if not n or n == rows.num_rows:
+            return None
+        cx, cy, w, h = (rows.column(c).to_numpy()[:n, None] for c in frame)
+        tx, ty = (rows.column(c).to_numpy()[n:] for c in ("tx", "ty"))
+        best, least = np.full(n, 0), np.full(n, np.inf)
+        step = max(1, PAIRS // 4 // len(tx))
+        for i in range(0, n, step):
+            x, y, wide, high = (c[i : i + step] for c in (cx, cy, w, h))
+            within = (np.abs(tx - x) <= wide * pad / 2) & (ty >= y - high * pad / 2 - high * 0.25) & (ty <= y + high * pad / 2)
+            dx, dy = tx - x, ty - y + high / 2
+            apart = np.where(within, np.sqrt(dx * dx + dy * dy), np.inf)
+            best[i : i + step], least[i : i + step] = apart.argmin(axis=1), apart.min(axis=1)  # the first, so the least place
+        near = np.flatnonzero(least < np.inf)
+        own, other = rows.take(pa.array(near)), rows.take(pa.array(best[near] + n))
+        return pa.table([*[own.column(c) for c in (*keys, *frame)], pa.array(least[near]), *[other.column(c) for c in ("tx", "ty", "s")]], [*keys, *frame, "d", "tx", "ty", "s"])
+
+    kinds = dict(both.dtypes)
+    met = in_tables(both, cell, ["__s", "tx", "ty"], run, ", ".join([f"`{c}` {kinds[c]}" for c in (*keys, *frame)] + [f"d double, tx double, ty double, s {kinds['s']}"]))
+    near = met.groupBy(*keys, *frame).agg(F.min(F.struct("d", "tx", "ty", "s")).alias("m"))
     out = window.join(near, [*keys, *frame], "left")
     return out.select(*keys, "view", "scale", "wx0", "wy0", "wx1", "wy1", F.coalesce("m.s", F.lit("")).alias("title"))
 

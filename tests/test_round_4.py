@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from plumbline.operators import evidence, references
+from plumbline.operators import clustering, evidence, passes, pieces, references
 
 
 def test_nearest_of_meets_brute_force():
@@ -54,3 +54,42 @@ def test_blocks_are_summed_before_references_open_them(spark):
     got = references.summed_by_blocks(ents, tops, inside, "sheet")
     assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
     assert got.count() == 10
+
+
+def _links(monkeypatch, module, n):
+    """Counts of links that the module's components are given, to be no more than a few a thing."""
+    met, plain = [], module.components
+    monkeypatch.setattr(module, "components", lambda nodes, edges: met.append(edges.count()) or plain(nodes, edges))
+    return met
+
+
+def test_crowded_boxes_make_few_links(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(1, i, x, y, x + w, y + 9) for i, (x, y, w) in enumerate(zip(rng.uniform(0, 40, 400).tolist(), rng.uniform(0, 30, 400).tolist(), rng.uniform(1, 40, 400).tolist()))] + [(1, 900 + i, 500.0 + 3 * i, 0.0, 500.0 + 3 * i, 0.0) for i in range(4)] + [(1, 950, 800.0, 0.0, 801.0, 1.0)]
+    met = _links(monkeypatch, clustering, len(rows))
+    got = clustering.outline_components(spark.createDataFrame(rows, "k int, id int, x0 double, y0 double, x1 double, y1 double"), ["k"])
+    assert {(r.component, r.n) for r in got.collect()} == {(0, 400), (900, 4)}
+    assert met[0] < 20 * len(rows)
+
+
+def test_crowded_circles_make_few_links(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(1, i, "abc"[i % 3], 8, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 9, (400, 2)))] + [(1, 900, "a", 8, 100.0, 0.0), (1, 901, "a", 8, 101.0, 0.0), (1, 902, "b", 8, 106.0, 6.0), (1, 903, "b", 8, 107.5, 6.0), (1, 904, "c", 9, 106.0, 6.0)]
+    met = _links(monkeypatch, passes, len(rows))
+    got = passes.cross_view_clusters(spark.createDataFrame(rows, "p int, id int, view string, dia int, x double, y double"), "p", 6.0)
+    want = {(i, 0, 3) for i in range(400)} | {(900, 900, 2), (901, 900, 2), (902, 900, 2)}
+    assert {(r.id, r.component, r.views) for r in got.collect()} == want
+    assert met[0] < 20 * len(rows)
+
+
+def test_titles_in_a_crowd_make_no_pairs_outside_a_worker(spark):
+    rng = np.random.default_rng(8)
+    v = [(1, i, float(x), float(y), 40.0, 20.0 * (i % 3), 1.0, 1.0, 10.0) for i, (x, y) in enumerate(rng.integers(0, 60, (60, 2)))] + [(1, 900, None, 0.0, 40.0, 20.0, 1.0, 1.0, 1.0)]
+    t = [(1, float(x), float(y), f"t{i % 90}") for i, (x, y) in enumerate(rng.integers(0, 50, (500, 2)))] + [(1, None, 1.0, "none")]
+    out = pieces.viewport_titles(spark.createDataFrame(v, "k int, view int, cx double, cy double, w double, h double, vx double, vy double, vh double"), spark.createDataFrame(t, "k int, tx double, ty double, s string"), ["k"])
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    want = {900: ""}
+    for _, i, cx, cy, w, h, *_ in v[:-1]:
+        near = [(math.sqrt((x - cx) ** 2 + (y - cy + h / 2) ** 2), x, y, s) for _, x, y, s in t[:-1] if abs(x - cx) <= w * 1.3 / 2 and cy - h * 1.3 / 2 - h * 0.25 <= y <= cy + h * 1.3 / 2]
+        want[i] = min(near)[3] if near else ""
+    assert {r.view: r.title for r in out.collect()} == want
