@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from plumbline.operators import clustering, evidence, passes, pieces, references
+from plumbline.operators import clustering, evidence, leaders, passes, pieces, references
 
 
 def test_nearest_of_meets_brute_force():
@@ -93,3 +93,13 @@ def test_titles_in_a_crowd_make_no_pairs_outside_a_worker(spark):
         near = [(math.sqrt((x - cx) ** 2 + (y - cy + h / 2) ** 2), x, y, s) for _, x, y, s in t[:-1] if abs(x - cx) <= w * 1.3 / 2 and cy - h * 1.3 / 2 - h * 0.25 <= y <= cy + h * 1.3 / 2]
         want[i] = min(near)[3] if near else ""
     assert {r.view: r.title for r in out.collect()} == want
+
+
+def test_tips_are_searched_once(spark, monkeypatch):
+    held, plain = [], leaders.stored
+    monkeypatch.setattr(leaders, "stored", lambda df, name: held.append(name) or plain(df, name))
+    tips = spark.createDataFrame([("s", 1, 5.0, 5.0)], "sheet string, inst int, tip_x double, tip_y double")
+    views = spark.createDataFrame([("s", "v", 1, 0.0, 0.0, 10.0, 10.0)], "sheet string, view string, rank int, x0 double, y0 double, x1 double, y1 double")
+    bars = spark.createDataFrame([("s", "v", 7, 8, 0.0, 9.0, 10.0, 9.0)], "sheet string, view string, bar int, dia int, x1 double, y1 double, x2 double, y2 double")
+    out = leaders.bind_tips(tips, views, bars, spark.createDataFrame([("s", 1, 8)], "sheet string, inst int, dia int"), "sheet")
+    assert [(r.bar, r.dist, r.status) for r in out.collect()] == [(7, 4.0, "ok")] and held == ["tips", "asked"]
